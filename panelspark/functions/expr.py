@@ -10,10 +10,16 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def nudge(digits: int) -> float:
+    """Offset far below the last kept digit and far above summation noise: exact halves then
+    round the same way in every engine."""
+    return 3.7 * 10.0 ** -(digits + 4)
+
+
 def rnd(c: Column | str, digits: int = 6) -> Column:
-    """Round and turn -0.0 into 0.0."""
+    """Round for output; -0.0 becomes 0.0."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits) + F.lit(0.0)
+    return F.round(c + F.lit(nudge(digits)), digits) + F.lit(0.0)
 
 
 def half_even(c: Column, digits: int) -> Column:
