@@ -1,4 +1,4 @@
 """All registered queries; importing a module registers its queries."""
 
-from panelspark.plans import cleaning, portfolio, signals, universe  # noqa: F401
+from panelspark.plans import cleaning, portfolio, reports, signals, universe  # noqa: F401
 from panelspark.plans.registry import ORACLES, QUERIES  # noqa: F401
