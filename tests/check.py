@@ -1,4 +1,4 @@
-"""Run queries against their SQL twins: python tests/check.py [--sf DIR] [name ...]"""
+"""Run queries against their SQL twins: python tests/check.py [--sf DIR] [name | @area ...]"""
 
 import sys
 import time
@@ -17,6 +17,9 @@ def main(argv):
         sf, argv = argv[1], argv[2:]
     spark, con = session(), duck(sf)
     queries, oracles = entry.queries(), entry.oracle_sql()
+    areas = {a[1:] for a in argv if a.startswith("@")}
+    argv = [a for a in argv if not a.startswith("@")]
+    argv += [n for n, fn in queries.items() if fn.__module__.rsplit(".", 1)[-1] in areas]
     bad = 0
     for name in argv or queries:
         t = time.time()
