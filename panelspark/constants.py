@@ -96,3 +96,8 @@ SENTIMENT_FLOOR = "Strong Negative"
 
 # Histogram edges for predictions.
 PREDICTION_EDGES = [-30.0, -20.0, -10.0, 0.0, 5.0, 10.0, 15.0]
+
+# Default sentiment word lists (own choice; pass others to the lexicon scorer).
+POSITIVE_WORDS = ["gain", "gains", "growth", "profit", "profits", "strong", "improve", "improved", "increase", "success"]
+NEGATIVE_WORDS = ["loss", "losses", "decline", "risk", "risks", "weak", "impair", "impaired", "decrease", "failure"]
+SEGMENT_CHARS = 512

@@ -39,6 +39,7 @@ pk AS (SELECT *, max(equity) OVER (ORDER BY ym ROWS BETWEEN UNBOUNDED PRECEDING
 dd AS (SELECT *, (equity - peak) / peak AS drawdown, portfolio_return - bench_return AS x,
   avg(portfolio_return - bench_return) OVER () AS mx FROM pk)"""
 
+METRICS_LIST = pe.METRICS
 METRIC_SQL = """avg(portfolio_return) AS avg_monthly_return, avg(portfolio_return) * 12 AS avg_annual_return,
   product(1 + portfolio_return) - 1 AS total_return, stddev_samp(portfolio_return) AS monthly_volatility,
   stddev_samp(portfolio_return) * sqrt(12) AS annual_volatility,
