@@ -69,8 +69,9 @@ def with_average_rank(df: DataFrame, by: list[str], value: str, tie_break: list[
         df, by, [F.col(value).asc_nulls_last(), *[F.col(c).asc() for c in tie_break]],
         {"_pos": valued.cast("long")}, {"_pos": count},
     )
-    ties = (
-        numbered.filter(valued).groupBy(*by, value)
-        .agg(((F.min("_pos") + F.max("_pos")) / 2).alias(name))
-    )
-    return numbered.drop("_pos").join(ties, [*by, value], "left")
+    # Rows without a value stay out of the join: their NULL keys would all meet in one task.
+    known = numbered.filter(valued)
+    ties = known.groupBy(*by, value).agg(((F.min("_pos") + F.max("_pos")) / 2).alias(name))
+    ranked = known.drop("_pos").join(ties, [*by, value])
+    rest = numbered.filter(~valued).drop("_pos").withColumn(name, F.lit(None).cast("double"))
+    return ranked.unionByName(rest)

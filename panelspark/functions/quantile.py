@@ -3,7 +3,8 @@
 ``percentile`` keeps every distinct value of a group in one buffer. Here pass one counts
 rows per logarithmic value bucket, which combines on the map side to a small histogram.
 The histogram tells in which bucket a wanted position lies, so pass two shuffles only the
-values of these buckets.
+values of these buckets. The histogram also says how many rows the largest of them holds: up to
+a limit a window ranks each bucket, beyond it the ranks are spread over slices.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.functions.ordered import running_sums
+from panelspark.storage import cut_lineage
 
 RESOLUTION = 4096  # buckets per factor e
+WINDOW_ROWS = 2_000_000  # largest bucket that one window task may rank
 
 
 def value_bucket(c: Column, resolution: int = RESOLUTION) -> Column:
@@ -51,18 +54,23 @@ def exact_quantiles(df: DataFrame, by: list[str], columns: list[str],
     ])
     before = F.col("upto") - F.col("c")
     inside = lambda r: (r >= before) & (r < F.col("upto"))
-    targets = (
+    # Written once: both passes below must aim at the same buckets.
+    targets = cut_lineage(
         hist.select(*keys, "bucket", before.alias("before"), "c", "upto", F.explode(wanted).alias("w"))
         .filter(inside(F.col("w.lo")) | inside(F.col("w.hi")))
-        .select(*keys, "bucket", "before",
+        .select(*keys, "bucket", "before", F.col("c").alias("rows"),
                 F.when(inside(F.col("w.lo")), F.col("w.lo")).alias("lo"),
                 F.when(inside(F.col("w.hi")), F.col("w.hi")).alias("hi"),
                 F.col("w.prob").alias("prob"),
-                (F.col("w.pos") - F.col("w.lo")).alias("frac"))
-    )
+                (F.col("w.pos") - F.col("w.lo")).alias("frac")), "quantile_targets")
     near = cells.join(F.broadcast(targets.select(*keys, "bucket").distinct()), [*keys, "bucket"], "left_semi")
     counts = near.groupBy(*keys, "bucket", "value").agg(F.count("*").alias("c"))
-    placed = running_sums(counts, [*keys, "bucket"], [F.col("value").asc()], {"upto": F.col("c")})
+    largest = targets.agg(F.max("rows")).first()[0] or 0
+    if largest <= WINDOW_ROWS:
+        inner = Window.partitionBy(*keys, "bucket").orderBy("value")
+        placed = counts.withColumn("upto", F.sum("c").over(inner))
+    else:
+        placed = running_sums(counts, [*keys, "bucket"], [F.col("value").asc()], {"upto": F.col("c")})
     hits = placed.join(F.broadcast(targets), [*keys, "bucket"])
     start = F.col("before") + F.col("upto") - F.col("c")
     at = lambda r: (r >= start) & (r < F.col("before") + F.col("upto"))

@@ -3,7 +3,8 @@
 Each array holds the trailing returns of one month-end, so the work is spread over all
 (security, month) rows and no task receives a whole series. The fit is approximate: normal
 likelihood with the long-run variance fixed at the sample variance, a grid over the two
-persistence parameters, then two finer grids around the best point.
+persistence parameters, then two finer grids around the best point. All arrays of a batch are
+fitted together.
 """
 
 from __future__ import annotations
@@ -12,42 +13,62 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+GRID = np.stack(np.meshgrid(np.linspace(-1, 1, 9), np.linspace(-1, 1, 9)), axis=-1).reshape(-1, 2)
+FITS_AT_ONCE = 256
 
-def _likelihood(eps2: np.ndarray, var: float, a: np.ndarray, b: np.ndarray):
-    h = np.full(a.shape, var)
-    cost = np.zeros(a.shape)
-    base = var * (1.0 - a - b)
-    for e in eps2:
-        cost += np.log(h) + e / h
-        h = base + a * e + b * h
-    return cost, h
-
-
-def fit_one(returns) -> float | None:
-    r = np.asarray(returns, dtype=float)
-    r = r[np.isfinite(r)]
-    var = float(r.var()) if r.size else 0.0
-    if var <= 0.0:
-        return None
-    eps2 = (r - r.mean()) ** 2
-    centre, width = (0.15, 0.7), (0.145, 0.29)
-    best = None
+
+def _cost(eps2, start, var, a, b):
+    """Likelihood cost and next variance for parameter sets [fits, grid]; columns before ``start`` are padding."""
+    h = np.repeat(var[:, None], a.shape[1], axis=1)
+    base = var[:, None] * (1.0 - a - b)
+    cost, logs = np.zeros(a.shape), np.ones(a.shape)
+    for t in range(eps2.shape[1]):
+        e = eps2[:, t, None]
+        live = (t >= start)[:, None]
+        cost += np.where(live, e / h, 0.0)
+        logs *= np.where(live, h / var[:, None], 1.0)
+        if t % 8 == 7:  # logarithms of a few steps at once
+            cost += np.log(logs)
+            logs[:] = 1.0
+        h = np.where(live, base + a * e + b * h, h)
+    return cost + np.log(logs), h
+
+
+def fit_many(arrays: list) -> np.ndarray:
+    """Next-step volatility per array; NaN for a constant or empty one."""
+    out = np.full(len(arrays), np.nan)
+    clean = [np.asarray(r, dtype=float) for r in arrays]
+    clean = [r[np.isfinite(r)] for r in clean]
+    rows = [i for i, r in enumerate(clean) if r.size and r.var() > 0.0]
+    if not rows:
+        return out
+    width = max(clean[i].size for i in rows)
+    eps2, start, var = np.zeros((len(rows), width)), np.zeros(len(rows), dtype=int), np.zeros(len(rows))
+    for k, i in enumerate(rows):
+        r = clean[i]
+        start[k], var[k] = width - r.size, r.var()
+        eps2[k, start[k]:] = (r - r.mean()) ** 2
+    centre, step = np.tile([0.15, 0.7], (len(rows), 1)), np.array([0.145, 0.29])
+    at = np.arange(len(rows))
     for _ in range(3):
-        a, b = np.meshgrid(np.linspace(centre[0] - width[0], centre[0] + width[0], 9),
-                           np.linspace(centre[1] - width[1], centre[1] + width[1], 9))
-        ok = (a > 0) & (b >= 0) & (a + b < 0.999)
-        a, b = a[ok], b[ok]
-        cost, h = _likelihood(eps2, var, a, b)
-        i = int(np.argmin(cost))
-        if best is None or cost[i] <= best[0]:
-            best = (cost[i], a[i], b[i], h[i])
-        centre, width = (best[1], best[2]), (width[0] / 4, width[1] / 4)
-    return float(np.sqrt(best[3]))
+        a = centre[:, :1] + step[0] * GRID[:, 0]
+        b = centre[:, 1:] + step[1] * GRID[:, 1]
+        bad = (a <= 0) | (b < 0) | (a + b >= 0.999)
+        cost, h = _cost(eps2, start, var, np.where(bad, 0.05, a), np.where(bad, 0.5, b))
+        best = np.argmin(np.where(bad, np.inf, cost), axis=1)
+        centre, step = np.stack([a[at, best], b[at, best]], axis=1), step / 4
+    out[rows] = np.sqrt(h[at, best])
+    return out
 
 
 def garch_forecast(rets: Column) -> Column:
     @F.pandas_udf("double")
     def fit(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda r: None if r is None else fit_one(r)).astype("float64")
+        out = pd.Series(np.nan, index=batch.index)
+        due = batch.index[batch.notna()]
+        for i in range(0, len(due), FITS_AT_ONCE):
+            part = due[i:i + FITS_AT_ONCE]
+            out.loc[part] = fit_many(list(batch.loc[part]))
+        return out
 
-    return fit(rets)
+    return F.nanvl(fit(rets), F.lit(None).cast("double"))

@@ -171,13 +171,21 @@ def bar_features(df: DataFrame, keys: str = "sec", idx: str = "date_idx", pad: i
     return df.select(keys, idx, *cols).filter(F.col(idx) >= pad)
 
 
-def dense_grid(companies: DataFrame, n_steps: DataFrame, key: str, pad: int = 0) -> DataFrame:
-    """Every company with every calendar step: the step list is generated per row.
+def dense_grid(cells: DataFrame, n_steps: DataFrame, key: str, pad: int = 0, day: str = "day") -> DataFrame:
+    """Every company with every calendar step; absent steps have NULL values.
 
-    ``n_steps`` has one row and one column with the calendar length.
+    Each row also makes the rows of the gap up to the next one, so neither a join nor a second
+    read of the input is needed. ``n_steps`` has one row and one column with the calendar length.
     """
-    last = n_steps.scalar() - 1 - pad
-    return companies.select(key).distinct().withColumn("day", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    win = series(key, day)
+    last = (n_steps.scalar() - 1 - pad).cast("int")
+    begin = F.when(F.lag(day).over(win).isNull(), F.lit(0)).otherwise(F.col(day))
+    spans = cells.withColumn("_from", begin.cast("int")).withColumn(
+        "_to", F.coalesce(F.lead(day).over(win) - 1, last).cast("int"))
+    steps = spans.withColumn("_day", F.explode(F.sequence("_from", "_to")))
+    own = F.col("_day") == F.col(day)
+    values = [F.when(own, F.col(c)).alias(c) for c in cells.columns if c not in (key, day)]
+    return steps.select(key, F.col("_day").alias(day), *values)
 
 
 def feature_grid(bars: DataFrame, start=None, date: str = "ym", keys: str = "sec", pad: int = PAD,
@@ -192,5 +200,4 @@ def feature_grid(bars: DataFrame, start=None, date: str = "ym", keys: str = "sec
         kept = kept.filter(F.col("_n") >= min_rows).drop("_n")
     feats = bar_features(kept.join(F.broadcast(calendar), date), keys, "date_idx", pad)
     feats = feats.withColumn("day", F.col("date_idx") - pad).drop("date_idx")
-    grid = dense_grid(feats, calendar.agg(F.count("*").alias("n")), keys, pad)
-    return grid.join(feats, [keys, "day"], "left")
+    return dense_grid(feats, calendar.agg(F.count("*").alias("n")), keys, pad)

@@ -232,7 +232,7 @@ def dense_grid(spark, sf):
     calendar = ind.trading_calendar(p, "dt")
     cells = p.join(F.broadcast(calendar), "dt").select("sec", F.col("date_idx").alias("day"), "prc")
     grid = ind.dense_grid(cells, calendar.agg(F.count("*").alias("n")), "sec")
-    return grid.join(cells, ["sec", "day"], "left").select("sec", "day", rnd("prc").alias("prc"))
+    return grid.select("sec", "day", rnd("prc").alias("prc"))
 
 
 @query("history_filter", """

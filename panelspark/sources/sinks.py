@@ -10,11 +10,10 @@ from panelspark.constants import MISSING_CELL
 def write_partitioned(df: DataFrame, path: str, by=("year", "month")) -> None:
     """Zstd Parquet by partition columns; only the partitions present in ``df`` are replaced.
 
-    Rows are hashed over the partition columns and a few salts, so one large month is written by
-    several tasks while small months still make few files.
+    The rebalance hint lets adaptive execution split a large month over several tasks and join
+    small months into one.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(4)))
-    (salted.repartition(*by, "_salt").drop("_salt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (df.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .option("compression", "zstd").partitionBy(*by).parquet(path))
 
 

@@ -31,8 +31,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/panelspark/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage, so that all later reads see the same rows
-    and a lost executor does not recompute them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it from there.
+
+    All later reads see the same rows, only the columns they need, and a lost executor does not
+    recompute what came before.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,14 +17,14 @@ def clean_batch(staging: str, out: str, features: list[str], month: str = "mon")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        (batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (batch.withColumn("batch", F.lit(batch_id)).hint("rebalance", F.col(month)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(month, "batch").parquet(staging))
         staged = spark.read.parquet(staging)
         touched = [r[0] for r in staged.filter(F.col("batch") == batch_id).select(month).distinct().collect()]  # months only
         if not touched:
             return
         rows = staged.filter(F.col(month).isin(touched)).drop("batch")
-        (cl.robust_scale(rows, month, features).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (cl.robust_scale(rows, month, features).hint("rebalance", F.col(month)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(month).parquet(out))
 
     return run
