@@ -30,7 +30,8 @@ def exact_quantiles(df: DataFrame, by: list[str], columns: list[str],
     """One row per group and feature, one column per entry of ``probs``.
 
     The groups in ``by`` must be bounded in number (months, or none): the histogram's target
-    list is broadcast and has two rows per group, feature and probability at most.
+    list is broadcast and has two rows per group, feature and probability at most. ``df`` is read
+    twice, so it should be a stored table.
     """
     cells = (
         df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from panelspark import constants as C
 from panelspark.functions.expr import clip, log1p_positive, month_of, signed_log
 from panelspark.functions.quantile import exact_quantiles, wide
+from panelspark.storage import cut_lineage
 
 Profile = dict[str, dict[str, float]]
 
@@ -85,7 +86,7 @@ def to_profile(rows: DataFrame) -> Profile:
 
 
 def profile_table(df: DataFrame, features: list[str]) -> DataFrame:
-    """Median and tail quantiles per feature over all rows."""
+    """Median and tail quantiles per feature over all rows of a stored table."""
     return exact_quantiles(df, [], features, C.PROFILE_PROBS)
 
 
@@ -151,7 +152,10 @@ def robust_scale(df: DataFrame, month: str, features: list[str], cap: float | No
     """(x - month median) / month MAD, a zero MAD counts as 1e-9, then clipped.
 
     Medians and MADs are one row per month and are broadcast: months are bounded by the calendar.
+    The rows are stored first, as the quantile passes read them several times and must see the
+    same values.
     """
+    df = cut_lineage(df, "unscaled")
     half = {"median": 0.5}
     med = wide(exact_quantiles(df, [month], features, half), [month], features, "median", "_med")
     centred = df.join(F.broadcast(med), month)

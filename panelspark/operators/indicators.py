@@ -3,6 +3,8 @@ exchange and one sort. A series has at most one row per date, which bounds its t
 
 from __future__ import annotations
 
+from math import lcm
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.constants import BAR_COLUMNS, MA_WINDOWS, PAD, VOL_MAX_ROWS, VOL_MIN_ROWS
@@ -84,6 +86,24 @@ def by_sector(sector: Column, settings: list[tuple[str, int]], make) -> Column:
     return out
 
 
+def moving_average_by_sector(df: DataFrame, price: str, settings: list[tuple[str, int]], sector: str, keys, date: str,
+                             name: str) -> DataFrame:
+    """Moving average whose row count depends on the row's sector, in one frame for all sectors.
+
+    Row numbers are stretched so that every sector's window spans the same distance; a range frame
+    of that distance then covers exactly its last w rows. A frame per setting would do the work of
+    all settings on every row.
+    """
+    span = lcm(*{w for _, w in settings})
+    pick = lambda make: by_sector(F.col(sector), settings, make)
+    stretch = pick(lambda w: F.lit(span // w))
+    need = pick(lambda w: F.lit(max(5, w // 4)))
+    placed = df.withColumn("_pos", F.row_number().over(series(keys, date)).cast("bigint") * stretch)
+    frame = series(keys, "_pos").rangeBetween(-(span - 1), 0)
+    return placed.withColumn(
+        name, F.when(F.count(price).over(frame) >= need, F.avg(price).over(frame))).drop("_pos")
+
+
 def indicators(df: DataFrame, ma_windows, mom_lags, vol_min: int, vol_max: int, keys="sec",
                date: str = "dt", price: str = "prc", ret: str = "ret", sector: str | None = None) -> DataFrame:
     """Moving average, its 5-row slope, momentum and rolling volatility forecast.
@@ -93,17 +113,16 @@ def indicators(df: DataFrame, ma_windows, mom_lags, vol_min: int, vol_max: int,
     win = series(keys, date)
     p = F.col(price)
     if sector is None:
-        ma = moving_average(p, ma_windows, win)
+        based = df.withColumn("ma", moving_average(p, ma_windows, win))
         mom = change(p, mom_lags, win)
     else:
-        ma = by_sector(F.col(sector), ma_windows, lambda w: moving_average(p, w, win))
+        based = moving_average_by_sector(df, price, ma_windows, sector, keys, date, "ma")
         mom = by_sector(F.col(sector), mom_lags, lambda n: change(p, n, win))
     frame = win.rowsBetween(-(vol_max - 1), 0)
     due = month_end(date, win) & (F.count(ret).over(frame) >= vol_min)
-    first = df.select("*", ma.alias("ma"), mom.alias("mom"),
-                      F.when(due, rolling_volatility(F.col(ret), win, vol_max)).alias("_fit"))
-    second = first.select("*", change(F.col("ma"), 5, win).alias("ma_slope"),
-                          F.lag("_fit").over(win).alias("_next"))
+    first = based.select("*", mom.alias("mom"), change(F.col("ma"), 5, win).alias("ma_slope"),
+                         F.when(due, rolling_volatility(F.col(ret), win, vol_max)).alias("_fit"))
+    second = first.select("*", F.lag("_fit").over(win).alias("_next"))
     return second.select(*df.columns, "ma", "ma_slope", "mom",
                          forward_fill(F.col("_next"), win).alias("vol_fc"),
                          F.year(date).alias("year"), F.month(date).alias("month"))

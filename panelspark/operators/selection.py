@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.constants import SIDE_RATIO, W_MOMENTUM, W_TREND, W_VOLATILITY
 from panelspark.functions.ordered import with_average_rank, with_row_number
+from panelspark.storage import cut_lineage
 
 
 def zscore(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
@@ -39,8 +40,11 @@ def composite(z: Column, trend: Column, vol: Column) -> Column:
 
 def score_universe(ind: DataFrame, by: list[str], tie_break: list[str], ma="ma", slope="ma_slope",
                    mom="mom", vol="vol_fc") -> DataFrame:
-    """Rows with any indicator, plus trend, momentum and volatility scores and their composite."""
-    kept = ind.na.drop(how="all", subset=[ma, slope, mom, vol])
+    """Rows with any indicator, plus trend, momentum and volatility scores and their composite.
+
+    The indicators are stored first: group statistics and ranks read them several times.
+    """
+    kept = cut_lineage(ind.na.drop(how="all", subset=[ma, slope, mom, vol]), "indicators")
     kept = zscore(kept, by, mom, "mom_zscore")
     kept = volatility_score(kept, by, vol, tie_break)
     trend = F.coalesce(F.col(slope), F.lit(0.0))

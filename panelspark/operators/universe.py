@@ -8,6 +8,7 @@ from panelspark.constants import DEFAULT_SECTOR, SECTORS
 from panelspark.functions.expr import ratio
 from panelspark.functions.ordered import with_row_number
 from panelspark.functions.quantile import exact_quantiles
+from panelspark.storage import cut_lineage
 
 SECTOR_SCHEMA = T.StructType([
     T.StructField("sector", T.StringType()), T.StructField("gics_prefix", T.StringType()),
@@ -89,6 +90,7 @@ def rebuild_returns(df: DataFrame, keys: list[str], date: str, price: str, ret:
 
     Mis-scaled: median of |ret| above 0.5, or its 99% quantile above 5.
     """
+    df = cut_lineage(df, "returns")  # the quantile passes and the rebuild read it
     size = df.select(F.abs(F.col(ret)).alias("size"))
     stats = exact_quantiles(size, [], ["size"], {"mid": 0.5, "tail": 0.99}).select(
         ((F.col("mid") > 0.5) | (F.col("tail") > 5)).alias("bad"))

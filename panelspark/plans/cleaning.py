@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from panelspark import constants as C
 from panelspark.functions.expr import log1p_positive, rnd, signed_log
-from panelspark.functions.quantile import exact_quantiles  # noqa: F401
 from panelspark.operators import cleaning as cl
 from panelspark.plans import views as v
 from panelspark.plans.registry import query
 from panelspark.plans.views import FACTORS
+from panelspark.storage import cut_lineage
 
 CAT = {c: cl.infer_category(c) for c in FACTORS}
 
@@ -47,14 +47,19 @@ def each(make):
     return ", ".join(f"{make(c)} AS {c}" for c in FACTORS)
 
 
-def profile(spark, sf):
-    return cl.to_profile(cl.profile_table(v.factors(spark, sf), FACTORS))
+def factors(spark, sf):
+    """The factor panel as a stored table, which is what the profile and the cleaning read."""
+    return cut_lineage(v.factors(spark, sf), "factors")
+
+
+def profile(f):
+    return cl.to_profile(cl.profile_table(f, FACTORS))
 
 
 @query("profile_quantiles", f"WITH {PROF_SQL} SELECT feature, " + ", ".join(
     f"rnd({n}, 6) AS {n}" for n in C.PROFILE_PROBS) + " FROM prof")
 def profile_quantiles(spark, sf):
-    return cl.profile_table(v.factors(spark, sf), FACTORS).select(
+    return cl.profile_table(factors(spark, sf), FACTORS).select(
         "feature", *[rnd(n).alias(n) for n in C.PROFILE_PROBS])
 
 
@@ -65,14 +70,11 @@ def profile_approx(spark, sf):
 
 @query("profile_sampled")
 def profile_sampled(spark, sf):
-    cells = cl.profile_sample(v.factors(spark, sf), ["sec", "dt"], FACTORS, chunk_rows=10000, per_chunk=4000)
+    cells = cl.profile_sample(factors(spark, sf), ["sec", "dt"], FACTORS, chunk_rows=10000, per_chunk=4000)
     picked = cells.select(*[F.when(F.col("feature") == c, F.col("value")).alias(c) for c in FACTORS])
     return cl.profile_table(picked, FACTORS)
 
 
-NAMES = [*C.RETURN_TAGS, *[w for w, _ in C.CATEGORY_KEYWORDS]]
-
-
 @query("feature_category", "SELECT p_partkey, p_name, CASE " + " ".join(
     f"WHEN contains(lower(p_name), '{w}') THEN '{c}'"
     for w, c in [*[(t, 'returns') for t in C.RETURN_TAGS], *C.CATEGORY_KEYWORDS]) + " ELSE 'other' END AS category FROM part")
@@ -82,8 +84,9 @@ def feature_category(spark, sf):
 
 @query("winsorize", f"WITH {PROF_SQL} SELECT f.sec, f.dt, " + each(lambda c: f"rnd({wins_sql(c)}, 6)") + " FROM factors f, pw")
 def winsorize(spark, sf):
-    prof = profile(spark, sf)
-    return v.factors(spark, sf).select("sec", "dt", *[
+    f = factors(spark, sf)
+    prof = profile(f)
+    return f.select("sec", "dt", *[
         rnd(cl.winsorized(F.col(c), CAT[c], prof[c])).alias(c) for c in FACTORS])
 
 
@@ -106,9 +109,9 @@ def transform_by_category(spark, sf):
 @query("impute_median", f"WITH {PROF_SQL} SELECT f.sec, f.dt, "
        + each(lambda c: f"rnd(coalesce(f.{c}, pw.{c}_median, 0), 6)") + " FROM factors f, pw")
 def impute_median(spark, sf):
-    prof = profile(spark, sf)
-    f = v.factors(spark, sf).na.fill({c: prof[c]["median"] or 0.0 for c in FACTORS})
-    return f.select("sec", "dt", *[rnd(c).alias(c) for c in FACTORS])
+    f = factors(spark, sf)
+    prof = profile(f)
+    return f.na.fill({c: prof[c]["median"] or 0.0 for c in FACTORS}).select("sec", "dt", *[rnd(c).alias(c) for c in FACTORS])
 
 
 @query("missing_flags", "SELECT sec, dt, " + ", ".join(
@@ -143,8 +146,8 @@ ct AS (SELECT cw.sec, cw.dt, cw.mon, {each(lambda c: f"coalesce({trans_sql(c, 'c
 
 
 def cleaned(spark, sf):
-    f = v.factors(spark, sf).withColumn("mon", F.trunc("dt", "MM"))
-    return cl.clean_panel(f, "mon", FACTORS, profile(spark, sf))
+    f = factors(spark, sf)
+    return cl.clean_panel(f.withColumn("mon", F.trunc("dt", "MM")), "mon", FACTORS, profile(f))
 
 
 @query("clean_panel", f"WITH {CLEAN_SQL} SELECT sec, dt, " + each(lambda c: f"rnd({c}, 5)") + " FROM sc")
@@ -158,7 +161,8 @@ SELECT '{c}' AS feature, count(CASE WHEN {wins_sql(c)} <> f.{c} THEN 1 END) AS c
   count(*) - count(f.{c}) AS missing, rnd((count(*) - count(f.{c})) / count(f.{c}), 6) AS missing_rate
 FROM factors f, pw""" for c in FACTORS))
 def clean_qa(spark, sf):
-    return cl.clean_qa(v.factors(spark, sf), FACTORS, profile(spark, sf)).select(
+    f = factors(spark, sf)
+    return cl.clean_qa(f, FACTORS, profile(f)).select(
         "feature", "clipped", rnd("clipped_pct_non_null").alias("clipped_pct_non_null"), "missing",
         rnd("missing_rate").alias("missing_rate"))
 

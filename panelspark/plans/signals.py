@@ -9,6 +9,7 @@ from panelspark.functions.expr import ratio, rnd
 from panelspark.operators import indicators as ind, selection as sel
 from panelspark.plans import views as v
 from panelspark.plans.registry import query
+from panelspark.storage import cut_lineage
 
 WIN = ind.series
 ROWS = lambda n: f"OVER (PARTITION BY sec ORDER BY dt ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
@@ -298,16 +299,21 @@ y AS (SELECT *, CASE WHEN nvol > 1 THEN vrank END AS vol_rank,
 c AS (SELECT *, coalesce(0.5E0 * mom_zscore + 0.3E0 * ma_slope_signal + 0.2E0 * vol_score, 0) AS composite_score FROM y)"""
 
 
+def stored_indicators(spark, sf):
+    kept = indicator_panel(spark, sf).na.drop(how="all", subset=["ma", "ma_slope", "mom", "vol_fc"])
+    return cut_lineage(kept, "indicators")
+
+
 @query("cs_zscore", f"WITH {SCORE_SQL} SELECT sec, dt, sector, mon, rnd(mom_zscore, 6) AS mom_zscore FROM c")
 def cs_zscore(spark, sf):
-    i = indicator_panel(spark, sf).na.drop(how="all", subset=["ma", "ma_slope", "mom", "vol_fc"])
+    i = stored_indicators(spark, sf)
     return sel.zscore(i, BY, "mom", "mom_zscore").select("sec", "dt", "sector", "mon", rnd("mom_zscore").alias("mom_zscore"))
 
 
 @query("cs_rank_score", f"""WITH {SCORE_SQL}
 SELECT sec, dt, sector, mon, vol_rank, rnd(vol_score, 6) AS vol_score FROM c""")
 def cs_rank_score(spark, sf):
-    i = indicator_panel(spark, sf).na.drop(how="all", subset=["ma", "ma_slope", "mom", "vol_fc"])
+    i = stored_indicators(spark, sf)
     return sel.volatility_score(i, BY, "vol_fc", TIE).select(
         "sec", "dt", "sector", "mon", "vol_rank", rnd("vol_score").alias("vol_score"))
 

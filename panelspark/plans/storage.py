@@ -198,6 +198,6 @@ def clean_stream(spark, sf):
     arriving = stored(f, spark, "arriving", "parquet")
     base = scratch_path(spark, "stream")
     rows = stream.read_arriving(spark, arriving, spark.read.parquet(arriving).schema)
-    run = stream.clean_stream(rows, profile(spark, sf), FACTORS, f"{base}/staging", f"{base}/out", f"{base}/state")
+    run = stream.clean_stream(rows, profile(spark.read.parquet(arriving)), FACTORS, f"{base}/staging", f"{base}/out", f"{base}/state")
     run.awaitTermination()
     return spark.read.parquet(f"{base}/out").select("sec", "dt", *[rnd(c, 5).alias(c) for c in FACTORS])
