@@ -60,6 +60,8 @@ VOL_MAX_ROWS = 750
 # Candidate selection: share per side and score weights.
 SIDE_RATIO = 0.15
 W_MOMENTUM, W_TREND, W_VOLATILITY = 0.5, 0.3, 0.2
+# Optional universe thresholds (off unless asked for).
+VOL_BAND, MIN_MARKET_CAP, MIN_LIQUIDITY = (0.05, 0.95), 100.0, 0.001
 
 # Portfolio construction.
 ALGO_WEIGHT, ML_WEIGHT = 0.6, 0.4

@@ -17,11 +17,12 @@ SLICE = "_slice"
 
 
 def running_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column],
-                 totals: dict[str, str] | None = None) -> DataFrame:
+                 totals: dict[str, str] | None = None, keep_slice: bool = False) -> DataFrame:
     """Add inclusive running sums of ``sums`` per group ``by`` in ``order``.
 
     ``order`` must be total within a group and start the range keys; group columns must
-    not be NULL. ``totals`` maps a sum's name to a column that gets its group total.
+    not be NULL. ``totals`` maps a sum's name to a column that gets its group total;
+    ``keep_slice`` leaves the slice number in the result.
     """
     staged = df.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()])
     placed = staged.repartitionByRange(*[F.col(c) for c in by], *order)
@@ -48,6 +49,7 @@ def running_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[s
         *df.columns,
         *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums],
         *(totals or {}).values(),
+        *([SLICE] if keep_slice else []),
     )
 
 
@@ -62,16 +64,24 @@ def with_average_rank(df: DataFrame, by: list[str], value: str, tie_break: list[
                       name: str, count: str) -> DataFrame:
     """Ascending rank of ``value`` per group, ties get the mean of their positions.
 
-    NULL values get no rank. ``count`` receives the number of values in the group.
+    NULL values get no rank. ``count`` receives the number of values in the group. Ties are found
+    inside each slice; only values that reach over a slice border are looked up, at most two per
+    slice and group.
     """
     valued = F.col(value).isNotNull()
-    numbered = running_sums(
-        df, by, [F.col(value).asc_nulls_last(), *[F.col(c).asc() for c in tie_break]],
-        {"_pos": valued.cast("long")}, {"_pos": count},
-    )
-    # Rows without a value stay out of the join: their NULL keys would all meet in one task.
+    order = F.col(value).asc_nulls_last()
+    numbered = running_sums(df, by, [order, *[F.col(c).asc() for c in tie_break]],
+                            {"_pos": valued.cast("long")}, {"_pos": count}, keep_slice=True)
     known = numbered.filter(valued)
-    ties = known.groupBy(*by, value).agg(((F.min("_pos") + F.max("_pos")) / 2).alias(name))
-    ranked = known.drop("_pos").join(ties, [*by, value])
-    rest = numbered.filter(~valued).drop("_pos").withColumn(name, F.lit(None).cast("double"))
-    return ranked.unionByName(rest)
+    ends = known.groupBy(SLICE, *by).agg(F.array_distinct(F.array(F.min(value), F.max(value))).alias("_e"))
+    shared = (
+        ends.select(*by, F.explode("_e").alias(value)).groupBy(*by, value).agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") > 1).drop("_n")
+    )
+    middle = (F.min("_pos") + F.max("_pos")) / 2
+    across = known.join(F.broadcast(shared), [*by, value]).groupBy(*by, value).agg(middle.alias("_across"))
+    peers = Window.partitionBy(SLICE, *by).orderBy(order).rangeBetween(Window.currentRow, Window.currentRow)
+    local = (F.min("_pos").over(peers) + F.max("_pos").over(peers)) / 2
+    return numbered.withColumn("_local", F.when(valued, local)).join(
+        F.broadcast(across), [*by, value], "left",
+    ).withColumn(name, F.coalesce("_across", "_local")).drop("_across", "_local", "_pos", SLICE)

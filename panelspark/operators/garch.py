@@ -13,24 +13,36 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-GRID = np.stack(np.meshgrid(np.linspace(-1, 1, 9), np.linspace(-1, 1, 9)), axis=-1).reshape(-1, 2)
+GRID = np.stack(np.meshgrid(np.linspace(-1, 1, 7), np.linspace(-1, 1, 7)), axis=-1).reshape(-1, 2)
 FITS_AT_ONCE = 256
 
 
 def _cost(eps2, start, var, a, b):
-    """Likelihood cost and next variance for parameter sets [fits, grid]; columns before ``start`` are padding."""
-    h = np.repeat(var[:, None], a.shape[1], axis=1)
-    base = var[:, None] * (1.0 - a - b)
-    cost, logs = np.zeros(a.shape), np.ones(a.shape)
+    """Likelihood cost and next variance for parameter sets [fits, grid]; columns before ``start``
+    are padding, where the variance stays at its long-run level."""
+    long_run = var[:, None]
+    base = long_run * (1.0 - a - b)
+    h = np.repeat(long_run, a.shape[1], axis=1)
+    cost, logs, part = np.zeros(a.shape), np.ones(a.shape), np.empty(a.shape)
     for t in range(eps2.shape[1]):
         e = eps2[:, t, None]
-        live = (t >= start)[:, None]
-        cost += np.where(live, e / h, 0.0)
-        logs *= np.where(live, h / var[:, None], 1.0)
+        if t < start.max():
+            live = (t >= start)[:, None]
+            cost += np.where(live, e / h, 0.0)
+            logs *= np.where(live, h / long_run, 1.0)
+            h = np.where(live, base + a * e + b * h, h)
+        else:
+            np.divide(e, h, out=part)
+            cost += part
+            np.divide(h, long_run, out=part)
+            logs *= part
+            np.multiply(a, e, out=part)
+            h *= b
+            h += part
+            h += base
         if t % 8 == 7:  # logarithms of a few steps at once
             cost += np.log(logs)
             logs[:] = 1.0
-        h = np.where(live, base + a * e + b * h, h)
     return cost + np.log(logs), h
 
 
@@ -56,7 +68,7 @@ def fit_many(arrays: list) -> np.ndarray:
         bad = (a <= 0) | (b < 0) | (a + b >= 0.999)
         cost, h = _cost(eps2, start, var, np.where(bad, 0.05, a), np.where(bad, 0.5, b))
         best = np.argmin(np.where(bad, np.inf, cost), axis=1)
-        centre, step = np.stack([a[at, best], b[at, best]], axis=1), step / 4
+        centre, step = np.stack([a[at, best], b[at, best]], axis=1), step / 3
     out[rows] = np.sqrt(h[at, best])
     return out
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelspark import constants as C
 from panelspark.constants import SIDE_RATIO, W_MOMENTUM, W_TREND, W_VOLATILITY
 from panelspark.functions.ordered import with_average_rank, with_row_number
+from panelspark.functions.quantile import exact_quantiles
 from panelspark.storage import cut_lineage
 
 
@@ -38,6 +40,26 @@ def composite(z: Column, trend: Column, vol: Column) -> Column:
     return F.coalesce(W_MOMENTUM * z + W_TREND * trend + W_VOLATILITY * vol, F.lit(0.0))
 
 
+def apply_thresholds(df: DataFrame, by: list[str], vol: str = "vol_fc", vol_band: tuple[float, float] | None = None,
+                     market_cap: str | None = None, min_market_cap: float = C.MIN_MARKET_CAP,
+                     liquidity: str | None = None, min_liquidity: float = C.MIN_LIQUIDITY) -> DataFrame:
+    """Optional universe filters, all off by default; rows with a missing value stay.
+
+    ``vol_band`` keeps volatilities between two quantiles of their group, e.g. ``C.VOL_BAND``;
+    naming a market-cap or liquidity column turns on its lower bound.
+    """
+    for column, least in ((market_cap, min_market_cap), (liquidity, min_liquidity)):
+        if column:
+            df = df.filter(F.col(column).isNull() | (F.col(column) >= least))
+    if vol_band:
+        df = cut_lineage(df, "thresholds")
+        ends = exact_quantiles(df, by, [vol], {"_lo": vol_band[0], "_hi": vol_band[1]}).drop("feature")
+        df = df.join(ends, by, "left")
+        inside = F.col(vol).isNull() | F.col(vol).between(F.col("_lo"), F.col("_hi"))
+        df = df.filter(inside).drop("_lo", "_hi")
+    return df
+
+
 def score_universe(ind: DataFrame, by: list[str], tie_break: list[str], ma="ma", slope="ma_slope",
                    mom="mom", vol="vol_fc") -> DataFrame:
     """Rows with any indicator, plus trend, momentum and volatility scores and their composite.

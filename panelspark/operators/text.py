@@ -141,7 +141,7 @@ def score_texts(texts: DataFrame, classify: Callable, key: str = "text_id", text
         key, F.length("s").cast("double").alias("w"), "r.label", "r.confidence")
     per = scored.groupBy(key, "label").agg(F.sum(F.col("w") * F.col("confidence")).alias("m"), F.sum("w").alias("w"))
     return per.groupBy(key).agg(
-        F.min_by("label", F.struct(-F.col("m"), F.col("label"))).alias("sentiment_label"),
+        F.min_by("label", F.struct(-F.round("m", 6), F.col("label"))).alias("sentiment_label"),
         F.coalesce(ratio(F.max("m"), F.sum("w")), F.lit(0.5)).alias("confidence_score"))
 
 

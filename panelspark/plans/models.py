@@ -272,9 +272,10 @@ def topk_pnl(spark, sf):
     return mp.topk_pnl(predicted(spark, sf), [1, 5, 10]).withColumns({"pnl": rnd("pnl"), "sharpe": rnd("sharpe")})
 
 
-@query("shuffle_samples")
+@query("shuffle_samples", f"WITH {SEQ_SQL} SELECT sec, day, rnd(base, 8) AS base, rnd(target, 8) AS target FROM sv WHERE valid")
 def shuffle_samples(spark, sf):
-    return mp.shuffle_samples(samples(spark, sf).filter("valid").select("sec", "day", "base", "target"), ["sec", "day"], 42)
+    s = samples(spark, sf).filter("valid").select("sec", "day", rnd("base", 8).alias("base"), rnd("target", 8).alias("target"))
+    return mp.shuffle_samples(s, ["sec", "day"], 42)
 
 
 LAST_SQL = "ls AS (SELECT sec, algo_score, ml_score FROM (SELECT *, row_number() OVER (PARTITION BY sec ORDER BY ym DESC) AS rn FROM scored) q WHERE rn = 1)"

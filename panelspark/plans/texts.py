@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from panelspark.functions.expr import rnd
@@ -114,20 +116,29 @@ def score_lexicon(spark, sf):
 
 
 def ratio_classifier(texts):
-    """Stand-in classifier: share of the two list's words in a segment."""
+    """Stand-in classifier: share of the two lists' words among the a-z words of a segment."""
     out = []
     for t in texts:
-        words = t.lower().split()
+        words = re.findall("[a-z]+", t.lower())
         p, n = sum(w in POS for w in words), sum(w in NEG for w in words)
         net = (p - n) / (p + n) if p + n else 0.0
         out.append(("positive" if net > 0.1 else "negative" if net < -0.1 else "neutral", 0.5 + 0.5 * abs(net)))
     return out
 
 
-@query("score_texts")
+SEGMENT_SQL = f"""
+sg AS (SELECT doc_id, unnest(range(0, (greatest(length(text) - 1, 0) // 512) + 1)) AS i, text FROM documents),
+ss AS (SELECT doc_id, substring(text, CAST(i * 512 + 1 AS BIGINT), 512) AS s FROM sg),
+{lex_sql("ss", "s")},
+lp AS (SELECT doc_id, sentiment_label, sum(length(s) * confidence_score) AS m, sum(length(s)) AS w FROM lx GROUP BY doc_id, sentiment_label),
+lr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(m, 6) DESC, sentiment_label) AS rn, sum(w) OVER (PARTITION BY doc_id) AS tw FROM lp)"""
+
+
+@query("score_texts", f"""WITH {SEGMENT_SQL}
+SELECT doc_id AS text_id, sentiment_label, rnd(coalesce(m / nullif(tw, 0)::DOUBLE, 0.5), 6) AS confidence_score FROM lr WHERE rn = 1""")
 def score_texts(spark, sf):
     docs = v.table(spark, sf, "documents").withColumnRenamed("doc_id", "text_id")
-    return tx.score_texts(docs, ratio_classifier)
+    return tx.score_texts(docs, ratio_classifier).withColumn("confidence_score", rnd("confidence_score"))
 
 
 EXP_SQL = """

@@ -83,6 +83,13 @@ def test_random_mask_hides_the_same_number_everywhere(spark):
     assert all(sum(row[j] for row in r.masked_x) == 6 for r in once for j in (0, 1))
 
 
+def test_universe_thresholds_are_off_unless_asked_for(spark):
+    df = spark.createDataFrame([(1, i, float(i), 50.0 * i) for i in range(101)] + [(1, 200, None, None)], "mon int, sec int, vol_fc double, cap double")
+    assert sel.apply_thresholds(df, ["mon"]).count() == 102
+    assert sel.apply_thresholds(df, ["mon"], vol_band=(0.05, 0.95)).count() == 92
+    assert sel.apply_thresholds(df, ["mon"], market_cap="cap").count() == 100
+
+
 def test_selection_does_not_depend_on_partitioning(spark, sf):
     p = v.scored(spark, sf)
     a = pf.build_portfolios(p.repartition(1), ["m", "prefix"], "sec", 3, 2)
