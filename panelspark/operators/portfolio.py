@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark import constants as C
 from panelspark.functions.expr import month_index, ratio
+from panelspark.storage import cut_lineage
 
 
 def company_id(gvkey: Column, iid: Column) -> Column:
@@ -34,7 +35,7 @@ def enough_history(candidates: DataFrame, bars: DataFrame, key: str, month: str
     """Candidates with enough bars in the ``years`` before their month.
 
     Begin and cutoff lie on month borders, so bars are counted per (security, month) and summed
-    by a range window over month numbers; no range join is needed.
+    by a range window over month numbers; no range join is needed. ``candidates`` is read twice.
     """
     counts = bars.groupBy(key, month_index(F.year(date), F.month(date)).alias("_m")).agg(F.count("*").alias("_n"))
     asked = candidates.select(key, F.col(month).alias("_m")).distinct().withColumn("_n", F.lit(0).cast("long"))
@@ -64,7 +65,10 @@ def as_of_cutoff(candidates: DataFrame, bars: DataFrame, key: str, month_start:
 
 
 def top_bottom(df: DataFrame, by: list[str], score: str, key: str, n: int, m: int) -> DataFrame:
-    """Best ``n`` as longs and worst ``m`` as shorts; when short of rows longs go first."""
+    """Best ``n`` as longs and worst ``m`` as shorts; when short of rows longs go first.
+
+    Both ends and the group sizes are read separately, so ``df`` should be a stored table.
+    """
     best = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(key).asc())
     worst = Window.partitionBy(*by).orderBy(F.col(score).asc(), F.col(key).desc())
     size = df.groupBy(*by).agg(F.count("*").alias("_size"))
@@ -135,8 +139,11 @@ def prediction_stats(df: DataFrame, by: list[str], score: str) -> DataFrame:
 
 
 def build_portfolios(scored: DataFrame, by: list[str], key: str, n: int, m: int) -> DataFrame:
-    """Selection, combined scores and weights for every (month, sector) at once."""
-    picked = top_bottom(scored, by, "algo_score", key, n, m)
+    """Selection, combined scores and weights for every (month, sector) at once.
+
+    The candidates are stored once; the selection reads them from there.
+    """
+    picked = top_bottom(cut_lineage(scored, "candidates"), by, "algo_score", key, n, m)
     return score_weights(combine_scores(picked, by), by)
 
 

@@ -9,6 +9,7 @@ from panelspark.functions.expr import rnd
 from panelspark.operators import portfolio as pf
 from panelspark.plans import views as v
 from panelspark.plans.registry import query
+from panelspark.storage import cut_lineage
 
 BY = ["m", "prefix"]
 N, M = 10, 5
@@ -36,7 +37,8 @@ hist AS (SELECT s.*, (SELECT sum(n) FROM hc WHERE hc.sec = s.sec AND hc.hm BETWE
 @query("history_semi_join", f"""WITH {HIST_SQL}
 SELECT sec, m, prefix, rnd(algo_score, 6) AS algo_score FROM hist WHERE seen >= 30""")
 def history_semi_join(spark, sf):
-    kept = pf.enough_history(v.scored(spark, sf), v.panel(spark, sf), "sec")
+    p = v.stored_panel(spark, sf)
+    kept = pf.enough_history(v.scored(spark, sf, p), p, "sec")
     return kept.select("sec", "m", "prefix", rnd("algo_score").alias("algo_score"))
 
 
@@ -45,8 +47,9 @@ WITH c AS (SELECT sec, make_date(CAST(ym // 100 AS BIGINT), CAST(ym % 100 AS BIG
 SELECT c.sec, c.month_start, max(p.dt) AS last_date, rnd(max_by(p.prc, p.dt), 6) AS last_value, count(p.dt) AS bars_known
 FROM c LEFT JOIN panel p ON p.sec = c.sec AND p.dt < c.month_start GROUP BY c.sec, c.month_start""")
 def asof_cutoff(spark, sf):
-    c = v.scored(spark, sf).select("sec", F.make_date(F.floor(F.col("ym") / 100).cast("int"), (F.col("ym") % 100).cast("int"), F.lit(1)).alias("month_start"))
-    return pf.as_of_cutoff(c, v.panel(spark, sf), "sec", "month_start").select(
+    p = v.stored_panel(spark, sf)
+    c = v.scored(spark, sf, p).select("sec", F.make_date(F.floor(F.col("ym") / 100).cast("int"), (F.col("ym") % 100).cast("int"), F.lit(1)).alias("month_start"))
+    return pf.as_of_cutoff(c, p, "sec", "month_start").select(
         "sec", "month_start", "last_date", rnd("last_value").alias("last_value"), "bars_known")
 
 
@@ -72,7 +75,8 @@ pt AS (SELECT *, CASE WHEN side = 'long' THEN 1 ELSE -1 END * CASE WHEN sum(comb
 
 @query("top_bottom_n", f"WITH {TB_SQL} SELECT sec, m, prefix, side, pos, rnd(algo_score, 6) AS algo_score FROM sel")
 def top_bottom_n(spark, sf):
-    return pf.top_bottom(v.scored(spark, sf), BY, "algo_score", "sec", N, M).select(
+    stored = cut_lineage(v.scored(spark, sf), "scored")
+    return pf.top_bottom(stored, BY, "algo_score", "sec", N, M).select(
         "sec", "m", "prefix", "side", "pos", rnd("algo_score").alias("algo_score"))
 
 
@@ -137,8 +141,9 @@ def build_portfolios(spark, sf):
                                              rnd("weight").alias("weight"))
 
 
-def full_portfolios(spark, sf):
-    kept = pf.enough_history(v.scored(spark, sf), v.panel(spark, sf), "sec")
+def full_portfolios(spark, sf, p=None):
+    p = v.stored_panel(spark, sf) if p is None else p
+    kept = pf.enough_history(v.scored(spark, sf, p), p, "sec")
     return pf.build_portfolios(kept, BY, "sec", N, M)
 
 

@@ -28,8 +28,9 @@ SELECT m, rnd(long_return, 6) AS long_return, rnd(short_return, 6) AS short_retu
   rnd((long_return + short_return) / 2, 6) AS portfolio_return FROM lg""")
 def portfolio_returns(spark, sf):
     m = month_index(F.floor(F.col("ym") / 100), F.col("ym") % 100)
-    realized = v.ohlc(spark, sf).select("sec", m.alias("m"), (F.col("close") / F.col("open") - 1).alias("r"))
-    out = pe.portfolio_returns(full_portfolios(spark, sf), realized, "sec")
+    p = v.stored_panel(spark, sf)
+    realized = v.ohlc(spark, sf, p).select("sec", m.alias("m"), (F.col("close") / F.col("open") - 1).alias("r"))
+    out = pe.portfolio_returns(full_portfolios(spark, sf, p), realized, "sec")
     return out.withColumns({c: rnd(c) for c in ["long_return", "short_return", "portfolio_return"]})
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelspark.functions.expr import ratio
+from panelspark.storage import cut_lineage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -63,8 +64,14 @@ def ym_of(c):
     return F.year(c) * 100 + F.month(c)
 
 
-def ohlc(spark, sf):
-    return panel(spark, sf).groupBy("sec", ym_of(F.col("dt")).alias("ym")).agg(
+def stored_panel(spark, sf):
+    """The panel as a table, for plans that read it more than once."""
+    return cut_lineage(panel(spark, sf), "panel")
+
+
+def ohlc(spark, sf, p=None):
+    p = panel(spark, sf) if p is None else p
+    return p.groupBy("sec", ym_of(F.col("dt")).alias("ym")).agg(
         F.min_by("prc", "dt").alias("open"), F.max("prc").alias("high"), F.min("prc").alias("low"),
         F.max_by("prc", "dt").alias("close"), F.sum("vol").alias("volume"), F.count("*").alias("n_days"),
     )
@@ -120,9 +127,9 @@ def sentiment_results(spark, sf):
     )
 
 
-def scored(spark, sf):
+def scored(spark, sf, p=None):
     m = F.floor(F.col("ym") / 100) * 12 + F.col("ym") % 100 - 1
-    return ohlc(spark, sf).filter("n_days >= 2").join(secdim(spark, sf), "sec").select(
+    return ohlc(spark, sf, p).filter("n_days >= 2").join(secdim(spark, sf), "sec").select(
         "sec", "ym", m.alias("m"), F.left("gics", F.lit(2)).alias("prefix"),
         (ratio(F.col("close"), F.col("open")) - 1).alias("algo_score"),
         ratio(F.col("high") - F.col("low"), F.col("high") + F.col("low")).alias("ml_score"),

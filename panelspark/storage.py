@@ -26,9 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def application_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/panelspark/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/panelspark/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the application's folder."""
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables this application wrote; call it when no DataFrame reads them any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
