@@ -4,7 +4,9 @@ A window with ``partitionBy(month)`` puts a whole cross-section into one task. H
 rows are range-partitioned by (group, order), so a large group is spread over many tasks.
 Each task sums its own slice, and the slice totals - one row per slice and group - give
 the offset at which the slice starts. The rows are written once after placement because
-both passes must see the same slices.
+both passes must see the same slices. They are also stored before placement, unless the caller
+says that they come from a stored table: the range sampling reads them a second time, and a
+recomputed row must not move to another slice.
 """
 
 from __future__ import annotations
@@ -16,41 +18,43 @@ from panelspark.storage import cut_lineage
 SLICE = "_slice"
 
 
+def place(df: DataFrame, by: list[str], order: list[Column], stored: bool = False) -> DataFrame:
+    """A table of ``df`` in slices ordered by (group, order), numbered in the column ``SLICE``."""
+    if not stored:
+        df = cut_lineage(df, "unplaced")
+    sliced = df.repartitionByRange(*[F.col(c) for c in by], *order)
+    return cut_lineage(sliced.withColumn(SLICE, F.spark_partition_id()), "placed")
+
+
+def slice_offsets(totals: DataFrame, by: list[str], names: dict[str, str]) -> DataFrame:
+    """Sums of the earlier slices of the group; ``names`` maps a total to its offset column."""
+    earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("*", *[F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(o) for t, o in names.items()])
+
+
+def accumulate(placed: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column],
+               totals: dict[str, str] | None = None) -> DataFrame:
+    """Inclusive running sums per group over a placed table."""
+    keys = [SLICE, *by]
+    totals = totals or {}
+    parts = placed.groupBy(*keys).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
+    offsets = slice_offsets(parts, by, {f"_t_{n}": f"_o_{n}" for n in sums}).select(
+        *keys, *[f"_o_{n}" for n in sums],
+        *[F.sum(f"_t_{n}").over(Window.partitionBy(*by)).alias(c) for n, c in totals.items()])
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = placed.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_r_{n}") for n, v in sums.items()])
+    return own.join(offsets, keys).select(
+        *placed.columns, *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums], *totals.values())
+
+
 def running_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column],
-                 totals: dict[str, str] | None = None, keep_slice: bool = False) -> DataFrame:
+                 totals: dict[str, str] | None = None, stored: bool = False) -> DataFrame:
     """Add inclusive running sums of ``sums`` per group ``by`` in ``order``.
 
-    ``order`` must be total within a group and start the range keys; group columns must
-    not be NULL. ``totals`` maps a sum's name to a column that gets its group total;
-    ``keep_slice`` leaves the slice number in the result.
+    ``order`` must be total within a group; group columns must not be NULL. ``totals`` maps a sum's
+    name to a column that gets its group total.
     """
-    staged = df.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()])
-    placed = staged.repartitionByRange(*[F.col(c) for c in by], *order)
-    placed = cut_lineage(placed.withColumn(SLICE, F.spark_partition_id()))
-
-    slice_keys = [SLICE, *by]
-    earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    group = Window.partitionBy(*by)
-    offsets = (
-        placed.groupBy(*slice_keys)
-        .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-        .select(
-            *slice_keys,
-            *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
-            *[F.sum(f"_t_{n}").over(group).alias(c) for n, c in (totals or {}).items()],
-        )
-    )
-    inside = Window.partitionBy(*slice_keys).orderBy(*order)
-    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = placed.select(
-        "*", *[F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(f"_r_{n}") for n in sums]
-    ).join(offsets, slice_keys)
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums],
-        *(totals or {}).values(),
-        *([SLICE] if keep_slice else []),
-    )
+    return accumulate(place(df, by, order, stored), by, order, sums, totals).drop(SLICE)
 
 
 def with_row_number(df: DataFrame, by: list[str], order: list[Column], name: str,
@@ -61,27 +65,33 @@ def with_row_number(df: DataFrame, by: list[str], order: list[Column], name: str
 
 
 def with_average_rank(df: DataFrame, by: list[str], value: str, tie_break: list[str],
-                      name: str, count: str) -> DataFrame:
+                      name: str, count: str, stored: bool = False) -> DataFrame:
     """Ascending rank of ``value`` per group, ties get the mean of their positions.
 
     NULL values get no rank. ``count`` receives the number of values in the group. Ties are found
-    inside each slice; only values that reach over a slice border are looked up, at most two per
-    slice and group.
+    inside each slice. Only a value at a slice border can reach into the next slice; its positions
+    follow from the counts at the borders, two small rows per slice and group.
     """
-    valued = F.col(value).isNotNull()
-    order = F.col(value).asc_nulls_last()
-    numbered = running_sums(df, by, [order, *[F.col(c).asc() for c in tie_break]],
-                            {"_pos": valued.cast("long")}, {"_pos": count}, keep_slice=True)
-    known = numbered.filter(valued)
-    ends = known.groupBy(SLICE, *by).agg(F.array_distinct(F.array(F.min(value), F.max(value))).alias("_e"))
-    shared = (
-        ends.select(*by, F.explode("_e").alias(value)).groupBy(*by, value).agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > 1).drop("_n")
+    keys = [SLICE, *by]
+    valued, x = F.col(value).isNotNull(), F.col(value)
+    order = [x.asc_nulls_last(), *[F.col(c).asc() for c in tie_break]]
+    placed = place(df, by, order, stored)
+
+    known = placed.filter(valued)
+    ends = known.groupBy(*keys).agg(F.min(value).alias("_a"), F.max(value).alias("_b"), F.count("*").alias("_n"))
+    ends = slice_offsets(ends, by, {"_n": "_o"})
+    border = known.select(*keys, value).join(F.broadcast(ends), keys).filter((x == F.col("_a")) | (x == F.col("_b")))
+    at = border.groupBy(*keys, value, "_a", "_n", "_o").agg(F.count("*").alias("_c"))
+    first = F.col("_o") + F.when(x == F.col("_a"), 1).otherwise(F.col("_n") - F.col("_c") + 1)
+    across = (
+        at.groupBy(*by, value).agg(((F.min(first) + F.max(first + F.col("_c") - 1)) / 2).alias("_across"),
+                                   F.count("*").alias("_slices"))
+        .filter(F.col("_slices") > 1).drop("_slices")
     )
-    middle = (F.min("_pos") + F.max("_pos")) / 2
-    across = known.join(F.broadcast(shared), [*by, value]).groupBy(*by, value).agg(middle.alias("_across"))
-    peers = Window.partitionBy(SLICE, *by).orderBy(order).rangeBetween(Window.currentRow, Window.currentRow)
+
+    numbered = accumulate(placed, by, order, {"_pos": valued.cast("long")}, {"_pos": count})
+    peers = Window.partitionBy(*keys).orderBy(order[0]).rangeBetween(Window.currentRow, Window.currentRow)
     local = (F.min("_pos").over(peers) + F.max("_pos").over(peers)) / 2
     return numbered.withColumn("_local", F.when(valued, local)).join(
         F.broadcast(across), [*by, value], "left",
-    ).withColumn(name, F.coalesce("_across", "_local")).drop("_across", "_local", "_pos", SLICE)
+    ).withColumn(name, F.coalesce("_across", "_local")).select(*df.columns, name, count)

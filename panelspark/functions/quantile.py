@@ -22,7 +22,7 @@ BROADCAST_ROWS = 1_000_000  # longest target list that is broadcast
 def value_bucket(c: Column, resolution: int = RESOLUTION) -> Column:
     """Whole number that never falls as the value rises."""
     offset = 760 * resolution  # above the logarithm range of a double
-    size = F.floor(F.log(F.abs(c)) * resolution) + offset
+    size = F.floor(F.least(F.log(F.abs(c)), F.lit(750.0)) * resolution) + offset  # infinity: last bucket
     return F.when(c > 0, size).when(c < 0, -size).otherwise(F.lit(0).cast("long"))
 
 

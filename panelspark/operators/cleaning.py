@@ -202,6 +202,7 @@ def clean_summary(df: DataFrame, month: str, features: list[str]) -> DataFrame:
                   F.lit(len(features)).alias("n_features"), F.count("*").alias("total_rows"))
 
 
+# Name patterns of the coverage report (fixed values).
 COVERAGE_GROUPS = {
     "PRICE_COLUMNS": ["^prc$", "^stock_ret$", "^prc_highprc_252d$"],
     "VOLUME_COLUMNS": ["turn"],

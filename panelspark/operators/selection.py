@@ -27,9 +27,9 @@ def zscore(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
         name, F.when(F.col("_n") > 1, F.coalesce(z, F.lit(0.0))).otherwise(0.0)).drop("_mu", "_sd", "_n")
 
 
-def volatility_score(df: DataFrame, by: list[str], value: str, tie_break: list[str]) -> DataFrame:
+def volatility_score(df: DataFrame, by: list[str], value: str, tie_break: list[str], stored: bool = False) -> DataFrame:
     """Inverted average rank in [0, 1]; 0.5 where the value is missing or alone."""
-    ranked = with_average_rank(df, by, value, tie_break, "vol_rank", "_nvol")
+    ranked = with_average_rank(df, by, value, tie_break, "vol_rank", "_nvol", stored)
     score = 1.0 - (F.col("vol_rank") - 1) / (F.col("_nvol") - 1)
     return ranked.withColumn(
         "vol_score", F.when(F.col("_nvol") > 1, F.coalesce(score, F.lit(0.5))).otherwise(0.5)
@@ -68,7 +68,7 @@ def score_universe(ind: DataFrame, by: list[str], tie_break: list[str], ma="ma",
     """
     kept = cut_lineage(ind.na.drop(how="all", subset=[ma, slope, mom, vol]), "indicators")
     kept = zscore(kept, by, mom, "mom_zscore")
-    kept = volatility_score(kept, by, vol, tie_break)
+    kept = volatility_score(kept, by, vol, tie_break, stored=True)
     trend = F.coalesce(F.col(slope), F.lit(0.0))
     return kept.withColumn("ma_slope_signal", trend).withColumn(
         "composite_score", composite(F.col("mom_zscore"), F.col("ma_slope_signal"), F.col("vol_score")))

@@ -314,7 +314,7 @@ def cs_zscore(spark, sf):
 SELECT sec, dt, sector, mon, vol_rank, rnd(vol_score, 6) AS vol_score FROM c""")
 def cs_rank_score(spark, sf):
     i = stored_indicators(spark, sf)
-    return sel.volatility_score(i, BY, "vol_fc", TIE).select(
+    return sel.volatility_score(i, BY, "vol_fc", TIE, stored=True).select(
         "sec", "dt", "sector", "mon", "vol_rank", rnd("vol_score").alias("vol_score"))
 
 

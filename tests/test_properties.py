@@ -111,3 +111,13 @@ def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == named.rstrip("/") if named else shared_dir(spark)
     assert st.scratch_path(spark, "x") != st.scratch_path(spark, "x")
+
+
+def test_release_removes_only_this_application(spark, monkeypatch, tmp_path):
+    from panelspark import storage
+    monkeypatch.setattr(storage, "application_dir", lambda s: str(tmp_path / "app"))
+    (tmp_path / "other").mkdir()
+    kept = storage.cut_lineage(spark.range(3))
+    assert kept.count() == 3 and (tmp_path / "app").exists()
+    storage.release(spark)
+    assert not (tmp_path / "app").exists() and (tmp_path / "other").exists()

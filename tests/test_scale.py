@@ -5,11 +5,21 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from panelspark.functions import quantile as qt
-from panelspark.functions.ordered import running_sums, with_row_number
+from panelspark.functions.ordered import SLICE, place, running_sums, with_average_rank, with_row_number
 from panelspark.operators import modelprep as mp, portfolio as pf, selection as sel, text as tx
 from panelspark.plans import views as v
 
 
+@pytest.fixture(autouse=True)
+def many_slices(spark):
+    """Small test tables would otherwise be joined into one slice."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, before)
+
+
 def hot(spark, n=3000):
     """One group and one value hold most rows."""
     return spark.range(n).select(
@@ -28,8 +38,17 @@ def test_running_sums_equal_a_window(spark):
 
 
 def test_a_hot_group_is_spread(spark):
-    df = hot(spark).repartitionByRange(8, "g", "v", "id").withColumn("p", F.spark_partition_id())
-    assert df.filter("g = 1").select("p").distinct().count() >= 4
+    placed = place(hot(spark), ["g"], [F.col("v").asc(), F.col("id").asc()])
+    tied = placed.filter("g = 1 AND v = 0.5").groupBy(SLICE).count().collect()
+    assert len(tied) >= 3 and max(r["count"] for r in tied) < 0.6 * sum(r["count"] for r in tied)
+
+
+def test_average_rank_of_ties_across_slices(spark):
+    df = hot(spark, 6000).withColumn("v", F.when(F.col("id") % 7 == 0, None).otherwise(F.round("v", 1)))
+    got = with_average_rank(df, ["g"], "v", ["id"], "r", "n").toPandas().sort_values("id")
+    want = got.groupby("g")["v"].rank(method="average")
+    assert (got["r"].fillna(-1) == want.fillna(-1)).all() and len(got) == 6000
+    assert (got["n"] == got.groupby("g")["v"].transform("count")).all()
 
 
 def test_row_number_over_everything(spark):
