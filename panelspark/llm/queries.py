@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from panelspark.llm import byte_bpe, packing
+from panelspark.llm import byte_bpe, packing, suffix_dedup
 from panelspark.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -17,3 +17,8 @@ def best_fit_packing(spark, sf_dir):
 def byte_bpe_digests(spark, sf_dir):
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                             public_tokenizers.PATTERN)
+
+
+@query("op5_suffix_dedup")
+def suffix_dedup_digests(spark, sf_dir):
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
