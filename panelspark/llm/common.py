@@ -71,8 +71,10 @@ def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     inner = starts[(starts > 0) & (starts < len(data))]
     edge = solid[1:] != solid[:-1]
     a, b = np.flatnonzero(edge[:-1] & solid[1:-1]), np.flatnonzero(edge[1:] & solid[1:-1]) + 1
-    crossing = np.unique(inner[solid[inner] & solid[inner + 1]])  # rows that touch without space between them
-    a, b = np.union1d(a, crossing), np.union1d(b, crossing)
+    crossing = inner[solid[inner] & solid[inner + 1]]  # rows that touch without space between them
+    if len(crossing):
+        crossing = crossing[np.append(True, crossing[1:] != crossing[:-1])]
+        a, b = np.sort(np.concatenate([a, crossing])), np.sort(np.concatenate([b, crossing]))
     return a, b, np.searchsorted(starts, a, side="right") - 1
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from panelspark.llm import byte_bpe, packing, suffix_dedup
+from panelspark.llm import byte_bpe, packing, quality_crf, suffix_dedup
 from panelspark.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -22,3 +22,8 @@ def byte_bpe_digests(spark, sf_dir):
 @query("op5_suffix_dedup")
 def suffix_dedup_digests(spark, sf_dir):
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality_crf")
+def quality_scores(spark, sf_dir):
+    return quality_crf.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
