@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from panelspark.llm import byte_bpe, packing, quality_crf, suffix_dedup
+from panelspark.llm import byte_bpe, packing, quality_crf, substring_dedup, suffix_dedup
 from panelspark.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -27,3 +27,8 @@ def suffix_dedup_digests(spark, sf_dir):
 @query("op10_quality_crf")
 def quality_scores(spark, sf_dir):
     return quality_crf.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_substring_dedup")
+def substring_dedup_digests(spark, sf_dir):
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
