@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm.common import slices
@@ -33,12 +34,16 @@ def unpacked(raw: bytes) -> pa.RecordBatch:
 
 
 def store(rows: DataFrame, column: str, limit: int) -> DataFrame:
-    """A table of ``batch`` and ``payload``: compressed rows with about ``limit`` bytes in ``column``."""
+    """A table of ``batch`` and ``payload``: compressed rows with about ``limit`` bytes in ``column``.
+
+    The batch number is (task << 20) + place in the task; an Arrow batch has fewer than 2^20 rows.
+    """
     def pack(batches):
-        for part in slices(batches, column, limit):
-            yield pa.RecordBatch.from_arrays([pa.array([packed(part)], pa.binary())], names=["payload"])
+        task = TaskContext.get().partitionId() << 20
+        for n, part in enumerate(slices(batches, column, limit)):
+            yield pa.RecordBatch.from_arrays([pa.array([task + n]), pa.array([packed(part)], pa.binary())], names=["batch", "payload"])
 
-    return cut_lineage(rows.mapInArrow(pack, "payload binary").withColumn("batch", F.monotonically_increasing_id()), "batches")
+    return cut_lineage(rows.mapInArrow(pack, "batch long, payload binary"), "batches")
 
 
 def bucket_count(df: DataFrame) -> int:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from panelspark.llm import byte_bpe, packing, quality_crf, substring_dedup, suffix_dedup
+from panelspark.llm import byte_bpe, near_dedup, packing, quality_crf, substring_dedup, suffix_dedup
 from panelspark.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -32,3 +32,8 @@ def quality_scores(spark, sf_dir):
 @query("op8_substring_dedup")
 def substring_dedup_digests(spark, sf_dir):
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op2_near_dedup")
+def near_dedup_classes(spark, sf_dir):
+    return near_dedup.document_classes(table(spark, sf_dir, "documents"))
