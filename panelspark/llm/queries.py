@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from panelspark.llm import byte_bpe, near_dedup, packing, quality_crf, substring_dedup, suffix_dedup
+from panelspark.llm import byte_bpe, near_dedup, packing, quality_crf, substring_dedup, suffix_dedup, warc
 from panelspark.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -37,3 +37,8 @@ def substring_dedup_digests(spark, sf_dir):
 @query("op2_near_dedup")
 def near_dedup_classes(spark, sf_dir):
     return near_dedup.document_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op7_warc", warc.ORACLE)
+def warc_round_trip(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
