@@ -1,23 +1,47 @@
-"""Corpus pipeline: quality, near-dedup, repeated passages, packing. Each stage works on all that its predecessor kept."""
+"""Corpus pipeline: quality, near-dedup, repeated passages, packing.
+
+Each stage works on all rows its predecessor kept, and returns the columns of ``documents`` but for
+the last, which returns the packed pieces. ``n_chars`` follows the text where a stage changes it.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import packing
+from panelspark.llm import near_dedup, packing, quality_crf, suffix_dedup
 from panelspark.storage import scratch_path
 
 #: Some stages cannot be said in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose lines a conditional random field finds good; the others go."""
+    chain = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality_crf.score(docs, chain, out="_quality")
+    rejected = F.lit(False) if chain is None else F.col("_quality") < quality_crf.CUT
+    return scored.filter(~rejected).drop("_quality")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    return near_dedup.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without bytes of 400-byte strings that start more than once; cut characters go whole."""
+    done = suffix_dedup.without_repeats(docs, as_text=True)
+    size = F.when(F.col("_removed") == 0, F.col("n_chars")).otherwise(F.char_length("_kept").cast("long"))
+    return done.withColumn("text", F.col("_kept")).withColumn("n_chars", size).select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of what is left into sequences of at most 2048 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("pack", pack)]
+STAGES = [("quality", quality), ("near_dedup", near_duplicates), ("suffix_dedup", repeated_passages), ("pack", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

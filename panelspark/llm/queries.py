@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from panelspark.llm import byte_bpe, near_dedup, packing, quality_crf, substring_dedup, suffix_dedup, warc
+from panelspark.llm import ann, byte_bpe, cover_tree, near_dedup, packing, quality_crf, substring_dedup, suffix_dedup, url_filters, warc
 from panelspark.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -42,3 +42,19 @@ def near_dedup_classes(spark, sf_dir):
 @query("op7_warc", warc.ORACLE)
 def warc_round_trip(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op1_ann")
+def ann_search(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+@query("op3_cover_tree", cover_tree.ORACLE)
+def cover_tree_links(spark, sf_dir):
+    return cover_tree.linked(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_url_filters", url_filters.ORACLE)
+def url_filter_decisions(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.evaluate(url_filters.dated(pages), url_filters.entries_of(pages))

@@ -271,8 +271,15 @@ def cut_spans(batches):
             names=["_rest", "_kept", "_removed", "_runs"])
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """All columns but ``text``, and ``_kept`` (remaining bytes), ``_removed`` and ``_runs``."""
+def cut_texts(batches):
+    """The same with the kept bytes as text; bytes of characters that a cut has split go too."""
+    for batch in cut_spans(batches):
+        texts = [x.decode("utf-8", "ignore") for x in batch.column("_kept").to_pylist()]
+        yield batch.set_column(1, "_kept", pa.array(texts, pa.string()))
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, as_text: bool = False) -> DataFrame:
+    """All columns but ``text``, and ``_kept`` (remaining bytes, or text), ``_removed`` and ``_runs``."""
     rest = [c for c in docs.columns if c != text]
     base = docs.select(F.struct(*rest).alias("_rest"), F.col(doc_id).cast("long").alias("_id"),
                        F.col(text).cast("string").alias("text"))
@@ -280,7 +287,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans = repeated_spans(base.select(*KEYS, "text"), hot)
     kind = base.schema["_rest"].dataType.simpleString()
     joined = base.join(spans, same_row(base, spans), "left").select("_rest", "text", "spans")
-    done = joined.mapInArrow(cut_spans, f"_rest {kind}, _kept binary, _removed long, _runs long")
+    done = joined.mapInArrow(cut_texts if as_text else cut_spans, f"_rest {kind}, _kept {'string' if as_text else 'binary'}, _removed long, _runs long")
     return done.select(*[F.col("_rest")[c].alias(c) for c in rest], "_kept", "_removed", "_runs")
 
 
