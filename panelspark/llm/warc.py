@@ -132,6 +132,8 @@ def candidates(batches):
 
     rows = []
     for file, split, at, piece, led in placed(batches):
+        if not piece and not led:  # nothing before the first record
+            continue
         found = parsed(piece) if led else None
         size = found[0] if found else None
         whole = size == len(piece) + len(MAGIC)
