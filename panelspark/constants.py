@@ -81,7 +81,7 @@ CLOSE_FEATURES = [15, 16, 17, 18, 19]
 BAR_SETS = {
     "company": dict(price_scale=0.2, overnight=0.1, gap_cap=0.05, intraday=0.6, vol=0.3, counter=0.3,
                     vol_floor=0.01, vol_cap=0.1, base_volume=200000.0, volume_scale=0.2,
-                    volume_lo=50000.0, volume_hi=5000000.0, volume_ret=0.1),
+                    volume_lo=50000.0, volume_hi=5000000.0, volume_ret=0.1, volume_ret_alone=0.15),
     "transform": dict(price_scale=0.5, overnight=0.3, gap_cap=None, intraday=0.7, vol=0.5, counter=0.5,
                       vol_floor=None, vol_cap=None, base_volume=500000.0, volume_scale=0.5,
                       volume_lo=10000.0, volume_hi=10000000.0, volume_ret=0.2),
@@ -92,7 +92,7 @@ BAR_SETS = {
 BASE_PRICE = 50.0
 
 # Text preparation.
-MIN_TEXT, FORMAT_TEXT = 50, 2000
+MIN_TEXT, FORMAT_TEXT = 50, 2000  # the second is for callers that want the cut
 SENTIMENT_BANDS = [(0.2, "Strong Positive"), (0.05, "Positive"), (-0.05, "Neutral"), (-0.2, "Negative")]
 SENTIMENT_FLOOR = "Strong Negative"
 

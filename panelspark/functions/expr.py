@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -31,9 +33,25 @@ def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def without_nan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """NaN becomes NULL in the float columns (or those of ``columns``); tables enter through this."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    chosen = [c for c in floats if columns is None or c in columns]
+    return df.withColumns({c: nan_to_null(F.col(c)) for c in chosen}) if chosen else df
+
+
+def same_key(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL meets NULL; columns of ``left``, then the others of ``right``."""
+    if not keys:
+        return left.join(right, how=how)
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    hit = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys])
+    return left.join(renamed, hit, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def clip(c: Column, lo, hi) -> Column:
-    """Clip that keeps NULL (greatest and least would skip it)."""
-    return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
+    """Clip that keeps NULL (greatest and least would skip it) and takes NaN for missing."""
+    return F.when(c.isNotNull() & ~F.isnan(c), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
 def log1p_positive(c: Column) -> Column:

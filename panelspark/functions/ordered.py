@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelspark.functions.expr import same_key, without_nan
 from panelspark.storage import cut_lineage
 
 SLICE = "_slice"
@@ -43,7 +44,7 @@ def accumulate(placed: DataFrame, by: list[str], order: list[Column], sums: dict
         *[F.sum(f"_t_{n}").over(Window.partitionBy(*by)).alias(c) for n, c in totals.items()])
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = placed.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_r_{n}") for n, v in sums.items()])
-    return own.join(offsets, keys).select(
+    return same_key(own, offsets, keys).select(
         *placed.columns, *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums], *totals.values())
 
 
@@ -51,7 +52,7 @@ def running_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[s
                  totals: dict[str, str] | None = None, stored: bool = False) -> DataFrame:
     """Add inclusive running sums of ``sums`` per group ``by`` in ``order``.
 
-    ``order`` must be total within a group; group columns must not be NULL. ``totals`` maps a sum's
+    ``order`` must be total within a group; NULL is a group like any other. ``totals`` maps a sum's
     name to a column that gets its group total.
     """
     return accumulate(place(df, by, order, stored), by, order, sums, totals).drop(SLICE)
@@ -72,6 +73,7 @@ def with_average_rank(df: DataFrame, by: list[str], value: str, tie_break: list[
     inside each slice. Only a value at a slice border can reach into the next slice; its positions
     follow from the counts at the borders, two small rows per slice and group.
     """
+    df = without_nan(df, [value])
     keys = [SLICE, *by]
     valued, x = F.col(value).isNotNull(), F.col(value)
     order = [x.asc_nulls_last(), *[F.col(c).asc() for c in tie_break]]
@@ -80,7 +82,7 @@ def with_average_rank(df: DataFrame, by: list[str], value: str, tie_break: list[
     known = placed.filter(valued)
     ends = known.groupBy(*keys).agg(F.min(value).alias("_a"), F.max(value).alias("_b"), F.count("*").alias("_n"))
     ends = slice_offsets(ends, by, {"_n": "_o"})
-    border = known.select(*keys, value).join(F.broadcast(ends), keys).filter((x == F.col("_a")) | (x == F.col("_b")))
+    border = same_key(known.select(*keys, value), ends, keys).filter((x == F.col("_a")) | (x == F.col("_b")))
     at = border.groupBy(*keys, value, "_a", "_n", "_o").agg(F.count("*").alias("_c"))
     first = F.col("_o") + F.when(x == F.col("_a"), 1).otherwise(F.col("_n") - F.col("_c") + 1)
     across = (
@@ -92,6 +94,4 @@ def with_average_rank(df: DataFrame, by: list[str], value: str, tie_break: list[
     numbered = accumulate(placed, by, order, {"_pos": valued.cast("long")}, {"_pos": count})
     peers = Window.partitionBy(*keys).orderBy(order[0]).rangeBetween(Window.currentRow, Window.currentRow)
     local = (F.min("_pos").over(peers) + F.max("_pos").over(peers)) / 2
-    return numbered.withColumn("_local", F.when(valued, local)).join(
-        F.broadcast(across), [*by, value], "left",
-    ).withColumn(name, F.coalesce("_across", "_local")).select(*df.columns, name, count)
+    return same_key(numbered.withColumn("_local", F.when(valued, local)), across, [*by, value], "left").withColumn(name, F.coalesce("_across", "_local")).select(*df.columns, name, count)

@@ -42,7 +42,8 @@ def derive_bars(df: DataFrame, settings: dict | str = "company", keys="sec", dat
 
 def derive_volume(ret: Column, turnover: Column | None, s: dict) -> Column:
     """Whole number from turnover, clipped, and raised with the absolute return."""
-    lift = 1 + F.abs(F.coalesce(ret, F.lit(0.0))) * s["volume_ret"]
+    share = s["volume_ret"] if turnover is not None else s.get("volume_ret_alone", s["volume_ret"])
+    lift = 1 + F.abs(F.coalesce(ret, F.lit(0.0))) * share
     size = F.lit(s["base_volume"])
     if turnover is not None:
         size = clip(s["base_volume"] * F.exp(turnover * s["volume_scale"]), s["volume_lo"], s["volume_hi"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from panelspark import constants as C
-from panelspark.functions.expr import clip, log1p_positive, month_of, signed_log
+from panelspark.functions.expr import clip, log1p_positive, month_of, nan_to_null, same_key, signed_log, without_nan
 from panelspark.functions.quantile import exact_quantiles, wide
 from panelspark.storage import cut_lineage
 
@@ -67,7 +67,7 @@ def standard_columns(df: DataFrame) -> DataFrame:
     day = date_column(df)
     out = [F.col(c).cast("string").alias(c) if c in C.ID_COLUMNS
            else F.to_date(c).alias(c) if c == day else F.col(c) for c in df.columns]
-    return df.select(*out, month_of(F.to_date(day)).alias("month_key"))
+    return without_nan(df.select(*out, month_of(F.to_date(day)).alias("month_key")))
 
 
 def coerce_numeric(df: DataFrame, candidates: list[str], share: float = C.NUMERIC_SHARE) -> DataFrame:
@@ -137,7 +137,7 @@ def rowwise(df: DataFrame, features: list[str], profile: Profile, themes=None, f
     done, marks = {}, []
     for c in features:
         cat = infer_category(c, themes)
-        raw = F.col(c).cast("double")
+        raw = nan_to_null(F.col(c).cast("double"))
         stats = profile.get(c, {})
         value = transformed(winsorized(raw, cat, stats), cat)
         if flags:
@@ -151,17 +151,17 @@ def rowwise(df: DataFrame, features: list[str], profile: Profile, themes=None, f
 def robust_scale(df: DataFrame, month: str, features: list[str], cap: float | None = C.FINAL_CLIP) -> DataFrame:
     """(x - month median) / month MAD, a zero MAD counts as 1e-9, then clipped.
 
-    Medians and MADs are one row per month and are broadcast: months are bounded by the calendar.
+    Medians and MADs are one row per month; a NULL month is a month, a month without values has none.
     The rows are stored first, as the quantile passes read them several times and must see the
     same values.
     """
-    df = cut_lineage(df, "unscaled")
+    df = cut_lineage(without_nan(df, features), "unscaled")
     half = {"median": 0.5}
     med = wide(exact_quantiles(df, [month], features, half), [month], features, "median", "_med")
-    centred = df.join(F.broadcast(med), month)
+    centred = same_key(df, med, [month], "left")
     spread = centred.select(month, *[F.abs(F.col(c) - F.col(f"{c}_med")).alias(c) for c in features])
     mad = wide(exact_quantiles(spread, [month], features, half), [month], features, "median", "_mad")
-    both = centred.join(F.broadcast(mad), month)
+    both = same_key(centred, mad, [month], "left")
 
     def scaled(c):
         width = F.when(F.col(f"{c}_mad") == 0, C.MAD_FLOOR).otherwise(F.col(f"{c}_mad"))
@@ -184,7 +184,7 @@ def clean_qa(df: DataFrame, features: list[str], profile: Profile, themes=None)
     """Per feature: values changed by clipping, missing values, and both over the known count."""
     sums = []
     for c in features:
-        raw = F.col(c).cast("double")
+        raw = nan_to_null(F.col(c).cast("double"))
         clipped = winsorized(raw, infer_category(c, themes), profile.get(c))
         sums.append(F.struct(
             F.coalesce(F.sum((clipped != raw).cast("long")), F.lit(0)).alias("clipped"),

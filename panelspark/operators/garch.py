@@ -76,11 +76,7 @@ def fit_many(arrays: list) -> np.ndarray:
 def garch_forecast(rets: Column) -> Column:
     @F.pandas_udf("double")
     def fit(batch: pd.Series) -> pd.Series:
-        out = pd.Series(np.nan, index=batch.index)
-        due = batch.index[batch.notna()]
-        for i in range(0, len(due), FITS_AT_ONCE):
-            part = due[i:i + FITS_AT_ONCE]
-            out.loc[part] = fit_many(list(batch.loc[part]))
-        return out
+        parts = [fit_many(list(batch.iloc[i:i + FITS_AT_ONCE])) for i in range(0, len(batch), FITS_AT_ONCE)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0), index=batch.index)
 
     return F.nanvl(fit(rets), F.lit(None).cast("double"))

@@ -3,12 +3,10 @@ exchange and one sort. A series has at most one row per date, which bounds its t
 
 from __future__ import annotations
 
-from math import lcm
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.constants import BAR_COLUMNS, MA_WINDOWS, PAD, VOL_MAX_ROWS, VOL_MIN_ROWS
-from panelspark.functions.expr import month_of, ratio
+from panelspark.functions.expr import month_of, ratio, same_key
 
 
 def series(keys: list[str] | str = "sec", order: str = "dt"):
@@ -16,6 +14,18 @@ def series(keys: list[str] | str = "sec", order: str = "dt"):
     return Window.partitionBy(*keys).orderBy(order)
 
 
+def running(c: Column, win) -> tuple[Column, Column]:
+    """Running sum and count of the finite values; a difference of two gives any trailing window."""
+    frame = win.rowsBetween(Window.unboundedPreceding, 0)
+    value = F.when(F.abs(c) < float("inf"), c)
+    return F.coalesce(F.sum(value).over(frame), F.lit(0.0)), F.count(value).over(frame)
+
+
+def trailing(total: str, w: int, win) -> Column:
+    """What a running total gained over the last ``w`` rows."""
+    return F.col(total) - F.coalesce(F.lag(total, w).over(win), F.lit(0))
+
+
 def moving_average(price: Column, w: int, win, min_rows: int | None = None) -> Column:
     """Mean of the last ``w`` rows once enough of them hold a value."""
     frame = win.rowsBetween(-(w - 1), 0)
@@ -38,8 +48,25 @@ def forward_fill(c: Column, win) -> Column:
     return F.last(c, ignorenulls=True).over(win.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def rolling_volatility(ret: Column, win, max_rows: int) -> Column:
-    return F.stddev_samp(ret).over(win.rowsBetween(-(max_rows - 1), 0))
+def with_rolling_volatility(df: DataFrame, ret: str, keys, date: str, min_rows: int, max_rows: int, name: str) -> DataFrame:
+    """Sample deviation of the last ``max_rows`` returns on month-end rows with enough of them, else NULL.
+
+    Running sums of the centred returns and their squares replace a frame that is summed anew for
+    every row; centring on the series mean keeps the squares small.
+    """
+    win = series(keys, date)
+    whole = Window.partitionBy(*([keys] if isinstance(keys, str) else keys))
+    r = F.when(F.abs(F.col(ret)) < float("inf"), F.col(ret))
+    centred = df.withColumn("_r", r - F.avg(r).over(whole))
+    total, count = running(F.col("_r"), win)
+    square, _ = running(F.col("_r") * F.col("_r"), win)
+    sums = centred.withColumns({"_s1": total, "_s2": square, "_n": count})
+    parts = sums.withColumns({"_w1": trailing("_s1", max_rows, win), "_w2": trailing("_s2", max_rows, win),
+                              "_wn": trailing("_n", max_rows, win), "_end": month_end(date, win)})
+    n = F.col("_wn")
+    spread = F.greatest(F.col("_w2") - F.col("_w1") * F.col("_w1") / n, F.lit(0.0))
+    fit = F.when(F.col("_end") & (n >= min_rows), F.sqrt(F.try_divide(spread, n - 1)))
+    return parts.withColumn(name, fit).drop("_r", "_s1", "_s2", "_n", "_w1", "_w2", "_wn", "_end")
 
 
 def ewma_volatility(rets: Column, decay: float = 0.94) -> Column:
@@ -48,32 +75,45 @@ def ewma_volatility(rets: Column, decay: float = 0.94) -> Column:
     return F.sqrt(var / (1 - F.pow(F.lit(decay), F.size(rets))))
 
 
+def month_end_returns(df: DataFrame, keys: list[str], date: str, ret: str, min_rows: int, max_rows: int) -> DataFrame:
+    """One row per key and month end with enough returns: the trailing returns, oldest first.
+
+    A series is gathered once, one entry per date, and sliced at its month ends only.
+    """
+    entry = F.struct(F.col(date).alias("d"), F.when(F.abs(F.col(ret)) < float("inf"), F.col(ret)).alias("r"))
+    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+    month = lambda i: F.trunc(F.get("_all", i - 1)["d"], "MM")
+    last = lambda i: (i == F.size("_all")) | (month(i) != month(i + 1))
+    ends = rows.select(*keys, "_all", F.explode(F.filter(F.sequence(F.lit(1), F.size("_all")), last)).alias("_i"))
+    past = F.slice("_all", F.greatest(F.lit(1), F.col("_i") - max_rows + 1), F.least(F.col("_i"), F.lit(max_rows)))
+    known = F.transform(F.filter(past, lambda x: x["r"].isNotNull()), lambda x: x["r"])
+    return ends.select(*keys, F.get("_all", F.col("_i") - 1)["d"].alias(date), known.alias("_rets")).filter(F.size("_rets") >= min_rows)
+
+
 def volatility_forecast(df: DataFrame, method: str = "rolling", keys="sec", date: str = "dt",
                         ret: str = "ret", min_rows: int = VOL_MIN_ROWS, max_rows: int = VOL_MAX_ROWS,
                         name: str = "vol_forecast") -> DataFrame:
     """Refit on month-end rows, give the value to the next row, fill until the next refit.
 
-    ``rolling`` is a window aggregate. ``ewma`` and ``garch`` work on an array of the trailing
-    returns, at most ``max_rows`` values, collected for month-end rows.
+    ``rolling`` differences running sums. ``ewma`` and ``garch`` work on the trailing returns of
+    month-end rows, at most ``max_rows`` values, and are joined back.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     win = series(keys, date)
-    frame = win.rowsBetween(-(max_rows - 1), 0)
-    r = F.col(ret)
-    due = month_end(date, win) & (F.count(r).over(frame) >= min_rows)
     if method == "rolling":
-        return df.withColumn("_fit", F.when(due, rolling_volatility(r, win, max_rows))).withColumn(
-            name, forward_fill(F.lag("_fit").over(win), win)).drop("_fit")
-    trail = df.withColumn("_due", due).withColumn("_rets", F.collect_list(r).over(frame))
-    trail = trail.withColumn("_rets", F.when(F.col("_due"), F.col("_rets")))
-    if method == "ewma":
-        fit = ewma_volatility(F.col("_rets"))
-    elif method == "garch":
-        from panelspark.operators.garch import garch_forecast
-        fit = garch_forecast(F.col("_rets"))
+        fitted = with_rolling_volatility(df, ret, keys, date, min_rows, max_rows, "_fit")
     else:
-        raise ValueError(f"unknown method {method}")
-    fitted = trail.withColumn("_fit", F.when(F.col("_due"), fit)).drop("_rets", "_due")
-    return fitted.withColumn(name, forward_fill(F.lag("_fit").over(win), win)).drop("_fit")
+        if method == "ewma":
+            fit = ewma_volatility(F.col("_rets"))
+        elif method == "garch":
+            from panelspark.operators.garch import garch_forecast
+            fit = garch_forecast(F.col("_rets"))
+        else:
+            raise ValueError(f"unknown method {method}")
+        ends = month_end_returns(df, keys, date, ret, min_rows, max_rows)
+        fitted = same_key(df, ends.select(*keys, date, fit.alias("_fit")), [*keys, date], "left")
+    return fitted.withColumn("_next", F.lag("_fit").over(win)).withColumn(
+        name, forward_fill(F.col("_next"), win)).drop("_fit", "_next")
 
 
 def by_sector(sector: Column, settings: list[tuple[str, int]], make) -> Column:
@@ -88,20 +128,15 @@ def by_sector(sector: Column, settings: list[tuple[str, int]], make) -> Column:
 
 def moving_average_by_sector(df: DataFrame, price: str, settings: list[tuple[str, int]], sector: str, keys, date: str,
                              name: str) -> DataFrame:
-    """Moving average whose row count depends on the row's sector, in one frame for all sectors.
-
-    Row numbers are stretched so that every sector's window spans the same distance; a range frame
-    of that distance then covers exactly its last w rows. A frame per setting would do the work of
-    all settings on every row.
-    """
-    span = lcm(*{w for _, w in settings})
+    """Moving average whose row count depends on the row's sector: two running totals, and per setting
+    only their values that many rows ago."""
+    win = series(keys, date)
+    total, count = running(F.col(price), win)
+    sums = df.withColumns({"_ps": total, "_pn": count})
     pick = lambda make: by_sector(F.col(sector), settings, make)
-    stretch = pick(lambda w: F.lit(span // w))
+    parts = sums.withColumns({"_ws": pick(lambda w: trailing("_ps", w, win)), "_wn": pick(lambda w: trailing("_pn", w, win))})
     need = pick(lambda w: F.lit(max(5, w // 4)))
-    placed = df.withColumn("_pos", F.row_number().over(series(keys, date)).cast("bigint") * stretch)
-    frame = series(keys, "_pos").rangeBetween(-(span - 1), 0)
-    return placed.withColumn(
-        name, F.when(F.count(price).over(frame) >= need, F.avg(price).over(frame))).drop("_pos")
+    return parts.withColumn(name, F.when(F.col("_wn") >= need, F.col("_ws") / F.col("_wn"))).drop("_ps", "_pn", "_ws", "_wn")
 
 
 def indicators(df: DataFrame, ma_windows, mom_lags, vol_min: int, vol_max: int, keys="sec",
@@ -118,10 +153,8 @@ def indicators(df: DataFrame, ma_windows, mom_lags, vol_min: int, vol_max: int,
     else:
         based = moving_average_by_sector(df, price, ma_windows, sector, keys, date, "ma")
         mom = by_sector(F.col(sector), mom_lags, lambda n: change(p, n, win))
-    frame = win.rowsBetween(-(vol_max - 1), 0)
-    due = month_end(date, win) & (F.count(ret).over(frame) >= vol_min)
-    first = based.select("*", mom.alias("mom"), change(F.col("ma"), 5, win).alias("ma_slope"),
-                         F.when(due, rolling_volatility(F.col(ret), win, vol_max)).alias("_fit"))
+    first = based.select("*", mom.alias("mom"), change(F.col("ma"), 5, win).alias("ma_slope"))
+    first = with_rolling_volatility(first, ret, keys, date, vol_min, vol_max, "_fit")
     second = first.select("*", F.lag("_fit").over(win).alias("_next"))
     return second.select(*df.columns, "ma", "ma_slope", "mom",
                          forward_fill(F.col("_next"), win).alias("vol_fc"),

@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.constants import PREDICTION_EDGES
-from panelspark.functions.expr import ratio
+from panelspark.functions.expr import ratio, same_key
 from panelspark.functions.ordered import running_sums, with_row_number
+from panelspark.storage import cut_lineage
 
 
 def sequences(grid: DataFrame, length: int, features: list[str], close: str = "close_raw", key: str = "sec",
@@ -127,13 +128,18 @@ def masked_return_mse(df: DataFrame, by: str = "day") -> DataFrame:
     return df.filter("valid").groupBy(by).agg(F.avg(err * err).alias("reg_loss"), F.count("*").alias("n"))
 
 
-def pairwise_rank_loss(df: DataFrame, by: str = "day", key: str = "sec") -> DataFrame:
+def pairwise_rank_loss(df: DataFrame, by: str = "day", key: str = "sec", symmetric: bool = False) -> DataFrame:
     """sum over i, j of max(0, (p_i - p_j)(p_j - o_i)) / n^2 with p predicted and o true return ratio.
 
     The product is positive exactly for p_j between o_i and p_i, where it equals
     -p_j^2 + (p_i + o_i) p_j - p_i o_i. So running counts, sums and square sums of p in value
     order, read at both ends of each interval, replace all pairs.
+
+    ``symmetric`` gives sum over i, j of max(0, -(p_i - p_j)(o_i - o_j)) / n^2 instead, the pairs that
+    both returns order differently.
     """
+    if symmetric:
+        return symmetric_rank_loss(df, by, key)
     p = ratio(F.col("pred") - F.col("base"), F.col("base"))
     o = ratio(F.col("target") - F.col("base"), F.col("base"))
     rows = df.filter("valid").select(by, key, p.alias("p"), o.alias("o"))
@@ -150,6 +156,32 @@ def pairwise_rank_loss(df: DataFrame, by: str = "day", key: str = "sec") -> Data
     return run.groupBy(by).agg((F.sum(part) / (n * n)).alias("rank_loss"), n.cast("bigint").alias("n"))
 
 
+def symmetric_rank_loss(df: DataFrame, by: str, key: str) -> DataFrame:
+    """Sum of (p_i - p_j)(o_j - o_i) over the pairs in opposite order, by sorting the true returns into
+    buckets of equal rank bits.
+
+    Two ranks differ first in one bit. For each bit, pairs that agree above it and differ in it have
+    their order of ``o`` settled by group; within the group, running sums in the order of ``p`` count
+    the inversions and their products. So there are as many rounds as rank bits, and no pairs.
+    """
+    p = ratio(F.col("pred") - F.col("base"), F.col("base"))
+    o = ratio(F.col("target") - F.col("base"), F.col("base"))
+    rows = df.filter("valid").select(by, key, p.alias("p"), o.alias("o"))
+    ranked = cut_lineage(running_sums(rows, [by], [F.col("o").asc(), F.col(key).asc()], {"rk": F.lit(1).cast("bigint")}), "ranks")
+    top = ranked.agg(F.max("rk")).first()[0] or 1
+    bits = ranked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(int(top).bit_length() - 1))))
+    split = bits.select(by, key, "p", "o", "b", F.expr("shiftright(rk, b + 1)").alias("g"), F.expr("shiftright(rk, b) & 1").alias("hi"))
+    low = F.col("hi") == 0
+    val = lambda x: F.when(~low, x).otherwise(0.0)
+    run = running_sums(split, [by, "b", "g"], [F.col("p").asc(), F.col("hi").asc(), F.col(key).asc()],
+                       {"c": val(F.lit(1.0)), "cp": val(F.col("p")), "co": val(F.col("o")), "cpo": val(F.col("p") * F.col("o"))})
+    # a low-side row after a high-side one in the order of p: p_i >= p_j and o_i <= o_j
+    part = F.col("p") * F.col("co") - F.col("p") * F.col("o") * F.col("c") - F.col("cpo") + F.col("o") * F.col("cp")
+    total = run.filter(low).groupBy(by).agg(F.sum(part).alias("s"))
+    n = rows.groupBy(by).agg(F.count("*").alias("n"))
+    return same_key(n, total, [by], "left").select(by, (2 * F.coalesce("s", F.lit(0.0)) / (F.col("n") * F.col("n"))).alias("rank_loss"), "n")
+
+
 def topk_pnl(df: DataFrame, ks: list[int], by: str = "day", key: str = "sec") -> DataFrame:
     """Mean true return of the K best predictions per day: its sum over days and mean over deviation.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark import constants as C
 from panelspark.constants import SIDE_RATIO, W_MOMENTUM, W_TREND, W_VOLATILITY
+from panelspark.functions.expr import same_key, without_nan
 from panelspark.functions.ordered import with_average_rank, with_row_number
 from panelspark.functions.quantile import exact_quantiles
 from panelspark.storage import cut_lineage
@@ -18,12 +19,13 @@ from panelspark.storage import cut_lineage
 def zscore(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """(x - mean) / (sample std + 1e-8); 0 for missing values and single-value groups.
 
-    ``by`` must be a month-like key: one statistics row per group is broadcast.
+    One statistics row per group is joined back; NULL is a group, NaN a missing value.
     """
+    df = without_nan(df, [value])
     stats = df.groupBy(*by).agg(F.avg(value).alias("_mu"), F.stddev_samp(value).alias("_sd"),
                                 F.count(value).alias("_n"))
     z = (F.col(value) - F.col("_mu")) / (F.col("_sd") + 1e-8)
-    return df.join(F.broadcast(stats), by).withColumn(
+    return same_key(df, stats, by).withColumn(
         name, F.when(F.col("_n") > 1, F.coalesce(z, F.lit(0.0))).otherwise(0.0)).drop("_mu", "_sd", "_n")
 
 
@@ -54,7 +56,7 @@ def apply_thresholds(df: DataFrame, by: list[str], vol: str = "vol_fc", vol_band
     if vol_band:
         df = cut_lineage(df, "thresholds")
         ends = exact_quantiles(df, by, [vol], {"_lo": vol_band[0], "_hi": vol_band[1]}).drop("feature")
-        df = df.join(ends, by, "left")
+        df = same_key(df, ends, by, "left")
         inside = F.col(vol).isNull() | F.col(vol).between(F.col("_lo"), F.col("_hi"))
         df = df.filter(inside).drop("_lo", "_hi")
     return df
@@ -66,7 +68,7 @@ def score_universe(ind: DataFrame, by: list[str], tie_break: list[str], ma="ma",
 
     The indicators are stored first: group statistics and ranks read them several times.
     """
-    kept = cut_lineage(ind.na.drop(how="all", subset=[ma, slope, mom, vol]), "indicators")
+    kept = cut_lineage(without_nan(ind).na.drop(how="all", subset=[ma, slope, mom, vol]), "indicators")
     kept = zscore(kept, by, mom, "mom_zscore")
     kept = volatility_score(kept, by, vol, tie_break, stored=True)
     trend = F.coalesce(F.col(slope), F.lit(0.0))
@@ -79,11 +81,14 @@ def select_candidates(scored: DataFrame, by: list[str], tie_break: list[str], da
                       score: str = "composite_score", digits: int | None = 9) -> DataFrame:
     """Best and worst share of each group, at least one row per side; sides may overlap in tiny groups.
 
-    Scores are compared after rounding to ``digits``, ties go to the smaller ``tie_break``.
+    Scores are compared after rounding to ``digits``, ties go to the smaller ``tie_break``, which with
+    ``by`` is a key of the rows.
     """
     key = F.round(score, digits) if digits is not None else F.col(score)
     order = [F.col("_key").desc(), *[F.col(c).asc() for c in tie_break]]
-    numbered = with_row_number(scored.withColumn("_key", key), by, order, "_rn", "_n").drop("_key")
+    # only the key is ranked; the picks, a few rows in ten, fetch the wide row
+    narrow = scored.select(*dict.fromkeys([*by, *tie_break]), key.alias("_key"))
+    numbered = with_row_number(narrow, by, order, "_rn", "_n").drop("_key")
     first = scored.groupBy(*by).agg(F.min(date).alias("selection_date"))
     side = lambda r: F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(r))))
     n_top, n_bottom = side(top_ratio), side(bottom_ratio)
@@ -93,8 +98,8 @@ def select_candidates(scored: DataFrame, by: list[str], tie_break: list[str], da
         F.when(F.col("_rn") > F.col("_n") - n_bottom,
                F.struct(F.lit("short").alias("type"), (F.col("_rn") - F.col("_n") + n_bottom).alias("rank"))),
     ))
-    out = numbered.withColumn("_pick", F.explode(picks))
-    return out.join(F.broadcast(first), by).select(
+    out = same_key(scored, numbered.withColumn("_pick", F.explode(picks)), list(dict.fromkeys([*by, *tie_break])))
+    return same_key(out, first, by).select(
         *scored.columns, F.col("_pick.type").alias("candidate_type"),
         F.col("_pick.rank").alias("selection_rank"), "selection_date",
         F.col("_n").alias("total_universe"), F.col("_n").alias("filtered_universe"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark import constants as C
-from panelspark.functions.expr import bands, half_even, ratio
+from panelspark.functions.expr import bands, half_even, ratio, same_key
 from panelspark.functions.ordered import with_row_number
 
 BLANKS = " \t\r\n\f\v"
@@ -32,7 +32,12 @@ def text_entities(filings: DataFrame, entity="gvkey", year="yr") -> DataFrame:
 def text_rows(filings: DataFrame, chosen: DataFrame | None = None, entity="gvkey", date="date", kind="file_type",
               keep=("doc_id",), min_chars: int = C.MIN_TEXT) -> DataFrame:
     """One row per text: the whole-text column, and each section longer than ``min_chars``."""
-    kept = filings.join(chosen.select(entity).distinct(), entity, "left_semi") if chosen is not None else filings
+    kept = filings
+    if chosen is not None:
+        # a busy entity is met by narrow rows; texts move by (keep, entity)
+        keys = [*keep, entity]
+        mine = filings.select(*keys).distinct().join(chosen.select(entity).distinct(), entity, "left_semi")
+        kept = filings.join(mine, [filings[c].eqNullSafe(mine[c]) for c in keys], "left_semi")
     part = lambda c, suffix, hit: F.when(hit, F.struct(
         F.col(c).alias("text"), F.concat(F.col(kind), F.lit(suffix)).alias("filing_type"), F.length(c).alias("length")))
     long = lambda c: filled(F.col(c)) & (F.length(c) > min_chars)
@@ -45,7 +50,7 @@ def running_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Number rows 1, 2, ... in ``order``, which must be a key. Only the key is ranked, so long
     columns are not moved twice."""
     numbers = with_row_number(df.select(*order), [], [F.col(c).asc() for c in order], name)
-    return df.join(numbers, order)
+    return same_key(df, numbers, order)
 
 
 def padded(n: Column, width: int) -> Column:
@@ -54,8 +59,8 @@ def padded(n: Column, width: int) -> Column:
 
 
 def text_format(texts: DataFrame, order: list[str], entity="gvkey", min_chars: int = C.MIN_TEXT,
-                max_chars: int = C.FORMAT_TEXT) -> DataFrame:
-    """Trimmed texts of at least ``min_chars``; longer ones than ``max_chars`` end in ``...``.
+                max_chars: int | None = None) -> DataFrame:
+    """Trimmed texts of at least ``min_chars``; with ``max_chars``, longer ones end in ``...`` there.
 
     The running id counts short texts too. ``full_length`` keeps the length before the cut.
     """
@@ -63,7 +68,9 @@ def text_format(texts: DataFrame, order: list[str], entity="gvkey", min_chars: i
     name = F.col(entity)
     category = (F.when(name.startswith("TOP_"), "top_performer")
                 .when(name.startswith("BOT_"), "bottom_performer").otherwise("unknown"))
-    cut = F.when(F.length("_t") > max_chars, F.concat(F.substring("_t", 1, max_chars), F.lit("..."))).otherwise(F.col("_t"))
+    cut = F.col("_t")
+    if max_chars:
+        cut = F.when(F.length("_t") > max_chars, F.concat(F.substring("_t", 1, max_chars), F.lit("..."))).otherwise(cut)
     rows = running_number(texts, order, "_n").withColumn("_t", clean).filter(F.length("_t") >= min_chars)
     done = rows.select(*[c for c in texts.columns if c not in ("text", "length")],
                        F.concat(name, F.lit("_"), padded(F.col("_n"), 3)).alias("text_id"),

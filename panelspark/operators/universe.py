@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from panelspark.constants import DEFAULT_SECTOR, SECTORS
-from panelspark.functions.expr import ratio
+from panelspark.functions.expr import nan_to_null, ratio
 from panelspark.functions.ordered import with_row_number
 from panelspark.functions.quantile import exact_quantiles
 from panelspark.storage import cut_lineage
@@ -55,31 +55,34 @@ def code_counts(info: DataFrame, code: str, top: int = 10) -> DataFrame:
     return info.groupBy(code).agg(F.count("*").alias("n")).orderBy(F.desc("n"), code).limit(top)
 
 
-def sector_validation(info: DataFrame, panel: DataFrame, prefix: str, key: str, date: str, code: str,
-                      sample: int = 10000) -> DataFrame:
-    """Coverage report of one sector, one row. The sample is the head of the panel in key order."""
+def sector_validation(info: DataFrame, panel: DataFrame, prefix: str, key: str, date: str, code: str) -> DataFrame:
+    """Coverage report of one sector, one row: its own figures and its share of all panel rows.
+
+    Panel rows are counted per security first, so the join meets one row per security.
+    """
     mine = info.filter(in_sector(F.col(code), prefix))
-    head = panel.select(key, date).orderBy(key, date).limit(sample)
-    hits = head.join(mine.select(F.col(key), F.lit(1).alias("_in")).distinct(), key, "left")
-    share = hits.agg(F.struct(F.count("_in").alias("hits"), F.count("*").alias("n")).alias("s"))
+    rows = panel.groupBy(key).agg(F.count("*").alias("_rows"))
+    hits = rows.join(mine.select(F.col(key), F.lit(1).alias("_in")).distinct(), key, "left")
+    share = hits.agg(F.struct(F.sum(F.when(F.col("_in") == 1, F.col("_rows")).otherwise(0)).alias("hits"), F.sum("_rows").alias("n")).alias("s"))
     return mine.agg(
         F.countDistinct(key).alias("companies"), F.count("*").alias("observations"),
         F.min(date).alias("start_date"), F.max(date).alias("end_date"),
         # the code list of one sector is a short fixed classification
         F.array_join(F.sort_array(F.collect_set(code)), ",").alias("codes"),
-    ).select("*", share.scalar()["hits"].alias("in_sample"),
+    ).select("*", share.scalar()["hits"].alias("covered_rows"),
              ratio(share.scalar()["hits"].cast("double"), share.scalar()["n"].cast("double")).alias("coverage"))
 
 
 def prepare_panel(raw: DataFrame, keys: list[str], tie_break: list[str], date: str, price: str,
-                  others: list[str] = ()) -> DataFrame:
+                  others: list[str] = (), numbers: list[str] = ()) -> DataFrame:
     """Numeric, absolute price; rows without keys or price dropped; one row per (keys, date).
 
     The first row in ``tie_break`` order wins. ``min_by`` combines on the map side, so many
-    copies of one key shrink before the shuffle.
+    copies of one key shrink before the shuffle. Prices and ``numbers`` that are no numbers, or NaN,
+    are missing.
     """
-    num = F.expr(f"try_cast(`{price}` AS double)")
-    rows = raw.withColumn(price, F.abs(num)).na.drop(subset=[*keys, date, price])
+    num = lambda c: nan_to_null(F.expr(f"try_cast(`{c}` AS double)"))
+    rows = raw.withColumns({price: F.abs(num(price)), **{c: num(c) for c in numbers}}).na.drop(subset=[*keys, date, price])
     first = F.min_by(F.struct(price, *others), F.struct(*tie_break))
     return rows.groupBy(*keys, date).agg(first.alias("_r")).select(
         *keys, date, "_r.*", F.year(date).alias("year"), F.month(date).alias("month"))
@@ -130,4 +133,4 @@ def calendar_slice(df: DataFrame, date: str, length: int) -> DataFrame:
     long = F.col("n") > 2 * length
     start = F.when(long, F.floor(F.col("n") / 2)).otherwise(F.greatest(F.lit(0), F.col("n") - length))
     kept = days.filter((F.col("i") >= start) & (F.col("i") < start + length)).select(date)
-    return df.join(F.broadcast(kept), date, "left_semi")
+    return df.join(kept, date, "left_semi")

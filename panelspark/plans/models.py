@@ -264,6 +264,18 @@ def pairwise_rank_loss(spark, sf):
     return mp.pairwise_rank_loss(predicted(spark, sf)).withColumn("rank_loss", rnd("rank_loss"))
 
 
+@query("pairwise_rank_loss_symmetric", f"""WITH {SEQ_SQL}, r AS (SELECT sec, day, {PR} AS p, {OR} AS o FROM sv WHERE valid)
+SELECT a.day, rnd(avg(greatest(0, -(a.p - b.p) * (a.o - b.o))), 6) AS rank_loss, count(DISTINCT a.sec) AS n FROM r a JOIN r b ON a.day = b.day GROUP BY a.day""")
+def pairwise_rank_loss_symmetric(spark, sf):
+    return mp.pairwise_rank_loss(predicted(spark, sf), symmetric=True).withColumn("rank_loss", rnd("rank_loss"))
+
+
+@query("volume_derive_alone", f"""WITH {LOG_SQL} SELECT sec, dt, CAST(floor(200000 * (1 + abs(coalesce(stock_ret, 0)) * 0.15E0)) AS BIGINT) AS volume FROM lp""")
+def volume_derive_alone(spark, sf):
+    """Without a turnover column."""
+    return ba.derive_bars(log_panel(spark, sf), "company", turnover=None).select("sec", "dt", "volume")
+
+
 @query("topk_pnl", f"""WITH {SEQ_SQL}, r AS (SELECT sec, day, round({PR}, 9) AS p, {OR} AS o FROM sv WHERE valid),
 t AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY p DESC, sec) AS pos FROM r),
 d AS (SELECT k, day, avg(o) AS r FROM t, (VALUES (1), (5), (10)) ks(k) WHERE pos <= k GROUP BY k, day)

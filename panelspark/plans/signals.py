@@ -152,8 +152,8 @@ def trading_calendar(spark, sf):
 
 
 def bars(spark, sf):
-    o = v.ohlc(spark, sf)
-    return o.join(F.broadcast(ind.trading_calendar(o, "ym")), "ym")
+    o = cut_lineage(v.ohlc(spark, sf), "bars")
+    return o.join(ind.trading_calendar(o, "ym"), "ym")
 
 
 RANGE = lambda w: f"OVER (PARTITION BY sec ORDER BY date_idx RANGE BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
@@ -218,8 +218,8 @@ WITH {DAY_IDX}
 SELECT p.sec, p.dt, rnd(CASE WHEN d.date_idx - lag(d.date_idx) OVER (PARTITION BY p.sec ORDER BY d.date_idx) = 1
   THEN p.prc END, 6) AS raw_prc FROM panel p JOIN d ON p.dt = d.dt""")
 def contiguous_price(spark, sf):
-    p = v.panel(spark, sf)
-    days = p.join(F.broadcast(ind.trading_calendar(p, "dt")), "dt")
+    p = v.stored_panel(spark, sf)
+    days = p.join(ind.trading_calendar(p, "dt"), "dt")
     return days.select("sec", "dt", rnd(ind.contiguous(F.col("prc"), ind.series(order="date_idx"))).alias("raw_prc"))
 
 
@@ -229,9 +229,9 @@ g AS (SELECT s.sec, unnest(range(0, (SELECT n FROM n))) AS day FROM (SELECT DIST
 x AS (SELECT p.sec, d.date_idx AS day, p.prc FROM panel p JOIN d ON p.dt = d.dt)
 SELECT g.sec, g.day, rnd(x.prc, 6) AS prc FROM g LEFT JOIN x ON g.sec = x.sec AND g.day = x.day""")
 def dense_grid(spark, sf):
-    p = v.panel(spark, sf)
+    p = v.stored_panel(spark, sf)
     calendar = ind.trading_calendar(p, "dt")
-    cells = p.join(F.broadcast(calendar), "dt").select("sec", F.col("date_idx").alias("day"), "prc")
+    cells = p.join(calendar, "dt").select("sec", F.col("date_idx").alias("day"), "prc")
     grid = ind.dense_grid(cells, calendar.agg(F.count("*").alias("n")), "sec")
     return grid.select("sec", "day", rnd("prc").alias("prc"))
 
@@ -299,21 +299,20 @@ y AS (SELECT *, CASE WHEN nvol > 1 THEN vrank END AS vol_rank,
 c AS (SELECT *, coalesce(0.5E0 * mom_zscore + 0.3E0 * ma_slope_signal + 0.2E0 * vol_score, 0) AS composite_score FROM y)"""
 
 
-def stored_indicators(spark, sf):
-    kept = indicator_panel(spark, sf).na.drop(how="all", subset=["ma", "ma_slope", "mom", "vol_fc"])
-    return cut_lineage(kept, "indicators")
+def kept_indicators(spark, sf):
+    return indicator_panel(spark, sf).na.drop(how="all", subset=["ma", "ma_slope", "mom", "vol_fc"])
 
 
 @query("cs_zscore", f"WITH {SCORE_SQL} SELECT sec, dt, sector, mon, rnd(mom_zscore, 6) AS mom_zscore FROM c")
 def cs_zscore(spark, sf):
-    i = stored_indicators(spark, sf)
+    i = kept_indicators(spark, sf)
     return sel.zscore(i, BY, "mom", "mom_zscore").select("sec", "dt", "sector", "mon", rnd("mom_zscore").alias("mom_zscore"))
 
 
 @query("cs_rank_score", f"""WITH {SCORE_SQL}
 SELECT sec, dt, sector, mon, vol_rank, rnd(vol_score, 6) AS vol_score FROM c""")
 def cs_rank_score(spark, sf):
-    i = stored_indicators(spark, sf)
+    i = cut_lineage(kept_indicators(spark, sf), "indicators")
     return sel.volatility_score(i, BY, "vol_fc", TIE, stored=True).select(
         "sec", "dt", "sector", "mon", "vol_rank", rnd("vol_score").alias("vol_score"))
 

@@ -49,7 +49,7 @@ FORMAT_SQL = f"""{ROWS_SQL},
 tn AS (SELECT *, row_number() OVER (ORDER BY gvkey, doc_id, filing_type) AS n, trim(text, {WS}) AS t FROM tr),
 tf AS (SELECT doc_id, gvkey, date, filing_type, gvkey || '_' || CASE WHEN length(CAST(n AS VARCHAR)) < 3 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS text_id,
   CASE WHEN starts_with(gvkey, 'TOP_') THEN 'top_performer' WHEN starts_with(gvkey, 'BOT_') THEN 'bottom_performer' ELSE 'unknown' END AS category,
-  length(t) AS full_length, CASE WHEN length(t) > 2000 THEN substring(t, 1, 2000) || '...' ELSE t END AS text FROM tn WHERE length(t) >= 50)"""
+  length(t) AS full_length, t AS text FROM tn WHERE length(t) >= 50)"""
 
 
 def formatted(spark, sf):

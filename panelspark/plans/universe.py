@@ -75,11 +75,10 @@ def gics_counts(spark, sf):
 
 
 @query("sector_validation", f"""WITH {INFO_SQL}, mine AS (SELECT * FROM good WHERE gics_str LIKE '20%'),
-head AS (SELECT CAST(sec AS VARCHAR) AS id, dt FROM panel ORDER BY id, dt LIMIT 10000),
-h AS (SELECT count(CASE WHEN id IN (SELECT id FROM mine) THEN 1 END) AS hits, count(*) AS n FROM head)
+h AS (SELECT count(CASE WHEN CAST(sec AS VARCHAR) IN (SELECT id FROM mine) THEN 1 END) AS hits, count(*) AS n FROM panel)
 SELECT count(DISTINCT id) AS companies, count(*) AS observations, min(date) AS start_date, max(date) AS end_date,
   (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT DISTINCT gics_str AS c FROM mine) q) AS codes,
-  (SELECT hits FROM h) AS in_sample, rnd((SELECT hits / n FROM h), 6) AS coverage FROM mine""")
+  (SELECT hits FROM h) AS covered_rows, rnd((SELECT hits / n FROM h), 6) AS coverage FROM mine""")
 def sector_validation(spark, sf):
     p = v.panel(spark, sf).select(F.col("sec").cast("string").alias("id"), F.col("dt").alias("date"))
     return u.sector_validation(good(spark, sf), p, "20", "id", "date", "gics_str").withColumn("coverage", rnd("coverage"))
@@ -88,7 +87,7 @@ def sector_validation(spark, sf):
 RAW_SQL = """
 raw AS (SELECT l_suppkey AS sec, CAST(l_shipdate AS DATE) AS date, l_orderkey, l_linenumber,
   CASE WHEN l_orderkey % 29 = 0 THEN 'bad' ELSE CAST(CAST(l_extendedprice * 100 AS BIGINT) * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS VARCHAR) END AS prc,
-  l_discount AS stock_ret FROM lineitem)"""
+  CASE WHEN l_linenumber % 5 = 0 THEN 'C' ELSE CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) END AS stock_ret FROM lineitem)"""
 
 
 def raw(spark, sf):
@@ -97,15 +96,15 @@ def raw(spark, sf):
     return v.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("sec"), F.to_date("l_shipdate").alias("date"), "l_orderkey", "l_linenumber",
         F.when(k % 29 == 0, "bad").otherwise((cents * F.when(F.col("l_returnflag") == "R", -1).otherwise(1)).cast("string")).alias("prc"),
-        F.col("l_discount").alias("stock_ret"))
+        F.when(F.col("l_linenumber") % 5 == 0, "C").otherwise(F.round(F.col("l_discount") * 100).cast("bigint").cast("string")).alias("stock_ret"))
 
 
 @query("panel_prepare", f"""WITH {RAW_SQL.replace("CAST(l_extendedprice * 100 AS BIGINT)", "CAST(round(l_extendedprice * 100) AS BIGINT)")},
 n AS (SELECT *, abs(TRY_CAST(prc AS DOUBLE)) AS p FROM raw),
 r AS (SELECT *, row_number() OVER (PARTITION BY sec, date ORDER BY l_orderkey, l_linenumber) AS rn FROM n WHERE p IS NOT NULL)
-SELECT sec, date, p AS prc, stock_ret, year(date) AS "year", month(date) AS "month" FROM r WHERE rn = 1""")
+SELECT sec, date, p AS prc, TRY_CAST(stock_ret AS DOUBLE) AS stock_ret, year(date) AS "year", month(date) AS "month" FROM r WHERE rn = 1""")
 def panel_prepare(spark, sf):
-    return u.prepare_panel(raw(spark, sf), ["sec"], ["l_orderkey", "l_linenumber"], "date", "prc", ["stock_ret"])
+    return u.prepare_panel(raw(spark, sf), ["sec"], ["l_orderkey", "l_linenumber"], "date", "prc", ["stock_ret"], ["stock_ret"])
 
 
 @query("returns_rebuild", """
@@ -145,4 +144,4 @@ WITH d AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS i FROM (SELECT DIST
 n AS (SELECT count(*) AS n FROM d), lo AS (SELECT CASE WHEN n > 200 THEN n // 2 ELSE greatest(0, n - 100) END AS lo FROM n)
 SELECT p.sec, p.dt, rnd(p.prc, 6) AS prc FROM panel p JOIN d ON p.dt = d.dt, lo WHERE d.i >= lo.lo AND d.i < lo.lo + 100""")
 def calendar_slice(spark, sf):
-    return u.calendar_slice(v.panel(spark, sf), "dt", 100).select("sec", "dt", rnd("prc").alias("prc"))
+    return u.calendar_slice(v.stored_panel(spark, sf), "dt", 100).select("sec", "dt", rnd("prc").alias("prc"))

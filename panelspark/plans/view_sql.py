@@ -48,7 +48,7 @@ GROUP BY ym""",
 SELECT doc_id, source AS gvkey, 2023 + doc_id % 3 AS yr,
        (2023 + doc_id % 3) * 10000 + 101 + doc_id % 28 AS date,
        CASE WHEN doc_id % 2 = 0 THEN '10K' ELSE '10Q' END AS file_type,
-       CASE WHEN doc_id % 3 <> 1 THEN substring(text, 1, 1500) END AS rf,
+       CASE doc_id % 3 WHEN 0 THEN substring(text, 1, 1500) WHEN 2 THEN text END AS rf,
        CASE WHEN doc_id % 3 = 0 THEN substring(text, 1501) END AS mgmt,
        CASE WHEN doc_id % 3 = 1 THEN text END AS text
 FROM documents""",

@@ -110,7 +110,7 @@ def filings(spark, sf):
         "doc_id", F.col("source").alias("gvkey"), (2023 + k).alias("yr"),
         ((2023 + k) * 10000 + 101 + F.col("doc_id") % 28).alias("date"),
         F.when(F.col("doc_id") % 2 == 0, "10K").otherwise("10Q").alias("file_type"),
-        F.when(k != 1, F.substring("text", 1, 1500)).alias("rf"),
+        F.when(k == 0, F.substring("text", 1, 1500)).when(k == 2, F.col("text")).alias("rf"),
         F.when(k == 0, F.expr("substring(text, 1501)")).alias("mgmt"),
         F.when(k == 1, F.col("text")).alias("text"),
     )

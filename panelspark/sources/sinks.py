@@ -67,4 +67,5 @@ def write_features(grid: DataFrame, calendar: DataFrame, path: str, features: li
     cells = [F.coalesce(F.col(c), F.lit(MISSING_CELL)).alias(c) for c in features]
     grid.select(key, "day", *cells).write.mode("overwrite").parquet(f"{path}/features")
     calendar.write.mode("overwrite").parquet(f"{path}/calendar")
-    grid.select(key).distinct().write.mode("overwrite").parquet(f"{path}/companies")
+    written = grid.sparkSession.read.parquet(f"{path}/features")  # the grid is not computed again
+    written.select(key).distinct().write.mode("overwrite").parquet(f"{path}/companies")

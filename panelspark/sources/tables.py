@@ -30,10 +30,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_panel_csv(spark: SparkSession, path: str, schema: T.StructType, smoke_rows: int | None = None) -> DataFrame:
-    """The raw panel under a declared schema; ``smoke_rows`` shortens a trial run."""
-    df = spark.read.schema(schema).csv(path, header=True)
-    return df.limit(smoke_rows) if smoke_rows else df
+def read_panel_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The raw panel under a declared schema."""
+    return spark.read.schema(schema).csv(path, header=True)
 
 
 def read_feature_dim(spark: SparkSession, path: str) -> DataFrame:
