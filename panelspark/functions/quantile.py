@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelspark.functions.expr import same_key
 from panelspark.functions.ordered import running_sums
 from panelspark.storage import cut_lineage
 
 RESOLUTION = 128  # buckets per factor e: small histograms, each bucket under 1% wide
 WINDOW_ROWS = 2_000_000  # largest bucket that one window task may rank
-BROADCAST_ROWS = 1_000_000  # longest target list that is broadcast
 
 
 def value_bucket(c: Column, resolution: int = RESOLUTION) -> Column:
@@ -30,8 +30,8 @@ def exact_quantiles(df: DataFrame, by: list[str], columns: list[str],
                     probs: dict[str, float]) -> DataFrame:
     """One row per group and feature, one column per entry of ``probs``.
 
-    The target list has two rows per group, feature and probability at most and is broadcast while
-    it is small. ``df`` is read twice, so it should be a stored table.
+    The target list has two rows per group, feature and probability at most; adaptive execution
+    broadcasts it while it is small. NULL is a group. ``df`` is read twice, so it should be a stored table.
     """
     cells = (
         df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
@@ -64,16 +64,15 @@ def exact_quantiles(df: DataFrame, by: list[str], columns: list[str],
                 F.when(inside(F.col("w.hi")), F.col("w.hi")).alias("hi"),
                 F.col("w.prob").alias("prob"),
                 (F.col("w.pos") - F.col("w.lo")).alias("frac")), "quantile_targets")
-    largest, n_targets = targets.agg(F.max("rows"), F.count("*")).first()
-    small = F.broadcast if n_targets <= BROADCAST_ROWS else (lambda d: d)
-    near = cells.join(small(targets.select(*keys, "bucket").distinct()), [*keys, "bucket"], "left_semi")
+    largest = targets.agg(F.max("rows")).first()[0]
+    near = same_key(cells, targets.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi")
     counts = near.groupBy(*keys, "bucket", "value").agg(F.count("*").alias("c"))
     if (largest or 0) <= WINDOW_ROWS:
         inner = Window.partitionBy(*keys, "bucket").orderBy("value")
         placed = counts.withColumn("upto", F.sum("c").over(inner))
     else:
         placed = running_sums(counts, [*keys, "bucket"], [F.col("value").asc()], {"upto": F.col("c")})
-    hits = placed.join(small(targets), [*keys, "bucket"])
+    hits = same_key(placed, targets, [*keys, "bucket"])
     start = F.col("before") + F.col("upto") - F.col("c")
     at = lambda r: (r >= start) & (r < F.col("before") + F.col("upto"))
     picked = hits.groupBy(*keys, "prob").agg(

@@ -21,18 +21,20 @@ def portfolio_returns(positions: DataFrame, realized: DataFrame, key: str, month
     """Mean of the weighted long return and the weighted short return, per month.
 
     A position formed in month m earns the realized return of month m + 1; shorts earn its
-    negative. Positions without a realized return drop out.
+    negative. Positions without a realized return are counted apart; a month of such positions only
+    has no return.
     """
     nxt = realized.select(key, (F.col(month) - 1).alias(month), F.col(ret).alias("_r"))
-    held = positions.join(nxt, [key, month])
-    w, long = F.abs(F.col("weight")), F.col("side") == "long"
+    held = positions.join(nxt, [key, month], "left")
+    known = F.col("_r").isNotNull()
+    w, long = F.when(known, F.abs(F.col("weight"))), F.col("side") == "long"
 
     def leg(hit, sign):
         return F.coalesce(ratio(F.sum(F.when(hit, w * F.col("_r") * sign)), F.sum(F.when(hit, w))), F.lit(0.0))
 
     out = held.groupBy(month).agg(leg(long, 1).alias("long_return"), leg(~long, -1).alias("short_return"),
-                                  F.count("*").alias("positions_count"))
-    return out.withColumn("portfolio_return", (F.col("long_return") + F.col("short_return")) / 2)
+                                  F.count("_r").alias("positions_count"), F.count(F.when(~known, 1)).alias("unpriced_count"))
+    return out.withColumn("portfolio_return", F.when(F.col("positions_count") > 0, (F.col("long_return") + F.col("short_return")) / 2))
 
 
 def _around_zero(c: Column) -> Column:

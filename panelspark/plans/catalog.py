@@ -1,4 +1,4 @@
 """All registered queries; importing a module registers its queries."""
 
-from panelspark.plans import cleaning, models, portfolio, reports, signals, storage, texts, universe  # noqa: F401
+from panelspark.plans import chain, cleaning, models, portfolio, reports, signals, storage, texts, universe  # noqa: F401
 from panelspark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -20,12 +20,12 @@ def monthly_book(spark, sf):
 
 @query("portfolio_returns", f"""{BUILD_SQL},
 rz AS (SELECT sec, CAST(ym // 100 AS BIGINT) * 12 + ym % 100 - 1 AS m, close / open - 1 AS r FROM ohlc),
-hd AS (SELECT pt.*, rz.r FROM pt JOIN rz ON pt.sec = rz.sec AND rz.m = pt.m + 1),
-lg AS (SELECT m, coalesce(sum(CASE WHEN side = 'long' THEN abs(weight) * r END) / nullif(sum(CASE WHEN side = 'long' THEN abs(weight) END), 0), 0) AS long_return,
-  coalesce(-sum(CASE WHEN side = 'short' THEN abs(weight) * r END) / nullif(sum(CASE WHEN side = 'short' THEN abs(weight) END), 0), 0) AS short_return,
-  count(*) AS positions_count FROM hd GROUP BY m)
-SELECT m, rnd(long_return, 6) AS long_return, rnd(short_return, 6) AS short_return, positions_count,
-  rnd((long_return + short_return) / 2, 6) AS portfolio_return FROM lg""")
+hd AS (SELECT pt.*, rz.r, CASE WHEN rz.r IS NOT NULL THEN abs(weight) END AS w FROM pt LEFT JOIN rz ON pt.sec = rz.sec AND rz.m = pt.m + 1),
+lg AS (SELECT m, coalesce(sum(CASE WHEN side = 'long' THEN w * r END) / nullif(sum(CASE WHEN side = 'long' THEN w END), 0), 0) AS long_return,
+  coalesce(-sum(CASE WHEN side = 'short' THEN w * r END) / nullif(sum(CASE WHEN side = 'short' THEN w END), 0), 0) AS short_return,
+  count(r) AS positions_count, count(*) - count(r) AS unpriced_count FROM hd GROUP BY m)
+SELECT m, rnd(long_return, 6) AS long_return, rnd(short_return, 6) AS short_return, positions_count, unpriced_count,
+  CASE WHEN positions_count > 0 THEN rnd((long_return + short_return) / 2, 6) END AS portfolio_return FROM lg""")
 def portfolio_returns(spark, sf):
     m = month_index(F.floor(F.col("ym") / 100), F.col("ym") % 100)
     p = v.stored_panel(spark, sf)
