@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm.batches import store, unpacked
-from panelspark.llm.common import combine, components, mix, raw_bytes, word_hashes, words_of
+from panelspark.llm.common import combine, components, mix, raw_bytes, slices, word_hashes, words_of
 from panelspark.storage import cut_lineage
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
@@ -39,7 +39,7 @@ THROWN = SIZE * (np.log(SIZE) + 2)
 CHUNK = 1024
 #: A pair is verified when its agreeing coordinates are within four deviations of the threshold.
 NEAR = int(SIZE * THRESHOLD - 4 * np.sqrt(SIZE * THRESHOLD * (1 - THRESHOLD)))
-BATCH = 4 << 20
+BATCH = 3 << 19
 LAST = (1 << 63) - 1
 
 
@@ -104,8 +104,8 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, n_rows: int) -> np.ndarray
 def sign(batches):
     """Per row with words: rid, order, hashes of the shingle multiset, signature (32 bits a coordinate)."""
     for batch in batches:
-        for number, payload in zip(batch.column("batch").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-            rows = unpacked(payload)
+        for number, payload in zip(batch.column("batch").to_pylist(), batch.column("payload"), strict=True):
+            rows = unpacked(payload.as_buffer())
             owner, hashes = strips(*raw_bytes(rows.column("_text")))
             n = rows.num_rows
             table = mix(signatures(owner, hashes, n)) >> np.uint64(32)
@@ -150,7 +150,7 @@ def verified(stored: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = cut_lineage(stored.join(wanted, "batch").mapInArrow(shingles, "rid long, set binary"), "shingles")
 
     def similar(batches):
-        for batch in batches:
+        for batch in slices(batches, "x", 4 << 20):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")

@@ -33,7 +33,7 @@ from panelspark.llm.batches import answered, bucket_count, sent, store, told, un
 from panelspark.llm.common import combine, mix, raw_bytes, word_hashes, words_of
 
 WINDOW, ROUNDS = 13, 2
-BATCH, BLOCK = 4 << 20, 1 << 23
+BATCH, BLOCK = 3 << 20, 1 << 23
 INDEX = (1 << 24) - 1
 
 
