@@ -31,11 +31,9 @@ from pyspark.sql import DataFrame, functions as F
 from panelspark.llm.common import typed
 
 LEAF, SEGMENT = 1 << 14, 1 << 20
-SAFE = re.compile(r"(?<=\S)(?=\s)")
-
-
-def safe_cut(text: str, at: int) -> bool:
-    return not text[at - 1].isspace() and text[at].isspace()
+#: Fixed value: what the split pattern's library takes for white space (Python's ``\s`` has four more).
+BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SAFE = re.compile(f"(?<=[^{BLANK}])(?=[{BLANK}])")
 
 
 @functools.cache
@@ -60,11 +58,8 @@ class Monoid:
         if first is None:
             return text, None, ""
         a = b = first.start()
-        for b in range(len(text) - 1, a, -1):
-            if safe_cut(text, b):
-                break
-        else:
-            b = a
+        for cut in SAFE.finditer(text, a + 1):
+            b = cut.start()
         return text[:a], self.ids(text[a:b]), text[b:]
 
     def join(self, left, right):
@@ -141,8 +136,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     few = rows.filter(size <= SEGMENT).mapInArrow(short, f"_rest {kind}, ids binary")
     starts = F.sequence(F.lit(0), F.floor((size - 1) / SEGMENT).cast("int"))
-    long = rows.filter(size > SEGMENT).select(
-        F.monotonically_increasing_id().alias("_row"), "_rest",
+    numbered = rows.filter(size > SEGMENT).withColumn("_row", F.monotonically_increasing_id())  # before the texts are cut
+    long = numbered.select(
+        "_row", "_rest",
         F.posexplode(F.transform(starts, lambda i: F.substring(F.col("_text"), i * SEGMENT + 1, F.lit(SEGMENT)))).alias("_at", "_part"))
     many = long.mapInArrow(elements, f"_row long, _at int, _rest {kind}, head string, mid binary, tail string")
     many = many.groupBy("_row").applyInArrow(meet, f"_rest {kind}, ids binary")
