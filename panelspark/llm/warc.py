@@ -176,11 +176,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     found = cut_lineage(pieces(spark, path).mapInArrow(candidates, kind), "candidates")
     splits = found.groupBy("file", "split").agg(F.sum("bytes").alias("bytes"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    bases = cut_lineage(splits.select("file", "split", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base")), "splits")
+    whole_file = F.sum("bytes").over(Window.partitionBy("file")).alias("total")
+    bases = cut_lineage(splits.select("file", "split", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"), whole_file), "splits")
 
     narrow = found.select("file", "split", "at", "bytes", "size")
     local = narrow.groupBy("file", "split").applyInArrow(jumps, "file string, at long, to long, split long")
-    local = local.join(bases, ["file", "split"]).select("file", (F.col("base") + F.col("at")).alias("node"), (F.col("base") + F.col("to")).alias("next"))
+    local = local.join(bases.drop("total"), ["file", "split"]).select("file", (F.col("base") + F.col("at")).alias("node"), (F.col("base") + F.col("to")).alias("next"))
     first = found.filter("split = 0").groupBy("file").agg(F.min(F.when(F.col("size").isNotNull(), F.col("at"))).alias("node"))
     reached = cut_lineage(first.filter("node IS NOT NULL").select("file", "node"), "reached")
     targets = local.filter("next IS NOT NULL").select("file", F.col("next").alias("node")).union(reached).distinct()
@@ -193,13 +194,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         jump = cut_lineage(jump.join(onward, ["file", "next"]).select("file", "node", F.col("beyond").alias("next")), "jumps")
 
     # the entry of a split: the reached place that lies in it
-    inside = found.filter("size IS NOT NULL").join(bases, ["file", "split"]).select("file", "split", "at", (F.col("base") + F.col("at")).alias("node"))
+    inside = found.filter("size IS NOT NULL").join(bases.drop("total"), ["file", "split"]).select("file", "split", "at", (F.col("base") + F.col("at")).alias("node"))
     entries = inside.join(reached, ["file", "node"]).groupBy("file", "split").agg(F.min("at").alias("entry"))
     real = found.join(entries, ["file", "split"]).groupBy("file", "split").applyInArrow(on_chain, kind)
     real = cut_lineage(real, "records")
     whole = real.filter("record_type IS NOT NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     torn = real.filter("record_type IS NULL").join(bases, ["file", "split"]).select(
-        "file", (F.col("base") + F.col("at")).alias("start"), (F.col("base") + F.col("at") + F.col("size")).alias("stop"))
+        "file", (F.col("base") + F.col("at")).alias("start"), (F.col("base") + F.col("at") + F.col("size")).alias("stop"), "total")
+    torn = torn.filter("stop <= total").drop("total")  # a record that its file does not finish is none
     return whole if torn.isEmpty() else whole.unionByName(joined(spark, path, bases, torn))
 
 
@@ -221,7 +223,7 @@ def joined(spark: SparkSession, path: str, bases: DataFrame, torn: DataFrame) ->
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)],
                                              names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    ends = bases.withColumn("limit", F.lead("base", 1, (1 << 63) - 1).over(Window.partitionBy("file").orderBy("split")))
+    ends = bases.drop("total").withColumn("limit", F.lead("base", 1, (1 << 63) - 1).over(Window.partitionBy("file").orderBy("split")))
     touched = torn.join(ends, "file").filter("start < limit AND stop > base").select("file", "split", "base", "start", "stop")
     parts = pieces(spark, path).mapInArrow(raw, "file string, split long, at long, piece binary").join(touched, ["file", "split"])
     parts = parts.withColumn("place", F.col("base") + F.col("at")).filter("place >= start AND place < stop")

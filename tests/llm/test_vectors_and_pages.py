@@ -161,8 +161,12 @@ def test_warc_empty_and_broken(spark, tmp_path):
     raw = part.read_bytes()
     assert raw.count(b"WARC/1.1\r\n") == 5
     (tmp_path / "b").mkdir()
-    (tmp_path / "b" / "cut.warc").write_bytes(raw[: raw.index(b"p3") + 1])  # ends inside the fourth record
-    assert sorted(r["page_id"] for r in warc.read(spark, str(tmp_path / "b")).collect()) == [0, 1, 2]
+    starts = [i for i in range(len(raw)) if raw.startswith(b"WARC/1.1\r\n", i)]
+    (tmp_path / "b" / "cut.warc").write_bytes(raw[: starts[4] - 5])  # ends inside the fourth record
+    (tmp_path / "b" / "end.warc").write_bytes(raw[starts[4] : -5])
+    (tmp_path / "b" / "gap.warc").write_bytes(raw[starts[0] : starts[1]] + b"lost" + raw[starts[1] : starts[2]])  # the chain ends at the gap
+    whole = [raw[a:b].split(b"<urn:page:")[1].split(b">")[0] for a, b in zip(starts[:3], starts[1:4], strict=True)]
+    assert sorted(r["page_id"] for r in warc.read(spark, str(tmp_path / "b")).collect()) == sorted(int(x) for x in [*whole, whole[0]])
 
 
 # ---- URL filters
