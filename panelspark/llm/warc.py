@@ -33,6 +33,9 @@ END = "\r\n\r\n"
 #: The digits of base 32 as ``conv`` writes them and as RFC 4648 does.
 CONV_DIGITS, RFC_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Payload digests fall into so many buckets. Pages in buckets without any repeated payload stay where
+#: they are; only the others are joined.
+BUCKETS = 1 << 20
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -48,10 +51,14 @@ def with_types(pages: DataFrame, least: int = 0) -> DataFrame:
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     base = base.withColumn("payload_digest", base32_sha1(F.col("html").cast("binary"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    firsts = base.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(
-        F.min("page_id").alias("first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    joined = base.join(firsts, "payload_digest", "left")
-    return joined.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    firsts = cut_lineage(base.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(
+        F.min("page_id").alias("first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "firsts")
+    bucket = F.pmod(F.xxhash64("payload_digest"), F.lit(BUCKETS)).alias("_bucket")
+    held = F.broadcast(firsts.select(bucket).distinct())  # at most BUCKETS numbers
+    placed_ = base.select("*", bucket)
+    alone = placed_.join(held, "_bucket", "left_anti").withColumn("first", F.lit(None).cast("long"))
+    maybe = placed_.join(held, "_bucket", "left_semi").join(firsts, "payload_digest", "left")
+    return alone.unionByName(maybe).drop("_bucket").withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
 
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
