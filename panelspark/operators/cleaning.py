@@ -77,7 +77,7 @@ def coerce_numeric(df: DataFrame, candidates: list[str], share: float = C.NUMERI
     rates = df.agg(*[F.avg(F.expr(f"try_cast(`{c}` AS double)").isNotNull().cast("double")).alias(c)
                      for c in candidates]).first()
     numeric = {c for c in candidates if rates[c] is not None and rates[c] >= share}
-    return df.select(*[F.expr(f"try_cast(`{c}` AS double)").alias(c) if c in numeric else F.col(c)
+    return df.select(*[nan_to_null(F.expr(f"try_cast(`{c}` AS double)")).alias(c) if c in numeric else F.col(c)
                        for c in df.columns])
 
 

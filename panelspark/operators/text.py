@@ -166,12 +166,17 @@ def expand_labels(df: DataFrame, label="sentiment_label", score="confidence_scor
 
 def by_entity(expanded: DataFrame, entity="stock_identifier", text_id="text_id", kind="text_type", year="yr",
               score="confidence_score") -> DataFrame:
-    """Entity means to 4 places, text count, and the short lists of text types and years."""
+    """Entity means to 4 places, text count, first identifiers in text order, and the short lists of
+    text types and years. The numeric score of a label is 1, 0 or -1."""
     mean = lambda c: half_even(F.avg(c), 4)
+    name = F.lower("sentiment_label")
+    numeric = F.when(name == "positive", 1.0).when(name == "negative", -1.0).otherwise(0.0)
     listed = lambda c: F.array_join(F.sort_array(F.collect_set(F.col(c).cast("string"))), ",")
     return expanded.groupBy(entity).agg(
         mean("positive_score").alias("avg_positive"), mean("negative_score").alias("avg_negative"),
         mean("neutral_score").alias("avg_neutral"), mean("net_sentiment").alias("net_sentiment"),
+        mean(numeric).alias("numeric_sentiment"), *[F.min_by(c, F.struct(F.col(c).isNull(), F.col(text_id))).alias(c)
+                                                          for c in ("gvkey", "iid") if c in expanded.columns],
         mean(score).alias("avg_confidence"), mean("sentiment_strength").alias("avg_strength"),
         F.count(text_id).alias("text_count"), listed(kind).alias("text_types"), listed(year).alias("years"))
 

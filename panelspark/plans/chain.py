@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.constants import PAD
+from panelspark.constants import ALGO_WEIGHT, ML_WEIGHT, PAD
 from panelspark.functions.expr import month_index, ratio, rnd
 from panelspark.operators import indicators as ind, performance as pe, portfolio as pf
 from panelspark.plans import models, signals, views as v
@@ -13,6 +13,8 @@ from panelspark.plans.portfolio import BY, M, N, PORT_SQL
 from panelspark.plans.registry import query
 from panelspark.plans.reports import DD_SQL, METRIC_SQL
 from panelspark.plans.signals import SELECT_SQL
+from panelspark.sources import sinks, tables
+from panelspark.storage import scratch_path
 
 CHAIN_SQL = f"""WITH {SELECT_SQL},
 {SEQ_SQL},
@@ -70,3 +72,20 @@ def pipeline_metrics(spark, sf):
     bench = realized.groupBy((F.col("m") - 1).alias("m")).agg(F.avg("r").alias("bench_return"))
     both = monthly.join(bench, "m").select(F.col("m").alias("ym"), "portfolio_return", "bench_return")
     return pe.performance_metrics(both, "ym", "portfolio_return", "bench_return").select(*[rnd(c).alias(c) for c in SHOWN])
+
+
+@query("pipeline_documents", f"""{CHAIN_SQL} SELECT CAST(m // 12 AS INTEGER) AS yr, CAST(m % 12 + 1 AS INTEGER) AS mo, prefix AS sector, side,
+  concat('comp_', lpad(CAST(sec AS VARCHAR), 6, '0'), '_01') AS company_id, CAST(sec AS BIGINT) AS gvkey, '01' AS iid,
+  rnd(algo_score, 6) AS algo_score_raw, rnd(algo_norm, 6) AS algo_score_normalized, rnd(ml_score, 6) AS ml_score_raw,
+  rnd(ml_norm, 6) AS ml_score_normalized, rnd(combined_score, 6) AS combined_score, side AS candidate_type, rnd(weight, 6) AS portfolio_weight FROM pt""")
+def pipeline_documents(spark, sf):
+    """The chain's portfolios written as documents and read back with all ten fields of a position."""
+    done = portfolios(spark, sf, v.stored_panel(spark, sf)).select(
+        "*", F.floor(F.col("m") / 12).cast("int").alias("yr"), (F.col("m") % 12 + 1).cast("int").alias("mo"), F.col("prefix").alias("sector"),
+        F.concat(F.lit("comp_"), F.lpad(F.col("sec").cast("string"), 6, "0"), F.lit("_01")).alias("company_id"),
+        F.col("sec").alias("gvkey"), F.lit("01").alias("iid"))
+    path = scratch_path(spark, "documents")
+    sinks.write_portfolios(done, path, {"longs": N, "shorts": M, "algo_weight": ALGO_WEIGHT, "ml_weight": ML_WEIGHT})
+    back = tables.read_portfolios(spark, path)
+    scores = ("algo_score_raw", "algo_score_normalized", "ml_score_raw", "ml_score_normalized", "combined_score", "portfolio_weight")
+    return back.select("yr", "mo", "sector", "side", "company_id", "gvkey", "iid", "candidate_type", *[rnd(c).alias(c) for c in scores])

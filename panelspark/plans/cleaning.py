@@ -10,7 +10,8 @@ from panelspark.operators import cleaning as cl
 from panelspark.plans import views as v
 from panelspark.plans.registry import query
 from panelspark.plans.views import FACTORS
-from panelspark.storage import cut_lineage
+from panelspark.sources import sinks, tables
+from panelspark.storage import cut_lineage, scratch_path
 
 CAT = {c: cl.infer_category(c) for c in FACTORS}
 
@@ -21,9 +22,9 @@ PROF_SQL = "prof AS (" + " UNION ALL ".join(
     f"max(CASE WHEN feature = '{c}' THEN {n} END) AS {c}_{n}" for c in FACTORS for n in C.PROFILE_PROBS) + " FROM prof)"
 
 
-def wins_sql(c, src=None):
+def wins_sql(c, src=None, cat=CAT):
     src = src or f"f.{c}"
-    lo, hi = ("q0005", "q995") if CAT[c] == "returns" else ("q01", "q99")
+    lo, hi = ("q0005", "q995") if cat[c] == "returns" else ("q01", "q99")
     return f"CASE WHEN {src} IS NOT NULL THEN greatest(pw.{c}_{lo}, least(pw.{c}_{hi}, {src})) END"
 
 
@@ -35,10 +36,10 @@ def slog_sql(x):
     return f"sign({x}) * ln(1 + abs({x}))"
 
 
-def trans_sql(c, x):
-    if CAT[c] in C.LOG1P_CATEGORIES:
+def trans_sql(c, x, cat=CAT):
+    if cat[c] in C.LOG1P_CATEGORIES:
         return log1p_sql(x)
-    if CAT[c] in C.SIGNED_LOG_CATEGORIES:
+    if cat[c] in C.SIGNED_LOG_CATEGORIES:
         return slog_sql(x)
     return x
 
@@ -202,3 +203,40 @@ def column_coverage(spark, sf):
     return cl.column_coverage(v.factors(spark, sf), FACTORS).select(
         "name_group", "feature", "known", rnd("pct").alias("pct"), rnd("mean", 4).alias("mean"),
         rnd("std", 4).alias("std"), rnd("lo", 5).alias("lo"), rnd("hi", 5).alias("hi"))
+
+
+@query("profile_stored", f"WITH {PROF_SQL} SELECT feature, " + ", ".join(f"rnd({n}, 6) AS {n}" for n in C.PROFILE_PROBS) + " FROM prof")
+def profile_stored(spark, sf):
+    """The profile written to its file and loaded from there."""
+    path = scratch_path(spark, "profile")
+    sinks.write_profile(cl.profile_table(factors(spark, sf), FACTORS), path)
+    return tables.read_profile(spark, path).select("feature", *[rnd(n).alias(n) for n in C.PROFILE_PROBS])
+
+
+# A theme file that overrules two of the keyword categories.
+THEMES = {"beta_60m": "returns", "sale_gr1": "value"}
+THEMED = {c: cl.infer_category(c, THEMES) for c in FACTORS}
+RAW_SQL = f"""{PROF_SQL},
+cw AS (SELECT f.sec, f.dt, date_trunc('month', f.dt) AS mon, {each(lambda c: wins_sql(c, cat=THEMED))} FROM factors f, pw),
+ct AS (SELECT cw.sec, cw.dt, cw.mon, {each(lambda c: f"coalesce({trans_sql(c, 'cw.' + c, THEMED)}, pw.{c}_median, 0)")} FROM cw, pw),
+{scale_sql("ct")}"""
+
+
+def raw_rows(spark, sf):
+    """The factors as a raw file has them: everything text, missing cells spelled out, a name given twice."""
+    f = v.factors(spark, sf)
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("" if i % 2 else "NaN")).alias(c) for i, c in enumerate(FACTORS)]
+    return f.select(F.col("sec").alias("id"), F.col("dt").cast("string").alias("date"), *text, F.lit("again").alias(FACTORS[0]))
+
+
+@query("clean_raw", f"WITH {RAW_SQL} SELECT CAST(sec AS VARCHAR) AS id, dt AS date, " + each(lambda c: f"rnd(CAST(CAST({c} AS FLOAT) AS DOUBLE), 4)") + " FROM sc")
+def clean_raw(spark, sf):
+    """The whole chain from raw text: unique names, typed keys, numbers, theme file, stored profile, float output."""
+    themes_path, profile_path = scratch_path(spark, "themes"), scratch_path(spark, "profile")
+    sinks.write_csv(spark.createDataFrame(list(THEMES.items()), "feature string, theme string"), themes_path)
+    themes = {r["feature"]: r["theme"] for r in tables.read_feature_dim(spark, themes_path).collect()}  # one row per feature
+    typed = cut_lineage(cl.coerce_numeric(cl.standard_columns(raw_rows(spark, sf)), FACTORS, share=0.5), "typed")
+    sinks.write_profile(cl.profile_table(typed, FACTORS), profile_path)
+    profile = cl.to_profile(tables.read_profile(spark, profile_path))
+    done = cl.clean_panel(typed, "month_key", FACTORS, profile, themes, as_float=True)
+    return done.select("id", "date", *[rnd(F.col(c).cast("double"), 4).alias(c) for c in FACTORS])

@@ -149,7 +149,8 @@ ey AS (SELECT *, positive_score - negative_score AS net_sentiment, greatest(posi
 R4 = lambda c, n: f"round_even(round(avg({c}), 10), 4) + 0.0 AS {n}"
 ENT_SQL = f"""{EXP_SQL},
 en AS (SELECT stock_identifier, {R4("positive_score", "avg_positive")}, {R4("negative_score", "avg_negative")}, {R4("neutral_score", "avg_neutral")},
-  {R4("net_sentiment", "net_sentiment")}, {R4("confidence_score", "avg_confidence")}, {R4("sentiment_strength", "avg_strength")},
+  {R4("net_sentiment", "net_sentiment")}, min_by(gvkey, text_id) AS gvkey, min_by(iid, text_id) AS iid,
+  {R4("CASE lower(sentiment_label) WHEN 'positive' THEN 1E0 WHEN 'negative' THEN -1E0 ELSE 0E0 END", "numeric_sentiment")}, {R4("confidence_score", "avg_confidence")}, {R4("sentiment_strength", "avg_strength")},
   count(text_id) AS text_count, string_agg(DISTINCT text_type, ',' ORDER BY text_type) AS text_types,
   string_agg(DISTINCT CAST(yr AS VARCHAR), ',' ORDER BY CAST(yr AS VARCHAR)) AS years FROM ey GROUP BY stock_identifier),
 ew AS (SELECT *, net_sentiment * avg_confidence * ln(1 + text_count) AS weighted_sentiment, net_sentiment * avg_strength AS strength_sentiment FROM en)"""

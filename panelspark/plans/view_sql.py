@@ -54,6 +54,7 @@ SELECT doc_id, source AS gvkey, 2023 + doc_id % 3 AS yr,
 FROM documents""",
     "sentiment_results": """
 SELECT d.doc_id AS text_id, d.source AS stock_identifier, d.lang AS text_type, 2023 + d.doc_id % 3 AS yr,
+       d.source AS gvkey, '0' || CAST(d.doc_id % 3 + 1 AS VARCHAR) AS iid,
        CASE WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 1 THEN 'positive' ELSE 'neutral' END AS sentiment_label,
        0.5E0 + (d.doc_id % 50) / 100E0 AS confidence_score
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",

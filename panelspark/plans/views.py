@@ -121,7 +121,8 @@ def sentiment_results(spark, sf):
              .otherwise("neutral"))
     return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
         F.col("doc_id").alias("text_id"), F.col("source").alias("stock_identifier"),
-        F.col("lang").alias("text_type"), (2023 + F.col("doc_id") % 3).alias("yr"),
+        F.col("lang").alias("text_type"), (2023 + F.col("doc_id") % 3).alias("yr"), F.col("source").alias("gvkey"),
+        F.concat(F.lit("0"), (F.col("doc_id") % 3 + 1).cast("string")).alias("iid"),
         label.alias("sentiment_label"),
         (F.lit(0.5) + (F.col("doc_id") % 50) / F.lit(100.0)).alias("confidence_score"),
     )

@@ -22,29 +22,43 @@ def write_company_csv(df: DataFrame, path: str, company: str = "company_id") ->
     df.repartition(company).write.mode("overwrite").partitionBy(company).csv(path, header=True)
 
 
-def portfolio_documents(positions: DataFrame, version: str = "1.0") -> DataFrame:
-    """One document per year, month and sector with both position lists, a summary and metadata.
+#: Where each field of a written position comes from; absent columns are written as NULL.
+POSITION_FIELDS = {
+    "company_id": ("company_id", "string"), "gvkey": ("gvkey", "bigint"), "iid": ("iid", "string"),
+    "algo_score_raw": ("algo_score", "double"), "algo_score_normalized": ("algo_norm", "double"),
+    "ml_score_raw": ("ml_score", "double"), "ml_score_normalized": ("ml_norm", "double"),
+    "combined_score": ("combined_score", "double"), "candidate_type": ("side", "string"), "portfolio_weight": ("weight", "double"),
+}
 
-    A document holds one portfolio, whose size the selection bounds.
+
+def portfolio_documents(positions: DataFrame, version: str = "1.0", parameters: dict | None = None) -> DataFrame:
+    """One document per year, month and sector with both position lists, score lists, a summary and metadata.
+
+    A document holds one portfolio, whose size the selection bounds. ``parameters`` are written as given.
     """
+    if "combined_score" not in positions.columns:
+        positions = positions.withColumnRenamed("score", "combined_score")
     long, short = F.col("side") == "long", F.col("side") == "short"
-    item = F.struct("company_id", F.col("score").alias("combined_score"), F.col("side").alias("candidate_type"),
-                    F.col("weight").alias("portfolio_weight"))
+    have = lambda c, t: F.col(c).cast(t) if c in positions.columns else F.lit(None).cast(t)
+    item = F.struct(*[have(c, t).alias(n) for n, (c, t) in POSITION_FIELDS.items()])
     listed = lambda hit: F.transform(F.array_sort(F.collect_list(F.when(hit, F.struct(
-        (-F.col("score")).alias("o"), F.col("company_id").alias("k"), item.alias("p"))))), lambda x: x["p"])
+        (-F.col("combined_score")).alias("o"), F.col("company_id").alias("k"), item.alias("p"))))), lambda x: x["p"])
+    scores = lambda hit: F.sort_array(F.collect_list(F.when(hit, F.col("combined_score"))), asc=False)
+    given = F.struct(*[F.lit(x).alias(k) for k, x in (parameters or {"weights": "by combined score"}).items()])
     name = F.concat_ws("_", F.lit("portfolio"), F.col("yr").cast("string"), F.lpad(F.col("mo").cast("string"), 2, "0"), "sector")
     return positions.groupBy("yr", "mo", "sector").agg(
         listed(long).alias("long_positions"), listed(short).alias("short_positions"),
         F.struct(F.count(F.when(long, 1)).alias("total_long_positions"), F.count(F.when(short, 1)).alias("total_short_positions"),
-                 F.count("*").alias("total_positions")).alias("summary"),
+                 F.count("*").alias("total_positions"), scores(long).alias("long_combined_scores"),
+                 scores(short).alias("short_combined_scores")).alias("summary"),
     ).select(name.alias("doc"), "long_positions", "short_positions", "summary",
              F.struct(F.col("sector"), F.col("yr").alias("target_year"), F.col("mo").alias("target_month"),
-                      F.lit(version).alias("pipeline_version")).alias("metadata"))
+                      F.lit(version).alias("pipeline_version"), given.alias("parameters")).alias("metadata"))
 
 
-def write_portfolios(positions: DataFrame, path: str) -> None:
+def write_portfolios(positions: DataFrame, path: str, parameters: dict | None = None) -> None:
     """Portfolio documents, one folder per document name."""
-    portfolio_documents(positions).write.mode("overwrite").partitionBy("doc").json(path)
+    portfolio_documents(positions, parameters=parameters).write.mode("overwrite").partitionBy("doc").json(path)
 
 
 def write_metrics(row: DataFrame, path: str) -> None:
@@ -52,6 +66,11 @@ def write_metrics(row: DataFrame, path: str) -> None:
     row.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_profile(rows: DataFrame, path: str) -> None:
+    """The profile as one JSON line per feature; one row per feature, so one file."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from panelspark.constants import PROFILE_PROBS
+
 SECTORINFO_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("gvkey", T.LongType()), T.StructField("iid", T.StringType()),
     T.StructField("excntry", T.StringType()), T.StructField("gics", T.DoubleType()), T.StructField("sic", T.DoubleType()),
@@ -94,6 +96,12 @@ def read_filings(spark: SparkSession, paths: dict[int, str], years: range) -> Da
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
+def read_profile(spark: SparkSession, path: str) -> DataFrame:
+    """The stored profile: feature and its statistics."""
+    stats = ", ".join(f"{s} double" for s in PROFILE_PROBS)
+    return spark.read.schema(f"feature string, {stats}").json(path)
+
+
 def read_returns(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(date, monthly_return) from the first file that exists and holds a return column.
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.operators import cleaning as cl
+from panelspark.sources.tables import read_profile
 
 
 def clean_batch(staging: str, out: str, features: list[str], month: str = "mon"):
@@ -30,9 +31,11 @@ def clean_batch(staging: str, out: str, features: list[str], month: str = "mon")
     return run
 
 
-def clean_stream(arriving: DataFrame, profile: cl.Profile, features: list[str], staging: str, out: str, checkpoint: str,
+def clean_stream(arriving: DataFrame, profile: cl.Profile | str, features: list[str], staging: str, out: str, checkpoint: str,
                  month: str = "mon"):
-    """Start the streaming query over all files available now."""
+    """Start the streaming query over all files available now; ``profile`` may be the path of a stored one."""
+    if isinstance(profile, str):
+        profile = cl.to_profile(read_profile(arriving.sparkSession, profile))
     rows = cl.rowwise(arriving, features, profile)
     return (rows.writeStream.foreachBatch(clean_batch(staging, out, features, month))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
