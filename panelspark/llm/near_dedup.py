@@ -15,8 +15,9 @@ found, of a pair at 0.85 all but 2 in 100,000. Every link is verified on the ful
 2. In each bucket of a band every node is compared with the bucket's smallest node only. The links
    found make components; a bucket of thousands of near copies is one component after that.
 3. Buckets that still hold several components are compared in blocks: members outside the smallest
-   node's component against all, in chunks of ``CHUNK``, by signature; pairs that come near the
-   threshold are verified. So no link between components is lost, and no pairs inside one are made.
+   node's component against all, in chunks of ``CHUNK``, by signature; those that come near the
+   threshold are verified in place, and a block returns one link for each component it joins. So no
+   link between components is lost, and no pairs inside one are made.
 
 Texts with one to four words are one shingle of all their words. Texts without words (and nulls)
 link with nothing. Repeated rows are copies of each other; ``kept`` is true for exactly one row of a
@@ -131,10 +132,8 @@ def band_keys(batches):
                                          names=["rid", "bucket"])
 
 
-def verified(stored: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is at least ``THRESHOLD``."""
-    pairs = cut_lineage(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
+def shingle_sets(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rid and its sorted strips (32 bits each) for every rid of ``wanted``."""
     wanted = wanted.groupBy(F.shiftright("rid", 20).alias("batch")).agg(F.collect_list((F.col("rid") % (1 << 20)).cast("int")).alias("places"))
 
     def shingles(batches):
@@ -147,8 +146,12 @@ def verified(stored: DataFrame, pairs: DataFrame) -> DataFrame:
                 sets = [np.unique(x >> np.uint64(32)).astype("<u4").tobytes() for x in np.split(hashes, cut)]
                 yield pa.RecordBatch.from_arrays([pa.array((row["batch"] << 20) + places), pa.array(sets, pa.binary())], names=["rid", "set"])
 
-    sets = cut_lineage(stored.join(wanted, "batch").mapInArrow(shingles, "rid long, set binary"), "shingles")
+    # the same join at every size: a broadcast on small tables would hide what it moves on large ones
+    return cut_lineage(stored.join(wanted.hint("merge"), "batch").mapInArrow(shingles, "rid long, set binary"), "shingles")
+
 
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity is at least ``THRESHOLD``."""
     def similar(batches):
         for batch in slices(batches, "x", 4 << 20):
             keep = []
@@ -164,7 +167,7 @@ def verified(stored: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def chunk_pairs(members: DataFrame) -> DataFrame:
-    """Members of mixed buckets, dealt to blocks: (bucket, i, j, side, rid, root, sig).
+    """Members of mixed buckets, dealt to blocks: (bucket, i, j, side, rid, root).
 
     Own members (of the smallest node's component) only meet others; others also meet each other.
     """
@@ -180,23 +183,39 @@ def chunk_pairs(members: DataFrame) -> DataFrame:
     meet_own = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.struct((-1 - i).alias("i"), F.col("place").alias("j"), F.lit(1).alias("side")))
     meet_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(
         F.least(j, F.col("place")).alias("i"), F.greatest(j, F.col("place")).alias("j"), (j < F.col("place")).cast("int").alias("side")))
-    return dealt.select("bucket", "rid", "root", "sig", F.explode(F.coalesce(left, F.concat(meet_own, meet_others))).alias("at")).select(
-        "bucket", "at.i", "at.j", "at.side", "rid", "root", "sig")
+    return dealt.select("bucket", "rid", "root", F.explode(F.coalesce(left, F.concat(meet_own, meet_others))).alias("at")).select(
+        "bucket", "at.i", "at.j", "at.side", "rid", "root")
 
 
-def near_pairs(group: pa.Table) -> pa.Table:
-    """Pairs of one block with different roots and nearly enough equal coordinates."""
-    side, rid, root = (group.column(c).to_numpy() for c in ("side", "rid", "root"))
+def near_links(group: pa.Table) -> pa.Table:
+    """Links of one block that join different components: at most one for each component that they join.
+
+    Members whose signatures come near the threshold are compared on their full shingles, one member
+    with all its candidates at a time; a link gives both components one label, so that the rest of
+    them is not compared again.
+    """
+    side, rid, label = (group.column(c).to_numpy() for c in ("side", "rid", "root"))
+    label = label.copy()
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u4").reshape(-1, SIZE)
+    sets = [np.frombuffer(x, "<u4") for x in group.column("set").to_pylist()]
+    size = np.array([len(x) for x in sets])
     inside = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-    x, y = (np.arange(len(rid)),) * 2 if inside else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    x, y = (np.arange(len(rid)),) * 2 if inside else (np.flatnonzero(side == 1), np.flatnonzero(side == 0))
     out = []
     for i in x:
-        rest = y[y > i] if inside else y
-        rest = rest[root[rest] != root[i]]
-        hit = rest[(sig[rest] == sig[i]).sum(axis=1) >= NEAR]
-        out.append(np.stack([np.minimum(rid[i], rid[hit]), np.maximum(rid[i], rid[hit])], axis=1))
-    made = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        rest = y[label[y] != label[i]]
+        rest = rest[(sig[rest] == sig[i]).sum(axis=1) >= NEAR]
+        if not len(rest):
+            continue
+        flat = np.concatenate([sets[j] for j in rest])
+        own = sets[i]
+        found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        both = np.add.reduceat(found, np.append(0, np.cumsum(size[rest])[:-1]), dtype=np.int64)
+        for j in rest[both >= THRESHOLD * (size[i] + size[rest] - both)]:
+            if label[j] != label[i]:
+                out.append((rid[i], rid[j]))
+                label[label == label[j]] = label[i]
+    made = np.array(out, np.int64).reshape(-1, 2)
     return pa.table({"a": made[:, 0], "b": made[:, 1]})
 
 
@@ -215,7 +234,8 @@ def classes(stored: DataFrame) -> DataFrame:
     buckets = nodes.mapInArrow(band_keys, "rid long, bucket long")
     shared = buckets.groupBy("bucket").agg(F.min("rid").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = cut_lineage(buckets.join(shared, "bucket"), "members")
-    links = verified(stored, members.filter("hub < rid").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct())
+    sets = shingle_sets(stored, members.select("rid").distinct())
+    links = verified(sets, members.filter("hub < rid").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct())
     first = cut_lineage(components(links), "components")
 
     def rooted(df, node, root):
@@ -224,9 +244,9 @@ def classes(stored: DataFrame) -> DataFrame:
 
     placed = rooted(rooted(members, "rid", "root"), "hub", "home")
     mixed = placed.groupBy("bucket").agg(F.max((F.col("root") != F.col("home")).cast("int")).alias("_mixed")).filter("_mixed = 1").drop("_mixed")
-    open_ = cut_lineage(placed.join(mixed, "bucket").join(nodes, "rid"), "open")
-    more = chunk_pairs(open_).groupBy("bucket", "i", "j").applyInArrow(near_pairs, "a long, b long").distinct()
-    links = links.unionByName(verified(stored, more))
+    open_ = cut_lineage(placed.join(mixed, "bucket"), "open")
+    blocks = chunk_pairs(open_).join(nodes, "rid").join(sets, "rid")
+    links = links.unionByName(blocks.groupBy("bucket", "i", "j").applyInArrow(near_links, "a long, b long"))
     roots = cut_lineage(components(links), "components").withColumnRenamed("node", "rid")
 
     whole = signed.drop("sig").join(copies, ["c1", "c2"], "left").select(
@@ -256,4 +276,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 whole = unpacked(row["payload"]).column("_rest")
                 yield pa.RecordBatch.from_arrays([whole.take(pa.array(sorted(row["places"])))], names=["_row"])
 
-    return stored.join(kept, "batch").mapInArrow(taken, f"_row {kind}").select("_row.*")
+    return stored.join(kept.hint("merge"), "batch").mapInArrow(taken, f"_row {kind}").select("_row.*")
