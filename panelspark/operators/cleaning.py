@@ -105,13 +105,14 @@ def profile_sample(df: DataFrame, keys: list[str], features: list[str], per_chun
     The chunk and the drawing order are hashes of the row key and the seed, so chunks are even
     and a rerun draws the same rows.
     """
+    named = lambda *more: F.concat_ws("|", *more, *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
     chunks = F.greatest(F.lit(1), F.ceil(df.agg(F.count("*").alias("n")).scalar() / chunk_rows))
     cells = (
-        df.withColumn("chunk", F.pmod(F.xxhash64(*keys, F.lit(seed)), chunks))
+        df.withColumn("chunk", F.pmod(F.conv(F.left(F.md5(named()), F.lit(8)), 16, 10).cast("bigint"), chunks))
         .select("chunk", *keys, *[F.col(c).cast("double").alias(c) for c in features])
         .unpivot(["chunk", *keys], features, "feature", "value").filter(F.col("value").isNotNull())
     )
-    draw = Window.partitionBy("chunk", "feature").orderBy(F.xxhash64(F.lit(seed), "feature", *keys), *keys)
+    draw = Window.partitionBy("chunk", "feature").orderBy(F.md5(named(F.col("feature"))), *keys)
     return cells.withColumn("pick", F.row_number().over(draw)).filter(F.col("pick") <= per_chunk).drop("pick")
 
 

@@ -64,7 +64,7 @@ def random_mask(samples: DataFrame, features: list[str], length: int, rate: floa
 
     def masked(j):
         drawn = F.array_sort(F.transform(steps, lambda s: F.struct(
-            F.xxhash64(F.col(key), F.col(day), F.lit(j), s, F.lit(seed)).alias("h"), s.alias("s"))))
+            F.md5(F.concat_ws("|", *[x.cast("string") for x in (F.col(key), F.col(day), F.lit(j), s, F.lit(seed))])).alias("h"), s.alias("s"))))
         return F.transform(F.slice(drawn, 1, k), lambda d: d["s"]) if k else F.array().cast("array<int>")
 
     hidden = samples.withColumns({f"_m{j}": masked(j) for j in range(len(features))})

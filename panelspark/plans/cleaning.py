@@ -69,11 +69,19 @@ def profile_approx(spark, sf):
     return cl.profile_approx(v.factors(spark, sf), FACTORS)
 
 
-@query("profile_sampled")
+SAMPLE_SQL = f"""sc AS (SELECT *, ('0x' || left(md5(concat_ws('|', sec, dt, '{C.SAMPLE_SEED}')), 8))::BIGINT
+  % CAST(greatest(1, ceil((SELECT count(*) FROM factors) / 10000)) AS BIGINT) AS chunk FROM factors),
+sl AS ({" UNION ALL ".join(f"SELECT chunk, sec, dt, '{c}' AS feature, {c} AS value FROM sc WHERE {c} IS NOT NULL" for c in FACTORS)}),
+sp AS (SELECT *, row_number() OVER (PARTITION BY chunk, feature ORDER BY md5(concat_ws('|', feature, sec, dt, '{C.SAMPLE_SEED}')), sec, dt) AS pick FROM sl)"""
+
+
+@query("profile_sampled", f"WITH {SAMPLE_SQL} SELECT feature, " + ", ".join(
+    f"rnd(quantile_cont(value, {p}), 6) AS {n}" for n, p in C.PROFILE_PROBS.items()) + " FROM sp WHERE pick <= 4000 GROUP BY feature")
 def profile_sampled(spark, sf):
+    """Sampling is the feature here; the cleaning reads the exact profile."""
     cells = cl.profile_sample(factors(spark, sf), ["sec", "dt"], FACTORS, chunk_rows=10000, per_chunk=4000)
     picked = cells.select(*[F.when(F.col("feature") == c, F.col("value")).alias(c) for c in FACTORS])
-    return cl.profile_table(picked, FACTORS)
+    return cl.profile_table(cut_lineage(picked, "sampled"), FACTORS).select("feature", *[rnd(n).alias(n) for n in C.PROFILE_PROBS])
 
 
 @query("feature_category", "SELECT p_partkey, p_name, CASE " + " ".join(

@@ -208,11 +208,17 @@ def label_encode(spark, sf):
     return mp.label_encode(s, "sec", "sector")
 
 
-@query("random_mask")
+HIDDEN = [f"row_number() OVER (PARTITION BY s.sec, s.day ORDER BY md5(concat_ws('|', s.sec, s.day, {j}, s.step, 42))) <= {round(L * 0.3)}" for j in range(len(CLOSE))]
+
+
+@query("random_mask", f"""WITH {SEQ_SQL},
+st AS (SELECT sec, day, CAST(unnest(range({L})) AS INTEGER) AS step FROM sv WHERE valid)
+SELECT s.sec, s.day, s.step, {", ".join(f"rnd(CASE WHEN {h} THEN 0 ELSE f.{c} END, 8) AS {c}" for c, h in zip(CLOSE, HIDDEN, strict=True))}
+FROM st s JOIN feat f ON f.sec = s.sec AND f.day = s.day - {L} + s.step""")
 def random_mask(spark, sf):
     masked = mp.random_mask(samples(spark, sf).filter("valid"), CLOSE, L, 0.3, 42)
     steps = masked.select("sec", "day", F.posexplode("masked_x").alias("step", "r"))
-    return steps.select("sec", "day", "step", *[F.col("r")[i].alias(c) for i, c in enumerate(CLOSE)])
+    return steps.select("sec", "day", "step", *[rnd(F.col("r")[i], 8).alias(c) for i, c in enumerate(CLOSE)])
 
 
 LATEST_SQL = f"""{FEATURES_SQL},
