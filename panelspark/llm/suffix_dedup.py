@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelspark.llm.common import M1, M2, combine, mix, raw_bytes, slices, text_key
 from panelspark.storage import cut_lineage
 
-LENGTH, GRAM, HOT = 400, 128, 4096
+LENGTH, GRAM, HOT = 400, 128, 512
 BATCH, BLOCK = 4 << 20, 8 << 20
 LOW = (1 << 24) - 1
 KEYS = ["_id", "_k1", "_k2"]
