@@ -104,29 +104,30 @@ def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every ``u`` has one ``v`` and no ``v`` is a ``u``."""
+    degree = edges.groupBy("u").agg(F.count("*").alias("n"))
+    centres = edges.select(F.col("v").alias("u"), F.lit(1).alias("centre")).distinct()
+    return degree.join(centres, "u", "left").filter("n > 1 OR centre = 1").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest id reachable from every id named by an edge: columns ``node``, ``root``.
 
-    Alternating large-star and small-star steps; each halves the distance to the root. Every round
-    is written as a table. A hub's edges are only ever aggregated, never gathered.
+    Alternating large-star and small-star steps, until all edges lead to roots. Every round is
+    written as a table. A hub's edges are only ever aggregated, never gathered.
     """
     def pairs(df, x, y):
         return df.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).filter("u > v").distinct()
 
     current = cut_lineage(pairs(edges, a, b), "edges")
-    before = None
-    while True:
+    while not is_forest_of_stars(current):
         both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = pairs(both.join(low, "u").filter("v > u").select("v", "m").union(
-            both.join(low, "u").filter("v <= u").select("u", "m")), "v", "m")
-        large = cut_lineage(large, "large")
+        # greater neighbours go to the least one; a node itself keeps its link to that one
+        large = both.join(low, "u").select(F.when(F.col("v") > F.col("u"), F.col("v")).otherwise(F.col("u")).alias("v"), "m")
+        large = cut_lineage(pairs(large, "v", "m"), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = pairs(large.join(low, "u").select("v", "m").union(low.select("u", "m")), "v", "m")
-        current = cut_lineage(small, "small")
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        current = cut_lineage(pairs(large.join(low, "u").select("v", "m").union(low.select("u", "m")), "v", "m"), "small")
     roots = current.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return roots.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
