@@ -121,3 +121,9 @@ def test_release_removes_the_tables(spark):
     assert path_exists(spark, path)
     release(spark)
     assert not path_exists(spark, application_dir(spark))
+
+
+def test_indicators_sort_the_panel_once(spark, sf):
+    from panelspark.plans import signals
+    plan = signals.indicators(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
