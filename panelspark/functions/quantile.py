@@ -16,6 +16,7 @@ from panelspark.functions.ordered import running_sums
 from panelspark.storage import cut_lineage
 
 RESOLUTION = 128  # buckets per factor e: small histograms, each bucket under 1% wide
+GROUPED_RESOLUTION = 8  # with groups, coarse enough that a task meets a bucket of a group more than once
 WINDOW_ROWS = 2_000_000  # largest bucket that one window task may rank
 
 
@@ -37,7 +38,7 @@ def exact_quantiles(df: DataFrame, by: list[str], columns: list[str],
         df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
         .unpivot(by, columns, "feature", "value")
         .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        .withColumn("bucket", value_bucket(F.col("value")))
+        .withColumn("bucket", value_bucket(F.col("value"), GROUPED_RESOLUTION if by else RESOLUTION))
     )
     keys = [*by, "feature"]
     up = Window.partitionBy(*keys).orderBy("bucket")
