@@ -220,7 +220,8 @@ def near_links(group: pa.Table) -> pa.Table:
 
 
 def stored_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    rows = docs.select(F.struct("*").alias("_rest"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("_order"),
+    rest = [F.col(c) for c in docs.columns if c != text] or [F.lit(0).alias("_none")]
+    rows = docs.select(F.struct(*rest).alias("_rest"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("_order"),
                        F.col(text).cast("string").alias("_text"))
     return store(rows, "_text", BATCH)
 
@@ -268,12 +269,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     stored = stored_rows(docs, doc_id, text)
     kept = classes(stored).filter("kept").groupBy(F.shiftright("rid", 20).alias("batch")).agg(
         F.collect_list((F.col("rid") % (1 << 20)).cast("int")).alias("places"))
-    kind = docs.select(F.struct("*").alias("_row")).schema["_row"].dataType.simpleString()
+    rest = [c for c in docs.columns if c != text]
+    kind = docs.select(F.struct(*rest).alias("_rest")).schema["_rest"].dataType.simpleString()
 
     def taken(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                whole = unpacked(row["payload"]).column("_rest")
-                yield pa.RecordBatch.from_arrays([whole.take(pa.array(sorted(row["places"])))], names=["_row"])
+                whole, places = unpacked(row["payload"]), pa.array(sorted(row["places"]))
+                yield pa.RecordBatch.from_arrays([whole.column(c).take(places) for c in ("_rest", "_text")], names=["_rest", "_text"])
 
-    return stored.join(kept.hint("merge"), "batch").mapInArrow(taken, f"_row {kind}").select("_row.*")
+    return stored.join(kept.hint("merge"), "batch").mapInArrow(taken, f"_rest {kind}, _text string").select(
+        *[F.col("_text").cast(docs.schema[c].dataType).alias(c) if c == text else F.col("_rest")[c].alias(c) for c in docs.columns])
