@@ -7,9 +7,10 @@ at a leaf, visits it. How many leaves are visited is calibrated: for ``PROBES``
 sample) the exact neighbours among all rows are found, and visits are widened until these queries
 reach ``RECALL``.
 
-Vectors of a leaf and queries that visit it meet in blocks of ``CHUNK`` by ``CHUNK`` rows, so neither a
-leaf that holds a third of all vectors nor one that all queries visit goes to one task. A block keeps
-the best ``k`` per query; the best of these are the result. Scores are sums of products in double
+Neighbouring leaves form ``BUNDLES`` bundles. Vectors of a bundle and queries that visit any of its
+leaves meet in blocks of ``CHUNK`` by ``CHUNK`` rows, so neither a leaf that holds a third of all vectors
+nor one that all queries visit goes to one task. Inside a block a query only meets the leaves that it
+visits. A block keeps the best ``k`` per query; the best of these are the result. Scores are sums of products in double
 precision, in the same order for equal vectors, and ties go to the smaller vec_id.
 
 See ``vectors.usable`` for rows that take no part. Repeated rows count once; a query never finds its
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelspark.llm.vectors import matrix, usable
 from panelspark.storage import cut_lineage
 
-SAMPLE, BRANCH, LEAF, PROBES, RECALL, CHUNK = 20_000, 12, 64, 256, 0.97, 4096
+SAMPLE, BRANCH, LEAF, PROBES, RECALL, CHUNK, BUNDLES = 20_000, 12, 64, 256, 0.97, 4096, 16
 
 
 class Tree:
@@ -109,6 +110,28 @@ def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def best_in_leaves(queries, query_ids, visited: list, vectors, ids, leaf, k: int):
+    """The same, each query among the vectors of the leaves it visits."""
+    order = np.argsort(leaf, kind="stable")
+    vectors, ids, leaf = vectors[order], ids[order], leaf[order]
+    wanted = np.concatenate([np.asarray(v, np.int64) for v in visited])
+    asker = np.repeat(np.arange(len(visited)), [len(v) for v in visited])
+    by_leaf = np.argsort(wanted, kind="stable")
+    wanted, asker = wanted[by_leaf], asker[by_leaf]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for x in np.unique(leaf):
+        own = slice(*np.searchsorted(leaf, [x, x + 1]))
+        who = asker[slice(*np.searchsorted(wanted, [x, x + 1]))]
+        if len(who):
+            query, found, score = best(queries[who], query_ids[who], vectors[own], ids[own], k)
+            out.append((who[query], found, score))
+    query, found, score = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((found, -score, query))
+    query, found, score = query[order], found[order], score[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[place < k], found[place < k], score[place < k]
+
+
 def ranked(df: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -156,27 +179,33 @@ def search(df: DataFrame, is_query, k: int = 20) -> DataFrame:
 
     def routed(batches):
         for batch in batches:
-            leaves = [tree.visits(q, most) for q in matrix(batch.column("embedding"))]
-            yield batch.append_column("leaves", pa.array(leaves, pa.list_(pa.int64())))
-
-    visits = queries.mapInArrow(routed, "vec_id long, embedding array<double>, leaves array<long>")
-    visits = cut_lineage(visits.select("vec_id", "embedding", F.explode("leaves").alias("leaf")), "visits")
-    counts = index.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).join(
-        visits.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("teams")), "leaf")
-
-    def dealt(df, own, other):
+            for i, query in enumerate(matrix(batch.column("embedding"))):
+                leaves = np.sort(tree.visits(query, most))
+                bundles = leaves * BUNDLES // tree.leaves
+                cut = np.flatnonzero(np.diff(bundles)) + 1
+                row = batch.slice(i, 1).take(pa.array(np.zeros(len(cut) + 1, np.int64)))
+                row = row.append_column("leaves", pa.array([x.tolist() for x in np.split(leaves, cut)], pa.list_(pa.int64())))
+                yield row.append_column("bundle", pa.array(bundles[np.append(0, cut)]))
+
+    visits = cut_lineage(queries.mapInArrow(routed, "vec_id long, embedding array<double>, leaves array<long>, bundle long"), "visits")
+    index = index.withColumn("bundle", F.floor(F.col("leaf") * BUNDLES / tree.leaves))
+    counts = index.groupBy("bundle").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).join(
+        visits.groupBy("bundle").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("teams")), "bundle")
+
+    def dealt(df, own, other, more):
         place = F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int")
-        return df.join(counts, "leaf").select("leaf", place.alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other), "vec_id", "embedding")
+        return df.join(counts, "bundle").select("bundle", place.alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other), "vec_id", "embedding", more)
 
-    keys = ["leaf", "parts", "teams"]
+    keys = ["bundle", "parts", "teams"]
 
     def meet(vectors: pa.Table, asked: pa.Table) -> pa.Table:
         ids, query_ids = vectors.column("vec_id").to_numpy(), asked.column("vec_id").to_numpy()
         if not len(ids) or not len(query_ids):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        query, found, score = best(matrix(asked.column("embedding")), query_ids, matrix(vectors.column("embedding")), ids, k)
+        query, found, score = best_in_leaves(matrix(asked.column("embedding")), query_ids, asked.column("leaves").to_pylist(),
+                                             matrix(vectors.column("embedding")), ids, vectors.column("leaf").to_numpy(), k)
         return pa.table({"query_id": query_ids[query], "vec_id": found, "score": score})
 
-    found = dealt(index, "parts", "teams").groupBy(*keys).cogroup(dealt(visits, "teams", "parts").groupBy(*keys)).applyInArrow(
+    found = dealt(index, "parts", "teams", "leaf").groupBy(*keys).cogroup(dealt(visits, "teams", "parts", "leaves").groupBy(*keys)).applyInArrow(
         meet, "query_id long, vec_id long, score double")
     return ranked(found, k).select("query_id", "rank", "vec_id", "score")
