@@ -129,18 +129,18 @@ def by_sector(sector: Column, settings: list[tuple[str, int]], make) -> Column:
 def moving_average_by_sector(df: DataFrame, price: str, settings: list[tuple[str, int]], sector: str, keys, date: str,
                              name: str) -> DataFrame:
     """Moving average whose row count depends on the row's sector: two running totals, and per setting
-    only their values that many rows ago. Centring on the series mean keeps the totals, and so their
-    rounding, small."""
+    only their values that many rows ago. Centring on the rounded series mean keeps the totals, and so
+    their rounding, small."""
     win = series(keys, date)
     whole = Window.partitionBy(*([keys] if isinstance(keys, str) else keys))
     p = F.when(F.abs(F.col(price)) < float("inf"), F.col(price))
-    centred = df.withColumn("_mid", F.avg(p).over(whole)).withColumn("_p", p - F.col("_mid"))
+    centred = df.withColumn("_mid", F.round(F.avg(p).over(whole))).withColumn("_p", p - F.col("_mid"))
     total, count = running(F.col("_p"), win)
     sums = centred.withColumns({"_ps": total, "_pn": count})
     pick = lambda make: by_sector(F.col(sector), settings, make)
     parts = sums.withColumns({"_ws": pick(lambda w: trailing("_ps", w, win)), "_wn": pick(lambda w: trailing("_pn", w, win))})
     need = pick(lambda w: F.lit(max(5, w // 4)))
-    return parts.withColumn(name, F.when(F.col("_wn") >= need, F.col("_mid") + F.col("_ws") / F.col("_wn"))).drop(
+    return parts.withColumn(name, F.when(F.col("_wn") >= need, (F.col("_ws") + F.col("_mid") * F.col("_wn")) / F.col("_wn"))).drop(
         "_ps", "_pn", "_ws", "_wn", "_mid", "_p")
 
 
