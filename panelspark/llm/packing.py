@@ -174,7 +174,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("length", "_slice").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = stored.withColumn("_own", F.row_number().over(inside) - 1).join(offsets, ["length", "_slice"]).select(
+    ranked = stored.withColumn("_own", F.row_number().over(inside) - 1).join(offsets.hint("merge"), ["length", "_slice"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("_own") + F.col("_before")).cast("long").alias("_rank"))
     table = np.array(sorted(slots), np.int64).reshape(-1, 6)
 
