@@ -158,6 +158,8 @@ def repeated(gram: np.ndarray, left: list, right: list) -> np.ndarray:
         # a suffix stays in the queue while a longer window of its own can still find a partner
         best = np.maximum(prefix, np.append(prefix[1:], 0))
         chosen = np.flatnonzero((far[member] > d) & (best >= LENGTH - far[member]))
+        if len(chosen) < 2:
+            break
         key = group[chosen] * 256 + before[member[chosen], d]
         order = np.argsort(key, kind="stable")
         chosen, key = chosen[order], key[order]

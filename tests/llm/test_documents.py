@@ -162,6 +162,15 @@ def test_suffix_dedup_blocks(monkeypatch):
     assert sorted(p for r in rows for p in range(r["p1"], r["p2"] + 1)) == list(range(len(text) - 399))
 
 
+def test_all_suffixes_leave_the_queue_at_once():
+    gram = np.array([1, 1, 2, 2])
+    same = [b"x" * 130 + bytes([i]) * 100 for i in (1, 2, 1, 2)]
+    assert not suffix_dedup.repeated(gram, [b"", b"ab", b"", b""], same).any()
+    assert not suffix_dedup.repeated(gram[:1], [b""], same[:1]).any()
+    whole = [b"x" * 400, b"x" * 400]
+    assert suffix_dedup.repeated(gram[:2], [b"a", b"b"], whole)[:, :2].tolist() == [[True, False], [True, False]]
+
+
 def test_induced_order_with_shuffled_borders(documents):
     """Many texts that share a passage with different neighbours: every border is found exactly."""
     rnd = random.Random(7)
