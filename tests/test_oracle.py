@@ -1,12 +1,12 @@
-"""Every registered query runs; those with a SQL twin return the same rows. Plans hold no cross
+"""Every query of the engine runs; those with a SQL twin return the same rows. Plans hold no cross
 product, and only the plug points enter Python workers."""
 
 import pytest
 
 import __spark_entry__ as entry
+from panelspark.plans.catalog import ORACLES, QUERIES
 from tests.oracle import compare, duck
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 PLUGS = {"vol_forecast_garch", "score_windows", "score_texts"}
 
 
