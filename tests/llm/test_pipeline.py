@@ -59,3 +59,21 @@ def test_entry_without_the_package(monkeypatch):
     monkeypatch.delitem(sys.modules, "__spark_entry__")
     bare = importlib.import_module("__spark_entry__")
     assert "pipeline" not in bare.queries() and "select_candidates" in bare.queries() and "op4_url_filters" not in bare.oracle_sql()
+
+
+CONTRACT = {
+    "op1_ann": "query_id bigint, rank int, vec_id bigint, score double",
+    "op3_cover_tree": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op5_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op6_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op7_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op8_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op9_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op10_quality_crf": "doc_id bigint, held_out boolean, score double, predicted int",
+}
+
+
+def test_query_columns(spark, sf):
+    for name, columns in CONTRACT.items():
+        df = queries.QUERIES[name](spark, sf)
+        assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) == columns, name
