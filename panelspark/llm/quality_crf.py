@@ -152,9 +152,20 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p) - np.log1p(-p)
 
 
+def training_lines(texts: list[str]):
+    """``line_features`` of many texts, about ``BATCH`` bytes at a time to keep the driver small."""
+    parts, at = [], 0
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    for piece in slices([batch], "text", BATCH):
+        own, size, doc = line_features(*raw_bytes(piece.column("text")))
+        parts.append((own, size, doc + at))
+        at += piece.num_rows
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def fit(texts: list[str], labels: list[int], steps: int = STEPS, ridge: float = 1e-3) -> Chain:
     """Maximum likelihood by Adam on full batches; lines carry their document's label."""
-    own, size, doc = line_features(*raw_bytes(pa.array(texts, pa.string())))
+    own, size, doc = training_lines(texts)
     y = np.asarray(labels, np.float64)
     line_y = y[doc]
     n_docs = len(texts)
