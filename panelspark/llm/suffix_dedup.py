@@ -93,13 +93,12 @@ def anchors(batches):
     names = [*KEYS, "p1", "p2", "at", "gram", "ctx"]
     for batch in slices(batches, "text", BATCH):
         data, starts = raw_bytes(batch.column("text"))
-        for a in range(0, max(1, len(data) - LENGTH + 1), BLOCK):  # only a single long text has several blocks
+        for a in range(0, max(1, len(data) - LENGTH + 1), BLOCK):  # a long text makes several, and shares them with its neighbours
             part = data[a : a + BLOCK + LENGTH - 1]
             if len(part) < LENGTH:
                 continue
-            inner = starts if len(data) <= BLOCK else np.array([0, len(part)])
-            row, p1, p2, at, gram, context = anchor_rows(part, inner)
-            first = inner[row] - a
+            row, p1, p2, at, gram, context = anchor_rows(part, np.clip(starts - a, 0, len(part)))
+            first = starts[row] - a
             keys = [batch.column(c).take(pa.array(row)) for c in KEYS]
             yield pa.RecordBatch.from_arrays(
                 keys + [pa.array(x - first, pa.int64()) for x in (p1, p2, at)] + [pa.array(x.view(np.int64)) for x in (gram, context)],

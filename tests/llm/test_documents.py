@@ -162,6 +162,34 @@ def test_suffix_dedup_blocks(monkeypatch):
     assert sorted(p for r in rows for p in range(r["p1"], r["p2"] + 1)) == list(range(len(text) - 399))
 
 
+def test_suffix_dedup_blocks_of_several_texts(monkeypatch):
+    """Texts that share a slice with one longer than a block keep all windows under their own keys."""
+    rnd = random.Random(2)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(9000))
+    shared = [None if i == 5 else long[i : i + i * 60] for i in range(20)]
+    for texts in ([long, *shared], [*shared, long], [*shared, long, *shared, long + "é"]):
+        batch = pa.RecordBatch.from_pydict({"_id": list(range(len(texts))), "_k1": [0] * len(texts), "_k2": [0] * len(texts), "text": texts})
+        for block in (700, 1500, 8 << 20):
+            monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+            rows = pa.Table.from_batches(list(suffix_dedup.anchors([batch]))).to_pylist()
+            seen = sorted((r["_id"], p) for r in rows for p in range(r["p1"], r["p2"] + 1))
+            assert seen == [(i, p) for i, t in enumerate(texts) for p in range(len((t or "").encode()) - 399)]
+            assert all(r["p1"] <= r["at"] <= r["p1"] + 272 and r["p2"] <= r["at"] for r in rows)
+
+
+def test_suffix_dedup_of_long_and_short_texts_in_one_batch(documents):
+    """Short texts behind one of more than a block; the long one repeats itself, which keeps the brute force small."""
+    rnd = random.Random(3)
+    draw = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    period, passage = draw(3000), draw(900)
+    long = draw(500) + passage + period * (suffix_dedup.BLOCK // 3000 + 100) + passage[:450] + draw(50)
+    short = [(i, draw(rnd.randint(0, 80)) + passage[rnd.randint(0, 200) : rnd.randint(500, 900)] + draw(80)) for i in range(1, 40)]
+    rows = [(0, long), *short]
+    got = suffix_dedup.without_repeats(documents(rows).coalesce(1).sortWithinPartitions("doc_id")).collect()
+    done = [(r["doc_id"], len(r["_kept"]) + r["_removed"], r["_removed"], r["_runs"], hashlib.sha256(r["_kept"]).hexdigest()) for r in got]
+    assert same(done, brute5(rows))
+
+
 def test_all_suffixes_leave_the_queue_at_once():
     gram = np.array([1, 1, 2, 2])
     same = [b"x" * 130 + bytes([i]) * 100 for i in (1, 2, 1, 2)]
