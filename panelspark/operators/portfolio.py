@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark import constants as C
-from panelspark.functions.expr import month_index, ratio
+from panelspark.functions.expr import month_index, ratio, same_key
 from panelspark.storage import cut_lineage
 
 
@@ -76,7 +76,7 @@ def top_bottom(df: DataFrame, by: list[str], score: str, key: str, n: int, m: in
     shorts = df.withColumn("pos", F.row_number().over(worst)).filter(F.col("pos") <= m)
     both = longs.withColumn("side", F.lit("long")).unionByName(shorts.withColumn("side", F.lit("short")))
     room = F.when(F.col("side") == "long", F.lit(n)).otherwise(F.greatest(F.lit(0), F.col("_size") - n))
-    return both.join(size, by).filter(F.col("pos") <= room).drop("_size")
+    return same_key(both, size, by).filter(F.col("pos") <= room).drop("_size")
 
 
 def minmax(c: Column, win) -> Column:

@@ -74,9 +74,9 @@ def read_company_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_portfolios(spark: SparkSession, path: str) -> DataFrame:
     """Positions of all portfolio documents; year, month and sector come from the file or folder name.
 
-    The sector may contain underscores.
+    The sector may contain underscores; a name without one is the portfolio of rows without a sector.
     """
-    doc = r"portfolio_(\d{4})_(\d{1,2})_([^/]+?)(?:\.json)?(?:/|$)"
+    doc = r"portfolio_(\d{4})_(\d{1,2})(?:_([^/]+?))?(?:\.json)?(?:/|$)"
     where = F.col("_metadata.file_path")
     docs = (spark.read.schema(PORTFOLIO_SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
             .select("*", where.alias("p")))
@@ -85,7 +85,7 @@ def read_portfolios(spark: SparkSession, path: str) -> DataFrame:
         F.transform(F.coalesce("short_positions", F.array().cast(T.ArrayType(POSITION))), lambda x: F.struct(F.lit("short").alias("side"), x.alias("p"))))
     return docs.select(
         F.regexp_extract("p", doc, 1).cast("int").alias("yr"), F.regexp_extract("p", doc, 2).cast("int").alias("mo"),
-        F.regexp_extract("p", doc, 3).alias("sector"), F.explode(both).alias("x")).select("yr", "mo", "sector", "x.side", "x.p.*")
+        F.nullif(F.regexp_extract("p", doc, 3), F.lit("")).alias("sector"), F.explode(both).alias("x")).select("yr", "mo", "sector", "x.side", "x.p.*")
 
 
 def read_filings(spark: SparkSession, paths: dict[int, str], years: range) -> DataFrame:

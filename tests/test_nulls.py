@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions.expr import same_key
-from panelspark.operators import cleaning as cl, indicators as ind, performance as pe, selection as sel, text as tx, universe as u
+from panelspark.operators import cleaning as cl, indicators as ind, performance as pe, portfolio as pf, selection as sel, text as tx, universe as u
 from panelspark.plans import views as v
 from panelspark.storage import application_dir, release, scratch_path
-from panelspark.sources.tables import path_exists
+from panelspark.sources import sinks
+from panelspark.sources.tables import path_exists, read_portfolios
 
 NAN = float("nan")
 DAY = datetime.date
@@ -73,6 +74,23 @@ def test_candidates_of_null_sector(spark):
     assert rows(got, "sec", "candidate_type", "selection_rank") == [(0, "short", 1), (9, "long", 1)]
 
 
+def test_portfolios_of_null_sector(spark, tmp_path):
+    scored = spark.createDataFrame([(s, 24181, i, float(i), float(i % 3)) for s in (None, "a") for i in range(4)],
+                                   "prefix string, m long, sec int, algo_score double, ml_score double")
+    by = ["m", "prefix"]
+    got = rows(pf.top_bottom(scored, by, "algo_score", "sec", 2, 3), "prefix", "sec", "side", "pos")
+    sides = [(3, "long", 1), (2, "long", 2), (0, "short", 1), (1, "short", 2)]
+    assert got == sorted([(s, *x) for s in (None, "a") for x in sides], key=repr)
+    built = pf.build_portfolios(scored, by, "sec", 2, 3)
+    columns = ("sec", "side", "combined_score", "weight")
+    assert len(rows(built, *columns)) == 8
+    assert rows(built.filter("prefix IS NULL"), *columns) == rows(built.filter("prefix = 'a'"), *columns)
+    named = built.select("*", F.lit(2015).alias("yr"), F.lit(2).alias("mo"), F.col("prefix").alias("sector"), F.col("sec").cast("string").alias("company_id"))
+    sinks.write_portfolios(named, str(tmp_path / "out"))
+    back = rows(read_portfolios(spark, str(tmp_path / "out")), "yr", "mo", "sector", "company_id", "side")
+    assert back == sorted([(2015, 2, s, str(i), side) for s in (None, "a") for i, side, _ in sides], key=repr)
+
+
 def test_nan_is_missing_when_cleaned(spark):
     profile = {"x": {"median": 7.0, "q01": 0.0, "q99": 10.0, "q0005": 0.0, "q995": 10.0}}
     df = spark.createDataFrame([(1, NAN), (2, 50.0), (3, None)], "sec int, x double")
