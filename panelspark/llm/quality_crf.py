@@ -202,8 +202,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | N
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(known), "doc_id").filter(F.char_length("text") <= LONGEST).limit(2 * sample)
-    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))  # at most two texts per sampled label
+    rows = texts.join(F.broadcast(known), "doc_id").filter(F.char_length("text") <= LONGEST)
+    one = F.min(F.struct(F.xxhash64("text").alias("_hash"), "text"))["text"].alias("text")  # of the rows with one doc_id
+    rows = sorted(rows.groupBy("doc_id", "quality").agg(one).collect(), key=lambda r: r["doc_id"])
     if not rows:
         return None
     return fit([r["text"] for r in rows], [r["quality"] for r in rows])

@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelspark.llm import byte_bpe, near_dedup, packing, quality_crf, substring_dedup, suffix_dedup
@@ -343,6 +344,17 @@ def test_quality_edges(documents, edge_rows, spark):
     assert quality_crf.score(docs, None).columns == [*docs.columns, "score"]
 
 
+def test_training_texts_of_repeated_ids(documents, monkeypatch):
+    """One text per sampled label, the same one in any order, however often a doc_id is repeated."""
+    monkeypatch.setattr(quality_crf, "fit", lambda texts, y: list(zip(texts, y, strict=True)))
+    docs = documents([(1, f"text {i}") for i in range(200)] + [(i, f"only {i}") for i in range(2, 30)])
+    labels = docs.select("doc_id", (F.col("doc_id") > 1).cast("int").alias("quality"))
+    got = quality_crf.train(docs.coalesce(1).orderBy("doc_id", "text"), labels, 100)
+    assert got == quality_crf.train(docs.coalesce(1).orderBy(F.desc("doc_id"), F.desc("text")), labels, 100)
+    assert sorted(t for t, y in got if y) == sorted(f"only {i}" for i in range(2, 30) if zlib.crc32(str(i).encode()) % 4 != 2)
+    assert sum(1 - y for _, y in got) == 1
+
+
 def test_marginals_match_enumeration():
     rnd = np.random.default_rng(0)
     score, moves, doc = rnd.normal(size=7), rnd.normal(size=(2, 2)), np.array([0, 0, 0, 1, 2, 2, 2])
