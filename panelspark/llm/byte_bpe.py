@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm.common import typed
 
-LEAF, SEGMENT = 1 << 14, 1 << 20
+LEAF, SEGMENT = 1 << 10, 1 << 20
 #: Fixed value: what the split pattern's library takes for white space (Python's ``\s`` has four more).
 BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SAFE = re.compile(f"(?<=[^{BLANK}])(?=[{BLANK}])")
@@ -93,8 +93,7 @@ class Monoid:
         return self.ids(head) if ids is None else self.ids(head) + ids + self.ids(tail)
 
     def encode(self, text: str | None) -> bytes:
-        text = text or ""
-        return self.ids(text) if len(text) <= LEAF else self.root(self.tree(text))
+        return self.root(self.tree(text or ""))
 
     def decode(self, ids: bytes) -> bytes:
         def up(part):

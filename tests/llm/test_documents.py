@@ -66,6 +66,17 @@ def test_byte_bpe_tree(library, monkeypatch):
         assert monoid.decode(ids) == text.encode()
 
 
+def test_byte_bpe_sends_every_text_through_the_tree(library, monkeypatch):
+    monoid, rnd, joins, roots = byte_bpe.Monoid(RANKS, public_tokenizers.PATTERN), random.Random(5), [], []
+    join, root = byte_bpe.Monoid.join, byte_bpe.Monoid.root
+    monkeypatch.setattr(byte_bpe.Monoid, "join", lambda self, a, b: joins.append(1) or join(self, a, b))
+    monkeypatch.setattr(byte_bpe.Monoid, "root", lambda self, element: roots.append(1) or root(self, element))
+    texts = ["".join(rnd.choice("ab  \n\t'sé9! 日x") for _ in range(n)) for n in (0, 1, 30, 1000, 3000, 16_384)]
+    for text in texts:
+        assert np.frombuffer(monoid.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+    assert len(roots) == len(texts) and len(joins) >= 16
+
+
 def test_byte_bpe_keeps_columns(documents):
     got = byte_bpe.encode(documents([(1, "a b"), (2, None)]), RANKS, public_tokenizers.PATTERN)
     assert got.columns == ["doc_id", "lang", "source", "n_chars", "_rest", "_k1", "batch", "spans", "ids"]
