@@ -305,6 +305,19 @@ def test_near_dedup_chain_and_mixed_buckets(documents):
     assert same(rows_of(got, "doc_id", "class_id"), brute2(rows))
 
 
+def test_blocks_verify_pairs_of_unlike_signatures(monkeypatch):
+    """A pair over the threshold is linked whatever its signatures say; one below it is not."""
+    monkeypatch.setattr(near_dedup, "FLAT", 150)
+    sets = [np.arange(100), np.arange(5, 105), np.arange(30, 130), np.arange(500, 600), np.arange(500, 581)]
+    sig = [np.full(near_dedup.SIZE, k, "<u4").tobytes() for k in range(len(sets))]
+    n = len(sets)
+    for i, j, side in ((0, 0, [0] * n), (-1, 0, [1, 0, 0, 1, 0])):
+        group = pa.table({"bucket": [1] * n, "i": [i] * n, "j": [j] * n, "side": side, "rid": list(range(n)), "root": list(range(n)),
+                          "sig": sig, "set": [x.astype("<u4").tobytes() for x in sets]})
+        links = near_dedup.near_links(group).to_pylist()
+        assert [sorted(r.values()) for r in links] == [[0, 1], [3, 4]]
+
+
 def test_signatures_estimate_weighted_similarity():
     rnd = random.Random(4)
     base = [f"w{i}" for i in range(300)]
