@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from panelspark.llm import ann, byte_bpe, cover_tree, near_dedup, packing, quality_crf, substring_dedup, suffix_dedup, url_filters, warc
+from panelspark.llm import alignment, ann, byte_bpe, centroids, cover_tree, fingerprints, near_dedup, packing, quality_crf, substring_dedup, suffix_dedup, url_filters, warc
 from panelspark.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -58,3 +58,19 @@ def cover_tree_links(spark, sf_dir):
 def url_filter_decisions(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return url_filters.evaluate(url_filters.dated(pages), url_filters.entries_of(pages))
+
+
+@query("op11_centroid_clustering", centroids.ORACLE)
+def centroid_clusters(spark, sf_dir):
+    return centroids.digests(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_fingerprints")
+def document_fingerprints(spark, sf_dir):
+    return fingerprints.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_tokenizer_alignment")
+def tokenizer_alignment(spark, sf_dir):
+    return alignment.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                             public_tokenizers.path("piece_bpe_32k.model"))
