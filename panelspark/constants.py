@@ -48,6 +48,7 @@ SIGNED_LOG_CATEGORIES = ["growth", "leverage"]
 PROFILE_PROBS = {"median": 0.5, "q0005": 0.005, "q01": 0.01, "q99": 0.99, "q995": 0.995}
 MAD_FLOOR = 1e-9
 FINAL_CLIP = 8.0
+SKETCH_SIZE = 4096  # accuracy parameter of the mergeable quantile sketches
 SAMPLE_ROWS_PER_CHUNK = 4000
 CHUNK_ROWS = 100_000
 SAMPLE_SEED = 42

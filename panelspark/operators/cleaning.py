@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from panelspark import constants as C
 from panelspark.functions.expr import clip, log1p_positive, month_of, nan_to_null, same_key, signed_log, without_nan
-from panelspark.functions.quantile import exact_quantiles, wide
+from panelspark.functions.quantile import exact_quantiles, median_and_mad, wide
 from panelspark.storage import cut_lineage
 
 Profile = dict[str, dict[str, float]]
@@ -90,12 +90,44 @@ def profile_table(df: DataFrame, features: list[str]) -> DataFrame:
     return exact_quantiles(df, [], features, C.PROFILE_PROBS)
 
 
-def profile_approx(df: DataFrame, features: list[str], accuracy: int = 10000) -> DataFrame:
-    """The same table from bounded sketches, in one pass."""
-    probs = list(C.PROFILE_PROBS.values())
-    wide_row = df.agg(*[F.percentile_approx(c, probs, accuracy).alias(c) for c in features])
-    long = wide_row.unpivot([], features, "feature", "q")
-    return long.select("feature", *[F.col("q")[i].cast("double").alias(n) for i, n in enumerate(C.PROFILE_PROBS)])
+def profile_sketches(df: DataFrame, by: list[str], features: list[str], k: int = C.SKETCH_SIZE) -> DataFrame:
+    """One mergeable quantile sketch per group and feature: rows (group, feature, sketch, n).
+
+    Written as a table, it answers for any span of groups later without the rows. A sketch holds
+    about ``3 k`` numbers however many values it has seen; groups without known values have no row.
+    """
+    each = df.groupBy(*by).agg(*[F.kll_sketch_agg_double(nan_to_null(F.col(c).cast("double")), F.lit(k)).alias(c) for c in features])
+    long = each.unpivot(by, features, "feature", "sketch").withColumn("n", F.kll_sketch_get_n_double("sketch"))
+    return long.filter("n > 0")
+
+
+def merged_profile(sketches: DataFrame, by: list[str] = ()) -> DataFrame:
+    """The profile table of any span of groups, and ``n``, the number of values behind it."""
+    merged = sketches.groupBy(*by, "feature").agg(F.kll_merge_agg_double("sketch").alias("s"), F.sum("n").alias("n"))
+    q = F.kll_sketch_get_quantile_double("s", F.array(*map(F.lit, C.PROFILE_PROBS.values())))
+    named = merged.withColumn("q", q).select(*by, "feature", "n", *[F.col("q")[i].alias(c) for i, c in enumerate(C.PROFILE_PROBS)])
+    return named
+
+
+def sketch_error(k: int = C.SKETCH_SIZE) -> float:
+    """Rank error that a quantile of a sketch keeps to: twice the one stated for 99 of 100 answers."""
+    return 2 * 2.296 / k ** 0.9021
+
+
+def profile_approx(df: DataFrame, features: list[str], k: int = C.SKETCH_SIZE) -> DataFrame:
+    """The profile table from bounded sketches, in one pass."""
+    return merged_profile(profile_sketches(df, [], features, k)).drop("n")
+
+
+def profile_ranks(df: DataFrame, profile: Profile) -> DataFrame:
+    """Where the values of a profile truly stand: rows (feature, stat, below, upto), shares of the known values."""
+    features = [c for c in profile if c in df.columns]
+    stats = [(c, n, profile[c][n]) for c in features for n in C.PROFILE_PROBS if profile[c][n] is not None]
+    x = {c: nan_to_null(F.col(c).cast("double")) for c in features}
+    row = df.agg(*[F.struct(F.avg((x[c] < v).cast("double")).alias("below"), F.avg((x[c] <= v).cast("double")).alias("upto")).alias(f"{c}|{n}")
+                   for c, n, v in stats])
+    long = row.unpivot([], [f"{c}|{n}" for c, n, _ in stats], "at", "q")
+    return long.select(F.substring_index("at", "|", 1).alias("feature"), F.substring_index("at", "|", -1).alias("stat"), "q.below", "q.upto")
 
 
 def profile_sample(df: DataFrame, keys: list[str], features: list[str], per_chunk: int = C.SAMPLE_ROWS_PER_CHUNK,
@@ -157,12 +189,13 @@ def robust_scale(df: DataFrame, month: str, features: list[str], cap: float | No
     same values.
     """
     df = cut_lineage(without_nan(df, features), "unscaled")
-    half = {"median": 0.5}
-    med = wide(exact_quantiles(df, [month], features, half), [month], features, "median", "_med")
-    centred = same_key(df, med, [month], "left")
-    spread = centred.select(month, *[F.abs(F.col(c) - F.col(f"{c}_med")).alias(c) for c in features])
-    mad = wide(exact_quantiles(spread, [month], features, half), [month], features, "median", "_mad")
-    both = same_key(centred, mad, [month], "left")
+    return scaled_by(df, month, features, cut_lineage(median_and_mad(df, [month], features), "month_stats"), cap)
+
+
+def scaled_by(df: DataFrame, month: str, features: list[str], stats: DataFrame, cap: float | None = C.FINAL_CLIP) -> DataFrame:
+    """Scale by ``stats``, which has rows (month, feature, median, mad)."""
+    each = wide(stats, [month], features, {"median": "_med", "mad": "_mad"})
+    both = same_key(df, each, [month], "left")
 
     def scaled(c):
         width = F.when(F.col(f"{c}_mad") == 0, C.MAD_FLOOR).otherwise(F.col(f"{c}_mad"))

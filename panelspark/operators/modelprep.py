@@ -11,6 +11,8 @@ from panelspark.functions.expr import ratio, same_key
 from panelspark.functions.ordered import running_sums, with_row_number
 from panelspark.storage import cut_lineage
 
+RIDGE = 1e-3
+
 
 def sequences(grid: DataFrame, length: int, features: list[str], close: str = "close_raw", key: str = "sec",
               day: str = "day", check: list[str] | None = None) -> DataFrame:
@@ -107,19 +109,63 @@ def score_windows(windows: DataFrame, model: Callable, key: str = "sec", name: s
     return windows.select(key, "x").mapInPandas(run, f"{key} {key_type}, {name} double")
 
 
-def fit_baseline(samples: DataFrame, n_inputs: int):
-    """Linear regression of the label on the flattened window, fitted by Spark on valid samples."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    assembler = VectorAssembler(inputCols=[f"x{i}" for i in range(n_inputs)], outputCol="inputs")
-    train = assembler.transform(flat_windows(samples.filter("valid"), n_inputs))
-    return assembler, LinearRegression(featuresCol="inputs", labelCol="target", regParam=1e-3).fit(train)
+def moments(samples: DataFrame, inputs: str, target: str):
+    """Count, means and covariance matrix of the inputs (an array column) followed by the target.
 
+    Two passes: means first, then sums of outer products of what is left, which loses no digits to
+    large means. A task returns one row per input; the matrix that reaches the driver has the size
+    of the model, whatever the number of samples.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows = samples.filter(F.col(inputs).isNotNull() & F.col(target).isNotNull() & ~F.exists(inputs, lambda v: v.isNull() | F.isnan(v)))
+    rows = rows.select(F.concat(F.col(inputs).cast("array<double>"), F.array(F.col(target).cast("double"))).alias("v"))
+    means = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.count("*").alias("n")).orderBy("i").collect()
+    if not means:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    centre = np.array([r["m"] for r in means])
+
+    def outer(batches):
+        total = np.zeros((len(centre), len(centre)))
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(centre)) - centre
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centre), dtype=np.int32)), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["i", "s"])
+
+    sums = rows.mapInArrow(outer, "i int, s array<double>").select("i", F.posexplode("s").alias("j", "s"))
+    matrix = np.zeros((len(centre), len(centre)))
+    for r in sums.groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
+        matrix[r["i"], r["j"]] = r["s"] / means[0]["n"]
+    return means[0]["n"], centre, matrix
+
+
+def fit_baseline(samples: DataFrame, inputs: str = "inputs", target: str = "target", ridge: float = RIDGE) -> DataFrame:
+    """Linear regression of ``target`` on the array ``inputs``: rows (term, coefficient), term -1 the intercept.
+
+    Normal equations of the centred values, solved by Cholesky factors. ``ridge`` times an input's
+    variance is added to the diagonal, so the scale of an input does not matter and dependent
+    inputs share their weight. Constant inputs get 0; no samples give no rows.
+    """
+    import numpy as np
 
-def flat_windows(samples: DataFrame, n_inputs: int) -> DataFrame:
-    cells = samples.withColumn("_f", F.flatten("x"))
-    return cells.select("*", *[F.col("_f")[i].alias(f"x{i}") for i in range(n_inputs)]).drop("_f", "x")
+    n, centre, cov = moments(samples, inputs, target)
+    beta = np.zeros(max(0, len(centre) - 1))
+    used = np.flatnonzero(np.diag(cov)[:-1] > 0)
+    if len(used):
+        inner = cov[np.ix_(used, used)] + np.diag(ridge * np.diag(cov)[used])
+        root = np.linalg.cholesky(inner)
+        beta[used] = np.linalg.solve(root.T, np.linalg.solve(root, cov[used, -1]))
+    terms = [(i, float(b)) for i, b in enumerate(beta)] + ([(-1, float(centre[-1] - beta @ centre[:-1]))] if n else [])
+    return samples.sparkSession.createDataFrame(terms, "term int, coefficient double")
+
+
+def predict(samples: DataFrame, terms: DataFrame, inputs: str = "inputs", name: str = "pred") -> DataFrame:
+    """Adds the regression's value, NULL where an input is missing."""
+    fitted = {r["term"]: r["coefficient"] for r in terms.collect()}  # one row per input
+    weights = F.array(*[F.lit(fitted[i]) for i in range(len(fitted) - 1)]).cast("array<double>")
+    dot = F.aggregate(F.zip_with(F.col(inputs), weights, lambda x, w: x * w), F.lit(fitted.get(-1, 0.0)), lambda a, b: a + b)
+    return samples.withColumn(name, dot)
 
 
 def masked_return_mse(df: DataFrame, by: str = "day") -> DataFrame:

@@ -64,9 +64,23 @@ def profile_quantiles(spark, sf):
         "feature", *[rnd(n).alias(n) for n in C.PROFILE_PROBS])
 
 
-@query("profile_approx")
+STATS = list(C.PROFILE_PROBS)
+
+
+@query("profile_approx", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS n, count(DISTINCT date_trunc('month', CASE WHEN {c} IS NOT NULL THEN dt END)) AS sketches, "
+    + ", ".join(f"TRUE AS {n}_within" for n in STATS) + " FROM factors" for c in FACTORS))
 def profile_approx(spark, sf):
-    return cl.profile_approx(v.factors(spark, sf), FACTORS)
+    """Sketches per month, merged: whether each value's true rank lies within the stated error."""
+    f = factors(spark, sf)
+    sketches = cut_lineage(cl.profile_sketches(f.withColumn("mon", F.trunc("dt", "MM")), ["mon"], FACTORS), "sketches")
+    merged = cut_lineage(cl.merged_profile(sketches), "merged")
+    ranks = cl.profile_ranks(f, cl.to_profile(merged))
+    p, e = F.create_map(*[F.lit(x) for n in STATS for x in (n, C.PROFILE_PROBS[n])])[F.col("stat")], cl.sketch_error()
+    within = ranks.withColumn("ok", (F.col("below") <= p + e) & (F.col("upto") >= p - e))
+    wide = within.groupBy("feature").agg(*[F.max(F.when(F.col("stat") == n, F.col("ok"))).alias(f"{n}_within") for n in STATS])
+    counts = sketches.groupBy("feature").agg(F.sum("n").alias("n"), F.count("*").alias("sketches"))
+    return counts.join(wide, "feature").select("feature", "n", "sketches", *[f"{n}_within" for n in STATS])
 
 
 SAMPLE_SQL = f"""sc AS (SELECT *, ('0x' || left(md5(concat_ws('|', sec, dt, '{C.SAMPLE_SEED}')), 8))::BIGINT

@@ -10,6 +10,7 @@ from panelspark.operators import bars as ba, indicators as ind, modelprep as mp
 from panelspark.plans import views as v
 from panelspark.plans.registry import query
 from panelspark.plans.signals import FEATURES_SQL, SECTOR_CASE, sector_name
+from panelspark.storage import cut_lineage
 
 # ---- bars ----
 
@@ -246,13 +247,32 @@ def score_windows(spark, sf):
     return mp.score_windows(mp.latest_window(grid(spark, sf), ALL), recency_mean).select("sec", rnd("ml_score").alias("ml_score"))
 
 
-@query("fit_baseline")
+BASELINE_SQL = f"""{SEQ_SQL},
+bl AS (SELECT *, day >= 40 AS later FROM sv WHERE valid),
+bm AS (SELECT count(*) AS n, avg(base) AS mb, avg(window_mean) AS mw, avg(target) AS mt, var_pop(base) * 1.001E0 AS vb, var_pop(window_mean) * 1.001E0 AS vw,
+  covar_pop(base, window_mean) AS c, covar_pop(base, target) AS tb, covar_pop(window_mean, target) AS tw FROM bl WHERE day < 30),
+bs AS (SELECT *, (tb * vw - tw * c) / (vb * vw - c * c) AS b0, (tw * vb - tb * c) / (vb * vw - c * c) AS b1 FROM bm)"""
+
+
+def baseline(spark, sf):
+    """Samples with two inputs, the last close and the window mean, and the regression on the days before the 30th."""
+    data = cut_lineage(samples(spark, sf).withColumn("inputs", F.array("base", "window_mean")).filter("valid").drop("x"), "baseline")
+    return data, mp.fit_baseline(data.filter(mp.time_split(F.col("day"), 30, 40) == "train"))
+
+
+@query("fit_baseline", f"""WITH {BASELINE_SQL} SELECT -1 AS term, rnd(mt - b0 * mb - b1 * mw, 4) AS coefficient FROM bs
+  UNION ALL SELECT 0, rnd(b0, 6) FROM bs UNION ALL SELECT 1, rnd(b1, 6) FROM bs""")
 def fit_baseline(spark, sf):
-    data = samples(spark, sf).withColumn("split", mp.time_split(F.col("day"), 30, 40))
-    n = L * len(CLOSE)
-    assembler, model = mp.fit_baseline(data.filter("split = 'train'"), n)
-    test = assembler.transform(mp.flat_windows(data.filter("valid AND split = 'test'"), n))
-    return model.transform(test).select("sec", "day", "base", "target", F.col("prediction").alias("pred"))
+    terms = baseline(spark, sf)[1]
+    return terms.select("term", F.when(F.col("term") < 0, rnd("coefficient", 4)).otherwise(rnd("coefficient")).alias("coefficient"))
+
+
+@query("baseline_predictions", f"""WITH {BASELINE_SQL} SELECT sec, day, rnd(base, 8) AS base, rnd(target, 8) AS target,
+  rnd(mt + b0 * (base - mb) + b1 * (window_mean - mw), 4) AS pred FROM bl, bs WHERE later""")
+def baseline_predictions(spark, sf):
+    data, terms = baseline(spark, sf)
+    test = mp.predict(data.filter(mp.time_split(F.col("day"), 30, 40) == "test"), terms)
+    return test.select("sec", "day", rnd("base", 8).alias("base"), rnd("target", 8).alias("target"), rnd("pred", 4).alias("pred"))
 
 
 PR = "(pred - base) / base"

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
+from panelspark import constants as C
 from panelspark.functions import quantile as qt
 from panelspark.functions.ordered import SLICE, place, running_sums, with_average_rank, with_row_number
-from panelspark.operators import modelprep as mp, portfolio as pf, selection as sel, text as tx
+from panelspark.operators import cleaning as cl, modelprep as mp, portfolio as pf, selection as sel, text as tx
 from panelspark.plans import views as v
 
 
@@ -68,6 +69,40 @@ def test_quantiles(spark, monkeypatch, limit):
             assert r[name] == pytest.approx(np.quantile(data[r.g], p), abs=1e-12)
 
 
+def mad_groups():
+    rng = np.random.default_rng(8)
+    inf = float("inf")
+    return {1: rng.normal(0, 1, 501), 2: np.concatenate([np.full(400, 7.25), rng.lognormal(3, 2, 100)]), 3: np.array([-0.0]), 4: rng.normal(1000, 1e-3, 300),
+            5: np.array([1.0, 2.0]), 6: rng.lognormal(0, 4, 400) * rng.choice([-1, 1], 400), 7: np.array([1e300, -1e300, 5.0, 1e-300]),
+            8: np.repeat([1.0, 2.0, 9.0], [3, 3, 1]), 9: np.array([inf, inf, 3.0]), 10: np.array([3.0, inf, 4.0, 5.0]), 11: np.arange(1000.0) ** 3}
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 0])
+def test_median_and_mad(spark, monkeypatch, limit):
+    monkeypatch.setattr(qt, "WINDOW_ROWS", limit)
+    data = mad_groups()
+    rows = [(g, float(x), float(x) / 3) for g, xs in data.items() for x in xs] + [(1, None, None), (12, None, None), (None, 2.0, None), (None, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "g int, x double, y double").repartition(5)
+    got = {(r.g, r.feature): (r.median, r.mad) for r in qt.median_and_mad(df, ["g"], ["x", "y"]).collect()}
+    assert (12, "x") not in got and got.pop((None, "x")) == (3.5, 1.5) and got.pop((None, "y")) == (1.0, 0.0)
+    for (g, feature), (median, mad) in got.items():
+        x = data[g] / (3 if feature == "y" else 1)
+        m = np.quantile(x, 0.5) if g != 9 else np.inf
+        with np.errstate(invalid="ignore"):
+            d = np.where(x == m, 0, np.abs(x - m))
+        assert median == pytest.approx(m, rel=1e-15) and mad == pytest.approx(np.quantile(d, 0.5) if g != 9 else 0.0, rel=1e-12)
+    assert len(got) == 2 * len(data)
+
+
+def test_mad_reads_few_buckets_again(spark):
+    """The second pass takes the middle buckets and those a median distance away, not all values."""
+    df = spark.range(200_000).select(F.lit(1).alias("g"), (F.exp(F.randn(3) * 2)).alias("x"))
+    cells = qt.known_cells(df, ["g"], ["x"])
+    hist = cells.groupBy("g", "feature", "bucket").agg(F.count("*").alias("c"), F.min("value").alias("a"), F.max("value").alias("b"))
+    chosen = qt.mad_buckets(hist, ["g", "feature"])
+    assert chosen.agg(F.sum("c")).first()[0] < 70_000 and chosen.filter("middle").count() <= 2
+
+
 def test_pairwise_loss_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(d, i, *map(float, rng.uniform(0.5, 1.5, 3)), True) for d in range(3) for i in range(40)] + [(0, 99, 1., 1., 1., False)]
@@ -121,3 +156,35 @@ def test_tiny_groups_keep_one_row_per_side(spark):
     df = spark.createDataFrame([("s", 1, 1, .5), ("s", 1, 2, .1)], "sector string, mon int, sec int, composite_score double")
     rows = sel.select_candidates(df.withColumn("dt", F.lit(1)), ["sector", "mon"], ["sec"]).collect()
     assert sorted((r.candidate_type, r.sec) for r in rows) == [("long", 1), ("short", 2)]
+
+
+def test_sketches_of_months_answer_for_any_span(spark):
+    df = spark.range(60_000).select((F.col("id") % 6).alias("mon"), F.exp(F.randn(5) * 3).alias("x"), F.when(F.col("id") % 6 > 0, F.col("id") % 100).alias("y"),
+                                    F.lit(None).cast("double").alias("z"), F.lit(float("nan")).alias("w"))
+    few = cl.profile_sketches(df, ["mon"], ["x", "y", "z", "w"], k=200).cache()
+    assert {(r.feature, r["count"]) for r in few.groupBy("feature").count().collect()} == {("x", 6), ("y", 5)}
+    assert few.agg(F.max(F.length("sketch"))).first()[0] < 3 * 200 * 8 + 200
+    for months in ([0, 1, 2, 3, 4, 5], [2, 3]):
+        merged = cl.merged_profile(few.filter(F.col("mon").isin(months))).cache()
+        assert merged.filter("feature = 'x'").first().n == 10_000 * len(months)
+        for r in cl.profile_ranks(df.filter(F.col("mon").isin(months)), cl.to_profile(merged)).collect():
+            p = C.PROFILE_PROBS[r.stat]
+            assert r.below <= p + cl.sketch_error(200) and r.upto >= p - cl.sketch_error(200), r
+
+
+def test_normal_equations(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(1e4, 1, (900, 30)) * rng.lognormal(0, 2, 30)
+    x[:, 7] = 4.0  # constant
+    y = x @ rng.normal(size=30) + rng.normal(size=900)
+    rows = [(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows + [(-1, None, 1.0), (-2, x[0].tolist(), None), (-3, [None] * 30, 1.0)], "id int, inputs array<double>, target double").repartition(7)
+    terms = {r.term: r.coefficient for r in mp.fit_baseline(df).collect()}
+    c = x - x.mean(axis=0)
+    used = [j for j in range(30) if j != 7]
+    inner = c[:, used].T @ c[:, used] / 900
+    want = np.linalg.solve(inner + np.diag(mp.RIDGE * np.diag(inner)), c[:, used].T @ (y - y.mean()) / 900)
+    assert terms[7] == 0.0 and np.allclose([terms[j] for j in used], want, rtol=1e-6)
+    got = {r.id: r.pred for r in mp.predict(df, mp.fit_baseline(df)).collect()}
+    assert got[-1] is None and got[-3] is None and got[5] == pytest.approx(y.mean() + want @ c[5, used], rel=1e-6)
+    assert mp.fit_baseline(df.filter("false")).count() == 0
