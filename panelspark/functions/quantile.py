@@ -134,15 +134,21 @@ def mad_buckets(hist: DataFrame, keys: list[str]) -> DataFrame:
     return hist.filter("_look").select(*keys, "bucket", "c", "middle", "before", "lo", "hi", "closer")
 
 
-def median_and_mad(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+def histogram(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Rows (group, feature, bucket, c, a, b): count, smallest and largest value of each value bucket."""
+    return known_cells(df, by, columns).groupBy(*by, "feature", "bucket").agg(
+        F.count("*").alias("c"), F.min("value").alias("a"), F.max("value").alias("b"))
+
+
+def median_and_mad(df: DataFrame, by: list[str], columns: list[str], hist: DataFrame | None = None) -> DataFrame:
     """``median`` and ``mad`` (median distance from the median) per group and feature, both exact.
 
     One histogram serves both, and one narrow second pass reads the values of the few buckets that
-    can hold either. NULL is a group. ``df`` is read twice, so it should be a stored table.
+    can hold either. NULL is a group. ``df`` is read twice, or once when its ``hist`` is known, so it
+    should be a stored table.
     """
     cells, keys = known_cells(df, by, columns), [*by, "feature"]
-    hist = cells.groupBy(*keys, "bucket").agg(F.count("*").alias("c"), F.min("value").alias("a"), F.max("value").alias("b"))
-    chosen = cut_lineage(mad_buckets(hist, keys), "mad_buckets")
+    chosen = cut_lineage(mad_buckets(histogram(df, by, columns) if hist is None else hist, keys), "mad_buckets")
     largest = chosen.groupBy(*keys).agg(F.sum("c").alias("rows")).agg(F.max("rows")).first()[0] or 0
     near = same_key(cells, chosen.select(*keys, "bucket"), [*keys, "bucket"], "left_semi")
     values = cut_lineage(near.groupBy(*keys, "bucket", "value").agg(F.count("*").alias("c")), "mad_values")

@@ -36,10 +36,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def located(spark: SparkSession, path: str):
+    """A path and its file system, whatever store that is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The folders below ``path``; none if it does not exist."""
+    at, fs = located(spark, path)
+    return [str(x.getPath().toString()) for x in fs.listStatus(at) if x.isDirectory()] if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = located(spark, path)
+    fs.delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Remove the tables this application wrote; call it when no DataFrame reads them any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, application_dir(spark))
 
 
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:

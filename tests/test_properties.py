@@ -101,6 +101,42 @@ def test_cleaning_in_many_batches_equals_one_batch(spark, sf):
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
 
 
+def stream_rows(spark, rows):
+    return spark.createDataFrame(rows, "sec int, mon date, x double, y double")
+
+
+def files_of(path):
+    return {str(p.relative_to(path)) for p in path.rglob("*.parquet")}
+
+
+def test_a_repeated_batch_changes_nothing_and_quiet_months_keep_their_files(spark, tmp_path):
+    jan, feb = dt.date(2020, 1, 1), dt.date(2020, 2, 1)
+    batches = [
+        [(i, jan, float(i), 1.0) for i in range(9)] + [(i, feb, float(i * i), None) for i in range(5)] + [(1, None, 3.0, 2.0)],
+        [(20, jan, 4.0, 1.0)],  # moves neither median nor MAD of January
+        [(21, feb, 1000.0, 5.0), (22, None, 8.0, 2.0)],
+        [(23, jan, 50.0, 1.0), (24, jan, 51.0, None)],
+    ]
+    run = stream.clean_batch(str(tmp_path / "staging"), str(tmp_path / "out"), ["x", "y"])
+    jan_files = lambda: {f for f in files_of(tmp_path / "out") if f.startswith("mon=2020-01-01")}
+    cols = ["sec", "mon", F.round("x", 9), F.round("y", 9)]
+    for k, rows in enumerate(batches):
+        first, feb_before = jan_files(), files_of(tmp_path / "out")
+        for _ in range(1 + (k > 0)):  # every later batch is repeated
+            run(stream_rows(spark, rows), k)
+        seen = stream_rows(spark, [r for b in batches[: k + 1] for r in b])
+        got = spark.read.schema(seen.schema).parquet(str(tmp_path / "out")).select(*cols)
+        want = cl.robust_scale(seen, "mon", ["x", "y"]).select(*cols)
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+        if k == 1:
+            assert first < jan_files()  # the month only got a file more
+        if k == 3:
+            assert not first & jan_files()  # the month was scaled again
+            assert {f for f in feb_before if "02-01" in f} == {f for f in files_of(tmp_path / "out") if "02-01" in f}
+    state = files_of(tmp_path / "staging" / "histogram")
+    assert {f.split("/")[1] for f in state if f.startswith("mon=2020-01-01")} == {"batch=1", "batch=3"}
+
+
 def test_float_output_and_flags(spark, sf):
     f = v.factors(spark, sf).withColumn("mon", F.trunc("dt", "MM"))
     out = cl.clean_panel(f, "mon", ["prc"], {}, as_float=True)
