@@ -7,9 +7,10 @@ import re
 from pyspark.sql import functions as F
 
 from panelspark.functions.expr import rnd
-from panelspark.operators import text as tx
+from panelspark.operators import text as tx, textmodel as tm
 from panelspark.plans import views as v
 from panelspark.plans.registry import query
+from panelspark.storage import cut_lineage
 
 WS = "' ' || chr(9) || chr(13) || chr(10) || chr(12) || chr(11)"
 
@@ -141,6 +142,47 @@ def score_texts(spark, sf):
     return tx.score_texts(docs, ratio_classifier).withColumn("confidence_score", rnd("confidence_score"))
 
 
+HELD_OUT = 4  # one text in four is kept from training
+
+
+def sentiment_texts(spark, sf):
+    """Labelled whole texts: toxic ones negative, others of good quality positive, the rest neutral."""
+    label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    labels = v.table(spark, sf, "labels").select("doc_id", label.alias("label"))
+    return v.table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def trained(spark, sf):
+    known = cut_lineage(sentiment_texts(spark, sf), "labelled")
+    return known, tm.train(known.filter(F.col("doc_id") % HELD_OUT != 0), "label")
+
+
+@query("text_classifier")
+def text_classifier(spark, sf):
+    """Label and confidence of every document by a model trained on three quarters of the labelled ones."""
+    done = tm.classify(v.table(spark, sf, "documents").select("doc_id", "text"), trained(spark, sf)[1])
+    return done.select("doc_id", "sentiment_label", rnd("confidence_score").alias("confidence_score"))
+
+
+@query("text_classifier_held_out", f"""
+WITH st AS (SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+lt AS (SELECT label, count(*) AS n FROM st WHERE doc_id % {HELD_OUT} <> 0 GROUP BY label)
+SELECT count(CASE WHEN doc_id % {HELD_OUT} <> 0 THEN 1 END) AS trained_on, count(CASE WHEN doc_id % {HELD_OUT} = 0 THEN 1 END) AS held_out,
+  count(CASE WHEN doc_id % {HELD_OUT} = 0 AND label = (SELECT max_by(label, n) FROM lt) THEN 1 END) AS of_largest_class,
+  TRUE AS above_largest_class, TRUE AS above_lexicon FROM st""")
+def text_classifier_held_out(spark, sf):
+    """Texts trained on and held out, and whether the model finds more held-out labels than a constant guess and than word lists."""
+    known, model = trained(spark, sf)
+    lexicon = tx.score_lexicon(known, positive=POS, negative=NEG).withColumnRenamed("sentiment_label", "by_lexicon").drop("confidence_score")
+    test = F.col("doc_id") % HELD_OUT == 0
+    largest = known.filter(~test).groupBy("label").count().orderBy(F.desc("count"), "label").first()["label"]
+    hits = lambda hit: F.count(F.when(test & hit, 1))
+    found, label = F.col("sentiment_label") == F.col("label"), F.col("label")
+    return tm.classify(lexicon, model).agg(
+        F.count(F.when(~test, 1)).alias("trained_on"), F.count(F.when(test, 1)).alias("held_out"), hits(label == largest).alias("of_largest_class"),
+        (hits(found) > hits(label == largest)).alias("above_largest_class"), (hits(found) > hits(F.col("by_lexicon") == label)).alias("above_lexicon"))
+
+
 EXP_SQL = """
 ex AS (SELECT *, CASE sentiment_label WHEN 'positive' THEN confidence_score WHEN 'negative' THEN (1 - confidence_score) * 0.4E0 ELSE (1 - confidence_score) * 0.5E0 END AS positive_score,
   CASE sentiment_label WHEN 'positive' THEN (1 - confidence_score) * 0.4E0 WHEN 'negative' THEN confidence_score ELSE (1 - confidence_score) * 0.5E0 END AS negative_score,

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from panelspark import constants as C
 from panelspark.functions import quantile as qt
 from panelspark.functions.ordered import SLICE, place, running_sums, with_average_rank, with_row_number
-from panelspark.operators import cleaning as cl, modelprep as mp, portfolio as pf, selection as sel, text as tx
+from panelspark.operators import cleaning as cl, modelprep as mp, portfolio as pf, selection as sel, text as tx, textmodel as tm
 from panelspark.plans import views as v
 
 
@@ -188,3 +188,51 @@ def test_normal_equations(spark):
     got = {r.id: r.pred for r in mp.predict(df, mp.fit_baseline(df)).collect()}
     assert got[-1] is None and got[-3] is None and got[5] == pytest.approx(y.mean() + want @ c[5, used], rel=1e-6)
     assert mp.fit_baseline(df.filter("false")).count() == 0
+
+
+def sentiment(spark, n=240):
+    rng = np.random.default_rng(6)
+    words, marks = [f"w{i}" for i in range(400)], {"bad": ["awful"], "good": ["fine", "bright"], "plain": ["***"]}
+    rows = []
+    for i in range(n):
+        label = ("good", "good", "bad", "plain")[i % 4]
+        body = list(rng.choice(words, 60)) + list(rng.choice(marks[label], 2)) * (label != "good" or i % 8 > 0)
+        rows.append((i, " ".join(rng.permutation(body)), label))
+    return spark.createDataFrame(rows, "doc_id int, text string, label string").repartition(5)
+
+
+def test_text_model_learns_words_that_go_with_a_label(spark):
+    known = sentiment(spark)
+    model = tm.train(known.filter("doc_id % 3 > 0"), "label")
+    assert model.classes == ["bad", "good", "plain"] and len(model.features) < 40
+    odd = known.select("doc_id", "text", F.lit(1).alias("_row"), F.lit("old").alias("sentiment_label"))
+    got = tm.classify(odd.unionByName(odd.limit(2).select(F.lit(-1).alias("doc_id"), F.lit(None).cast("string").alias("text"), "_row", "sentiment_label")), model)
+    assert got.columns == ["doc_id", "text", "_row", "sentiment_label", "confidence_score"]
+    rows = {r.doc_id: r for r in got.collect()}
+    truth = {r.doc_id: r.label for r in known.collect()}
+    test = [i for i in truth if i % 3 == 0]
+    assert sum(rows[i].sentiment_label == truth[i] for i in test) >= 0.95 * len(test)
+    assert rows[-1].sentiment_label == "good" and all(0.3 < r.confidence_score <= 1 for r in rows.values())
+    assert tm.train(known.filter("false"), "label") is None and tm.classify(known.filter("false"), model).count() == 0
+
+
+def test_text_model_gradient_and_places(spark, monkeypatch):
+    monkeypatch.setattr(tm, "CHUNK", 5)
+    rng = np.random.default_rng(0)
+    rows = [(int(rng.integers(0, 3)), sorted(map(int, rng.choice(6, rng.integers(0, 5), replace=False)))) for _ in range(50)]
+    stored = spark.createDataFrame(rows, "y long, f array<int>").repartition(4)
+    w = rng.normal(size=(3, 7))
+    loss, gradient = tm.loss_and_gradient(stored, w, 50)
+    for k, j in ((0, 0), (1, 3), (2, 6)):
+        up, down = w.copy(), w.copy()
+        up[k, j] += 1e-5
+        down[k, j] -= 1e-5
+        assert gradient[k, j] == pytest.approx((tm.loss_and_gradient(stored, up, 50)[0] - tm.loss_and_gradient(stored, down, 50)[0]) / 2e-5, rel=1e-4)
+    assert loss > 0
+
+
+def test_word_pairs_do_not_cross_texts():
+    f, edges = tm.ngrams(np.array([5, 6, 5, 6], np.int64), np.array([0, 1, 3, 4]), 1 << 20)
+    assert np.diff(edges).tolist() == [1, 3, 1]
+    place, at = tm.kept_only(f, edges, np.array([5]))
+    assert place.tolist() == [0, 0] and at.tolist() == [0, 1, 2, 2]
