@@ -6,13 +6,13 @@ lists into groups. All pairs of tokens within a group are linked.
 
 A text is first cut at single spaces between characters that are not white space. Neither
 vocabulary has a token across such a cut and neither tokenizer looks across it, so both lists end a
-token there and the groups of a text are those of its units, end to end. Units repeat a lot: each
-worker aligns a unit once and remembers a bounded number of them.
+token there and the groups of a text are those of its units, end to end. A batch of texts aligns each
+of its different units once; runs of units lie end to end under one pair of dictionaries, and the
+links of a slice are expanded by numbers of rows in arrays.
 
-The count of an id pair is the number of documents that hold it linked. Texts are taken in batches:
-a batch names each of its pairs once, with the number of its documents that hold it, so a pair that
-every document holds crosses the network once a batch. Sums come back to the batches that named the
-pair.
+The count of an id pair is the number of documents that hold it linked. A batch names each of its
+pairs once, with the number of its documents that hold it, so a pair that every document holds
+crosses the network once a batch. Sums come back to the batches that named the pair.
 
 Texts that are null, empty, or that one of the vocabularies cannot spell (the second has no token
 for U+2581, which it takes for a space) have no tokens: zeros and no groups. Long texts are whole.
@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import re
 from collections import Counter
-from itertools import accumulate, chain
+from itertools import accumulate, chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -38,51 +39,60 @@ from panelspark.llm.batches import packed, unpacked
 from panelspark.llm.common import slices
 from panelspark.storage import cut_lineage
 
-BATCH, CACHE, LONGEST = 4 << 20, 100_000, 64
+BATCH, RUN, LARGE = 4 << 20, 4096, 1 << 12
 #: Python's white space and the one character that older tables count as such.
 CUT = re.compile("(?<=[^\\s᠎]) (?=[^\\s᠎])")
 SPACED = re.compile("[\\s᠎] | [\\s᠎]")
+#: Characters for which all regular expression libraries agree on letter, number and white space.
+PLAIN = re.compile("[\t\n\r -~À-ɏ]*")
 RESULT = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
-NONE = np.zeros((2, 0), np.int64)
 
 
-def key_of(a: int, b: int) -> int:
+def key_of(a, b):
     return a << 32 | b
 
 
-def sliced(ids_a: list[int], ids_b: list[int], size_a: list[int], size_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Groups of two lists that spell the same bytes."""
-    ends_a = {end: i for i, end in enumerate(accumulate(map(size_a.__getitem__, ids_a)), 1)}
-    ends_b = {end: i for i, end in enumerate(accumulate(map(size_b.__getitem__, ids_b)), 1)}
+def common_ends(size_a: list[int], size_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the groups in two token lists that spell the same bytes (one more than groups)."""
+    ends_a = dict(zip(accumulate(size_a), count(1)))
+    ends_b = dict(zip(accumulate(size_b), count(1)))
     common = sorted(ends_a.keys() & ends_b.keys())
-    to_a, to_b = [0, *map(ends_a.__getitem__, common)], [0, *map(ends_b.__getitem__, common)]
-    return [(ids_a[to_a[k] : to_a[k + 1]], ids_b[to_b[k] : to_b[k + 1]]) for k in range(len(common))]
+    return np.array([0, *map(ends_a.__getitem__, common)]), np.array([0, *map(ends_b.__getitem__, common)])
 
 
-def links_of(groups: list[tuple[list[int], list[int]]]) -> np.ndarray:
-    """Pair keys and how often each is linked; a large group is expanded over its different ids only."""
-    found: Counter = Counter()
-    for a, b in groups:
-        if len(a) == 1 and len(b) == 1:
-            found[key_of(a[0], b[0])] += 1
-            continue
-        times = Counter(b)
-        for x, n in Counter(a).items():
-            for y, m in times.items():
-                found[key_of(x, y)] += n * m
-    return np.array([[*found], [*found.values()]], np.int64)
+def links_of(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group number, pair key and multiplicity of all links; a large group is expanded over its different ids only."""
+    na, nb = np.diff(to_a), np.diff(to_b)
+    n = np.where(na * nb > LARGE, 0, na * nb)
+    group = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n)
+    key = key_of(a[to_a[group] + place // np.maximum(nb[group], 1)], b[to_b[group] + place % np.maximum(nb[group], 1)])
+    parts = [(group, key, np.ones(len(key), np.int64))]
+    for g in np.flatnonzero(n < na * nb):
+        (x, times), (y, more) = (np.unique(v, return_counts=True) for v in (a[to_a[g] : to_a[g + 1]], b[to_b[g] : to_b[g + 1]]))
+        key = key_of(x[:, None], y[None, :]).ravel()
+        parts.append((np.full(len(key), g), key, (times[:, None] * more[None, :]).ravel()))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def shown(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+class Units:
+    """Alignments of many units: counts of tokens and groups, shown groups, and links unit after unit."""
+
+    def __init__(self, n_a, n_b, n_groups, shown, unit, key, times):
+        self.n_a, self.n_b, self.n_groups, self.shown = n_a, n_b, n_groups, shown
+        order = np.argsort(unit, kind="stable")
+        self.key, self.times = key[order], times[order]
+        self.edges = np.searchsorted(unit[order], np.arange(len(n_a) + 1))
 
 
 class Aligner:
-    """Both tokenizers, without special tokens; an aligned unit is (n_a, n_b, n_groups, groups, links)."""
+    """Both tokenizers, without special tokens."""
 
     def __init__(self, byte_path: str, piece_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         import sentencepiece
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(byte_path)
@@ -90,58 +100,82 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the first file writes as themselves
         names = {chr(x): x for x in printed} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in printed)}
-        vocabulary = self.a.get_vocab()
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
-        for token, number in vocabulary.items():
-            self.bytes_a[number] = bytes(names[c] for c in token) if all(c in names for c in token) else token.encode()
+        model = json.load(open(byte_path, encoding="utf-8"))["model"]
+        raw = {token: bytes(map(names.__getitem__, token)) for token in model["vocab"] if all(c in names for c in token)}
+        self.bytes_a = [b""] * (max(self.a.get_vocab().values()) + 1)
+        for token, number in self.a.get_vocab().items():
+            self.bytes_a[number] = raw.get(token, token.encode())
+        # merges in the order of ids, as the faster library takes them; then both libraries merge alike
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        special = {t["content"] for t in json.load(open(byte_path, encoding="utf-8"))["added_tokens"]}
+        ranks = {raw[t]: n for t, n in model["vocab"].items() if t not in special}
+        in_order = merged == list(range(256, 256 + len(merged))) and len(ranks) == 256 + len(merged)
+        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if in_order else None
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        if any(" " in x.lstrip(b" ").decode("utf-8", "replace") for x in self.bytes_b):
+        if any(b" " in x.lstrip(b" ") for x in self.bytes_b):
             raise ValueError("a piece of the second vocabulary spans words")
         self.size_a, self.size_b = [*map(len, self.bytes_a)], [*map(len, self.bytes_b)]
-        self.known: dict[str, tuple | None] = {}
 
-    def aligned(self, text: str, ids_a: list[int], ids_b: list[int]):
+    def ids_a(self, texts: list[str]) -> list[list[int]]:
+        plain = [self.fast is not None and PLAIN.fullmatch(t) is not None for t in texts]
+        full = iter(self.a.encode_batch_fast([" " + t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        fast = self.fast and self.fast.encode_ordinary
+        return [fast(" " + t) if p else next(full).ids for t, p in zip(texts, plain, strict=True)]
+
+    def spelled(self, text: str, a: list[int], b: list[int]) -> bool:
         raw = b" " + text.encode()
-        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
-            return None
-        groups = sliced(ids_a, ids_b, self.size_a, self.size_b)
-        return len(ids_a), len(ids_b), len(groups), shown(groups), links_of(groups)
-
-    def encoded(self, texts: list[str]) -> list:
-        a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return [self.aligned(*x) for x in zip(texts, a, self.b.encode(texts, num_threads=1), strict=True)]
-
-    def units(self, text: str) -> list[str]:
-        return CUT.split(text) if SPACED.search(text) or text[:1] == " " else text.split(" ")
-
-    def learn(self, units: set[str]) -> dict:
-        """What is known of ``units``; long ones are not remembered."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [u for u in units if u not in self.known]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            self.known.update(zip(part, self.encoded(part), strict=True))
-        long = {u: self.known.pop(u) for u in new if len(u) > LONGEST}
-        return self.known if not long else {u: long[u] if u in long else self.known[u] for u in units}
-
-    def __call__(self, texts: list[str | None]):
-        """Per text (n_a, n_b, n_groups, groups, links)."""
-        cut = [self.units(t) if t else [] for t in texts]
-        known = self.learn(set(chain.from_iterable(cut)))
-        for text, units in zip(texts, cut, strict=True):
-            times = Counter(units)
-            parts = [known[u] for u in times]
-            if None in parts:  # only the whole text can tell whether its bytes differ
-                yield self.encoded([text])[0] or (0, 0, 0, "", NONE)
-                continue
-            if not parts:
-                yield 0, 0, 0, "", NONE
-                continue
-            n = list(times.values())
-            links = np.concatenate([x[4] if m == 1 else x[4] * np.array([[1], [m]]) for x, m in zip(parts, n, strict=True)], axis=1)
-            yield (*(sum(x[i] * m for x, m in zip(parts, n, strict=True)) for i in range(3)), ";".join([known[u][3] for u in units]), links)
+        return b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
+
+    def good(self, texts: list[str], ids: list) -> np.ndarray:
+        """Which texts both lists spell; one look at all of them end to end settles most."""
+        raws = [b" " + t.encode() for t in texts]
+        size, whole = [*map(len, raws)], b"".join(raws)
+        for k, tokens, sizes in ((0, self.bytes_a, self.size_a), (1, self.bytes_b, self.size_b)):
+            flat = list(chain.from_iterable(x[k] for x in ids))
+            ends = np.append(0, np.cumsum([*map(sizes.__getitem__, flat)]))[np.cumsum([len(x[k]) for x in ids])]
+            if b"".join(map(tokens.__getitem__, flat)) != whole or (ends != np.cumsum(size)).any():
+                return np.fromiter((self.spelled(t, *x) for t, x in zip(texts, ids, strict=True)), bool, len(texts))
+        return np.ones(len(texts), bool)
+
+    def aligned(self, texts: list[str]) -> tuple[Units, np.ndarray]:
+        """Alignments, and which of the texts both vocabularies can spell; the others have no tokens."""
+        ids = list(zip(self.ids_a(texts), self.b.encode(texts, num_threads=1), strict=True))
+        good = np.concatenate([np.zeros(0, bool), *[self.good(texts[k : k + RUN], ids[k : k + RUN]) for k in range(0, len(ids), RUN)]])
+        ids = [x if ok else ([], []) for x, ok in zip(ids, good.tolist(), strict=True)]
+        n_a, n_b = (np.fromiter((len(x[k]) for x in ids), np.int64, len(ids)) for k in (0, 1))
+        groups, shown, links = [], [], []
+        for k in range(0, len(ids), RUN):
+            flat = [list(chain.from_iterable(x[j] for x in ids[k : k + RUN])) for j in (0, 1)]
+            a, b = (np.array(x, np.int64) for x in flat)
+            to_a, to_b = common_ends([*map(self.size_a.__getitem__, flat[0])], [*map(self.size_b.__getitem__, flat[1])])
+            last = np.cumsum(n_a[k : k + RUN])  # a unit ends where a group ends
+            first_group = np.append(0, np.searchsorted(to_a, last))
+            groups.append(np.diff(first_group))
+            shown += self.shown(a, b, to_a, to_b, first_group)
+            group, key, times = links_of(a, b, to_a, to_b)
+            links.append((k + np.searchsorted(first_group, group, side="right") - 1, key, times))
+        nothing = np.zeros(0, np.int64)
+        unit, key, times = (np.concatenate([nothing, *c]) for c in (zip(*links, strict=True) if links else [[]] * 3))
+        return Units(n_a, n_b, np.concatenate([nothing, *groups]), shown, unit, key, times), good
+
+    @staticmethod
+    def shown(a, b, to_a, to_b, first_group) -> list[str]:
+        """``a1,a2|b1;a3|b2`` for each unit."""
+        na, nb = np.diff(to_a), np.diff(to_b)
+        group_a, group_b = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+        mark_a, mark_b = np.full(len(a), ","), np.full(len(b), ",")
+        mark_a[to_a[1:] - 1], mark_b[to_b[1:] - 1] = "|", ";"
+        parts = np.empty(len(a) + len(b), object)  # tokens of the second list follow those of the first, group by group
+        parts[np.arange(len(a)) + to_b[group_a]] = [f"{x}{m}" for x, m in zip(a.tolist(), mark_a.tolist(), strict=True)]
+        parts[np.arange(len(b)) + to_a[group_b + 1]] = [f"{x}{m}" for x, m in zip(b.tolist(), mark_b.tolist(), strict=True)]
+        parts, at = parts.tolist(), (to_a + to_b)[first_group].tolist()
+        return ["".join(parts[i:j])[:-1] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+    def units(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        return CUT.split(text) if SPACED.search(text) or text[0] == " " else text.split(" ")
 
 
 @functools.cache
@@ -149,24 +183,61 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return Aligner(byte_path, piece_path)
 
 
+def sums(where: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Exact sums of whole numbers by place."""
+    out = np.zeros(n, np.int64)
+    np.add.at(out, where, values)
+    return out
+
+
+def spread(edges: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs ``chosen`` of an array cut by ``edges``: number of the choice, and place in the array."""
+    size = np.diff(edges)[chosen]
+    at = np.repeat(np.arange(len(chosen)), size)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + edges[chosen][at]
+
+
 def linked_batch(rows: pa.RecordBatch, align: Aligner) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
     """Rows with their alignment, the different pairs of all rows sorted, and in how many rows each is linked."""
-    done = list(align(rows.column("_text").to_pylist()))
-    doc = np.repeat(np.arange(len(done)), [x[4].shape[1] for x in done])
-    key, times = np.concatenate([NONE, *[x[4] for x in done]], axis=1)
-    keys, place = np.unique(key, return_inverse=True)
-    cell, where = np.unique(doc * len(keys) + place, return_inverse=True)  # document after document
-    sums = np.zeros(len(cell), np.int64)
-    np.add.at(sums, where, times)
-    doc, place = np.divmod(cell, max(1, len(keys)))
-    ends = np.searchsorted(doc, np.arange(len(done) + 1)).astype(np.int32)
+    texts = rows.column("_text").to_pylist()
+    cut = [align.units(t) for t in texts]
+    different = list(dict.fromkeys(chain.from_iterable(cut)))
+    known, good = align.aligned(different)
+    number = dict(zip(different, count()))
+    if not good.all():  # only the whole text can tell whether its bytes differ
+        bad = {u for u, ok in zip(different, good.tolist(), strict=True) if not ok}
+        whole = list(dict.fromkeys(t for t, units in zip(texts, cut, strict=True) if not bad.isdisjoint(units)))
+        extra, fine = align.aligned(whole)
+        place = {t: len(different) + i for i, (t, ok) in enumerate(zip(whole, fine.tolist(), strict=True)) if ok}
+        doc_units = [[*map(number.__getitem__, units)] if bad.isdisjoint(units) else [place[t]] if t in place else [] for t, units in zip(texts, cut, strict=True)]
+        known = joined(known, extra)
+    else:
+        doc_units = [[*map(number.__getitem__, units)] for units in cut]
+    n, size = len(texts), np.fromiter(map(len, doc_units), np.int64, len(texts))
+    doc, unit = np.repeat(np.arange(n), size), np.fromiter(chain.from_iterable(doc_units), np.int64, size.sum())
+    shown = [";".join(map(known.shown.__getitem__, units)) for units in doc_units]
+
+    keys, place = np.unique(known.key, return_inverse=True)
+    cell, times = np.unique(doc * max(1, len(known.n_a)) + unit, return_counts=True)
+    cell_doc, cell_unit = np.divmod(cell, max(1, len(known.n_a)))
+    at, link = spread(known.edges, cell_unit)
+    cell, where = np.unique(cell_doc[at] * max(1, len(keys)) + place[link], return_inverse=True)  # document after document
+    linked = sums(where, times[at] * known.times[link], len(cell))
+    doc_of, place = np.divmod(cell, max(1, len(keys)))
+    ends = np.searchsorted(doc_of, np.arange(n + 1)).astype(np.int32)
     out = pa.RecordBatch.from_arrays(
-        [rows.column("_rest"), *[pa.array([x[i] for x in done], pa.int64()) for i in range(3)], pa.array([x[3] for x in done], pa.large_string()),
-         pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(sums))],
+        [rows.column("_rest"), *[pa.array(sums(doc, x[unit], n)) for x in (known.n_a, known.n_b, known.n_groups)], pa.array(shown, pa.large_string()),
+         pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(linked))],
         names=["_rest", "n_a", "n_b", "n_groups", "groups", "place", "times"])
     return out, keys, np.bincount(place, minlength=len(keys))
 
 
+def joined(x: Units, y: Units) -> Units:
+    unit = np.concatenate([np.repeat(np.arange(len(x.n_a)), np.diff(x.edges)), len(x.n_a) + np.repeat(np.arange(len(y.n_a)), np.diff(y.edges))])
+    both = [np.concatenate([getattr(x, c), getattr(y, c)]) for c in ("n_a", "n_b", "n_groups")]
+    return Units(*both, x.shown + y.shown, unit, np.concatenate([x.key, y.key]), np.concatenate([x.times, y.times]))
+
+
 def stored_batches(docs: DataFrame, byte_path: str, piece_path: str, text: str) -> tuple[DataFrame, list[str]]:
     rest = [c for c in docs.columns if c != text and c not in RESULT]
     rows = docs.select(F.struct(*rest).alias("_rest") if rest else F.struct(F.lit(0)).alias("_rest"), F.col(text).cast("string").alias("_text"))
@@ -213,16 +284,14 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text"
             for payload, told in zip(batch.column("payload"), batch.column("answers"), strict=True):
                 rows = unpacked(payload.as_py())
                 if told.is_valid:
-                    count, best = (told.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("count", "best"))
+                    held, best = (told.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("count", "best"))
                 else:
-                    count = best = np.zeros(0, np.int64)
+                    held = best = np.zeros(0, np.int64)
                 place, times = (rows.column(c).flatten().to_numpy() for c in ("place", "times"))
                 doc = np.repeat(np.arange(rows.num_rows), np.diff(rows.column("place").offsets.to_numpy()))
-                sums = np.zeros((3, rows.num_rows), np.int64)
-                for out, x in zip(sums, (times, times * best[place], times * count[place]), strict=True):
-                    np.add.at(out, doc, x)
+                total = [sums(doc, x, rows.num_rows) for x in (times, times * best[place], times * held[place])]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("_rest"), *[rows.column(c) for c in ("n_a", "n_b", "n_groups")], *map(pa.array, sums), rows.column("groups").cast(pa.string())],
+                    [rows.column("_rest"), *[rows.column(c) for c in ("n_a", "n_b", "n_groups")], *map(pa.array, total), rows.column("groups").cast(pa.string())],
                     names=["_rest", *RESULT])
 
     done = stored.select("batch", "payload").join(answers, "batch", "left").mapInArrow(
@@ -264,11 +333,11 @@ def brute_force(rows: list[tuple], byte_path: str, piece_path: str) -> list[tupl
                     group = ([], [])
         found.append(groups)
     links = [[(x, y) for a, b in groups for x in a for y in b] for groups in found]
-    count = Counter(pair for pairs in links for pair in set(pairs))
+    held = Counter(pair for pairs in links for pair in set(pairs))
     most: dict[int, int] = {}
-    for (a, _), n in count.items():
+    for (a, _), n in held.items():
         most[a] = max(most.get(a, 0), n)
     return [(i, sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), len(pairs),
-             sum(count[p] == most[p[0]] for p in pairs), sum(count[p] for p in pairs),
-             hashlib.sha256(shown(groups).encode()).hexdigest() if groups else "")
+             sum(held[p] == most[p[0]] for p in pairs), sum(held[p] for p in pairs),
+             hashlib.sha256(";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups).encode()).hexdigest() if groups else "")
             for (i, _), groups, pairs in zip(rows, found, links, strict=True)]

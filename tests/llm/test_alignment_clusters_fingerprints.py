@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from panelspark.llm import alignment, centroids, fingerprints, queries
@@ -29,21 +30,45 @@ def test_alignment_of_sf(spark, sf):
     assert same(got, alignment.brute_force(texts_of(spark, sf), A, B))
 
 
+def random_texts(seed, n):
+    rnd = random.Random(seed)
+    parts = ["a", "b ", "  ", "\n", "\t ", " é", "日", "▁", "1", "! ", " x", "\x1c", "\xa0", "\u180e", "'s", "ß", "ñ5", "×", "ǅ", "word ", " The", "ᾠ", "\u0301"]
+    return ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60))) for _ in range(n)]
+
+
 def test_alignment_units_cut_where_both_tokenizers_do(monkeypatch):
-    monkeypatch.setattr(alignment, "CACHE", 50)
-    align, rnd = alignment.Aligner(A, B), random.Random(4)
-    texts = ["".join(rnd.choice(["a", "b ", "  ", "\n", "\t ", " é", "日", "▁", "1", "! ", " x", "\x1c", "\xa0", "᠎", "'s"]) for _ in range(rnd.randint(0, 60))) for _ in range(400)]
-    for text, got in zip(texts, align(texts), strict=True):
-        whole = align.encoded([text])[0] if text else None
-        want = whole or (0, 0, 0, "", alignment.NONE)
-        assert got[:4] == want[:4], repr(text)
-        sums = lambda x: {k: int(x[1][x[0] == k].sum()) for k in set(x[0].tolist())}
-        assert sums(got[4]) == sums(want[4])
+    """Units of texts give what whole texts give, also where runs of units are short."""
+    monkeypatch.setattr(alignment, "RUN", 3)
+    align, texts = alignment.Aligner(A, B), random_texts(4, 400)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["_rest", "_text"])
+    got, keys, _ = alignment.linked_batch(rows, align)
+    whole, good = align.aligned(texts)
+    for i, text in enumerate(texts):
+        ok = good[i] and text
+        assert got.column("groups")[i].as_py() == (whole.shown[i] if ok else ""), repr(text)
+        assert got.column("n_groups")[i].as_py() == (whole.n_groups[i] if ok else 0)
+        links = dict(zip((keys[k] for k in got.column("place")[i].as_py()), got.column("times")[i].as_py(), strict=True))
+        run = slice(whole.edges[i], whole.edges[i + 1])
+        assert links == ({k: int(whole.times[run][whole.key[run] == k].sum()) for k in set(whole.key[run].tolist())} if ok else {})
+
+
+def test_the_faster_library_gives_the_same_ids():
+    align = alignment.Aligner(A, B)
+    assert align.fast is not None and all(align.fast.encode_single_token(x) == i for i, x in enumerate(align.bytes_a[:50256]))
+    chars = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xC0, 0x250))]
+    texts = [x + c + y for c in chars for x, y in (("", ""), ("a", "a"), ("1", "1"), (" ", " "), ("!", "!"), ("'", "s"), ("\n", "\n"), ("é", "ß"))]
+    rnd = random.Random(9)
+    texts += ["".join(rnd.choice(chars) for _ in range(40)) for _ in range(500)]
+    assert all(alignment.PLAIN.fullmatch(t) for t in texts)
+    want = [x.ids for x in align.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert align.ids_a(texts) == want
 
 
 def test_large_groups_are_not_expanded_pair_by_pair():
-    groups = [([1] * 50_000 + [2], [3] * 60_000)]
-    assert alignment.links_of(groups).tolist() == [[alignment.key_of(1, 3), alignment.key_of(2, 3)], [50_000 * 60_000, 60_000]]
+    a, b = np.array([9] + [1] * 50_000 + [2]), np.array([8] + [3] * 60_000)
+    _, key, times = alignment.links_of(a, b, np.array([0, 1, 50_002]), np.array([0, 1, 60_001]))
+    k = alignment.key_of
+    assert dict(zip(key.tolist(), times.tolist(), strict=True)) == {k(9, 8): 1, k(1, 3): 50_000 * 60_000, k(2, 3): 60_000}
 
 
 def test_alignment_keeps_columns_and_counts_documents(documents):
