@@ -116,6 +116,8 @@ class Aligner:
         if any(b" " in x.lstrip(b" ") for x in self.bytes_b):
             raise ValueError("a piece of the second vocabulary spans words")
         self.size_a, self.size_b = [*map(len, self.bytes_a)], [*map(len, self.bytes_b)]
+        self.ids = max(len(self.bytes_a), len(self.bytes_b))
+        self.written = np.array([f"{i}{mark}" for mark in ",|;" for i in range(self.ids)], object)  # ids and what follows them
 
     def ids_a(self, texts: list[str]) -> list[list[int]]:
         plain = [self.fast is not None and PLAIN.fullmatch(t) is not None for t in texts]
@@ -131,10 +133,10 @@ class Aligner:
         """Which texts both lists spell; one look at all of them end to end settles most."""
         raws = [b" " + t.encode() for t in texts]
         size, whole = [*map(len, raws)], b"".join(raws)
-        for k, tokens, sizes in ((0, self.bytes_a, self.size_a), (1, self.bytes_b, self.size_b)):
-            flat = list(chain.from_iterable(x[k] for x in ids))
-            ends = np.append(0, np.cumsum([*map(sizes.__getitem__, flat)]))[np.cumsum([len(x[k]) for x in ids])]
-            if b"".join(map(tokens.__getitem__, flat)) != whole or (ends != np.cumsum(size)).any():
+        for k, tokens in ((0, self.bytes_a), (1, self.bytes_b)):
+            flat = list(map(tokens.__getitem__, chain.from_iterable(x[k] for x in ids)))
+            ends = np.append(0, np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat))))[np.cumsum([len(x[k]) for x in ids])]
+            if b"".join(flat) != whole or (ends != np.cumsum(size)).any():
                 return np.fromiter((self.spelled(t, *x) for t, x in zip(texts, ids, strict=True)), bool, len(texts))
         return np.ones(len(texts), bool)
 
@@ -159,16 +161,15 @@ class Aligner:
         unit, key, times = (np.concatenate([nothing, *c]) for c in (zip(*links, strict=True) if links else [[]] * 3))
         return Units(n_a, n_b, np.concatenate([nothing, *groups]), shown, unit, key, times), good
 
-    @staticmethod
-    def shown(a, b, to_a, to_b, first_group) -> list[str]:
+    def shown(self, a, b, to_a, to_b, first_group) -> list[str]:
         """``a1,a2|b1;a3|b2`` for each unit."""
         na, nb = np.diff(to_a), np.diff(to_b)
         group_a, group_b = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
-        mark_a, mark_b = np.full(len(a), ","), np.full(len(b), ",")
-        mark_a[to_a[1:] - 1], mark_b[to_b[1:] - 1] = "|", ";"
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[to_a[1:] - 1], last_b[to_b[1:] - 1] = 1, 2
         parts = np.empty(len(a) + len(b), object)  # tokens of the second list follow those of the first, group by group
-        parts[np.arange(len(a)) + to_b[group_a]] = [f"{x}{m}" for x, m in zip(a.tolist(), mark_a.tolist(), strict=True)]
-        parts[np.arange(len(b)) + to_a[group_b + 1]] = [f"{x}{m}" for x, m in zip(b.tolist(), mark_b.tolist(), strict=True)]
+        parts[np.arange(len(a)) + to_b[group_a]] = self.written[a + last_a * self.ids]
+        parts[np.arange(len(b)) + to_a[group_b + 1]] = self.written[b + last_b * self.ids]
         parts, at = parts.tolist(), (to_a + to_b)[first_group].tolist()
         return ["".join(parts[i:j])[:-1] for i, j in zip(at[:-1], at[1:], strict=True)]
 
