@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.constants import BAR_COLUMNS, MA_WINDOWS, PAD, VOL_MAX_ROWS, VOL_MIN_ROWS
 from panelspark.functions.expr import month_of, ratio, same_key
+from panelspark.storage import cut_lineage
 
 
 def series(keys: list[str] | str = "sec", order: str = "dt"):
@@ -212,32 +213,37 @@ def feature_names(columns=BAR_COLUMNS, windows=MA_WINDOWS) -> list[str]:
     return [f"{c}_{s}" for c in columns for s in [*[f"ma{w}" for w in windows], "raw"]]
 
 
-def bar_features(df: DataFrame, keys: str = "sec", idx: str = "date_idx", pad: int = PAD) -> DataFrame:
+def bar_features(df: DataFrame, keys: str = "sec", idx: str = "date_idx", pad: int = PAD, tops: dict[str, str] | None = None,
+                 begin: Column | None = None) -> DataFrame:
     """25 features per bar from the pad on: calendar means and the contiguous raw value of each
-    bar column, divided by that column's maximum."""
+    bar column, divided by that column's maximum.
+
+    ``tops`` names columns that hold the maxima already; rows before ``begin`` (default: the pad) are
+    only looked back at.
+    """
     win = series(keys, idx)
     whole = Window.partitionBy(keys)
     cols = []
     for c in BAR_COLUMNS:
         v = F.col(c)
-        top = F.max(F.when(F.col(idx) >= pad, v)).over(whole)
+        top = F.col(tops[c]) if tops else F.max(F.when(F.col(idx) >= pad, v)).over(whole)
         for w in MA_WINDOWS:
             mean = calendar_average(v, w, keys, idx)
             cols.append(F.when(top > 0, mean / top).otherwise(mean).alias(f"{c}_ma{w}"))
         cols.append(F.when(top > 0, contiguous(v, win, idx) / top).alias(f"{c}_raw"))
-    return df.select(keys, idx, *cols).filter(F.col(idx) >= pad)
+    return df.select(keys, idx, *cols).filter(F.col(idx) >= (pad if begin is None else begin))
 
 
-def dense_grid(cells: DataFrame, n_steps: DataFrame, key: str, pad: int = 0, day: str = "day") -> DataFrame:
-    """Every company with every calendar step; absent steps have NULL values.
+def dense_grid(cells: DataFrame, n_steps: DataFrame, key: str, pad: int = 0, day: str = "day", begin: Column | None = None) -> DataFrame:
+    """Every company with every calendar step (from ``begin`` on); absent steps have NULL values.
 
     Each row also makes the rows of the gap up to the next one, so neither a join nor a second
     read of the input is needed. ``n_steps`` has one row and one column with the calendar length.
     """
     win = series(key, day)
     last = (n_steps.scalar() - 1 - pad).cast("int")
-    begin = F.when(F.lag(day).over(win).isNull(), F.lit(0)).otherwise(F.col(day))
-    spans = cells.withColumn("_from", begin.cast("int")).withColumn(
+    first = F.when(F.lag(day).over(win).isNull(), F.lit(0) if begin is None else begin).otherwise(F.col(day))
+    spans = cells.withColumn("_from", first.cast("int")).withColumn(
         "_to", F.coalesce(F.lead(day).over(win) - 1, last).cast("int"))
     steps = spans.withColumn("_day", F.explode(F.sequence("_from", "_to")))
     own = F.col("_day") == F.col(day)
@@ -258,3 +264,23 @@ def feature_grid(bars: DataFrame, start=None, date: str = "ym", keys: str = "sec
     feats = bar_features(kept.join(F.broadcast(calendar), date), keys, "date_idx", pad)
     feats = feats.withColumn("day", F.col("date_idx") - pad).drop("date_idx")
     return dense_grid(feats, calendar.agg(F.count("*").alias("n")), keys, pad)
+
+
+def latest_grid(bars: DataFrame, days: int, date: str = "ym", keys: str = "sec", pad: int = PAD, min_rows: int = 30) -> DataFrame:
+    """The last ``days`` steps of ``feature_grid`` for every security that has a bar among them.
+
+    Maxima and row counts of whole series are one aggregate, which combines before it is exchanged.
+    Only the bars of the last ``days`` steps and of the longest average before them move and meet
+    window frames. ``bars`` is read several times, so it should be a stored table.
+    """
+    counts = bars.groupBy(keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_rows).select(keys)
+    valid = same_key(bars, counts, [keys], "left_semi")
+    calendar = cut_lineage(trading_calendar(valid, date), "calendar")  # dates only
+    n = calendar.count()
+    begin = max(0, n - pad - days)  # the first wanted step
+    placed = valid.join(F.broadcast(calendar), date)
+    tops = placed.filter(F.col("date_idx") >= pad).groupBy(keys).agg(*[F.max(c).alias(f"_top_{c}") for c in BAR_COLUMNS])
+    recent = same_key(placed.filter(F.col("date_idx") > begin + pad - max(MA_WINDOWS)), tops, [keys])
+    feats = bar_features(recent, keys, "date_idx", pad, {c: f"_top_{c}" for c in BAR_COLUMNS}, F.lit(begin + pad))
+    feats = feats.withColumn("day", F.col("date_idx") - pad).drop("date_idx")
+    return dense_grid(feats, calendar.agg(F.count("*").alias("n")), keys, pad, begin=F.lit(begin))

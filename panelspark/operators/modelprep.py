@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -94,19 +94,29 @@ def latest_window(grid: DataFrame, features: list[str], days: int = 32, key: str
 
 
 def score_windows(windows: DataFrame, model: Callable, key: str = "sec", name: str = "ml_score") -> DataFrame:
-    """Plug point: ``model`` gets an array [rows, days, features] and returns one score per row."""
-    import numpy as np
-    import pandas as pd
+    """Plug point: ``model`` gets an array [rows, days, features] and returns one score per row.
+
+    The model is a broadcast: an executor fetches it once, and a Python worker loads it once for all
+    its tasks. Windows must be equally long; their cells arrive as one buffer and are not copied.
+    """
+    import pyarrow as pa
 
     key_type = windows.schema[key].dataType.simpleString()
+    shared = windows.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
+        score = shared.value
         for b in batches:
-            if len(b):
-                x = np.stack([np.stack(rows) for rows in b["x"]])
-                yield pd.DataFrame({key: b[key], name: np.asarray(model(x), dtype=float)})
-
-    return windows.select(key, "x").mapInPandas(run, f"{key} {key_type}, {name} double")
+            if b.num_rows:
+                steps = b.column("x").flatten()
+                days, width = len(steps) // b.num_rows, len(steps.flatten()) // max(1, len(steps))
+                sizes = {*b.column("x").value_lengths().unique().to_pylist(), *[days]}, {*steps.value_lengths().unique().to_pylist(), *[width]}
+                if sizes != ({days}, {width}):
+                    raise ValueError(f"windows differ in size: {sizes}")
+                x = steps.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, days, width)
+                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(score(x), pa.float64())], names=[key, name])
+
+    return windows.select(key, "x").mapInArrow(run, f"{key} {key_type}, {name} double")
 
 
 def moments(samples: DataFrame, inputs: str, target: str):

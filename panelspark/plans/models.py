@@ -228,10 +228,14 @@ lk AS (SELECT sec, sum({" + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" fo
 lw AS (SELECT lr.*, 32 - rn AS step FROM lr JOIN lk ON lr.sec = lk.sec WHERE rn <= 32 AND missing_share <= 0.75)"""
 
 
+def latest_grid(spark, sf):
+    return ind.latest_grid(cut_lineage(v.ohlc(spark, sf), "bars"), 32)
+
+
 @query("latest_window", f"WITH {LATEST_SQL} SELECT sec, CAST(step AS INTEGER) AS step, " + ", ".join(
     f"rnd(coalesce({c}, 0), 8) AS {c}" for c in ALL) + " FROM lw")
 def latest_window(spark, sf):
-    steps = mp.latest_window(grid(spark, sf), ALL).select("sec", F.posexplode("x").alias("step", "r"))
+    steps = mp.latest_window(latest_grid(spark, sf), ALL).select("sec", F.posexplode("x").alias("step", "r"))
     return steps.select("sec", "step", *[rnd(F.col("r")[i], 8).alias(c) for i, c in enumerate(ALL)])
 
 
@@ -244,7 +248,7 @@ def recency_mean(x):
 
 @query("score_windows", f"WITH {LATEST_SQL} SELECT sec, rnd(sum(coalesce(close_raw, 0) * (step + 1)) / 528.0E0, 6) AS ml_score FROM lw GROUP BY sec")
 def score_windows(spark, sf):
-    return mp.score_windows(mp.latest_window(grid(spark, sf), ALL), recency_mean).select("sec", rnd("ml_score").alias("ml_score"))
+    return mp.score_windows(mp.latest_window(latest_grid(spark, sf), ALL), recency_mean).select("sec", rnd("ml_score").alias("ml_score"))
 
 
 BASELINE_SQL = f"""{SEQ_SQL},

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from panelspark import constants as C
 from panelspark.functions import quantile as qt
 from panelspark.functions.ordered import SLICE, place, running_sums, with_average_rank, with_row_number
-from panelspark.operators import cleaning as cl, modelprep as mp, portfolio as pf, selection as sel, text as tx, textmodel as tm
+from panelspark.operators import cleaning as cl, indicators as ind, modelprep as mp, portfolio as pf, selection as sel, text as tx, textmodel as tm
 from panelspark.plans import views as v
 
 
@@ -236,3 +236,56 @@ def test_word_pairs_do_not_cross_texts():
     assert np.diff(edges).tolist() == [1, 3, 1]
     place, at = tm.kept_only(f, edges, np.array([5]))
     assert place.tolist() == [0, 0] and at.tolist() == [0, 1, 2, 2]
+
+
+class CountedModel:
+    """Notes in a folder each load of itself and each batch it scores."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __reduce__(self):
+        return loaded_model, (self.folder,)
+
+    def __call__(self, x):
+        note(self.folder, "scored")
+        return x[:, -1, 0] + x.shape[1] * 100 + x.shape[2] * 1000
+
+
+def note(folder, what):
+    import os
+    import uuid
+    open(f"{folder}/{what}-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+
+def loaded_model(folder):
+    note(folder, "load")
+    return CountedModel(folder)
+
+
+def test_a_worker_loads_the_model_once(spark, tmp_path):
+    windows = spark.range(64).select("id", F.array(*[F.array(F.col("id") * 1.0 + j, F.lit(0.0)) for j in range(3)]).alias("x")).repartition(32)
+    rows = mp.score_windows(windows, CountedModel(str(tmp_path)), key="id").collect()
+    assert {r.id: r.ml_score for r in rows} == {i: i + 2 + 300 + 2000 for i in range(64)}
+    notes = [p.name.split("-") for p in tmp_path.iterdir()]
+    loads = [pid for what, pid, _ in notes if what == "load"]
+    scored = [pid for what, pid, _ in notes if what == "scored"]
+    assert len(loads) == len(set(loads)) and set(loads) == set(scored) and len(scored) >= 2 * len(loads)
+    odd = windows.withColumn("x", F.when(F.col("id") == 5, F.slice("x", 1, 2)).otherwise(F.col("x"))).repartition(1)
+    with pytest.raises(Exception, match="differ in size"):
+        mp.score_windows(odd, CountedModel(str(tmp_path)), key="id").collect()
+    assert mp.score_windows(windows.filter("false"), CountedModel(str(tmp_path)), key="id").count() == 0
+
+
+@pytest.mark.parametrize("days", [1, 8, 500])
+def test_the_latest_steps_need_no_whole_grid(spark, days):
+    rng = np.random.default_rng(days)
+    rows = [(s, t, *map(float, rng.uniform(1, 9, 5))) for s in range(6) for t in range(90) if rng.random() < (0.9, 0.5, 1.0, 0.7, 0.4, 0.2)[s] and (s != 3 or t < 50)]
+    bars = spark.createDataFrame(rows, "sec int, ym int, open double, high double, low double, close double, volume double").cache()
+    whole = ind.feature_grid(bars)
+    begin = max(0, 90 - C.PAD - days)
+    has_bar = bars.filter(F.col("ym") >= begin + C.PAD).select("sec").distinct()
+    want = whole.filter(F.col("day") >= begin).join(has_bar, "sec", "left_semi")
+    got = ind.latest_grid(bars, days)
+    cols = ["sec", "day", *[F.round(c, 9).alias(c) for c in ind.feature_names()]]
+    assert got.count() == want.count() > 0 and got.select(*cols).exceptAll(want.select(*cols)).isEmpty()
