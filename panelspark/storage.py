@@ -66,4 +66,11 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Remove a table that ``cut_lineage`` returned; call it when nothing reads it any more."""
+    remove(stored.sparkSession, stored.stored_at)
