@@ -1,6 +1,7 @@
 """Repeated byte strings by external induced sorting of suffixes.
 
-The task: remove every byte covered by a ``LENGTH``-byte string that also starts anywhere else.
+The task: remove every byte covered by a ``LENGTH``-byte string that also starts anywhere else (``length``
+and ``gram`` are parameters).
 
 1. *Anchors.* Each window of ``LENGTH`` bytes names one anchor: the position of the smallest hash
    among the ``GRAM``-byte strings inside it, the last one of equals. Equal windows name their
@@ -18,10 +19,13 @@ The task: remove every byte covered by a ``LENGTH``-byte string that also starts
    and the common prefix of two that become neighbours is the smallest one between them. A window
    at distance d repeats when a neighbour shares ``LENGTH - d`` bytes to the right. Suffixes that are
    alone leave the queue.
-4. A string with more than ``HOT`` different open contexts does not go to one task: its windows are
-   counted one by one by hash, again with map-side combine.
+4. *Recursion.* A string that holds more than ``HOT`` different open contexts does not go to one task:
+   its contexts are texts of their own, of at most ``2 LENGTH - GRAM`` bytes, and go through the same
+   steps with a longer anchor string, half the way to ``LENGTH``. Sub-contexts inside the shared
+   passage are equal and settled by counting; only those across its borders stay open, under many
+   different strings. With anchors of ``LENGTH`` bytes every context is its own string, so it ends.
 
-Contexts and hot windows are compared by two 64-bit hashes together (anchor string and context).
+Contexts are compared by two 64-bit hashes together (anchor string and context).
 
 Null texts are empty and lose nothing. Equal rows are documents like others and repeat each other.
 Null doc_ids are ids of their own. An empty table gives an empty table.
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm.common import M1, M2, combine, mix, raw_bytes, slices, text_key
-from panelspark.storage import cut_lineage
+from panelspark.storage import cut_lineage, discard
 
 LENGTH, GRAM, HOT = 400, 128, 512
 BATCH, BLOCK = 4 << 20, 8 << 20
@@ -44,17 +48,18 @@ LOW = (1 << 24) - 1
 KEYS = ["_id", "_k1", "_k2"]
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the ``GRAM`` bytes from every position, by doubling from eight bytes."""
+def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Hash of the ``gram`` bytes (eight at least) from every position, by doubling from eight bytes."""
     view = np.ndarray((max(0, len(data) - 7),), np.uint64, buffer=np.ascontiguousarray(data).data, strides=(1,))
     h = view * np.uint64(M1)
     h ^= h >> np.uint64(32)
     n = 8
-    while n < GRAM:
-        h = h[:-n] * np.uint64(M2) + h[n:]
+    while n < gram:
+        step = min(n, gram - n)  # the last two halves may overlap
+        h = h[:-step] * np.uint64(M2) + h[step:]
         h ^= h >> np.uint64(29)
         h *= np.uint64(M1)
-        n *= 2
+        n += step
     h ^= h >> np.uint64(32)
     return h
 
@@ -67,57 +72,55 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - w)], x[width - w :]) if width > w else x
 
 
-def anchor_rows(data: np.ndarray, starts: np.ndarray):
+def anchor_rows(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """Row, p1, p2, anchor (positions in ``data``), hash of the anchor's string and of the context."""
-    h = gram_hashes(data)
+    h = gram_hashes(data, gram)
     at = np.arange(len(h), dtype=np.uint64)
-    named = np.uint64(LOW) - (sliding_min((h & ~np.uint64(LOW)) | (np.uint64(LOW) - at), LENGTH - GRAM + 1) & np.uint64(LOW))
+    named = np.uint64(LOW) - (sliding_min((h & ~np.uint64(LOW)) | (np.uint64(LOW) - at), length - gram + 1) & np.uint64(LOW))
     ends = starts[1:]
-    whole = ends - starts[:-1] >= LENGTH
-    cuts = np.concatenate([[0], np.flatnonzero(named[1:] != named[:-1]) + 1, starts[:-1][whole], ends[whole] - LENGTH + 1])
+    whole = ends - starts[:-1] >= length
+    cuts = np.concatenate([[0], np.flatnonzero(named[1:] != named[:-1]) + 1, starts[:-1][whole], ends[whole] - length + 1])
     cuts = np.unique(cuts[cuts < len(named)])
     p1, p2 = cuts, np.append(cuts[1:], len(named)) - 1
     row = np.searchsorted(starts, p1, side="right") - 1
-    keep = p2 + LENGTH <= ends[np.minimum(row, len(ends) - 1)]
+    keep = p2 + length <= ends[np.minimum(row, len(ends) - 1)]
     p1, p2, row = p1[keep], p2[keep], row[keep]
     anchor = named[p1].astype(np.int64)
-    last = p2 + LENGTH - GRAM
+    last = p2 + length - gram
     context = mix((p2 - p1).astype(np.uint64) * np.uint64(M1) + (anchor - p1).astype(np.uint64))
-    for k in range(0, 2 * LENGTH, GRAM):
+    for k in range(0, 2 * length, gram):
         inside = p1 + k < last
         context[inside] = combine(context[inside], h[p1[inside] + k])
     return row, p1, p2, anchor, h[anchor], combine(context, h[last])
 
 
-def anchors(batches):
+def anchors(batches, length: int = LENGTH, gram: int = GRAM):
     names = [*KEYS, "p1", "p2", "at", "gram", "ctx"]
     for batch in slices(batches, "text", BATCH):
         data, starts = raw_bytes(batch.column("text"))
-        for a in range(0, max(1, len(data) - LENGTH + 1), BLOCK):  # a long text makes several, and shares them with its neighbours
-            part = data[a : a + BLOCK + LENGTH - 1]
-            if len(part) < LENGTH:
+        for a in range(0, max(1, len(data) - length + 1), BLOCK):  # a long text makes several, and shares them with its neighbours
+            part = data[a : a + BLOCK + length - 1]
+            if len(part) < length:
                 continue
-            row, p1, p2, at, gram, context = anchor_rows(part, np.clip(starts - a, 0, len(part)))
+            row, p1, p2, at, string, context = anchor_rows(part, np.clip(starts - a, 0, len(part)), length, gram)
             first = starts[row] - a
             keys = [batch.column(c).take(pa.array(row)) for c in KEYS]
             yield pa.RecordBatch.from_arrays(
-                keys + [pa.array(x - first, pa.int64()) for x in (p1, p2, at)] + [pa.array(x.view(np.int64)) for x in (gram, context)],
+                keys + [pa.array(x - first, pa.int64()) for x in (p1, p2, at)] + [pa.array(x.view(np.int64)) for x in (string, context)],
                 names=names)
 
 
-def contexts(batches):
+def contexts(batches, length: int = LENGTH):
     """Bytes left of each anchor (nearest first) and right of it."""
     for batch in batches:
         out = []
-        for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
-            raw = text.encode()
+        for raw, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
             for x in found:
-                out.append((x["gram"], x["ctx"], x["n"], x["n_ctx"], x["at"] - x["p2"],
-                            raw[x["p1"] : x["at"]][::-1], raw[x["at"] : x["p2"] + LENGTH]))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 7
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                out.append((x["gram"], x["ctx"], x["n"], x["n_ctx"], raw[x["p1"] : x["at"]][::-1], raw[x["at"] : x["p2"] + length]))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 6
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)],
-                                         names=["gram", "ctx", "n", "n_ctx", "low", "left", "right"])
+                                         names=["gram", "ctx", "n", "n_ctx", "left", "right"])
 
 
 def between(prefix: np.ndarray, chosen: np.ndarray, joined: np.ndarray) -> np.ndarray:
@@ -130,18 +133,17 @@ def between(prefix: np.ndarray, chosen: np.ndarray, joined: np.ndarray) -> np.nd
     return out
 
 
-def repeated(gram: np.ndarray, left: list, right: list) -> np.ndarray:
+def repeated(gram: np.ndarray, left: list, right: list, length: int = LENGTH, reach: int = LENGTH - GRAM) -> np.ndarray:
     """For contexts in the order of (gram, right): which distances d of an anchor hold a repeated window."""
-    reach = LENGTH - GRAM
     n = len(gram)
     flags = np.zeros((n, reach + 1), bool)
     right_size = np.fromiter(map(len, right), np.int64, n)
     far = np.fromiter(map(len, left), np.int64, n)
-    matrix = np.array(right, f"S{LENGTH}").view(np.uint8).reshape(n, LENGTH)
+    matrix = np.array(right, f"S{length}").view(np.uint8).reshape(n, length)
     before = np.array(left, f"S{reach}").view(np.uint8).reshape(n, reach)
     differ = matrix[1:] != matrix[:-1]
     prefix = np.zeros(n, np.int64)
-    prefix[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)
+    prefix[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
     prefix[1:] = np.minimum(prefix[1:], np.minimum(right_size[1:], right_size[:-1]))
     group = np.cumsum(np.append(0, gram[1:] != gram[:-1]))
     prefix[np.flatnonzero(np.diff(group)) + 1] = 0
@@ -149,14 +151,14 @@ def repeated(gram: np.ndarray, left: list, right: list) -> np.ndarray:
     for d in range(reach + 1):
         if len(member) < 2:
             break
-        hit = np.flatnonzero(prefix >= LENGTH - d)
+        hit = np.flatnonzero(prefix >= length - d)
         flags[member[hit], d] = True
         flags[member[hit - 1], d] = True
         if d == reach:
             break
         # a suffix stays in the queue while a longer window of its own can still find a partner
         best = np.maximum(prefix, np.append(prefix[1:], 0))
-        chosen = np.flatnonzero((far[member] > d) & (best >= LENGTH - far[member]))
+        chosen = np.flatnonzero((far[member] > d) & (best >= length - far[member]))
         if len(chosen) < 2:
             break
         key = group[chosen] * 256 + before[member[chosen], d]
@@ -171,11 +173,11 @@ def repeated(gram: np.ndarray, left: list, right: list) -> np.ndarray:
     return flags
 
 
-def induce(batches, most: int = 1 << 15):
+def induce(batches, length: int = LENGTH, reach: int = LENGTH - GRAM, most: int = 1 << 15):
     """Stream groups off the sorted queue, ``most`` contexts at a time; a group is never cut."""
     def done(table: pa.Table) -> pa.RecordBatch:
         gram, ctx, n = (table.column(c).to_numpy() for c in ("gram", "ctx", "n"))
-        flags = repeated(gram, table.column("left").to_pylist(), table.column("right").to_pylist())
+        flags = repeated(gram, table.column("left").to_pylist(), table.column("right").to_pylist(), length, reach)
         flags[n > 1] = False
         edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, a = np.nonzero(edge == 1)
@@ -199,53 +201,65 @@ def induce(batches, most: int = 1 << 15):
         yield done(pa.Table.from_batches(waiting))
 
 
-def hot_windows(batches):
-    """Every window of a context by hash: gram, ctx, n, d, window hash."""
+def same_row(a: DataFrame, b: DataFrame):
+    return a["_id"].eqNullSafe(b["_id"]) & (a["_k1"] == b["_k1"]) & (a["_k2"] == b["_k2"])
+
+
+def as_texts(batches):
+    """Contexts in the order of their bytes; one that occurs more than once makes two texts."""
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("gram", "ctx", "n", "low", "left", "right")]
-        out = [np.zeros((0, 5), np.int64)]
-        for gram, ctx, n, low, left, right in zip(*columns, strict=True):
-            h = gram_hashes(np.frombuffer(left[::-1] + right, np.uint8))
-            d = np.arange(low, len(left) + 1)
-            p = len(left) - d
-            x = np.full(len(p), np.uint64(1))
-            for k in (*range(0, LENGTH - GRAM, GRAM), LENGTH - GRAM):
-                x = combine(x, h[p + k])
-            out.append(np.stack([np.full(len(p), gram), np.full(len(p), ctx), np.full(len(p), n), d, x.view(np.int64)], axis=1))
-        table = np.concatenate(out)
-        yield pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(5)], names=["gram", "ctx", "n", "d", "window"])
+        n = batch.column("n").to_numpy()
+        copies = np.repeat(np.arange(len(n)), np.where(n > 1, 2, 1))
+        second = np.append(False, copies[1:] == copies[:-1])[: len(copies)]
+        texts = [left[::-1] + right for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("gram").take(pa.array(copies)), batch.column("ctx").take(pa.array(copies)),
+                                          pa.array(second.astype(np.int64)), pa.array([texts[k] for k in copies], pa.binary())], names=[*KEYS, "text"])
 
 
-def same_row(a: DataFrame, b: DataFrame):
-    return a["_id"].eqNullSafe(b["_id"]) & (a["_k1"] == b["_k1"]) & (a["_k2"] == b["_k2"])
+def inner_runs(shown: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """(gram, ctx, d1, d2): distances whose windows repeat, found with longer anchor strings inside the contexts.
+
+    A context that occurs more than once stands for two texts, so its windows count for the others.
+    """
+    texts = shown.mapInArrow(as_texts, "_id long, _k1 long, _k2 long, text binary")
+    spans = repeated_spans(texts, length, gram + (length - gram + 1) // 2, hot)
+    each = spans.filter("_k2 = 0").select(F.col("_id").alias("gram"), F.col("_k1").alias("ctx"), F.explode("spans").alias("s"))
+    far = shown.filter("n = 1").select("gram", "ctx", F.octet_length("left").alias("far"))
+    return each.join(far, ["gram", "ctx"]).select(
+        "gram", "ctx", (F.col("far") - F.col("s.b") + length).cast("long").alias("d1"), (F.col("far") - F.col("s.a")).cast("long").alias("d2"))
 
 
-def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """``KEYS`` and ``spans``, (start, end) byte ranges to remove, for rows of ``KEYS`` and text that have any."""
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """``KEYS`` and ``spans`` for rows of ``KEYS`` and ``text`` (binary) that have any.
+
+    Spans are byte ranges (a, b) to remove; all windows of ``length`` bytes from a to b - length repeat.
+    """
     found = cut_lineage(rows.mapInArrow(
-        anchors, "_id long, _k1 long, _k2 long, p1 long, p2 long, at long, gram long, ctx long"), "anchors")
+        lambda batches: anchors(batches, length, gram), "_id long, _k1 long, _k2 long, p1 long, p2 long, at long, gram long, ctx long"), "anchors")
     counts = found.groupBy("gram", "ctx").agg(F.count("*").alias("n"))
     counts = cut_lineage(counts, "contexts")
     per_gram = counts.groupBy("gram").agg(F.count("*").alias("n_ctx"), F.sum("n").alias("_all")).filter("_all > 1")
     open_ = counts.join(per_gram.drop("_all"), "gram")
     known = cut_lineage(found.join(open_, ["gram", "ctx"]), "repeats")
+    discard(found)
+    discard(counts)
 
     several = known.filter("n_ctx > 1")
     one_each = several.filter("n = 1").unionByName(several.filter("n > 1").dropDuplicates(["gram", "ctx"]))
     per_doc = one_each.groupBy(*KEYS).agg(F.collect_list(F.struct("gram", "ctx", "n", "n_ctx", "p1", "p2", "at")).alias("found"))
     needed = rows.join(per_doc, same_row(rows, per_doc)).select("text", "found")
     shown = cut_lineage(needed.mapInArrow(
-        contexts, "gram long, ctx long, n long, n_ctx long, low long, left binary, right binary"), "queue")
+        lambda batches: contexts(batches, length), "gram long, ctx long, n long, n_ctx long, left binary, right binary"), "queue")
 
     queue = shown.filter(F.col("n_ctx") <= hot).repartition("gram").sortWithinPartitions("gram", "right")
-    runs = queue.mapInArrow(induce, "gram long, ctx long, d1 long, d2 long")
-    windows = shown.filter(F.col("n_ctx") > hot).mapInArrow(hot_windows, "gram long, ctx long, n long, d long, window long")
-    twice = windows.groupBy("gram", "d", "window").agg(F.sum("n").alias("_n")).filter("_n > 1").drop("_n")
-    hot_runs = windows.filter("n = 1").join(twice, ["gram", "d", "window"]).select("gram", "ctx", F.col("d").alias("d1"), F.col("d").alias("d2"))
-
-    settled = known.filter("n > 1").select(*KEYS, F.col("p1").alias("a"), (F.col("p2") + LENGTH).alias("b"))
-    induced = known.filter("n = 1 AND n_ctx > 1").join(runs.unionByName(hot_runs), ["gram", "ctx"]).select(
-        *KEYS, (F.col("at") - F.col("d2")).alias("a"), (F.col("at") - F.col("d1") + LENGTH).alias("b"))
+    runs = queue.mapInArrow(lambda batches: induce(batches, length, length - gram), "gram long, ctx long, d1 long, d2 long")
+    many = shown.filter(F.col("n_ctx") > hot)
+    if gram < length and not many.isEmpty():
+        runs = runs.unionByName(inner_runs(many, length, gram, hot))
+
+    settled = known.filter("n > 1").select(*KEYS, F.col("p1").alias("a"), (F.col("p2") + length).alias("b"))
+    induced = known.filter("n = 1 AND n_ctx > 1").join(runs, ["gram", "ctx"]).select(
+        *KEYS, (F.col("at") - F.col("d2")).alias("a"), (F.col("at") - F.col("d1") + length).alias("b"))
     return settled.unionByName(induced).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
@@ -279,17 +293,21 @@ def cut_texts(batches):
         yield batch.set_column(1, "_kept", pa.array(texts, pa.string()))
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, as_text: bool = False) -> DataFrame:
-    """All columns but ``text``, and ``_kept`` (remaining bytes, or text), ``_removed`` and ``_runs``."""
-    rest = [c for c in docs.columns if c != text]
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, as_text: bool = False,
+                    length: int = LENGTH, gram: int = GRAM, names: tuple[str, str, str] = ("_kept", "_removed", "_runs")) -> DataFrame:
+    """All columns but ``text``, and under ``names`` what is left (bytes, or text), the bytes removed and their runs.
+
+    Input columns with one of these names are left out.
+    """
+    rest = [c for c in docs.columns if c not in (text, *names)]
     base = docs.select(F.struct(*rest).alias("_rest"), F.col(doc_id).cast("long").alias("_id"),
                        F.col(text).cast("string").alias("text"))
     base = base.select("*", *text_key())
-    spans = repeated_spans(base.select(*KEYS, "text"), hot)
+    spans = repeated_spans(base.select(*KEYS, F.col("text").cast("binary").alias("text")), length, gram, hot)
     kind = base.schema["_rest"].dataType.simpleString()
     joined = base.join(spans, same_row(base, spans), "left").select("_rest", "text", "spans")
     done = joined.mapInArrow(cut_texts if as_text else cut_spans, f"_rest {kind}, _kept {'string' if as_text else 'binary'}, _removed long, _runs long")
-    return done.select(*[F.col("_rest")[c].alias(c) for c in rest], "_kept", "_removed", "_runs")
+    return done.select(*[F.col("_rest")[c].alias(c) for c in rest], *[F.col(c).alias(n) for c, n in zip(("_kept", "_removed", "_runs"), names, strict=True)])
 
 
 def digests(docs: DataFrame) -> DataFrame:

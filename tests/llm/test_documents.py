@@ -151,11 +151,34 @@ def brute5(rows):
     return [(i, *x) for (i, _), x in zip(rows, suffix_dedup.brute_force([t for _, t in rows]), strict=True)]
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 0, 2])
-def test_suffix_dedup(documents, edge_rows, monkeypatch, hot):
-    got = suffix_dedup.without_repeats(documents(edge_rows), hot=hot).collect()
-    done = [(r["doc_id"], len(r["_kept"]) + r["_removed"], r["_removed"], r["_runs"], hashlib.sha256(r["_kept"]).hexdigest()) for r in got]
-    assert same(done, brute5(edge_rows))
+def digests5(got):
+    return [(r["doc_id"], len(r["_kept"]) + r["_removed"], r["_removed"], r["_runs"], hashlib.sha256(r["_kept"]).hexdigest()) for r in got.collect()]
+
+
+@pytest.mark.parametrize("hot,length,gram", [(suffix_dedup.HOT, 400, 128), (0, 400, 128), (2, 400, 128), (1, 230, 64), (suffix_dedup.HOT, 230, 80)])
+def test_suffix_dedup(documents, edge_rows, hot, length, gram):
+    got = suffix_dedup.without_repeats(documents(edge_rows), hot=hot, length=length, gram=gram)
+    want = [(i, *x) for (i, _), x in zip(edge_rows, suffix_dedup.brute_force([t for _, t in edge_rows], length), strict=True)]
+    assert same(digests5(got), want)
+
+
+def test_a_hot_string_is_refined_by_longer_anchors(documents):
+    """One passage in many texts, longer and shorter than the window, with borders of all kinds; contexts of a third are alike."""
+    rnd = random.Random(11)
+    draw = lambda n, of="abcdefghij ": "".join(rnd.choice(of) for _ in range(n))
+    long, short = draw(470), draw(370)
+    rows = [(i, draw(rnd.randint(0, 40), "xy" if i % 3 else "x") + (long if i % 2 else short) + draw(rnd.randint(0, 40), "pq" if i % 3 else "p")) for i in range(120)]
+    want = brute5(rows)
+    assert sum(r[2] > 0 for r in want) > 60
+    for hot in (0, 3, 40):
+        assert same(digests5(suffix_dedup.without_repeats(documents(rows), hot=hot)), want), hot
+
+
+def test_suffix_dedup_takes_columns_of_its_own_names(documents):
+    docs = documents([(1, "a" * 500), (2, "b")]).withColumnRenamed("lang", "_kept").withColumnRenamed("source", "_removed").withColumnRenamed("spans", "_runs")
+    got = suffix_dedup.without_repeats(docs)
+    assert got.columns == [c for c in docs.columns if c not in ("text", "_kept", "_removed", "_runs")] + ["_kept", "_removed", "_runs"]
+    assert sorted(r["_removed"] for r in got.collect()) == [0, 500]
 
 
 def test_suffix_dedup_of_sf(spark, sf):
@@ -218,9 +241,7 @@ def test_induced_order_with_shuffled_borders(documents):
     rows = [(i, "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 60))) + passage[rnd.randint(0, 150) : rnd.randint(540, 700)]
              + "".join(rnd.choice("xyz") for _ in range(rnd.randint(0, 60)))) for i in range(60)]
     for hot in (10**6, 0):
-        got = suffix_dedup.without_repeats(documents(rows), hot=hot).collect()
-        done = [(r["doc_id"], len(r["_kept"]) + r["_removed"], r["_removed"], r["_runs"], hashlib.sha256(r["_kept"]).hexdigest()) for r in got]
-        assert same(done, brute5(rows))
+        assert same(digests5(suffix_dedup.without_repeats(documents(rows), hot=hot)), brute5(rows))
 
 
 # ---- substring dedup
