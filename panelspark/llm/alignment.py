@@ -198,9 +198,11 @@ def spread(edges: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + edges[chosen][at]
 
 
-def linked_batch(rows: pa.RecordBatch, align: Aligner) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-    """Rows with their alignment, the different pairs of all rows sorted, and in how many rows each is linked."""
-    texts = rows.column("_text").to_pylist()
+def linked_batch(texts: list[str | None], align: Aligner) -> tuple[list, pa.RecordBatch, np.ndarray, np.ndarray]:
+    """n_a, n_b, n_groups and groups of all texts; their links; the different pairs sorted; in how many texts each is linked.
+
+    Links are one row (place, times) per text: places among the pairs, and how often each is linked.
+    """
     cut = [align.units(t) for t in texts]
     different = list(dict.fromkeys(chain.from_iterable(cut)))
     known, good = align.aligned(different)
@@ -226,11 +228,9 @@ def linked_batch(rows: pa.RecordBatch, align: Aligner) -> tuple[pa.RecordBatch,
     linked = sums(where, times[at] * known.times[link], len(cell))
     doc_of, place = np.divmod(cell, max(1, len(keys)))
     ends = np.searchsorted(doc_of, np.arange(n + 1)).astype(np.int32)
-    out = pa.RecordBatch.from_arrays(
-        [rows.column("_rest"), *[pa.array(sums(doc, x[unit], n)) for x in (known.n_a, known.n_b, known.n_groups)], pa.array(shown, pa.large_string()),
-         pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(linked))],
-        names=["_rest", "n_a", "n_b", "n_groups", "groups", "place", "times"])
-    return out, keys, np.bincount(place, minlength=len(keys))
+    links = pa.RecordBatch.from_arrays(
+        [pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(linked))], names=["place", "times"])
+    return [*(sums(doc, x[unit], n) for x in (known.n_a, known.n_b, known.n_groups)), shown], links, keys, np.bincount(place, minlength=len(keys))
 
 
 def joined(x: Units, y: Units) -> Units:
@@ -239,76 +239,89 @@ def joined(x: Units, y: Units) -> Units:
     return Units(*both, x.shown + y.shown, unit, np.concatenate([x.key, y.key]), np.concatenate([x.times, y.times]))
 
 
-def stored_batches(docs: DataFrame, byte_path: str, piece_path: str, text: str) -> tuple[DataFrame, list[str]]:
+def rest_of(docs: DataFrame, text: str) -> tuple[list[str], DataFrame, str]:
+    """The columns to keep, rows (_rest, _text), and the type of ``_rest``."""
     rest = [c for c in docs.columns if c != text and c not in RESULT]
     rows = docs.select(F.struct(*rest).alias("_rest") if rest else F.struct(F.lit(0)).alias("_rest"), F.col(text).cast("string").alias("_text"))
+    return rest, rows, rows.schema["_rest"].dataType.simpleString()
+
 
+def stored_batches(rows: DataFrame, kind: str, byte_path: str, piece_path: str, hashed: bool) -> DataFrame:
+    """A table with a row for each text (batch, i, _rest, n_a, n_b, n_groups, groups) and one for each batch (batch, links, pairs, held).
+
+    With ``hashed``, groups are the SHA-256 of their text.
+    """
     def made(batches):
         align, task = aligner(byte_path, piece_path), TaskContext.get().partitionId() << 20
         for n, part in enumerate(slices(batches, "_text", BATCH)):
-            payload, keys, held = linked_batch(part, align)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([task + n]), pa.array([packed(payload)], pa.binary()), pa.array([keys.tolist()], pa.list_(pa.int64())),
-                 pa.array([held.tolist()], pa.list_(pa.int64()))], names=["batch", "payload", "pairs", "held"])
+            (n_a, n_b, n_groups, shown), links, keys, held = linked_batch(part.column("_text").to_pylist(), align)
+            if hashed:
+                shown = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in shown]
+            m, names = part.num_rows, ["batch", "i", "_rest", *RESULT[:3], "groups", "links", "pairs", "held"]
+            none = [pa.nulls(m, t) for t in (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, task + n)), pa.array(np.arange(m, dtype=np.int32)), part.column("_rest"),
+                                              *map(pa.array, (n_a, n_b, n_groups)), pa.array(shown, pa.string()), *none], names=names)
+            none = [pa.nulls(1, t) for t in (pa.int32(), part.column("_rest").type, *[pa.int64()] * 3, pa.string())]
+            whole = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (keys, held)]
+            yield pa.RecordBatch.from_arrays([pa.array([task + n]), *none, pa.array([packed(links)], pa.binary()), *whole], names=names)
 
-    return cut_lineage(rows.mapInArrow(made, "batch long, payload binary, pairs array<long>, held array<long>"), "aligned"), rest
+    schema = f"batch long, i int, _rest {kind}, n_a long, n_b long, n_groups long, groups string, links binary, pairs array<long>, held array<long>"
+    return cut_lineage(rows.mapInArrow(made, schema), "aligned")
 
 
 def counted(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (batch, pair, held) and (pair, count)."""
-    named = stored.select("batch", F.inline(F.arrays_zip(F.col("pairs").alias("pair"), F.col("held").alias("held"))))
+    named = stored.filter("links IS NOT NULL").select("batch", F.inline(F.arrays_zip(F.col("pairs").alias("pair"), F.col("held").alias("held"))))
     return named, named.groupBy("pair").agg(F.sum("held").alias("count"))
 
 
 def pair_counts(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text") -> DataFrame:
     """``a``, ``b`` and ``docs``, the number of documents that hold the pair linked."""
-    counts = counted(stored_batches(docs, byte_path, piece_path, text)[0])[1]
+    _, rows, kind = rest_of(docs, text)
+    counts = counted(stored_batches(rows, kind, byte_path, piece_path, True))[1]
     return counts.select(F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND((1 << 32) - 1).alias("b"), F.col("count").alias("docs"))
 
 
-def aligned(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text") -> DataFrame:
+def linked_sums(batches):
+    """Per text its links, those with the highest count of their first id, and the sum of counts."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            links = unpacked(batch.column("links")[k].as_py())
+            held, best = (batch.column(c)[k].values.to_numpy(zero_copy_only=False).astype(np.int64) if batch.column(c)[k].is_valid else np.zeros(0, np.int64)
+                          for c in ("counts", "best"))
+            place, times = (links.column(c).flatten().to_numpy() for c in ("place", "times"))
+            n = links.num_rows
+            doc = np.repeat(np.arange(n), links.column("place").value_lengths().to_numpy())
+            total = [sums(doc, x, n) for x in (times, times * best[place], times * held[place])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column("batch")[k].as_py())), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, total)],
+                                             names=["batch", "i", *RESULT[3:6]])
+
+
+def aligned(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", hashed: bool = False) -> DataFrame:
     """All columns but ``text``, and n_a, n_b, n_groups, n_links, n_best, count_sum and ``groups``.
 
-    ``groups`` reads ``a1,a2|b1;a3|b2,b3``: ids of the first tokenizer, of the second, group by group.
+    ``groups`` reads ``a1,a2|b1;a3|b2,b3``: ids of the first tokenizer, of the second, group by group;
+    with ``hashed``, it is the SHA-256 of that text ('' without tokens).
     """
-    stored, rest = stored_batches(docs, byte_path, piece_path, text)
-    kind = stored_kind(docs, rest)
+    rest, rows, kind = rest_of(docs, text)
+    stored = stored_batches(rows, kind, byte_path, piece_path, hashed)
     named, counts = counted(stored)
     counts = cut_lineage(counts, "pairs")
     highest = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("count").alias("most"))
     told = counts.withColumn("a", F.shiftright("pair", 32)).join(highest, "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
     answers = named.select("batch", "pair").join(told, "pair").groupBy("batch").agg(
-        F.sort_array(F.collect_list(F.struct("pair", "count", "best"))).alias("answers"))
-
-    def finished(batches):
-        for batch in batches:
-            for payload, told in zip(batch.column("payload"), batch.column("answers"), strict=True):
-                rows = unpacked(payload.as_py())
-                if told.is_valid:
-                    held, best = (told.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("count", "best"))
-                else:
-                    held = best = np.zeros(0, np.int64)
-                place, times = (rows.column(c).flatten().to_numpy() for c in ("place", "times"))
-                doc = np.repeat(np.arange(rows.num_rows), np.diff(rows.column("place").offsets.to_numpy()))
-                total = [sums(doc, x, rows.num_rows) for x in (times, times * best[place], times * held[place])]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("_rest"), *[rows.column(c) for c in ("n_a", "n_b", "n_groups")], *map(pa.array, total), rows.column("groups").cast(pa.string())],
-                    names=["_rest", *RESULT])
-
-    done = stored.select("batch", "payload").join(answers, "batch", "left").mapInArrow(
-        finished, f"_rest {kind}, {', '.join(f'{c} long' for c in RESULT[:-1])}, groups string")
+        F.sort_array(F.collect_list(F.struct("pair", "count", "best"))).alias("s"))  # a batch's pairs, in their order
+    answers = answers.select("batch", F.transform("s", lambda x: x["count"]).alias("counts"), F.transform("s", lambda x: x["best"]).alias("best"))
+    links = stored.filter("links IS NOT NULL").select("batch", "links").join(answers, "batch", "left")
+    totals = links.mapInArrow(linked_sums, "batch long, i int, n_links long, n_best long, count_sum long")
+    done = stored.filter("links IS NULL").drop("links", "pairs", "held").join(totals, ["batch", "i"])
     return done.select(*[F.col("_rest")[c].alias(c) for c in rest], *RESULT)
 
 
-def stored_kind(docs: DataFrame, rest: list[str]) -> str:
-    row = docs.select(F.struct(*rest).alias("_rest") if rest else F.struct(F.lit(0)).alias("_rest"))
-    return row.schema["_rest"].dataType.simpleString()
-
-
 def digests(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     """Per document: doc_id, the counts, and the SHA-256 of its groups ('' without tokens)."""
-    done = aligned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), byte_path, piece_path)
-    return done.select("doc_id", *RESULT[:-1], F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("").alias("groups_sha256"))
+    done = aligned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), byte_path, piece_path, hashed=True)
+    return done.select("doc_id", *RESULT[:-1], F.col("groups").alias("groups_sha256"))
 
 
 def brute_force(rows: list[tuple], byte_path: str, piece_path: str) -> list[tuple]:

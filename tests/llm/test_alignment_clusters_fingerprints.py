@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import pytest
 
 from panelspark.llm import alignment, centroids, fingerprints, queries
@@ -40,14 +39,13 @@ def test_alignment_units_cut_where_both_tokenizers_do(monkeypatch):
     """Units of texts give what whole texts give, also where runs of units are short."""
     monkeypatch.setattr(alignment, "RUN", 3)
     align, texts = alignment.Aligner(A, B), random_texts(4, 400)
-    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["_rest", "_text"])
-    got, keys, _ = alignment.linked_batch(rows, align)
+    (_, _, n_groups, shown), found, keys, _ = alignment.linked_batch(texts, align)
     whole, good = align.aligned(texts)
     for i, text in enumerate(texts):
         ok = good[i] and text
-        assert got.column("groups")[i].as_py() == (whole.shown[i] if ok else ""), repr(text)
-        assert got.column("n_groups")[i].as_py() == (whole.n_groups[i] if ok else 0)
-        links = dict(zip((keys[k] for k in got.column("place")[i].as_py()), got.column("times")[i].as_py(), strict=True))
+        assert shown[i] == (whole.shown[i] if ok else ""), repr(text)
+        assert n_groups[i] == (whole.n_groups[i] if ok else 0)
+        links = dict(zip((keys[k] for k in found.column("place")[i].as_py()), found.column("times")[i].as_py(), strict=True))
         run = slice(whole.edges[i], whole.edges[i + 1])
         assert links == ({k: int(whole.times[run][whole.key[run] == k].sum()) for k in set(whole.key[run].tolist())} if ok else {})
 
