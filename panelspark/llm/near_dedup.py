@@ -38,7 +38,7 @@ from panelspark.storage import cut_lineage
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
 SIZE = BANDS * ROWS
 THROWN = SIZE * (np.log(SIZE) + 2)
-CHUNK = 1024
+CHUNK, SALTS = 1024, 64
 #: Pairs whose agreeing coordinates are within four deviations of the threshold are verified before the others.
 NEAR = int(SIZE * THRESHOLD - 4 * np.sqrt(SIZE * THRESHOLD * (1 - THRESHOLD)))
 BATCH, FLAT = 3 << 19, 1 << 20
@@ -167,16 +167,26 @@ def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut_lineage(both.mapInArrow(similar, "a long, b long"), "links")
 
 
+def mixed_members(placed: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with the numbers of blocks (own, others) of their bucket.
+
+    Own members are those of the smallest node's component. Members of one bucket lie in ``SALTS`` places
+    when they meet the bucket's numbers, so a bucket with a third of all members is spread.
+    """
+    of_home = F.col("root") == F.col("home")
+    blocks = lambda hit: F.ceil(F.sum(hit.cast("int")) / CHUNK).cast("int")
+    mixed = placed.groupBy("bucket").agg(blocks(of_home).alias("own"), blocks(~of_home).alias("others")).filter("others > 0")
+    salted = mixed.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return placed.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).join(salted, ["bucket", "salt"]).drop("salt")
+
+
 def chunk_pairs(members: DataFrame) -> DataFrame:
     """Members of mixed buckets, dealt to blocks: (bucket, i, j, side, rid, root).
 
     Own members (of the smallest node's component) only meet others; others also meet each other.
     """
-    sizes = members.groupBy("bucket").agg(
-        F.ceil(F.sum((F.col("root") == F.col("home")).cast("int")) / CHUNK).cast("int").alias("own"),
-        F.ceil(F.sum((F.col("root") != F.col("home")).cast("int")) / CHUNK).cast("int").alias("others"))
-    dealt = members.join(sizes, "bucket").withColumn("other", F.col("root") != F.col("home"))
-    place = F.pmod(F.xxhash64("rid"), F.when(F.col("other"), F.col("others")).otherwise(F.col("own"))).cast("int")
+    dealt = members.withColumn("other", F.col("root") != F.col("home"))
+    place = F.pmod(F.xxhash64("rid", F.lit(1)), F.when(F.col("other"), F.col("others")).otherwise(F.col("own"))).cast("int")
     dealt = dealt.withColumn("place", place)
     # blocks are (own chunk, -) numbered from 0 and (-, other chunk); an other's chunk i meets j >= i as left side
     left = F.when(~F.col("other"), F.transform(F.sequence(F.lit(0), F.col("others") - 1),
@@ -254,8 +264,7 @@ def classes(stored: DataFrame) -> DataFrame:
         return df.join(known, node, "left").withColumn(root, F.coalesce(root, node))
 
     placed = rooted(rooted(members, "rid", "root"), "hub", "home")
-    mixed = placed.groupBy("bucket").agg(F.max((F.col("root") != F.col("home")).cast("int")).alias("_mixed")).filter("_mixed = 1").drop("_mixed")
-    open_ = cut_lineage(placed.join(mixed, "bucket"), "open")
+    open_ = cut_lineage(mixed_members(placed), "open")
     blocks = chunk_pairs(open_).join(nodes, "rid").join(sets, "rid")
     links = links.unionByName(blocks.groupBy("bucket", "i", "j").applyInArrow(near_links, "a long, b long"))
     roots = cut_lineage(components(links), "components").withColumnRenamed("node", "rid")

@@ -202,8 +202,11 @@ def window_states(window: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns but ``text``, and ``_words``, ``_removed`` and ``_kept`` (kept words joined by a space)."""
-    rest = [c for c in docs.columns if c != text]
+    """All columns but ``text``, and ``_words``, ``_removed`` and ``_kept`` (kept words joined by a space).
+
+    Input columns with one of these names are left out.
+    """
+    rest = [c for c in docs.columns if c not in (text, "_words", "_removed", "_kept")]
     rows = docs.select(F.struct(*rest).alias("_rest"), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("_order"),
                        F.col(text).cast("string").alias("_text"))
     kind = rows.schema["_rest"].dataType.simpleString()

@@ -49,7 +49,10 @@ def patterns(host_: Column, segment: Column) -> Column:
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetched") -> DataFrame:
-    """``captures`` with ``decision``, ``pattern``, ``list_name`` and ``since`` of the deciding entry."""
+    """``captures`` with ``decision``, ``pattern``, ``list_name`` and ``since`` of the deciding entry.
+
+    Input columns with one of these names are left out.
+    """
     rest = F.struct("*").alias("_row")
     located = captures.select(rest, F.coalesce(host(F.col(url)), F.lit("")).alias("_host"),
                               F.coalesce(F.lower(F.regexp_extract(F.col(url), SEGMENT, 1)), F.lit("")).alias("_segment"), F.col(day).cast("date").alias("_day"))

@@ -1,12 +1,16 @@
 """The pipeline against brute force, stage by stage, and the registration of the package."""
 
 import importlib
+import random
 import sys
 
+import pytest
+
 import __spark_entry__ as entry
 import corpus_pipeline
-from panelspark.llm import near_dedup, queries, quality_crf, suffix_dedup
-from tests.llm.test_documents import brute2, check_packing
+from panelspark.llm import near_dedup, queries, quality_crf, substring_dedup
+from panelspark.storage import application_dir, children
+from tests.llm.test_documents import brute2, check_packing, texts_of
 
 
 def test_pipeline(spark, sf):
@@ -21,7 +25,7 @@ def test_pipeline(spark, sf):
 
 
 def cut(text, texts, cache={}):  # noqa: B006
-    n, key = suffix_dedup.LENGTH, id(texts[0])
+    n, key = corpus_pipeline.PASSAGE, id(texts[0])
     if key not in cache:
         seen = {}
         for t in texts:
@@ -45,6 +49,38 @@ def test_stages_return_document_columns(spark, documents, edge_rows):
     assert done.columns == docs.columns and done.count() == len(edge_rows)
 
 
+def test_stages_keep_columns_that_have_names_of_their_own(spark, documents, edge_rows, sf):
+    docs = documents(edge_rows).withColumnsRenamed({"lang": "_kept", "source": "_removed", "spans": "_quality", "batch": "_runs"})
+    done = corpus_pipeline.repeated_passages(spark, docs, "")
+    assert done.schema == docs.schema and {r["_kept"] for r in done.collect()} == {"en"} and {r["_quality"] for r in done.collect()} == {"s"}
+    assert corpus_pipeline.quality(spark, docs, sf).schema == docs.schema
+    assert near_dedup.keep_one(docs).schema == docs.schema
+    clash = docs.withColumnsRenamed({"_kept": "_words"})
+    assert sorted(substring_dedup.without_repeats(clash).columns) == sorted([c for c in clash.columns if c not in ("text", "_words", "_removed")] + ["_words", "_removed", "_kept"])
+
+
+@pytest.mark.parametrize("words,least", [(range(51, 61), 0.97), (range(61, 81), 1.0), (range(81, 121), 1.0)])
+def test_planted_passages_go_and_clean_documents_stay(spark, documents, words, least):
+    """Random passages of over 50 words in two documents each, by length class; the words are as long as those of the corpus."""
+    rnd = random.Random(words[0])
+    sizes = [len(w) for _, t in texts_of(spark, "/root/testdata/sf0.001")[:50] for w in t.split()]
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.choice(sizes))) for _ in range(n))
+    planted = [text(rnd.choice(words)) for _ in range(40)]
+    rows = [(2 * i + k, f"{text(60)} {p} {text(60)}") for i, p in enumerate(planted) for k in (0, 1)]
+    clean = [(1000 + i, text(200)) for i in range(40)]
+    done = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, documents(rows + clean), "").collect()}
+    caught = sum(p not in done[2 * i] and p not in done[2 * i + 1] for i, p in enumerate(planted))
+    assert caught >= least * len(planted)
+    assert all(done[i] == t for i, t in clean)
+
+
+def test_run_frees_the_tables_of_its_stages(spark, sf):
+    there = set(children(spark, application_dir(spark)))
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    left = [p.rsplit("/", 1)[1] for p in children(spark, application_dir(spark)) if p not in there]
+    assert len(left) == 1 and left[0].startswith("pipeline-pack")
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
