@@ -6,7 +6,9 @@ entry per feature, so it is fetched to the driver and its numbers become literal
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
 
 from panelspark import constants as C
 from panelspark.functions.expr import clip, log1p_positive, month_of, nan_to_null, same_key, signed_log, without_nan
@@ -14,6 +16,7 @@ from panelspark.functions.quantile import exact_quantiles, median_and_mad, wide
 from panelspark.storage import cut_lineage
 
 Profile = dict[str, dict[str, float]]
+DRAW_MARGIN = 6  # deviations by which a sample's first threshold lies above the wanted number
 
 
 def infer_category(column: str, themes: dict[str, str] | None = None) -> str:
@@ -135,17 +138,35 @@ def profile_sample(df: DataFrame, keys: list[str], features: list[str], per_chun
     """Per hash chunk of about ``chunk_rows`` rows and feature, up to ``per_chunk`` known values.
 
     The chunk and the drawing order are hashes of the row key and the seed, so chunks are even
-    and a rerun draws the same rows.
+    and a rerun draws the same rows. The first ``per_chunk`` values by hash are wanted: counts tell below
+    which hash slightly more lie, and only those are exchanged and sorted. Where fewer lie there, the
+    threshold is raised for that chunk and feature and the rest is drawn again; the result does not
+    depend on the thresholds. ``df`` is read several times, so it should be a stored table.
     """
     named = lambda *more: F.concat_ws("|", *more, *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
     chunks = F.greatest(F.lit(1), F.ceil(df.agg(F.count("*").alias("n")).scalar() / chunk_rows))
+    number = lambda h: F.conv(F.left(h, F.lit(8)), 16, 10).cast("bigint")
     cells = (
-        df.withColumn("chunk", F.pmod(F.conv(F.left(F.md5(named()), F.lit(8)), 16, 10).cast("bigint"), chunks))
+        df.withColumn("chunk", F.pmod(number(F.md5(named())), chunks))
         .select("chunk", *keys, *[F.col(c).cast("double").alias(c) for c in features])
         .unpivot(["chunk", *keys], features, "feature", "value").filter(F.col("value").isNotNull())
     )
-    draw = Window.partitionBy("chunk", "feature").orderBy(F.md5(named(F.col("feature"))), *keys)
-    return cells.withColumn("pick", F.row_number().over(draw)).filter(F.col("pick") <= per_chunk).drop("pick")
+    share = F.least(F.lit(1.0), (per_chunk + DRAW_MARGIN * per_chunk ** 0.5) / F.col("n"))
+    limits = cut_lineage(cells.groupBy("chunk", "feature").agg(F.count("*").alias("n")).withColumn("share", share), "draw_limits")
+    parts = []
+    while True:
+        found = cells.withColumn("_h", F.md5(named(F.col("feature")))).join(limits, ["chunk", "feature"]).filter(number(F.col("_h")) < F.col("share") * 2.0**32)
+        found = cut_lineage(found.drop("n", "share"), "drawn")
+        held = found.groupBy("chunk", "feature").agg(F.count("*").alias("held"))
+        state = limits.join(held, ["chunk", "feature"], "left").withColumn(
+            "short", F.coalesce("held", F.lit(0)) < F.least(F.col("n"), F.lit(per_chunk)))
+        parts.append(found.join(state.filter("NOT short").select("chunk", "feature"), ["chunk", "feature"], "left_semi"))
+        limits = cut_lineage(state.filter("short").select("chunk", "feature", "n", F.least(F.lit(1.0), F.col("share") * 2).alias("share")), "draw_limits")
+        if limits.isEmpty():
+            break
+    draw = Window.partitionBy("chunk", "feature").orderBy("_h", *keys)
+    picked = reduce(DataFrame.unionByName, parts).withColumn("pick", F.row_number().over(draw)).filter(F.col("pick") <= per_chunk)
+    return picked.select("chunk", *keys, "feature", "value")
 
 
 def winsorized(c: Column, category: str, stats: dict[str, float] | None) -> Column:
@@ -214,21 +235,30 @@ def clean_panel(df: DataFrame, month: str, features: list[str], profile: Profile
     return out
 
 
-def clean_qa(df: DataFrame, features: list[str], profile: Profile, themes=None) -> DataFrame:
-    """Per feature: values changed by clipping, missing values, and both over the known count."""
-    sums = []
+def qa_sums(features: list[str], profile: Profile, themes=None) -> dict[str, Column]:
+    """Three sums per feature over the raw rows: values changed by clipping, missing values, known values."""
+    sums = {}
     for c in features:
         raw = nan_to_null(F.col(c).cast("double"))
         clipped = winsorized(raw, infer_category(c, themes), profile.get(c))
-        sums.append(F.struct(
-            F.coalesce(F.sum((clipped != raw).cast("long")), F.lit(0)).alias("clipped"),
-            F.sum(raw.isNull().cast("long")).alias("missing"),
-            F.greatest(F.count(raw), F.lit(1)).alias("known")).alias(c))
-    long = df.agg(*sums).unpivot([], features, "feature", "q")
-    return long.select("feature", F.col("q.clipped").alias("clipped"),
-                       (F.col("q.clipped") / F.col("q.known")).alias("clipped_pct_non_null"),
-                       F.col("q.missing").alias("missing"),
-                       (F.col("q.missing") / F.col("q.known")).alias("missing_rate"))
+        sums[f"{c}|clipped"] = F.coalesce(F.sum((clipped != raw).cast("long")), F.lit(0))
+        sums[f"{c}|missing"] = F.coalesce(F.sum(raw.isNull().cast("long")), F.lit(0))
+        sums[f"{c}|known"] = F.count(raw)
+    return sums
+
+
+def qa_shares(long: DataFrame) -> DataFrame:
+    """Counts and shares per feature from rows (feature, clipped, missing, known)."""
+    known = F.greatest(F.col("known"), F.lit(1))
+    return long.select("feature", "clipped", (F.col("clipped") / known).alias("clipped_pct_non_null"),
+                       "missing", (F.col("missing") / known).alias("missing_rate"))
+
+
+def clean_qa(df: DataFrame, features: list[str], profile: Profile, themes=None) -> DataFrame:
+    """Per feature: values changed by clipping, missing values, and both over the known count."""
+    sums = qa_sums(features, profile, themes)
+    row = df.agg(*[F.struct(*[sums[f"{c}|{n}"].alias(n) for n in ("clipped", "missing", "known")]).alias(c) for c in features])
+    return qa_shares(row.unpivot([], features, "feature", "q").select("feature", "q.*"))
 
 
 def clean_summary(df: DataFrame, month: str, features: list[str]) -> DataFrame:
@@ -236,6 +266,26 @@ def clean_summary(df: DataFrame, month: str, features: list[str]) -> DataFrame:
                   F.lit(len(features)).alias("n_features"), F.count("*").alias("total_rows"))
 
 
+def clean_with_report(df: DataFrame, month: str, features: list[str], profile: Profile, themes=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The cleaned panel, the QA of ``clean_qa`` and the summary of ``clean_summary`` from one scan of ``df``.
+
+    The pass that stores the row-wise cleaned values also observes the raw ones; ``month`` is a date.
+    Months are counted as bits of a map with a place for each month before the year 2730.
+    """
+    seen = Observation("clean")
+    place = (F.year(month) * 12 + F.month(month)).cast("bigint")
+    months = F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(place)))
+    sums = {**qa_sums(features, profile, themes), "months": months, "rows": F.count(F.lit(1))}
+    observed = df.observe(seen, *[c.alias(n) for n, c in sums.items()])
+    unscaled = cut_lineage(without_nan(rowwise(observed, features, profile, themes), features), "unscaled")
+    panel = scaled_by(unscaled, month, features, cut_lineage(median_and_mad(unscaled, [month], features), "month_stats"))
+    got, spark = seen.get, df.sparkSession
+    qa = spark.createDataFrame([(c, *(got[f"{c}|{n}"] for n in ("clipped", "missing", "known"))) for c in features],
+                               "feature string, clipped long, missing long, known long")
+    summary = spark.createDataFrame([(got["months"], len(features), got["rows"])], "months_processed long, n_features int, total_rows long")
+    return panel, qa_shares(qa), summary
+
+
 # Name patterns of the coverage report (fixed values).
 COVERAGE_GROUPS = {
     "PRICE_COLUMNS": ["^prc$", "^stock_ret$", "^prc_highprc_252d$"],

@@ -46,7 +46,10 @@ def keep_sector(panel: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 
 
 def attach_codes(panel: DataFrame, lookup: DataFrame, keys=("id", "date"), value: str = "gics") -> DataFrame:
-    """Left join on (security, date); the lookup is made unique first, so rows do not multiply."""
+    """Left join on (security, date); the lookup is made unique first, so rows do not multiply.
+
+    Two tables that ``sinks.write_bucketed`` wrote by ``keys`` with as many buckets meet without an exchange.
+    """
     unique = lookup.groupBy(*keys).agg(F.min(value).alias(value))
     return panel.join(unique, list(keys), "left")
 

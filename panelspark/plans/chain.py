@@ -58,12 +58,13 @@ def pipeline_portfolios(spark, sf):
     return done.select("sec", "m", "prefix", "side", *[rnd(c).alias(c) for c in ("algo_norm", "ml_norm", "combined_score", "weight")])
 
 
-# the compounded totals of these invented prices have 28 digits, more than engines agree on
-SHOWN = [c for c in pe.METRICS if c not in ("total_return", "bench_total_return")]
+# The compounded totals of these invented prices have 28 digits, more than engines agree on; their logarithms do not.
+TOTALS = ["total_return", "bench_total_return"]
+SHOWN = [c for c in pe.METRICS if c not in TOTALS]
 
 
 @query("pipeline_metrics", f"""{CHAIN_SQL}, {RETURNS_SQL}, {DD_SQL.replace("monthly", "chain_month")}, mt AS (SELECT {METRIC_SQL} FROM dd) SELECT """
-       + ", ".join(f"rnd({c}, 6) AS {c}" for c in SHOWN) + " FROM mt")
+       + ", ".join([f"rnd({c}, 6) AS {c}" for c in SHOWN] + [f"rnd(ln(1 + {c}), 6) AS log_{c}" for c in TOTALS]) + " FROM mt")
 def pipeline_metrics(spark, sf):
     p = v.stored_panel(spark, sf)
     m = month_index(F.floor(F.col("ym") / 100), F.col("ym") % 100)
@@ -71,7 +72,8 @@ def pipeline_metrics(spark, sf):
     monthly = pe.portfolio_returns(portfolios(spark, sf, p), realized, "sec").filter("positions_count > 0")
     bench = realized.groupBy((F.col("m") - 1).alias("m")).agg(F.avg("r").alias("bench_return"))
     both = monthly.join(bench, "m").select(F.col("m").alias("ym"), "portfolio_return", "bench_return")
-    return pe.performance_metrics(both, "ym", "portfolio_return", "bench_return").select(*[rnd(c).alias(c) for c in SHOWN])
+    done = pe.performance_metrics(both, "ym", "portfolio_return", "bench_return")
+    return done.select(*[rnd(c).alias(c) for c in SHOWN], *[rnd(F.log1p(c)).alias(f"log_{c}") for c in TOTALS])
 
 
 @query("pipeline_documents", f"""{CHAIN_SQL} SELECT CAST(m // 12 AS INTEGER) AS yr, CAST(m % 12 + 1 AS INTEGER) AS mo, prefix AS sector, side,

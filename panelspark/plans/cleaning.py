@@ -178,11 +178,14 @@ def clean_panel(spark, sf):
     return cleaned(spark, sf).select("sec", "dt", *[rnd(c, 5).alias(c) for c in FACTORS])
 
 
-@query("clean_qa", f"WITH {PROF_SQL} " + " UNION ALL ".join(f"""
+QA_SQL = f"WITH {PROF_SQL} " + " UNION ALL ".join(f"""
 SELECT '{c}' AS feature, count(CASE WHEN {wins_sql(c)} <> f.{c} THEN 1 END) AS clipped,
   rnd(count(CASE WHEN {wins_sql(c)} <> f.{c} THEN 1 END) / count(f.{c}), 6) AS clipped_pct_non_null,
   count(*) - count(f.{c}) AS missing, rnd((count(*) - count(f.{c})) / count(f.{c}), 6) AS missing_rate
-FROM factors f, pw""" for c in FACTORS))
+FROM factors f, pw""" for c in FACTORS)
+
+
+@query("clean_qa", QA_SQL)
 def clean_qa(spark, sf):
     f = factors(spark, sf)
     return cl.clean_qa(f, FACTORS, profile(f)).select(
@@ -190,6 +193,15 @@ def clean_qa(spark, sf):
         rnd("missing_rate").alias("missing_rate"))
 
 
+@query("clean_report", f"WITH qa AS ({QA_SQL}), su AS (SELECT count(DISTINCT date_trunc('month', dt)) AS months_processed, count(*) AS total_rows FROM factors) SELECT qa.*, su.* FROM qa, su")
+def clean_report(spark, sf):
+    """QA and summary of the pass that writes the panel."""
+    f = factors(spark, sf)
+    _, qa, summary = cl.clean_with_report(f.withColumn("mon", F.trunc("dt", "MM")), "mon", FACTORS, profile(f))
+    rates = {c: rnd(c) for c in ("clipped_pct_non_null", "missing_rate")}
+    return qa.withColumns(rates).join(F.broadcast(summary.drop("n_features")))  # one row
+
+
 @query("clean_summary", f"""SELECT count(DISTINCT date_trunc('month', dt)) AS months_processed,
   {len(FACTORS)} AS n_features, count(*) AS total_rows FROM factors""")
 def clean_summary(spark, sf):

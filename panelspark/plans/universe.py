@@ -10,6 +10,8 @@ from panelspark.operators import universe as u
 from panelspark.plans import views as v
 from panelspark.plans.registry import query
 from panelspark.plans.signals import SECTOR_CASE, sector_name
+from panelspark.sources import sinks
+from panelspark.storage import scratch_path
 
 # Sector file stand-in: one row per panel row, some keys and codes missing by rule.
 INFO_SQL = """
@@ -61,13 +63,29 @@ def sector_semi_join(spark, sf):
     return u.keep_sector(p, ids).select("sec", "dt", rnd("prc").alias("prc"))
 
 
-@query("sector_left_join", f"""WITH {INFO_SQL}, l AS (SELECT id, date, min(gics) AS gics FROM good GROUP BY id, date)
-SELECT p.sec, p.dt, l.gics FROM panel p LEFT JOIN l ON CAST(p.sec AS VARCHAR) = l.id AND p.dt = l.date""")
+LEFT_SQL = f"""WITH {INFO_SQL}, l AS (SELECT id, date, min(gics) AS gics FROM good GROUP BY id, date)
+SELECT p.sec, p.dt, l.gics FROM panel p LEFT JOIN l ON CAST(p.sec AS VARCHAR) = l.id AND p.dt = l.date"""
+
+
+@query("sector_left_join", LEFT_SQL)
 def sector_left_join(spark, sf):
     p = v.panel(spark, sf).select("sec", "dt", F.col("sec").cast("string").alias("id"), F.col("dt").alias("date"))
     return u.attach_codes(p, good(spark, sf)).select("sec", "dt", "gics")
 
 
+def bucketed(spark, sf, buckets=16):
+    """Panel and lookup written by (security, date) into as many buckets."""
+    p = v.panel(spark, sf).select("sec", "dt", F.col("sec").cast("string").alias("id"), F.col("dt").alias("date"))
+    write = lambda df, name: sinks.write_bucketed(df, scratch_path(spark, name), ["id", "date"], buckets)
+    return write(p, "panel_buckets"), write(good(spark, sf), "lookup_buckets")
+
+
+@query("sector_left_join_bucketed", LEFT_SQL)
+def sector_left_join_bucketed(spark, sf):
+    """The same join of two stored tables, without an exchange."""
+    return u.attach_codes(*bucketed(spark, sf)).select("sec", "dt", "gics")
+
+
 @query("gics_counts", f"""WITH {INFO_SQL}
 SELECT gics_str, count(*) AS n FROM good GROUP BY gics_str ORDER BY n DESC, gics_str LIMIT 10""")
 def gics_counts(spark, sf):

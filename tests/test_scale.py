@@ -1,5 +1,7 @@
 """Operators that replace whole-group windows: hot groups, ties, both quantile paths, whole texts."""
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
@@ -8,7 +10,7 @@ from panelspark import constants as C
 from panelspark.functions import quantile as qt
 from panelspark.functions.ordered import SLICE, place, running_sums, with_average_rank, with_row_number
 from panelspark.operators import cleaning as cl, indicators as ind, modelprep as mp, portfolio as pf, selection as sel, text as tx, textmodel as tm
-from panelspark.plans import views as v
+from panelspark.plans import universe as pu, views as v
 
 
 @pytest.fixture(autouse=True)
@@ -289,3 +291,61 @@ def test_the_latest_steps_need_no_whole_grid(spark, days):
     got = ind.latest_grid(bars, days)
     cols = ["sec", "day", *[F.round(c, 9).alias(c) for c in ind.feature_names()]]
     assert got.count() == want.count() > 0 and got.select(*cols).exceptAll(want.select(*cols)).isEmpty()
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, sf):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left, right = pu.bucketed(spark, sf, 4)
+        done = pu.u.attach_codes(left, right)
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        plain = pu.u.attach_codes(left.select("*"), pu.good(spark, sf))
+        assert done.count() == left.count() and done.exceptAll(plain.select(done.columns)).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_one_scan_gives_panel_qa_and_summary(spark):
+    rows = [(i, None if i == 3 else dt.date(2020, 1 + i % 3, 1), None if i % 7 == 0 else float(i * i), float("nan") if i == 5 else 1.0 / (i + 1)) for i in range(60)]
+    df = spark.createDataFrame(rows, "sec int, mon date, x double, y double")
+    profile = {c: {"median": 5.0, "q0005": 0.0, "q01": 0.01, "q99": 900.0, "q995": 1000.0} for c in ("x", "y")}
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    panel, qa, summary = cl.clean_with_report(df.mapInArrow(counted, df.schema), "mon", ["x", "y"], profile)
+    assert read.value == 60
+    want = cl.clean_panel(df, "mon", ["x", "y"], profile)
+    assert panel.count() == 60 and panel.select(want.columns).exceptAll(want).isEmpty()
+    assert qa.exceptAll(cl.clean_qa(df, ["x", "y"], profile)).isEmpty() and qa.count() == 2
+    assert summary.collect() == cl.clean_summary(df, "mon", ["x", "y"]).collect()
+    assert read.value == 60
+
+
+def test_a_sample_exchanges_slightly_more_than_it_keeps(spark, monkeypatch):
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 3 > 0, F.sin("id")).alias("x"), F.when(F.col("id") % 500 == 0, 1.0).alias("y")).cache()
+    drawn, cut = [], cl.cut_lineage
+    monkeypatch.setattr(cl, "cut_lineage", lambda d, name="cut": drawn.append((name, cut(d, name))) or drawn[-1][1])
+    got = cl.profile_sample(df, ["id"], ["x", "y"], per_chunk=300, chunk_rows=5000)
+    counts = {(r.chunk, r.feature): r["count"] for r in got.groupBy("chunk", "feature").count().collect()}
+    assert len(counts) == 8 and all(n == (300 if f == "x" else n) and n <= 300 for (_, f), n in counts.items())
+    assert sum(n for (_, f), n in counts.items() if f == "y") == 40
+    assert sum(d.count() for name, d in drawn if name == "drawn") < 4 * (300 + 150) + 40
+    cells = got.select("chunk", "id", "feature").collect()
+    again = cl.profile_sample(df.repartition(7), ["id"], ["x", "y"], per_chunk=300, chunk_rows=5000).select("chunk", "id", "feature").collect()
+    assert sorted(cells) == sorted(again)
+
+
+def test_a_sample_widens_thresholds_that_were_too_low(spark, monkeypatch):
+    df = spark.range(4000).select("id", F.sin("id").alias("x")).cache()
+    want = cl.profile_sample(df, ["id"], ["x"], per_chunk=100, chunk_rows=1000).select("chunk", "id").collect()
+    monkeypatch.setattr(cl, "DRAW_MARGIN", -5)
+    rounds, cut = [], cl.cut_lineage
+    monkeypatch.setattr(cl, "cut_lineage", lambda d, name="cut": rounds.append(name) or cut(d, name))
+    got = cl.profile_sample(df, ["id"], ["x"], per_chunk=100, chunk_rows=1000).select("chunk", "id").collect()
+    assert rounds.count("drawn") >= 2 and sorted(got) == sorted(want)
