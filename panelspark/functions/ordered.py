@@ -17,6 +17,16 @@ from panelspark.functions.expr import same_key, without_nan
 from panelspark.storage import cut_lineage
 
 SLICE = "_slice"
+GROUP_ROWS = 1_000_000  # largest group that one window task may hold
+
+
+def fits_window(df: DataFrame, by: list[str]) -> bool:
+    """Whether every group is small enough for a plain window. Windows and slices give the same values.
+
+    ``df`` should come from a stored table: its groups are counted here.
+    """
+    largest = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (largest or 0) <= GROUP_ROWS
 
 
 def place(df: DataFrame, by: list[str], order: list[Column], stored: bool = False) -> DataFrame:

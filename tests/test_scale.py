@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from panelspark import constants as C
-from panelspark.functions import quantile as qt
+from panelspark.functions import ordered as od, quantile as qt
 from panelspark.functions.ordered import SLICE, place, running_sums, with_average_rank, with_row_number
 from panelspark.operators import cleaning as cl, indicators as ind, modelprep as mp, portfolio as pf, selection as sel, text as tx, textmodel as tm
 from panelspark.plans import universe as pu, views as v
@@ -349,3 +349,25 @@ def test_a_sample_widens_thresholds_that_were_too_low(spark, monkeypatch):
     monkeypatch.setattr(cl, "cut_lineage", lambda d, name="cut": rounds.append(name) or cut(d, name))
     got = cl.profile_sample(df, ["id"], ["x"], per_chunk=100, chunk_rows=1000).select("chunk", "id").collect()
     assert rounds.count("drawn") >= 2 and sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_candidates_by_windows_and_by_slices(spark, sf, monkeypatch, rows):
+    monkeypatch.setattr(od, "GROUP_ROWS", rows)
+    made = spark.range(900).select(
+        F.when(F.col("id") % 5 > 0, "s").otherwise(F.when(F.col("id") % 2 == 0, "t")).alias("sector"), (F.col("id") % 3).alias("mon"), "id", (F.col("id") % 40).alias("dt"),
+        *[F.when(F.col("id") % 11 != k, F.round(F.sin(F.col("id") * (k + 1)), 1)).alias(c) for k, c in enumerate(("ma", "ma_slope", "mom", "vol_fc"))])
+    scored = sel.score_universe(made, ["sector", "mon"], ["id"])
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Join" in plan) == (rows == 0)
+    got = sel.select_candidates(scored, ["sector", "mon"], ["id"])
+    data = scored.toPandas()
+    data["k"] = data["composite_score"].round(9)
+    want = set()
+    for (s, m), g in data.groupby(["sector", "mon"], dropna=False):
+        g = g.sort_values(["k", "id"], ascending=[False, True])["id"].tolist()
+        n = max(1, int(len(g) * 0.15))
+        want |= {("long", i, r + 1) for r, i in enumerate(g[:n])} | {("short", i, r + 1) for r, i in enumerate(g[-n:])}
+    assert {(r.candidate_type, r.id, r.selection_rank) for r in got.collect()} == want and data["sector"].isna().any()
+    ranks = data.groupby(["sector", "mon"], dropna=False)["vol_fc"].rank()
+    assert (data["vol_rank"].astype(float).fillna(-1) == ranks.fillna(-1)).all()
