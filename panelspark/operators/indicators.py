@@ -4,10 +4,10 @@ exchange and one sort. A series has at most one row per date, which bounds its t
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from panelspark.constants import BAR_COLUMNS, MA_WINDOWS, PAD, VOL_MAX_ROWS, VOL_MIN_ROWS
 from panelspark.functions.expr import month_of, ratio, same_key
-from panelspark.storage import cut_lineage
 
 
 def series(keys: list[str] | str = "sec", order: str = "dt"):
@@ -234,14 +234,14 @@ def bar_features(df: DataFrame, keys: str = "sec", idx: str = "date_idx", pad: i
     return df.select(keys, idx, *cols).filter(F.col(idx) >= (pad if begin is None else begin))
 
 
-def dense_grid(cells: DataFrame, n_steps: DataFrame, key: str, pad: int = 0, day: str = "day", begin: Column | None = None) -> DataFrame:
+def dense_grid(cells: DataFrame, n_steps: DataFrame | int, key: str, pad: int = 0, day: str = "day", begin: Column | None = None) -> DataFrame:
     """Every company with every calendar step (from ``begin`` on); absent steps have NULL values.
 
     Each row also makes the rows of the gap up to the next one, so neither a join nor a second
-    read of the input is needed. ``n_steps`` has one row and one column with the calendar length.
+    read of the input is needed. ``n_steps`` is the calendar length, or has it in its one row and column.
     """
     win = series(key, day)
-    last = (n_steps.scalar() - 1 - pad).cast("int")
+    last = ((F.lit(n_steps) if isinstance(n_steps, int) else n_steps.scalar()) - 1 - pad).cast("int")
     first = F.when(F.lag(day).over(win).isNull(), F.lit(0) if begin is None else begin).otherwise(F.col(day))
     spans = cells.withColumn("_from", first.cast("int")).withColumn(
         "_to", F.coalesce(F.lead(day).over(win) - 1, last).cast("int"))
@@ -275,12 +275,13 @@ def latest_grid(bars: DataFrame, days: int, date: str = "ym", keys: str = "sec",
     """
     counts = bars.groupBy(keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_rows).select(keys)
     valid = same_key(bars, counts, [keys], "left_semi")
-    calendar = cut_lineage(trading_calendar(valid, date), "calendar")  # dates only
-    n = calendar.count()
+    dates = sorted(r[0] for r in valid.select(date).distinct().collect())  # the calendar
+    n = len(dates)
+    calendar = bars.sparkSession.createDataFrame([(d, i) for i, d in enumerate(dates)], StructType([bars.schema[date], StructField("date_idx", IntegerType())]))
     begin = max(0, n - pad - days)  # the first wanted step
     placed = valid.join(F.broadcast(calendar), date)
     tops = placed.filter(F.col("date_idx") >= pad).groupBy(keys).agg(*[F.max(c).alias(f"_top_{c}") for c in BAR_COLUMNS])
     recent = same_key(placed.filter(F.col("date_idx") > begin + pad - max(MA_WINDOWS)), tops, [keys])
     feats = bar_features(recent, keys, "date_idx", pad, {c: f"_top_{c}" for c in BAR_COLUMNS}, F.lit(begin + pad))
     feats = feats.withColumn("day", F.col("date_idx") - pad).drop("date_idx")
-    return dense_grid(feats, calendar.agg(F.count("*").alias("n")), keys, pad, begin=F.lit(begin))
+    return dense_grid(feats, n, keys, pad, begin=F.lit(begin))

@@ -158,7 +158,7 @@ sv AS (SELECT sec, day, base, target, window_mean, pred, oks = {L} AND base IS N
 
 
 def grid(spark, sf):
-    return ind.feature_grid(v.ohlc(spark, sf))
+    return ind.feature_grid(v.bars(spark, sf))
 
 
 def samples(spark, sf, features=CLOSE):
@@ -229,7 +229,7 @@ lw AS (SELECT lr.*, 32 - rn AS step FROM lr JOIN lk ON lr.sec = lk.sec WHERE rn
 
 
 def latest_grid(spark, sf):
-    return ind.latest_grid(cut_lineage(v.ohlc(spark, sf), "bars"), 32)
+    return ind.latest_grid(v.bars(spark, sf), 32)
 
 
 @query("latest_window", f"WITH {LATEST_SQL} SELECT sec, CAST(step AS INTEGER) AS step, " + ", ".join(

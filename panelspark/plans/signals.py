@@ -152,7 +152,7 @@ def trading_calendar(spark, sf):
 
 
 def bars(spark, sf):
-    o = cut_lineage(v.ohlc(spark, sf), "bars")
+    o = v.bars(spark, sf)
     return o.join(ind.trading_calendar(o, "ym"), "ym")
 
 
@@ -280,7 +280,7 @@ FEATURES_SQL = feature_sql()
 @query("feature_vector", f"WITH {FEATURES_SQL} SELECT sec, day, " + ", ".join(
     f"rnd({n}, 8) AS {n}" for n in ind.feature_names()) + " FROM feat")
 def feature_vector(spark, sf):
-    return ind.feature_grid(v.ohlc(spark, sf)).select(
+    return ind.feature_grid(v.bars(spark, sf)).select(
         "sec", "day", *[rnd(n, 8).alias(n) for n in ind.feature_names()])
 
 

@@ -173,7 +173,7 @@ def src_filings_union(spark, sf):
 @query("sink_features", f"WITH {FEATURES_SQL} SELECT sec, day, " + ", ".join(f"rnd(coalesce({c}, -1234), 8) AS {c}" for c in ind.feature_names()) + " FROM feat")
 def sink_features(spark, sf):
     path = scratch_path(spark, "features")
-    o = v.ohlc(spark, sf)
+    o = v.bars(spark, sf)
     sinks.write_features(ind.feature_grid(o), ind.trading_calendar(o, "ym"), path, ind.feature_names())
     back = spark.read.parquet(f"{path}/features")
     return back.select("sec", "day", *[rnd(c, 8).alias(c) for c in ind.feature_names()])

@@ -77,6 +77,11 @@ def ohlc(spark, sf, p=None):
     )
 
 
+def bars(spark, sf):
+    """The bars as a table, for plans that read them more than once."""
+    return cut_lineage(ohlc(spark, sf), "bars")
+
+
 def positions(spark, sf):
     orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
     held = (
