@@ -98,6 +98,16 @@ def test_ann(spark, clustered, monkeypatch, chunk):
         assert all(abs(s - (scores[q] * scores[i]).sum()) < 1e-12 for i, s in rows)
 
 
+def test_ann_recall_on_a_whole_table_without_clusters(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    want, found = exact_search(rows), {}
+    for r in queries.QUERIES["op1_ann"](spark, "/root/testdata/sf0.1").collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(found[q] & {i for i, _ in want[q]}) for q in want)
+    assert found.keys() == want.keys() and hits >= 0.9 * sum(map(len, want.values()))
+
+
 def test_ann_of_equal_vectors_takes_small_ids(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(300)]
     got = ann.search(vectors(spark, rows), "vec_id = 40").orderBy("rank").collect()
