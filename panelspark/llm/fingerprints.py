@@ -211,8 +211,8 @@ def digests(docs: DataFrame) -> DataFrame:
     """
     rows = typed(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rank = precedence(rows)
-    key = ["doc_id", "_k1", "_k2"]
-    placed = rows.select("*", *text_key()).repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text")
+    key = ["doc_id", "_k1", "_k2", "_spread"]  # the last one parts equal rows, whose order does not matter
+    placed = rows.select("*", *text_key(), F.rand(1).alias("_spread")).repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text")
 
     def made(batches):
         part, before = TaskContext.get().partitionId(), None

@@ -177,6 +177,18 @@ def test_fingerprints_of_sf(spark, sf):
     assert (near[:, None] > other[None, :]).mean() > 0.97 and np.median(near) > 0.6 and np.median(other) < 0.05
 
 
+def test_equal_rows_are_spread_over_tasks(documents, spark):
+    rows = [(5, "the same words again and again")] * 400 + [(i, f"text number {i}") for i in range(6, 100)]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = rows_of(fingerprints.digests(documents(rows)), *FINGERPRINT)
+    finally:
+        spark.conf.set(key, before)
+    assert same(got, fingerprints.brute_force(rows))
+
+
 def test_fingerprints_of_few_documents(documents):
     assert fingerprints.digests(documents([])).count() == 0
     one = fingerprints.digests(documents([(5, "only one")])).collect()[0]
