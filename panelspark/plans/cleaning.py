@@ -199,7 +199,7 @@ def clean_report(spark, sf):
     f = factors(spark, sf)
     _, qa, summary = cl.clean_with_report(f.withColumn("mon", F.trunc("dt", "MM")), "mon", FACTORS, profile(f))
     rates = {c: rnd(c) for c in ("clipped_pct_non_null", "missing_rate")}
-    return qa.withColumns(rates).join(F.broadcast(summary.drop("n_features")))  # one row
+    return qa.withColumns({**rates, **{c: summary.select(c).scalar() for c in ("months_processed", "total_rows")}})
 
 
 @query("clean_summary", f"""SELECT count(DISTINCT date_trunc('month', dt)) AS months_processed,
