@@ -20,7 +20,7 @@ from pyspark.sql import Column, functions as F
 STARTS = np.array([(a, b) for a in (0.01, 0.04, 0.08, 0.15, 0.25, 0.4) for b in (0.03, 0.3, 0.5, 0.65, 0.75, 0.83, 0.89, 0.94, 0.97) if a + b < 0.995])
 TOP = 0.9995  # largest persistence
 LOWEST, HIGHEST = np.array([[-6.0], [-6.0], [-9.0]]), np.array([[6.0], [8.0], [9.0]])  # of the free parameters
-FITS_AT_ONCE, ROUNDS, GAIN, LONGEST_STEP = 4096, 16, 1e-4, 1.5
+FITS_AT_ONCE, ROUNDS, GAIN, LONGEST_STEP = 2048, 16, 1e-4, 1.5
 
 
 def parameters(theta: np.ndarray):
