@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -225,6 +226,27 @@ def test_suffix_dedup_of_long_and_short_texts_in_one_batch(documents):
     assert same(done, brute5(rows))
 
 
+def test_suffix_dedup_workers_hold_little():
+    """A worker's arrays and contexts have a size of their own, whatever an Arrow batch holds."""
+    rnd = np.random.default_rng(4)
+    texts = [bytes(x) for x in rnd.integers(97, 123, (1500, 4000), np.uint8)]
+    ids = {k: [i if k == "_id" else 0 for i in range(len(texts))] for k in suffix_dedup.KEYS}
+    batch = pa.RecordBatch.from_pydict({**ids, "text": texts})
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in suffix_dedup.anchors([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 1500 and peak < 100e6
+
+    found = [[{"gram": i, "ctx": k, "n": 1, "n_ctx": 2, "p1": k, "p2": k + 3, "at": k + 20} for k in range(0, 300, 4)] for i in range(len(texts))]
+    kind = "gram ctx n n_ctx p1 p2 at".split()
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(found, pa.list_(pa.struct([(c, pa.int64()) for c in kind])))], names=["text", "found"]).slice(7)
+    parts = list(suffix_dedup.contexts([batch]))
+    assert max(p.num_rows for p in parts) <= suffix_dedup.SHOWN
+    got = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert got == [(x["gram"], x["ctx"], 1, 2, t[x["p1"] : x["at"]][::-1], t[x["at"] : x["p2"] + 400]) for t, f in zip(texts[7:], found[7:], strict=True) for x in f]
+
+
 def test_all_suffixes_leave_the_queue_at_once():
     gram = np.array([1, 1, 2, 2])
     same = [b"x" * 130 + bytes([i]) * 100 for i in (1, 2, 1, 2)]
