@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelspark.storage import cut_lineage
 
 DIMENSIONS, CHUNK = 1 << 20, 1 << 12
+HELD = 1 << 17  # list values that a worker handles at a time
 ASSOCIATION, LEAST_TEXTS = 25.0, 5  # a feature's G statistic, and the texts that must have it
 ROUNDS, MEMORY, PENALTY, ENOUGH = 25, 8, 1e-3, 1e-2
 ODD = np.uint64(0x9E3779B97F4A7C15)  # an odd multiplier
@@ -48,6 +49,16 @@ def rows_of(column) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[starts[0] : starts[-1]], starts - starts[0]
 
 
+def parts(batches, column: str):
+    """Cut Arrow batches into runs of rows with about ``HELD`` values in the list column, one row at least."""
+    for batch in batches:
+        edges = np.flatnonzero(np.diff(rows_of(batch.column(column))[1][1:] // HELD)) + 1
+        cuts = [0, *edges.tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def ngrams(hashes: np.ndarray, starts: np.ndarray, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     """Different features of each text, and each text's start, for texts given as word hashes."""
     h, n = hashes.view(np.uint64), len(starts) - 1
@@ -75,7 +86,7 @@ def listed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
 def with_features(labelled: DataFrame, dimensions: int) -> DataFrame:
     """Rows (y, f): class number and features of each text."""
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "_h"):
             yield pa.RecordBatch.from_arrays([batch.column("y"), listed(*ngrams(*rows_of(batch.column("_h")), dimensions))], names=["y", "f"])
 
     return labelled.select("y", word_hashes("text").alias("_h")).mapInArrow(run, "y long, f array<int>")
@@ -111,7 +122,7 @@ def loss_and_gradient(stored: DataFrame, weights: np.ndarray, count: int) -> tup
 
     def partial(batches):
         total, loss = np.zeros(shape), 0.0
-        for batch in batches:
+        for batch in parts(batches, "f"):
             (f, edges), y = rows_of(batch.column("f")), batch.column("y").to_numpy()
             p = probabilities(model.value, f, edges)
             at = np.arange(len(y))
@@ -122,12 +133,12 @@ def loss_and_gradient(stored: DataFrame, weights: np.ndarray, count: int) -> tup
                 total[k, :-1] += np.bincount(f, p[text, k], minlength=shape[1] - 1)
                 total[k, -1] += p[:, k].sum()
         flat = np.append(total.ravel(), loss)
-        pieces = [flat[i : i + CHUNK] for i in range(0, len(flat), CHUNK)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces), dtype=np.int32)), pa.array([x.tolist() for x in pieces], pa.list_(pa.float64()))], names=["place", "s"])
+        edges = np.append(np.arange(0, len(flat), CHUNK), len(flat))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(edges) - 1, dtype=np.int32)), listed(flat, edges)], names=["place", "s"])
 
     def added(group: pa.Table) -> pa.Table:
-        total = np.stack([rows_of(group.column("s").slice(i, 1))[0] for i in range(group.num_rows)]).sum(axis=0)
-        return pa.table({"place": group.column("place").slice(0, 1), "s": pa.array([total.tolist()], pa.list_(pa.float64()))})
+        total = sum(rows_of(group.column("s").slice(i, 1))[0] for i in range(group.num_rows))
+        return pa.table({"place": group.column("place").slice(0, 1), "s": listed(total, np.array([0, len(total)]))})
 
     sums = stored.mapInArrow(partial, "place int, s array<double>").groupBy("place").applyInArrow(added, "place int, s array<double>")
     flat = np.concatenate([np.array(r["s"]) for r in sorted(sums.collect(), key=lambda r: r["place"])])
@@ -161,7 +172,7 @@ def train(labelled: DataFrame, label: str, text: str = "text", dimensions: int =
     kept = associated(raw, [r["count"] for r in shares])
 
     def narrowed(batches):
-        for batch in batches:
+        for batch in parts(batches, "f"):
             yield pa.RecordBatch.from_arrays([batch.column("y"), listed(*kept_only(*rows_of(batch.column("f")), kept))], names=["y", "f"])
 
     stored = cut_lineage(raw.mapInArrow(narrowed, "y long, f array<int>"), "kept_features")
@@ -189,15 +200,18 @@ def train(labelled: DataFrame, label: str, text: str = "text", dimensions: int =
     return TextModel(classes, kept, weights, dimensions)
 
 
-def classify(texts: DataFrame, model: TextModel, text: str = "text") -> DataFrame:
-    """All columns, ``sentiment_label`` and ``confidence_score`` (its probability); ties go to the first class by name."""
-    kept = [c for c in texts.columns if c not in ("sentiment_label", "confidence_score")]
+def classify(texts: DataFrame, model: TextModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """All columns (or ``keep``), ``sentiment_label`` and ``confidence_score`` (its probability); ties go to the first class by name.
+
+    The kept columns travel through the workers, so a caller that needs no texts back should leave them out.
+    """
+    kept = [c for c in (texts.columns if keep is None else keep) if c not in ("sentiment_label", "confidence_score")]
     row = texts.select(F.struct(*kept).alias("_row"), F.col(text).cast("string").alias("_text"))
     kind = row.schema["_row"].dataType.simpleString()
     shared = texts.sparkSession.sparkContext.broadcast(model)  # as large as the model
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "_h"):
             known = shared.value
             p = probabilities(known.weights, *kept_only(*ngrams(*rows_of(batch.column("_h")), known.dimensions), known.features))
             best = p.argmax(axis=1)

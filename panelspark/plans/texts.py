@@ -178,7 +178,7 @@ def text_classifier_held_out(spark, sf):
     largest = known.filter(~test).groupBy("label").count().orderBy(F.desc("count"), "label").first()["label"]
     hits = lambda hit: F.count(F.when(test & hit, 1))
     found, label = F.col("sentiment_label") == F.col("label"), F.col("label")
-    return tm.classify(lexicon, model).agg(
+    return tm.classify(lexicon, model, keep=["doc_id", "label", "by_lexicon"]).agg(
         F.count(F.when(~test, 1)).alias("trained_on"), F.count(F.when(test, 1)).alias("held_out"), hits(label == largest).alias("of_largest_class"),
         (hits(found) >= 0.75 * F.count(F.when(test, 1))).alias("three_of_four_found"), (hits(found) > hits(F.col("by_lexicon") == label)).alias("above_lexicon"))
 

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -10,7 +11,7 @@ from panelspark import constants as C
 from panelspark.functions import ordered as od, quantile as qt
 from panelspark.functions.ordered import SLICE, place, running_sums, with_average_rank, with_row_number
 from panelspark.operators import cleaning as cl, indicators as ind, modelprep as mp, portfolio as pf, selection as sel, text as tx, textmodel as tm
-from panelspark.plans import universe as pu, views as v
+from panelspark.plans import texts as tx_plans, universe as pu, views as v
 
 
 @pytest.fixture(autouse=True)
@@ -265,6 +266,22 @@ def loaded_model(folder):
     return CountedModel(folder)
 
 
+def test_text_model_workers_take_bounded_parts(spark, sf, monkeypatch):
+    monkeypatch.setattr(tm, "HELD", 50)
+    lists = [list(range(n)) for n in (3, 0, 49, 120, 7, 7, 0, 40, 30)]
+    batch = pa.RecordBatch.from_pydict({"f": pa.array(lists, pa.list_(pa.int64()))})
+    cut = [p.column("f").to_pylist() for p in tm.parts([batch, batch.slice(2, 0), batch.slice(4)], "f")]
+    assert [x for p in cut for x in p] == lists + lists[4:]
+    assert all(len(p) == 1 or sum(map(len, p)) < 2 * tm.HELD + 120 for p in cut) and len(cut) > 5
+
+    known = tx_plans.sentiment_texts(spark, sf)
+    model = tm.train(known, "label", rounds=2)
+    whole, narrow = tm.classify(known, model), tm.classify(known, model, keep=["doc_id"])
+    assert narrow.columns == ["doc_id", "sentiment_label", "confidence_score"]
+    assert sorted(map(tuple, whole.select(narrow.columns).collect())) == sorted(map(tuple, narrow.collect()))
+    assert "_row#" in (plan := narrow._jdf.queryExecution().optimizedPlan().toString()) and "struct(doc_id, doc_id#" in plan and "text, text#" not in plan
+
+
 def test_a_worker_loads_the_model_once(spark, tmp_path):
     windows = spark.range(64).select("id", F.array(*[F.array(F.col("id") * 1.0 + j, F.lit(0.0)) for j in range(3)]).alias("x")).repartition(32)
     rows = mp.score_windows(windows, CountedModel(str(tmp_path)), key="id").collect()
