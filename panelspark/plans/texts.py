@@ -160,7 +160,7 @@ def trained(spark, sf):
 @query("text_classifier")
 def text_classifier(spark, sf):
     """Label and confidence of every document by a model trained on three quarters of the labelled ones."""
-    done = tm.classify(v.table(spark, sf, "documents").select("doc_id", "text"), trained(spark, sf)[1])
+    done = tm.classify(v.table(spark, sf, "documents").select("doc_id", "text"), trained(spark, sf)[1], keep=["doc_id"])
     return done.select("doc_id", "sentiment_label", rnd("confidence_score").alias("confidence_score"))
 
 
