@@ -18,6 +18,7 @@ from panelspark.storage import cut_lineage
 
 SLICE = "_slice"
 GROUP_ROWS = 1_000_000  # largest group that one window task may hold
+TASK_ROWS = 200_000  # rows of several groups that one window task should hold
 
 
 def fits_window(df: DataFrame, by: list[str]) -> bool:
@@ -29,6 +30,16 @@ def fits_window(df: DataFrame, by: list[str]) -> bool:
     return (largest or 0) <= GROUP_ROWS
 
 
+def dealt_by_size(df: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` dealt by ``by`` to as many tasks as its rows ask for, where the session's partitions are too few.
+
+    A window over ``by`` then sorts about ``TASK_ROWS`` rows or a few groups in a task, however many rows there
+    are. ``df`` should come from a stored table: it is counted here.
+    """
+    tasks = -(-df.count() // TASK_ROWS)
+    return df.repartition(tasks, *by) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def place(df: DataFrame, by: list[str], order: list[Column], stored: bool = False) -> DataFrame:
     """A table of ``df`` in slices ordered by (group, order), numbered in the column ``SLICE``."""
     if not stored:

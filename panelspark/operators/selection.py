@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelspark import constants as C
 from panelspark.constants import SIDE_RATIO, W_MOMENTUM, W_TREND, W_VOLATILITY
 from panelspark.functions.expr import same_key, without_nan
-from panelspark.functions.ordered import fits_window, with_average_rank, with_row_number
+from panelspark.functions.ordered import dealt_by_size, fits_window, with_average_rank, with_row_number
 from panelspark.functions.quantile import exact_quantiles
 from panelspark.storage import cut_lineage
 
@@ -87,6 +87,7 @@ def score_universe(ind: DataFrame, by: list[str], tie_break: list[str], ma="ma",
     """
     kept = cut_lineage(without_nan(ind).na.drop(how="all", subset=[ma, slope, mom, vol]), "indicators")
     small = fits_window(kept, by)
+    kept = dealt_by_size(kept, by) if small else kept
     kept = zscore(kept, by, mom, "mom_zscore", small)
     kept = volatility_score(kept, by, vol, tie_break, stored=True, small=small)
     trend = F.coalesce(F.col(slope), F.lit(0.0))

@@ -388,3 +388,15 @@ def test_candidates_by_windows_and_by_slices(spark, sf, monkeypatch, rows):
     assert {(r.candidate_type, r.id, r.selection_rank) for r in got.collect()} == want and data["sector"].isna().any()
     ranks = data.groupby(["sector", "mon"], dropna=False)["vol_fc"].rank()
     assert (data["vol_rank"].astype(float).fillna(-1) == ranks.fillna(-1)).all()
+
+
+def test_windows_of_more_rows_get_more_tasks(spark, monkeypatch):
+    rows = [(g, s, float((s * 7 + g) % 50), 1.0, 0.1, float(s % 9)) for g in range(40) for s in range(20)]
+    df = spark.createDataFrame(rows, "mon int, sec int, mom double, ma double, ma_slope double, vol_fc double").withColumn("dt", F.lit(1))
+    picked = lambda: sel.select_candidates(sel.score_universe(df, ["mon"], ["sec"]), ["mon"], ["sec"])
+    assert "REPARTITION_BY_NUM" not in (plan := lambda x: x._jdf.queryExecution().executedPlan().toString())(picked())
+    want = sorted(map(tuple, picked().collect()))
+    monkeypatch.setattr(od, "TASK_ROWS", 40)
+    dealt = picked()
+    assert plan(dealt).count("Exchange hashpartitioning") == 1 and "20), REPARTITION_BY_NUM" in plan(dealt)
+    assert sorted(map(tuple, dealt.collect())) == want
