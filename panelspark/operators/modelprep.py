@@ -62,17 +62,19 @@ def random_mask(samples: DataFrame, features: list[str], length: int, rate: floa
     The steps come from hashes of sample, feature, step and seed, so a rerun masks the same cells.
     """
     k = round(length * abs(rate))
-    steps = F.sequence(F.lit(0), F.lit(length - 1))
 
-    def masked(j):
-        drawn = F.array_sort(F.transform(steps, lambda s: F.struct(
-            F.md5(F.concat_ws("|", *[x.cast("string") for x in (F.col(key), F.col(day), F.lit(j), s, F.lit(seed))])).alias("h"), s.alias("s"))))
-        return F.transform(F.slice(drawn, 1, k), lambda d: d["s"]) if k else F.array().cast("array<int>")
-
-    hidden = samples.withColumns({f"_m{j}": masked(j) for j in range(len(features))})
-    value = lambda step, row, j: F.when(F.array_contains(F.col(f"_m{j}"), step), 0.0).otherwise(row[j])
-    x = F.transform("x", lambda row, step: F.array(*[value(step, row, j) for j in range(len(features))]))
-    return hidden.withColumn("masked_x", x).drop(*[f"_m{j}" for j in range(len(features))])
+    def hidden(j):
+        named = lambda s: F.concat_ws("|", *[c.cast("string") for c in (F.col(key), F.col(day), F.lit(j), F.lit(s), F.lit(seed))])
+        drawn = F.sort_array(F.array(*[F.struct(F.md5(named(s)).alias("h"), F.lit(s).alias("s")) for s in range(length)]))
+        return F.slice(drawn, 1, k).getField("s") if k else F.array().cast("array<int>")
+
+    # Spelled out per step, not as a lambda: the draws are then made once per sample, not once per step, and compiled.
+    drawn = samples.withColumns({f"_m{j}": hidden(j) for j in range(len(features))})
+    row = lambda s: F.get("x", F.lit(s))
+    value = lambda s, j: F.when(F.array_contains(F.col(f"_m{j}"), F.lit(s)), 0.0).otherwise(row(s)[j])
+    steps = F.array(*[F.array(*[value(s, j) for j in range(len(features))]) for s in range(length)])
+    whole = F.slice(F.concat(steps, F.slice("x", length + 1, F.size("x"))), F.lit(1), F.size("x"))  # windows of other lengths stay as long
+    return drawn.withColumn("masked_x", F.when(F.col("x").isNotNull(), whole)).drop(*[f"_m{j}" for j in range(len(features))])
 
 
 def latest_window(grid: DataFrame, features: list[str], days: int = 32, key: str = "sec", day: str = "day",

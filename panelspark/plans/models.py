@@ -218,7 +218,8 @@ SELECT s.sec, s.day, s.step, {", ".join(f"rnd(CASE WHEN {h} THEN 0 ELSE f.{c} EN
 FROM st s JOIN feat f ON f.sec = s.sec AND f.day = s.day - {L} + s.step""")
 def random_mask(spark, sf):
     masked = mp.random_mask(samples(spark, sf).filter("valid"), CLOSE, L, 0.3, 42)
-    steps = masked.select("sec", "day", F.posexplode("masked_x").alias("step", "r"))
+    # Outer: every sample has L steps, and the filter that a plain explode infers would make the draws a second time.
+    steps = masked.select("sec", "day", F.posexplode_outer("masked_x").alias("step", "r"))
     return steps.select("sec", "day", "step", *[rnd(F.col("r")[i], 8).alias(c) for i, c in enumerate(CLOSE)])
 
 

@@ -11,7 +11,7 @@ from panelspark import constants as C
 from panelspark.functions import ordered as od, quantile as qt
 from panelspark.functions.ordered import SLICE, place, running_sums, with_average_rank, with_row_number
 from panelspark.operators import cleaning as cl, indicators as ind, modelprep as mp, portfolio as pf, selection as sel, text as tx, textmodel as tm
-from panelspark.plans import texts as tx_plans, universe as pu, views as v
+from panelspark.plans import models, texts as tx_plans, universe as pu, views as v
 
 
 @pytest.fixture(autouse=True)
@@ -140,6 +140,16 @@ def test_random_mask_hides_the_same_number_everywhere(spark):
     assert all(sum(row[j] for row in r.masked_x) == 6 for r in once for j in (0, 1))
 
 
+def test_random_mask_draws_once_per_sample(spark, sf):
+    """Windows of other lengths stay as long; the plan names each draw once, outside lambdas and filters."""
+    s = spark.createDataFrame([(n, n, [[1.0]] * n) for n in (0, 3, 8, 11)] + [(12, 12, None)], "sec int, day int, x array<array<double>>")
+    got = {r.sec: r.masked_x for r in mp.random_mask(s, ["a"], 8, 0.3, 7).collect()}
+    assert {k: len(x) for k, x in got.items() if x is not None} == {0: 0, 3: 3, 8: 8, 11: 11} and got[12] is None
+    assert sum(r[0] for r in got[8]) == 6 and sum(r[0] for r in got[11]) == 9
+    plan = models.random_mask(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == models.L * len(models.CLOSE)
+
+
 def test_universe_thresholds_are_off_unless_asked_for(spark):
     df = spark.createDataFrame([(1, i, float(i), 50.0 * i) for i in range(101)] + [(1, 200, None, None)], "mon int, sec int, vol_fc double, cap double")
     assert sel.apply_thresholds(df, ["mon"]).count() == 102
