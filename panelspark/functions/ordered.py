@@ -30,13 +30,18 @@ def fits_window(df: DataFrame, by: list[str]) -> bool:
     return (largest or 0) <= GROUP_ROWS
 
 
+def tasks_for(df: DataFrame) -> int:
+    """Tasks of about ``TASK_ROWS`` rows of ``df``, at least the session's partitions. ``df``, a stored table, is counted."""
+    return max(-(-df.count() // TASK_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def dealt_by_size(df: DataFrame, by: list[str]) -> DataFrame:
     """``df`` dealt by ``by`` to as many tasks as its rows ask for, where the session's partitions are too few.
 
     A window over ``by`` then sorts about ``TASK_ROWS`` rows or a few groups in a task, however many rows there
     are. ``df`` should come from a stored table: it is counted here.
     """
-    tasks = -(-df.count() // TASK_ROWS)
+    tasks = tasks_for(df)
     return df.repartition(tasks, *by) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 

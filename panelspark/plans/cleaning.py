@@ -269,7 +269,8 @@ def clean_raw(spark, sf):
     themes_path, profile_path = scratch_path(spark, "themes"), scratch_path(spark, "profile")
     sinks.write_csv(spark.createDataFrame(list(THEMES.items()), "feature string, theme string"), themes_path)
     themes = {r["feature"]: r["theme"] for r in tables.read_feature_dim(spark, themes_path).collect()}  # one row per feature
-    typed = cut_lineage(cl.coerce_numeric(cl.standard_columns(raw_rows(spark, sf)), FACTORS, share=0.5), "typed")
+    raw = cut_lineage(cl.standard_columns(raw_rows(spark, sf)), "raw")  # read twice: the shares that convert, then the numbers
+    typed = cut_lineage(cl.coerce_numeric(raw, FACTORS, share=0.5), "typed")
     sinks.write_profile(cl.profile_table(typed, FACTORS), profile_path)
     profile = cl.to_profile(tables.read_profile(spark, profile_path))
     done = cl.clean_panel(typed, "month_key", FACTORS, profile, themes, as_float=True)

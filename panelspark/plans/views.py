@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelspark.functions.expr import ratio
+from panelspark.functions.ordered import tasks_for
 from panelspark.storage import cut_lineage
 
 
@@ -23,7 +24,8 @@ def secdim(spark, sf):
     )
 
 
-def panel(spark, sf):
+def panel(spark, sf, series=False):
+    """Daily rows of the securities; for ``series`` they lie dealt by security to as many tasks as ``lineitem`` asks for."""
     # Grouping by (security, day) first: a busy security shrinks to one row per day before any
     # shuffle that places a whole series in one task.
     daily = (
@@ -32,6 +34,8 @@ def panel(spark, sf):
         .agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("prc"),
              F.sum("l_quantity").alias("vol"))
     )
+    if series:  # before the join, so that the windows need no other exchange whichever join it is
+        daily = daily.repartition(tasks_for(table(spark, sf, "lineitem")), "sec")
     return daily.join(secdim(spark, sf), "sec").select("sec", "dt", "prc", "vol", "gics")
 
 
@@ -41,7 +45,7 @@ def by_sec(order="dt"):
 
 def panel_ret(spark, sf):
     gap = (F.col("sec") * 7 + F.dayofmonth("dt")) % 23 == 0
-    return panel(spark, sf).select(
+    return panel(spark, sf, series=True).select(
         "sec", "dt", "gics", "vol",
         F.when(~gap, F.col("prc")).alias("prc"),
         (ratio(F.col("prc"), F.lag("prc").over(by_sec())) - 1).alias("ret"),

@@ -11,7 +11,7 @@ from panelspark import constants as C
 from panelspark.functions import ordered as od, quantile as qt
 from panelspark.functions.ordered import SLICE, place, running_sums, with_average_rank, with_row_number
 from panelspark.operators import cleaning as cl, indicators as ind, modelprep as mp, portfolio as pf, selection as sel, text as tx, textmodel as tm
-from panelspark.plans import models, texts as tx_plans, universe as pu, views as v
+from panelspark.plans import cleaning as cl_plans, models, texts as tx_plans, universe as pu, views as v
 
 
 @pytest.fixture(autouse=True)
@@ -410,3 +410,22 @@ def test_windows_of_more_rows_get_more_tasks(spark, monkeypatch):
     dealt = picked()
     assert plan(dealt).count("Exchange hashpartitioning") == 1 and "20), REPARTITION_BY_NUM" in plan(dealt)
     assert sorted(map(tuple, dealt.collect())) == want
+
+
+def test_series_are_dealt_by_rows(spark, sf, monkeypatch):
+    """Windows over securities get tasks by the rows of lineitem and no further exchange."""
+    monkeypatch.setattr(od, "TASK_ROWS", 500)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before, tasks = spark.conf.get(key), od.tasks_for(v.table(spark, sf, "lineitem"))
+    spark.conf.set(key, "-1")  # the test's panel would be broadcast
+    plan = v.panel_ret(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(key, before)
+    above = plan[:plan.index("SortMergeJoin")]
+    assert tasks > 8 and f", {tasks}), REPARTITION_BY_NUM" in plan and "Window" in above and "Exchange" not in above
+
+
+def test_raw_text_is_stored_before_it_is_typed(spark, sf, monkeypatch):
+    seen, real = [], cl.coerce_numeric
+    monkeypatch.setattr(cl, "coerce_numeric", lambda df, *a, **k: seen.append(df) or real(df, *a, **k))
+    cl_plans.clean_raw(spark, sf)
+    assert len(seen) == 1 and hasattr(seen[0], "stored_at")
