@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from panelspark.constants import BAR_COLUMNS, MA_WINDOWS, PAD, SECTORS
 from panelspark.functions.expr import ratio, rnd
+from panelspark.functions.ordered import dealt_by_size, fits_window
 from panelspark.operators import indicators as ind, selection as sel
 from panelspark.plans import views as v
 from panelspark.plans.registry import query
@@ -313,7 +314,8 @@ def cs_zscore(spark, sf):
 SELECT sec, dt, sector, mon, vol_rank, rnd(vol_score, 6) AS vol_score FROM c""")
 def cs_rank_score(spark, sf):
     i = cut_lineage(kept_indicators(spark, sf), "indicators")
-    return sel.volatility_score(i, BY, "vol_fc", TIE, stored=True).select(
+    small = fits_window(i, BY)
+    return sel.volatility_score(dealt_by_size(i, BY) if small else i, BY, "vol_fc", TIE, stored=True, small=small).select(
         "sec", "dt", "sector", "mon", "vol_rank", rnd("vol_score").alias("vol_score"))
 
 

@@ -429,3 +429,9 @@ def test_raw_text_is_stored_before_it_is_typed(spark, sf, monkeypatch):
     monkeypatch.setattr(cl, "coerce_numeric", lambda df, *a, **k: seen.append(df) or real(df, *a, **k))
     cl_plans.clean_raw(spark, sf)
     assert len(seen) == 1 and hasattr(seen[0], "stored_at")
+
+
+def test_ranks_of_small_groups_are_windows(spark, sf, monkeypatch):
+    from panelspark.plans import signals
+    monkeypatch.setattr(sel, "with_average_rank", None)
+    assert signals.cs_rank_score(spark, sf).count() > 0
