@@ -139,34 +139,49 @@ def profile_sample(df: DataFrame, keys: list[str], features: list[str], per_chun
 
     The chunk and the drawing order are hashes of the row key and the seed, so chunks are even
     and a rerun draws the same rows. The first ``per_chunk`` values by hash are wanted: counts tell below
-    which hash slightly more lie, and only those are exchanged and sorted. Where fewer lie there, the
-    threshold is raised for that chunk and feature and the rest is drawn again; the result does not
-    depend on the thresholds. ``df`` is read several times, so it should be a stored table.
+    which hash slightly more lie, and only those are exchanged. Where fewer lie there, the threshold is
+    raised for that chunk and feature and the rest is drawn again. Those below a second threshold, slightly
+    fewer than wanted, are in; only the others are sorted, and all where it is not below. The result does
+    not depend on the thresholds. ``df`` is read several times, so it should be a stored table.
     """
-    named = lambda *more: F.concat_ws("|", *more, *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
-    chunks = F.greatest(F.lit(1), F.ceil(df.agg(F.count("*").alias("n")).scalar() / chunk_rows))
+    row = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
     number = lambda h: F.conv(F.left(h, F.lit(8)), 16, 10).cast("bigint")
+    chunks = F.greatest(F.lit(1), F.ceil(df.agg(F.count("*").alias("n")).scalar() / chunk_rows))
     cells = (
-        df.withColumn("chunk", F.pmod(number(F.md5(named())), chunks))
-        .select("chunk", *keys, *[F.col(c).cast("double").alias(c) for c in features])
-        .unpivot(["chunk", *keys], features, "feature", "value").filter(F.col("value").isNotNull())
+        df.withColumn("_row", row).withColumn("chunk", F.pmod(number(F.md5("_row")), chunks))
+        .select("chunk", "_row", *keys, *[F.col(c).cast("double").alias(c) for c in features])
+        .unpivot(["chunk", "_row", *keys], features, "feature", "value").filter(F.col("value").isNotNull())
     )
-    share = F.least(F.lit(1.0), (per_chunk + DRAW_MARGIN * per_chunk ** 0.5) / F.col("n"))
-    limits = cut_lineage(cells.groupBy("chunk", "feature").agg(F.count("*").alias("n")).withColumn("share", share), "draw_limits")
+
+    def digits(share):
+        """A share of all hashes as the first eight digits of the first one beyond; "g" lies above every digit."""
+        beyond = F.ceil(share * 2.0**32).cast("bigint")
+        return F.when(beyond >= 2**32, "g").otherwise(F.lpad(F.lower(F.hex(beyond)), 8, "0"))
+
+    margin, n = DRAW_MARGIN * per_chunk ** 0.5, F.col("n")
+    share, sure = F.least(F.lit(1.0), (per_chunk + margin) / n), F.least(F.lit(1.0), F.lit(max(0.0, per_chunk - margin)) / n)
+    limits = cut_lineage(cells.groupBy("chunk", "feature").agg(F.count("*").alias("n")).withColumns({"share": share, "sure": digits(sure)}), "draw_limits")
     parts = []
     while True:
-        found = cells.withColumn("_h", F.md5(named(F.col("feature")))).join(limits, ["chunk", "feature"]).filter(number(F.col("_h")) < F.col("share") * 2.0**32)
-        found = cut_lineage(found.drop("n", "share"), "drawn")
-        held = found.groupBy("chunk", "feature").agg(F.count("*").alias("held"))
+        at = limits.select("chunk", "feature", "sure", digits(F.col("share")).alias("_limit"))
+        hashed = cells.withColumn("_h", F.md5(F.concat_ws("|", "feature", "_row"))).drop("_row")
+        found = hashed.join(at, ["chunk", "feature"]).filter(F.col("_h") < F.col("_limit"))
+        found = cut_lineage(found.withColumn("_low", F.col("_h") < F.col("sure")).drop("sure", "_limit"), "drawn")
+        held = found.groupBy("chunk", "feature").agg(F.count("*").alias("held"), F.count(F.when(F.col("_low"), 1)).alias("low"))
         state = limits.join(held, ["chunk", "feature"], "left").withColumn(
             "short", F.coalesce("held", F.lit(0)) < F.least(F.col("n"), F.lit(per_chunk)))
-        parts.append(found.join(state.filter("NOT short").select("chunk", "feature"), ["chunk", "feature"], "left_semi"))
-        limits = cut_lineage(state.filter("short").select("chunk", "feature", "n", F.least(F.lit(1.0), F.col("share") * 2).alias("share")), "draw_limits")
+        state = cut_lineage(state, "draw_state")  # its size is known then, so the drawn rows are not exchanged to meet it
+        # the places left for the others; all are sorted where more than wanted lie below
+        left = F.when(F.col("low") <= per_chunk, per_chunk - F.col("low"))
+        parts.append(found.join(state.filter("NOT short").select("chunk", "feature", left.alias("_left")), ["chunk", "feature"]))
+        limits = cut_lineage(state.filter("short").select("chunk", "feature", "n", F.least(F.lit(1.0), F.col("share") * 2).alias("share"), "sure"), "draw_limits")
         if limits.isEmpty():
             break
+    drawn = reduce(DataFrame.unionByName, parts)
+    inside = F.col("_low") & F.col("_left").isNotNull()
     draw = Window.partitionBy("chunk", "feature").orderBy("_h", *keys)
-    picked = reduce(DataFrame.unionByName, parts).withColumn("pick", F.row_number().over(draw)).filter(F.col("pick") <= per_chunk)
-    return picked.select("chunk", *keys, "feature", "value")
+    ranked = drawn.filter(~inside).withColumn("pick", F.row_number().over(draw)).filter(F.col("pick") <= F.coalesce("_left", F.lit(per_chunk)))
+    return drawn.filter(inside).unionByName(ranked.drop("pick")).select("chunk", *keys, "feature", "value")
 
 
 def winsorized(c: Column, category: str, stats: dict[str, float] | None) -> Column:

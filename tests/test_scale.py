@@ -431,6 +431,22 @@ def test_raw_text_is_stored_before_it_is_typed(spark, sf, monkeypatch):
     assert len(seen) == 1 and hasattr(seen[0], "stored_at")
 
 
+@pytest.mark.parametrize("margin", [6, 0])
+def test_sample_sorts_only_around_the_threshold(spark, monkeypatch, margin):
+    """Values surely in are not sorted; where more than wanted lie below the second threshold, all are. Same picks."""
+    df = spark.range(20000).withColumn("x", F.col("id").cast("double"))
+    want = {tuple(r) for r in df.select((F.conv(F.left(F.md5(F.concat_ws("|", "id", F.lit(str(C.SAMPLE_SEED)))), F.lit(8)), 16, 10).cast("bigint") % 4).alias("chunk"), "id",
+            F.md5(F.concat_ws("|", F.lit("x"), "id", F.lit(str(C.SAMPLE_SEED)))).alias("h")).withColumn(
+            "p", F.row_number().over(Window.partitionBy("chunk").orderBy("h", "id"))).filter("p <= 2000").select("chunk", "id").collect()}
+    tables, real = [], cl.cut_lineage
+    monkeypatch.setattr(cl, "cut_lineage", lambda d, name="cut": tables.append((name, real(d, name))) or tables[-1][1])
+    monkeypatch.setattr(cl, "DRAW_MARGIN", margin)
+    got = [tuple(r) for r in cl.profile_sample(df, ["id"], ["x"], per_chunk=2000, chunk_rows=5000).select("chunk", "id").collect()]
+    assert len(got) == len(want) == 8000 and set(got) == want
+    drawn = next(t for name, t in tables if name == "drawn")
+    assert drawn.filter("NOT _low").count() < 0.4 * drawn.count()
+
+
 def test_ranks_of_small_groups_are_windows(spark, sf, monkeypatch):
     from panelspark.plans import signals
     monkeypatch.setattr(sel, "with_average_rank", None)
