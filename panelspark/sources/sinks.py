@@ -32,8 +32,12 @@ def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int) -> D
 
 
 def write_company_csv(df: DataFrame, path: str, company: str = "company_id") -> None:
-    """One folder of CSV per company. A company has at most one row per date."""
-    df.repartition(company).write.mode("overwrite").partitionBy(company).csv(path, header=True)
+    """One folder of CSV per company. A company has at most one row per date.
+
+    Opening files takes longer than filling them, so all of the session's partitions write, however few bytes they hold.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(tasks, company).write.mode("overwrite").partitionBy(company).csv(path, header=True)
 
 
 #: Where each field of a written position comes from; absent columns are written as NULL.

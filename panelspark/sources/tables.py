@@ -65,9 +65,18 @@ def read_month(spark: SparkSession, path: str, year: int, month: int) -> DataFra
 
 
 def read_company_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All per-company files, the company taken from the path."""
+    """All per-company files, the company taken from the path.
+
+    Spark lists folders in one task each, up to a limit; here a task lists many.
+    """
     name = F.regexp_extract(F.col("_metadata.file_path"), r"company_id=([^/]+)/|/(comp_[^/]+)_ohlcv\.csv", 0)
-    df = spark.read.schema(schema).option("recursiveFileLookup", "true").csv(path, header=True)
+    limit = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(8 * spark.sparkContext.defaultParallelism))
+    try:
+        df = spark.read.schema(schema).option("recursiveFileLookup", "true").csv(path, header=True)
+    finally:
+        spark.conf.set(limit, before)
     return df.select("*", F.regexp_replace(name, r"^company_id=|^/|/$|_ohlcv\.csv$", "").alias("company_id"))
 
 

@@ -451,3 +451,16 @@ def test_ranks_of_small_groups_are_windows(spark, sf, monkeypatch):
     from panelspark.plans import signals
     monkeypatch.setattr(sel, "with_average_rank", None)
     assert signals.cs_rank_score(spark, sf).count() > 0
+
+
+def test_all_partitions_write_company_files(spark, tmp_path):
+    """Few bytes are not joined into one writing task; the listing limit is as before afterwards."""
+    from panelspark.sources import sinks, tables
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    limit = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    df = spark.range(120).select((F.col("id") % 60).cast("string").alias("company_id"), (F.col("id") % 2).cast("int").alias("ym"))
+    sinks.write_company_csv(df, str(tmp_path / "csv"))
+    assert len({f.name.split("-")[1] for f in tmp_path.glob("csv/*/part-*.csv")}) > 4
+    back = tables.read_company_csv(spark, str(tmp_path / "csv"), "ym int")
+    assert back.count() == 120 and back.select("company_id").distinct().count() == 60
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == limit
