@@ -14,6 +14,7 @@ the rest are opened. Links are decided on double precision cosines.
 3. Pairs of cells, then of blocks, are pruned by these radii. Pairs of tight blocks are settled from
    centre, radius and count alone, so a cell of a third of all rows in near copies costs no
    comparisons. The others meet two by two in a task, where both blocks' lower levels are traversed.
+   A block's top nodes are made once and travel with it; their centres are screened in tiles.
 4. A task returns how many links each vector got, and a forest that connects linked vectors, never
    the pairs. Components come from the forests.
 
@@ -36,6 +37,7 @@ RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
 SLACK = 1e-6
 #: Node pairs with at most so many member pairs are compared member by member.
 FEW = 64
+TILE = 1024  # centres against centres whose cosines are held at once
 
 
 def reach(cosine: float) -> float:
@@ -48,25 +50,27 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Centres of a net (the first row is one) and each row's centre, within ``radius``."""
-    centres: list[int] = []
+    """Centres of a net (the first row is one) and each row's centre, within ``radius`` in single precision."""
+    small, least = x.astype(np.float32), np.float32(1 - radius * radius / 2)
+    centres, taken, n = np.empty(len(x), np.int64), np.empty_like(small), 0
     owner = np.full(len(x), -1)
     for a in range(0, len(x), 512):
         part = np.arange(a, min(a + 512, len(x)))
-        if centres:
-            d = apart(x[part], x[centres])
-            near = d.argmin(axis=1)
-            ok = d[np.arange(len(part)), near] <= radius
+        if n:
+            cosine = small[part] @ taken[:n].T
+            near = cosine.argmax(axis=1)
+            ok = cosine[np.arange(len(part)), near] >= least
             owner[part[ok]] = near[ok]
             part = part[~ok]
-        d = apart(x[part], x[part])
+        close = small[part] @ small[part].T >= least
         for i in range(len(part)):
             if owner[part[i]] < 0:
-                free = (owner[part] < 0) & (d[i] <= radius)
+                free = (owner[part] < 0) & close[i]
                 free[i] = True
-                owner[part[free]] = len(centres)
-                centres.append(int(part[i]))
-    return np.array(centres, np.int64), owner
+                owner[part[free]] = n
+                centres[n], taken[n] = part[i], small[part[i]]
+                n += 1
+    return centres[:n], owner
 
 
 class Node:
@@ -78,10 +82,15 @@ class Node:
         self.members, self.radius, self.level, self.kids = members, radius, level, None
 
     def children(self, x) -> list[Node]:
-        if self.kids is None:
-            self.kids = nodes(x, self.members, self.level + 1) if self.level + 1 < len(RADII) else [Node(self.members[i : i + 1], 0.0, self.level) for i in range(len(self.members))]
+        if self.kids is None:  # levels that would hold the same node again are skipped
+            finer = next((k for k in range(self.level + 1, len(RADII)) if RADII[k] < self.radius), None)
+            self.kids = [Node(self.members[i : i + 1], 0.0, self.level) for i in range(len(self.members))] if finer is None else nodes(x, self.members, finer)
         return self.kids
 
+    def opened(self, x, most: float) -> list[Node]:
+        """The highest nodes below this one, or itself, with a radius of at most ``most``."""
+        return [self] if self.radius <= most else [n for kid in self.children(x) for n in kid.opened(x, most)]
+
 
 def nodes(x: np.ndarray, members: np.ndarray, level: int) -> list[Node]:
     centres, owner = net(x[members], RADII[level])
@@ -94,6 +103,12 @@ def nodes(x: np.ndarray, members: np.ndarray, level: int) -> list[Node]:
     return out
 
 
+def tops(x: np.ndarray, cosine: float) -> list[Node]:
+    """The top nodes of a block, opened until all pairs inside one are linked. Wide nodes of few members prune nothing."""
+    most = max(0.0, (reach(cosine) - SLACK) / 2)
+    return [t for node in nodes(x, np.arange(len(x)), 0) for t in node.opened(x, most)]
+
+
 class Forest:
     """Union-find over the vectors of a task."""
 
@@ -160,18 +175,25 @@ class Dual:
         cl, cr = (np.array([n.members[0] for n in s]) for s in (left, right))
         ll, lr = (np.array([len(n.members) for n in s]) for s in (left, right))
         (flat_l, off_l), (flat_r, off_r) = ((np.concatenate([n.members for n in s]), np.append(0, np.cumsum(k))) for s, k in ((left, ll), (right, lr)))
-        for a in range(0, len(left), 1024):
-            part = slice(a, a + 1024)
-            near = (self.reach + 1e-3 + rl[part])[:, None] + rr[None, :]
-            close = self.small[cl[part]] @ self.small[cr].T >= 1 - near * near / 2
-            i, j = np.nonzero(close | (near >= 2))
-            i += a
-            if same:
-                i, j = i[i < j], j[i < j]
-            few = ll[i] * lr[j] <= FEW
-            self.products(flat_l, off_l, flat_r, off_r, i[few], j[few])
-            for p, q in zip(i[~few].tolist(), j[~few].tolist(), strict=True):
-                self.pair(left[p], right[q])
+        by_l, by_r = np.argsort(rl, kind="stable"), np.argsort(rr, kind="stable")  # a tile's radii are alike
+        for a in range(0, len(left), TILE):
+            for b in range(a if same else 0, len(right), TILE):
+                p, q = by_l[a : a + TILE], by_r[b : b + TILE]
+                cosine = self.small[cl[p]] @ self.small[cr[q]].T
+                hit = np.flatnonzero(cosine >= self.least(rl[p[-1]] + rr[q[-1]]))
+                i, j = p[hit // len(q)], q[hit % len(q)]
+                ok = cosine.ravel()[hit] >= self.least(rl[i] + rr[j])
+                if same and a == b:
+                    ok &= hit // len(q) < hit % len(q)
+                i, j = i[ok], j[ok]
+                few = ll[i] * lr[j] <= FEW
+                self.products(flat_l, off_l, flat_r, off_r, i[few], j[few])
+                for u, v in zip(i[~few].tolist(), j[~few].tolist(), strict=True):
+                    self.pair(left[u], right[v])
+
+    def least(self, radii):
+        """The cosine below which centres with these radii together hold no pair, with room for single precision."""
+        return 1 - np.minimum(self.reach + 1e-3 + radii, 2.01) ** 2 / 2
 
     def products(self, flat_l, off_l, flat_r, off_r, i, j):
         """All member pairs of small node pairs, a bounded number at a time."""
@@ -201,8 +223,9 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def blocks_of(rows: DataFrame, total: int) -> DataFrame:
-    """One row per block: block, cell, first vec_id, count, centre, radius, and its ids, weights and vectors."""
+def blocks_of(rows: DataFrame, total: int, cosine: float) -> DataFrame:
+    """One row per block: block (its first vec_id), cell, count, centre, radius; its ids, weights and vectors in the
+    order of its top nodes, whose sizes and radii are in ``sizes`` and ``radii``."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
     points = unit(np.array([r["embedding"] for r in sample]))
     most = max(1, min(CELLS, total // BLOCK))
@@ -227,13 +250,16 @@ def blocks_of(rows: DataFrame, total: int) -> DataFrame:
         ids, weight = group.column("vec_id").to_numpy(), group.column("weight").to_numpy()
         centre = x.mean(axis=0)
         radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
-        return pa.table({"block": [int(ids[0])], "cell": [group.column("cell")[0].as_py()], "n": [int(weight.sum())], "members": [len(ids)],
-                         "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius], "ids": pa.array([ids.tobytes()], pa.binary()),
-                         "weights": pa.array([weight.tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
+        top = tops(x, cosine)
+        order = np.concatenate([t.members for t in top])
+        raw = {"ids": ids[order], "weights": weight[order], "x": x[order], "sizes": np.array([len(t.members) for t in top]), "radii": np.array([t.radius for t in top])}
+        return pa.table({"block": [int(ids[0])], "cell": [group.column("cell")[0].as_py()], "n": [int(weight.sum())],
+                         "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius],
+                         **{c: pa.array([v.tobytes()], pa.binary()) for c, v in raw.items()}})
 
     part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
     made = cells.join(parts, "cell").withColumn("part", part).drop("parts").groupBy("cell", "part").applyInArrow(
-        gathered, "block long, cell long, n long, members long, centre array<double>, radius double, ids binary, weights binary, x binary")
+        gathered, "block long, cell long, n long, centre array<double>, radius double, ids binary, weights binary, x binary, sizes binary, radii binary")
     return cut_lineage(made.withColumn("dim", F.lit(dim)), "blocks")
 
 
@@ -264,24 +290,24 @@ def block_pairs(blocks: DataFrame, cosine: float) -> DataFrame:
     return cut_lineage(pairs.select("a", "b", "na", "nb", sure.alias("sure")), "pairs")
 
 
-def compared(batches, cosine: float = COSINE):
-    """For each pair of blocks: vec_id, links found there, and a linked vec_id (itself, if root)."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            sides = ("a",) if row["a"] == row["b"] else ("a", "b")
-            x = np.concatenate([np.frombuffer(row[f"x_{s}"]).reshape(-1, row["dim"]) for s in sides])
-            ids, weight = (np.concatenate([np.frombuffer(row[f"{c}_{s}"], np.int64) for s in sides]) for c in ("ids", "weights"))
-            dual, first = Dual(x, weight, cosine), len(np.frombuffer(row["ids_a"], np.int64))
-            left = nodes(x, np.arange(first), 0)
-            if len(sides) == 1:
-                for node in left:
-                    dual.inside(node)
-                dual.cross(left, left)
-            else:
-                dual.cross(left, nodes(x, np.arange(first, len(x)), 0))
-            hit = np.flatnonzero(dual.links)
-            root = np.array([dual.forest.find(i) for i in hit], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(dual.links[hit]), pa.array(ids[root])], names=["vec_id", "links", "near"])
+def compared(pair: pa.Table, cosine: float = COSINE) -> pa.Table:
+    """For a block, or two: vec_id, links found there, and a linked vec_id (itself, if root)."""
+    rows = pair.to_pylist()
+    x = np.concatenate([np.frombuffer(r["x"]).reshape(-1, r["dim"]) for r in rows])
+    ids, weight = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("ids", "weights"))
+    dual, tops, first = Dual(x, weight, cosine), [], 0
+    for r in rows:
+        ends = first + np.cumsum(np.frombuffer(r["sizes"], np.int64))
+        radii = np.frombuffer(r["radii"])
+        tops.append([Node(np.arange(a, b), radius, 0) for a, b, radius in zip([first, *ends[:-1].tolist()], ends.tolist(), radii.tolist(), strict=True)])
+        first = int(ends[-1])
+    if len(tops) == 1:
+        for node in tops[0]:
+            dual.inside(node)
+    dual.cross(tops[0], tops[-1])
+    hit = np.flatnonzero(dual.links)
+    root = np.array([dual.forest.find(i) for i in hit], np.int64)
+    return pa.table({"vec_id": ids[hit], "links": dual.links[hit], "near": ids[root]})
 
 
 def linked(df: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -294,7 +320,7 @@ def linked(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     everyone = df.select(F.col("vec_id").cast("long").alias("vec_id")).distinct() if total == 0 else None
     if total == 0:
         return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    blocks = blocks_of(same.select(F.col("rep").alias("vec_id"), "embedding", "weight"), total)
+    blocks = blocks_of(same.select(F.col("rep").alias("vec_id"), "embedding", "weight"), total, cosine)
     pairs = block_pairs(blocks, cosine)
 
     sure = pairs.filter("sure")
@@ -311,13 +337,12 @@ def linked(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     out = "vec_id long, links long, near long"
     tight = blocks.join(gained, "block").select("block", "ids", "weights", "more").mapInArrow(spread, out)
 
-    def side(s):
-        return blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "weights", "x")], *(["dim"] if s == "a" else []))
-
     open_ = pairs.filter("NOT sure").select("a", "b")
     tasks = open_.count()
-    met = open_.join(side("a"), "a").join(side("b"), "b").repartition(max(1, tasks), "a", "b")
-    found = cut_lineage(tight.unionByName(met.mapInArrow(lambda b: compared(b, cosine), out)), "links")
+    sides = open_.withColumn("block", F.explode(F.array_distinct(F.array("a", "b"))))
+    met = blocks.select("block", "ids", "weights", "x", "sizes", "radii", "dim").join(sides, "block").repartition(max(1, tasks), "a", "b")
+    met = met.groupBy("a", "b").applyInArrow(lambda pair: compared(pair, cosine), out)
+    found = cut_lineage(tight.unionByName(met), "links")
 
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     edges = found.filter("near <> vec_id").select(F.col("vec_id").alias("a"), F.col("near").alias("b")).union(

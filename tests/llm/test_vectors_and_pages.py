@@ -65,6 +65,24 @@ def test_cover_tree_counts_tight_nodes_without_opening():
     assert (dual.links == 399).all()
 
 
+def test_cover_tree_compares_few_vectors_without_clusters():
+    """Wide nodes of a few members are opened once per block; before, all their members met those of all others."""
+    rng = np.random.default_rng(5)
+    x = cover_tree.unit(rng.normal(size=(3000, 64)) + 1.2 * rng.normal(size=(40, 64))[rng.integers(0, 40, 3000)])
+    seen = {}
+    for name, top in (("wide", cover_tree.nodes(x, np.arange(3000), 0)), ("opened", cover_tree.tops(x, 0.9))):
+        dual, seen[name] = cover_tree.Dual(x, np.ones(3000, np.int64), 0.9), 0
+        def exact(i, j, name=name, plain=dual.exact):
+            seen[name] += len(i)
+            plain(i, j)
+        dual.exact = exact
+        for node in top:
+            dual.inside(node)
+        dual.cross(top, top)
+        assert (dual.links == (x @ x.T >= 0.9).sum(axis=1) - 1).all()
+    assert seen["opened"] < 3000 and seen["wide"] > 100 * seen["opened"]
+
+
 def test_empty_vectors(spark):
     assert cover_tree.linked(vectors(spark, [])).count() == 0
     assert ann.search(vectors(spark, []), "vec_id % 20 = 0").count() == 0
