@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.constants import PREDICTION_EDGES
 from panelspark.functions.expr import ratio, same_key
-from panelspark.functions.ordered import running_sums, with_row_number
+from panelspark.functions.ordered import dealt_by_size, fits_window, running_sums, with_row_number
 from panelspark.storage import cut_lineage
 
 RIDGE = 1e-3
@@ -215,31 +215,64 @@ def pairwise_rank_loss(df: DataFrame, by: str = "day", key: str = "sec", symmetr
 
 
 def symmetric_rank_loss(df: DataFrame, by: str, key: str) -> DataFrame:
-    """Sum of (p_i - p_j)(o_j - o_i) over the pairs in opposite order, by sorting the true returns into
-    buckets of equal rank bits.
+    """Sum of (p_i - p_j)(o_j - o_i) over the pairs in opposite order, without pairs.
 
-    Two ranks differ first in one bit. For each bit, pairs that agree above it and differ in it have
-    their order of ``o`` settled by group; within the group, running sums in the order of ``p`` count
-    the inversions and their products. So there are as many rounds as rank bits, and no pairs.
+    A group of m rows is cut into about m^(1/3) blocks of equal size by the rank of ``o``, and again by the
+    rank of ``p``. Two rows lie in one block of ``o``; or only in one block of ``p``; or in none, and then
+    their blocks settle the order, so the sums of their cells (block of ``o``, block of ``p``) do. A row goes
+    to its two blocks and a group's cells to a third kind of block. All have about m^(2/3) rows at most.
+    Rows without returns count in ``n`` only.
     """
     p = ratio(F.col("pred") - F.col("base"), F.col("base"))
     o = ratio(F.col("target") - F.col("base"), F.col("base"))
-    rows = df.filter("valid").select(by, key, p.alias("p"), o.alias("o"))
-    ranked = cut_lineage(running_sums(rows, [by], [F.col("o").asc(), F.col(key).asc()], {"rk": F.lit(1).cast("bigint")}), "ranks")
-    top = ranked.agg(F.max("rk")).first()[0] or 1
-    bits = ranked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(int(top).bit_length() - 1))))
-    split = bits.select(by, key, "p", "o", "b", F.expr("shiftright(rk, b + 1)").alias("g"), F.expr("shiftright(rk, b) & 1").alias("hi"))
-    low = F.col("hi") == 0
-    val = lambda x: F.when(~low, x).otherwise(0.0)
-    run = running_sums(split, [by, "b", "g"], [F.col("p").asc(), F.col("hi").asc(), F.col(key).asc()],
-                       {"c": val(F.lit(1.0)), "cp": val(F.col("p")), "co": val(F.col("o")), "cpo": val(F.col("p") * F.col("o"))})
-    # a low-side row after a high-side one in the order of p: p_i >= p_j and o_i <= o_j
-    part = F.col("p") * F.col("co") - F.col("p") * F.col("o") * F.col("c") - F.col("cpo") + F.col("o") * F.col("cp")
-    total = run.filter(low).groupBy(by).agg(F.sum(part).alias("s"))
+    rows = cut_lineage(df.filter("valid").select(by, key, p.alias("p"), o.alias("o")), "returns")
+    known = rows.filter("p IS NOT NULL AND o IS NOT NULL")
+    if fits_window(known, [by]):
+        day = Window.partitionBy(by)
+        ranked = dealt_by_size(known, [by]).withColumns({
+            "m": F.count(F.lit(1)).over(day), **{f"r{c}": F.row_number().over(day.orderBy(c, key)) for c in ("o", "p")}})
+    else:
+        one = F.lit(1).cast("bigint")
+        ranked = running_sums(known, [by], [F.col("o").asc(), F.col(key).asc()], {"ro": one}, {"ro": "m"}, stored=True)
+        ranked = running_sums(ranked, [by], [F.col("p").asc(), F.col(key).asc()], {"rp": one})
+    block = lambda r: F.floor((F.col(r) - 1) * F.ceil(F.cbrt("m")) / F.col("m"))
+    ranked = cut_lineage(ranked.select(by, "p", "o", "ro", block("ro").alias("bo"), block("rp").alias("bp")), "ranks")
+    sums = [F.lit(1.0).alias("n"), F.col("p").alias("sp"), F.col("o").alias("so"), (F.col("p") * F.col("o")).alias("spo")]
+    place = lambda kind, b, at, g: F.struct(F.lit(kind).alias("kind"), F.col(b).alias("block"), F.col(at).cast("double").alias("at"), F.col(g).cast("long").alias("g"))
+    placed = ranked.select(by, F.explode(F.array(place(0, "bo", "p", "ro"), place(1, "bp", "p", "bo"))).alias("e"), *sums)
+    cells = ranked.groupBy(by, "bo", "bp").agg(*[F.sum(x).alias(c) for x, c in zip(sums, ("n", "sp", "so", "spo"), strict=True)])
+    cells = cells.select(by, F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("block"), F.col("bp").cast("double").alias("at"), F.col("bo").alias("g")).alias("e"), "n", "sp", "so", "spo")
+    whole = placed.unionByName(cells).select(by, "e.*", "n", "sp", "so", "spo")
+    found = whole.groupBy(by, "kind", "block").applyInArrow(lambda t: inverted(t, by), f"{by} {df.schema[by].dataType.simpleString()}, s double")
+    total = found.groupBy(by).agg(F.sum("s").alias("s"))
     n = rows.groupBy(by).agg(F.count("*").alias("n"))
     return same_key(n, total, [by], "left").select(by, (2 * F.coalesce("s", F.lit(0.0)) / (F.col("n") * F.col("n"))).alias("rank_loss"), "n")
 
 
+def inverted(block, by: str):
+    """The sum of (p_j - p_i)(o_i - o_j) over i before j in the order of ``at`` where ``g`` falls.
+
+    Two numbers differ first in one bit: for each bit, rows that agree above it are one run, and running sums
+    over those with the bit meet those without. Rows may stand for several: ``n`` and their sums.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    at, g, n, sp, so, spo = (block.column(c).to_numpy() for c in ("at", "g", "n", "sp", "so", "spo"))
+    order = np.lexsort((g, at))
+    g, sums, total = g[order] - g.min(), np.stack([n, sp, so, spo])[:, order], 0.0
+    for bit in range(int(g.max()).bit_length()):
+        line = np.argsort(g >> (bit + 1), kind="stable")
+        run, high = g[line] >> (bit + 1), (g[line] >> bit & 1).astype(bool)
+        first = np.searchsorted(run, run)  # where each row's run starts
+        here = sums[:, line]
+        before = np.cumsum(np.pad(np.where(high, here, 0.0), ((0, 0), (1, 0))), axis=1)
+        cn, cp, co, cpo = (before[:, :-1] - before[:, first])[:, ~high]
+        n_j, p_j, o_j, po_j = here[:, ~high]
+        total += float((p_j * co - po_j * cn - n_j * cpo + o_j * cp).sum())
+    return pa.table({by: block.column(by).slice(0, 1), "s": [total]})
+
+
 def topk_pnl(df: DataFrame, ks: list[int], by: str = "day", key: str = "sec") -> DataFrame:
     """Mean true return of the K best predictions per day: its sum over days and mean over deviation.
 

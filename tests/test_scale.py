@@ -117,6 +117,34 @@ def test_pairwise_loss_equals_brute_force(spark):
         assert r.rank_loss == pytest.approx(want) and r.n == 40
 
 
+@pytest.mark.parametrize("largest", [od.GROUP_ROWS, 10])
+def test_symmetric_loss_equals_brute_force(spark, monkeypatch, largest):
+    """Ties, a large day, a single row, and rows without returns, which count in n only. No table it writes outgrows the
+    rows (before, one had a row per row and bit of the largest rank)."""
+    monkeypatch.setattr(od, "GROUP_ROWS", largest)
+    plain, written = od.cut_lineage, []
+
+    def cut(df, name="cut"):
+        stored = plain(df, name)
+        written.append(stored.count())
+        return stored
+
+    for module in (mp, od):
+        monkeypatch.setattr(module, "cut_lineage", cut)
+    rng = np.random.default_rng(4)
+    rows = [(d, i, *map(float, np.round(rng.uniform(0.5, 1.5, 3), digits)), True) for d, n, digits in ((0, 400, 9), (1, 90, 1), (2, 1, 9)) for i in range(n)]
+    rows += [(d, 1000 + i, 1.0, 0.0, 2.0, True) for d in (0, 3) for i in range(20)] + [(0, 2000, 1.0, 1.0, 1.0, False)]
+    df = spark.createDataFrame(rows, "day int, sec int, pred double, base double, target double, valid boolean")
+    found = {r.day: r for r in mp.pairwise_rank_loss(df, symmetric=True).collect()}
+    assert sorted(found) == [0, 1, 2, 3] and max(written) <= len(rows)
+    for d, r in found.items():
+        day = np.array([x[2:5] for x in rows if x[0] == d and x[5] and x[3]]).reshape(-1, 3)
+        p, o = day[:, 0] / day[:, 1] - 1, day[:, 2] / day[:, 1] - 1
+        n = sum(x[0] == d and x[5] for x in rows)
+        want = np.maximum(0, -(p[:, None] - p[None, :]) * (o[:, None] - o[None, :])).sum() / n**2
+        assert r.rank_loss == pytest.approx(want, abs=1e-12) and r.n == n
+
+
 def test_whole_texts_are_scored(spark):
     seen = spark.createDataFrame([(1, "x" * 1000 + "good " * 200), (2, ""), (3, "good")], "text_id int, text string")
     label = lambda texts: [("positive", .9) if "good" in t else ("neutral", .6) for t in texts]
