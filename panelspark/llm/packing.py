@@ -22,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelspark.llm.common import typed
+from panelspark.llm.common import slices, typed
 from panelspark.storage import cut_lineage
 
 CAPACITY, END_ID = 2048, 0
 CACHE = 300_000
+BATCH = 1 << 19  # bytes of text a worker holds as Python strings
 #: Fixed value: the split of a word into pre-tokens, as the tokenizer file states it.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -102,7 +103,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each document."""
     def cut(batches):
         words = tokenizer(path)
-        for batch in batches:
+        for batch in slices(batches, "text", BATCH):
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = words.ids(text) + END_ID.to_bytes(4, "little")

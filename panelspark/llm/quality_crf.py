@@ -17,6 +17,7 @@ are ignored. Other columns are kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelspark.llm.common import combine, raw_bytes, slices, word_hashes, words_of
 
 SAMPLE, LONGEST, CUT, STEPS = 4000, 200_000, 0.7, 100
-BATCH = 2 << 20
+BATCH = 1 << 20
 
 LOWER, UPPER, DIGIT, SPACE, STOP, COMMA, BANG, BAR, SYMBOL, QUOTE, FOREIGN = range(11)
 CLASSES = np.full(256, SYMBOL, np.uint8)
@@ -220,17 +221,15 @@ def text_scores(data: np.ndarray, starts: np.ndarray, chain: Chain | None) -> np
 
 
 def score(docs: DataFrame, chain: Chain | None, text: str = "text", out: str = "score") -> DataFrame:
-    """All columns of ``docs`` and ``out``."""
-    kind = docs.select(F.struct("*").alias("_row")).schema["_row"].dataType.simpleString()
-
-    def scored(batches):
-        for batch in slices(batches, "_text", BATCH):
-            done = text_scores(*raw_bytes(batch.column("_text")), chain)
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(done)], names=["_row", "_score"])
-
-    rows = docs.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text"))
-    done = rows.mapInArrow(scored, f"_row {kind}, _score double")
-    return done.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != out], F.col("_score").alias(out))
+    """All columns of ``docs`` and ``out``. Only the text goes to the worker, and only the score comes back."""
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            batch = pa.RecordBatch.from_arrays([array], names=["text"])
+            parts = [text_scores(*raw_bytes(piece.column("text")), chain) for piece in slices([batch], "text", BATCH)]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]))
+
+    once = F.arrow_udf(scored, "double").asNondeterministic()  # else a filter on the score would make it again
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], once(F.col(text).cast("string")).alias(out))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -247,6 +247,22 @@ def test_suffix_dedup_workers_hold_little():
     assert got == [(x["gram"], x["ctx"], 1, 2, t[x["p1"] : x["at"]][::-1], t[x["at"] : x["p2"] + 400]) for t, f in zip(texts[7:], found[7:], strict=True) for x in f]
 
 
+def test_suffix_dedup_tasks_run_one_worker_at_a_time(documents, monkeypatch):
+    """No stored table comes from two Python steps in a row, which would hold two workers per core."""
+    plans, write = [], suffix_dedup.cut_lineage
+
+    def watched(df, name="cut"):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")))
+        return write(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "cut_lineage", watched)
+    passage = random.Random(5).randbytes(300).hex()
+    texts = [(i, f"{i * 7919 % 1009:04d}" * 40 + passage + f"{i * 104729 % 1013:04d}" * 40) for i in range(12)]
+    got = rows_of(suffix_dedup.without_repeats(documents(texts), hot=2), "doc_id", "_kept")
+    assert got == rows_of(suffix_dedup.without_repeats(documents(texts)), "doc_id", "_kept")
+    assert sum(name == "anchors" for name, _ in plans) > 2 and max(n for _, n in plans) == 1
+
+
 def test_all_suffixes_leave_the_queue_at_once():
     gram = np.array([1, 1, 2, 2])
     same = [b"x" * 130 + bytes([i]) * 100 for i in (1, 2, 1, 2)]
@@ -411,6 +427,17 @@ def test_quality_edges(documents, edge_rows, spark):
     assert quality_crf.score(docs, None).columns == [*docs.columns, "score"]
 
 
+def test_quality_sends_texts_alone_and_scores_once(documents, spark):
+    docs = documents([(i, f"Line {i} is here.\nAnd another | one {i}!") for i in range(50)]).withColumnRenamed("lang", "lang.of")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    chain = quality_crf.train(docs, labels)
+    done = quality_crf.score(docs, chain).filter("score >= 0")
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    assert rows_of(done, "doc_id", "score") == rows_of(quality_crf.scores(docs, labels), "doc_id", "score")
+    assert done.columns == [*docs.columns, "score"] and {r["lang.of"] for r in done.collect()} == {"en"}
+
+
 def test_training_texts_of_repeated_ids(documents, monkeypatch):
     """One text per sampled label, the same one in any order, however often a doc_id is repeated."""
     monkeypatch.setattr(quality_crf, "fit", lambda texts, y: list(zip(texts, y, strict=True)))
