@@ -7,11 +7,17 @@ at a leaf, visits it. How many leaves are visited is calibrated: for ``PROBES``
 sample) the exact neighbours among all rows are found, and visits are widened until these queries
 reach ``RECALL``.
 
-Neighbouring leaves form ``BUNDLES`` bundles. Vectors of a bundle and queries that visit any of its
-leaves meet in blocks of ``CHUNK`` by ``CHUNK`` rows, so neither a leaf that holds a third of all vectors
-nor one that all queries visit goes to one task. Inside a block a query only meets the leaves that it
-visits. A block keeps the best ``k`` per query; the best of these are the result. Scores are sums of products in double
-precision, in the same order for equal vectors, and ties go to the smaller vec_id.
+Neighbouring leaves form blocks of about ``CHUNK`` vectors (smaller ones where that keeps all cores busy), so
+neither a leaf that holds a third of all vectors nor one that all queries visit goes to one task. Queries form
+teams of about ``CHUNK``, by the leaf they lie in themselves. A block is one row, and so is a team: blocks and
+teams with a visited leaf in common meet as pairs of rows, read from where they are stored, so no vector is
+exchanged once per team. Inside such a pair a query only meets the leaves that it visits.
+
+The inner products of a pair are screened in single precision against the score that a query's ``k``-th best has
+at least, less what rounding can do. That bound starts with the sample's vectors in the visited leaves and rises
+with what a task has found. What passes is scored by sums of products in double precision, in the same order for
+equal vectors; ties go to the smaller vec_id. Of equal vectors in a block only the ``k`` + 1 smallest ids can be
+among the best; the others are left out there. A task keeps the best ``k`` per query; the best of these are the result.
 
 See ``vectors.usable`` for rows that take no part. Repeated rows count once; a query never finds its
 own id. Fewer candidates than ``k`` give fewer rows; an empty table gives none.
@@ -25,10 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelspark.llm.vectors import matrix, usable
-from panelspark.storage import cut_lineage
+from panelspark.llm.vectors import first_by_hash, matrix, number, stored, usable
+from panelspark.storage import cut_lineage, discard
 
-SAMPLE, BRANCH, LEAF, PROBES, RECALL, CHUNK, BUNDLES = 20_000, 12, 64, 256, 0.97, 4096, 16
+SAMPLE, BRANCH, LEAF, PROBES, RECALL, CHUNK = 20_000, 12, 64, 256, 0.97, 16_384
+#: Blocks are not cut smaller than this for the sake of more tasks.
+LEAST_CHUNK = 1024
+#: Vectors of a leaf and products that are screened at once, and pairs that are scored or wait for a ranking at once.
+WIDE, TILE, SCORED, WAITING = 4096, 1 << 19, 1 << 14, 1 << 18
 
 
 class Tree:
@@ -78,14 +88,14 @@ class Tree:
 
     def visits(self, query: np.ndarray, most: int) -> list[int]:
         """Leaves in best-bin-first order, ``most`` at most."""
-        score = self.centres @ query
-        queue, out = [(-score[0], 0)], []
+        far = (-(self.centres @ query)).tolist()
+        queue, out = [(far[0], 0)], []
         while queue and len(out) < most:
             _, node = heapq.heappop(queue)
             if not self.size[node]:
                 out.append(self.leaf[node])
             for child in range(self.first[node], self.first[node] + self.size[node]):
-                heapq.heappush(queue, (-score[child], child))
+                heapq.heappush(queue, (far[child], child))
         return out
 
 
@@ -93,43 +103,76 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmax(points @ centres.T - (centres**2).sum(axis=1) / 2, axis=1)
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """Per query the ``k`` best other vectors: (query index, vec_id, score)."""
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    for a in range(0, len(queries), 256):
-        rough = queries[a : a + 256] @ vectors.T
-        for i in range(len(rough)):
-            row = np.where(ids == query_ids[a + i], -np.inf, rough[i])
-            near = np.flatnonzero(row > -np.inf)
-            if len(near) > k:
-                kth = np.partition(row, len(row) - k)[len(row) - k]
-                near = np.flatnonzero(row >= kth - 1e-9 * max(1.0, abs(kth)))
-            exact = (vectors[near] * queries[a + i]).sum(axis=1)
-            order = np.lexsort((ids[near], -exact))[:k]
-            out.append((np.full(len(order), a + i), ids[near][order], exact[order]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def best_in_leaves(queries, query_ids, visited: list, vectors, ids, leaf, k: int):
-    """The same, each query among the vectors of the leaves it visits."""
-    order = np.argsort(leaf, kind="stable")
-    vectors, ids, leaf = vectors[order], ids[order], leaf[order]
-    wanted = np.concatenate([np.asarray(v, np.int64) for v in visited])
-    asker = np.repeat(np.arange(len(visited)), [len(v) for v in visited])
-    by_leaf = np.argsort(wanted, kind="stable")
-    wanted, asker = wanted[by_leaf], asker[by_leaf]
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    for x in np.unique(leaf):
-        own = slice(*np.searchsorted(leaf, [x, x + 1]))
-        who = asker[slice(*np.searchsorted(wanted, [x, x + 1]))]
-        if len(who):
-            query, found, score = best(queries[who], query_ids[who], vectors[own], ids[own], k)
-            out.append((who[query], found, score))
-    query, found, score = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.lexsort((found, -score, query))
-    query, found, score = query[order], found[order], score[order]
-    place = np.arange(len(query)) - np.searchsorted(query, query)
-    return query[place < k], found[place < k], score[place < k]
+class Block:
+    """Vectors in the order of their leaves, and what screening them needs."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, leaf: np.ndarray):
+        self.vectors, self.ids, self.leaf = vectors, ids, leaf
+        self.scale = float(np.abs(vectors).max())
+        self.small = (vectors / self.scale).astype(np.float32)
+        self.length = float(np.sqrt((self.small.astype(np.float64) ** 2).sum(axis=1).max()))
+        starts = np.flatnonzero(np.diff(leaf, prepend=-1))
+        self.parts = [(a, min(a + WIDE, end)) for start, end in zip(starts, [*starts[1:], len(leaf)], strict=True) for a in range(start, end, WIDE)]
+
+
+class Best:
+    """The ``k`` best other vectors of every query so far: query index, vec_id, score and leaf."""
+
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, least: np.ndarray, k: int):
+        self.queries, self.ids, self.least, self.k = queries, ids, least.astype(np.float64), k
+        self.scale = np.abs(queries).max(axis=1).astype(np.float64)
+        self.small = (queries / self.scale[:, None]).astype(np.float32)
+        length = np.sqrt((self.small.astype(np.float64) ** 2).sum(axis=1))
+        self.room = (queries.shape[1] + 8) * 2.0**-23 * length  # rounding of a product of single precision, twice over
+        self.kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        self.new, self.waiting = [], 0
+
+    def meet(self, block: Block, visitors) -> None:
+        """``visitors`` gives the indices of the queries that visit a leaf."""
+        for a, b in block.parts:
+            who = visitors(int(block.leaf[a]))
+            step = max(1, TILE // (b - a))
+            for i in range(0, len(who), step):
+                self.screen(block, slice(a, b), who[i : i + step])
+
+    def screen(self, block: Block, part: slice, who: np.ndarray) -> None:
+        with np.errstate(all="ignore"):
+            bound = self.least[who] / (self.scale[who] * block.scale) - self.room[who] * block.length
+            bound = np.where(np.isnan(bound), -np.inf, bound).astype(np.float32)
+        hit = np.flatnonzero(self.small[who] @ block.small[part].T >= bound[:, None])
+        for a in range(0, len(hit), SCORED):
+            query, at = np.divmod(hit[a : a + SCORED], part.stop - part.start)
+            query, at = who[query], at + part.start
+            other = block.ids[at] != self.ids[query]
+            query, at = query[other], at[other]
+            score = (block.vectors[at].astype(np.float64, copy=False) * self.queries[query].astype(np.float64, copy=False)).sum(axis=1)
+            good = score >= self.least[query]
+            query, at = query[good], at[good]
+            self.new.append((query, block.ids[at], score[good], block.leaf[at]))
+            self.waiting += len(query)
+            if self.waiting >= max(WAITING, len(self.kept[0])):
+                self.rank()
+
+    def rank(self) -> None:
+        query, found, score, leaf = (np.concatenate(x) for x in zip(self.kept, *self.new, strict=True))
+        good = score >= self.least[query]
+        query, found, score, leaf = query[good], found[good], score[good], leaf[good]
+        order = np.lexsort((found, -score, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place == self.k - 1
+        order, query = order[place < self.k], query[place < self.k]
+        self.kept, self.new, self.waiting = (query, found[order], score[order], leaf[order]), [], 0
+        full = np.flatnonzero(last[: len(place)][place < self.k])
+        self.least[query[full]] = self.kept[2][full]
+
+    def batch(self) -> pa.RecordBatch:
+        self.rank()
+        query, found, score, leaf = self.kept
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[query]), pa.array(found), pa.array(score), pa.array(leaf)], names=["query_id", "vec_id", "score", "leaf"])
+
+
+FOUND = "query_id long, vec_id long, score double, leaf long"
 
 
 def ranked(df: DataFrame, k: int) -> DataFrame:
@@ -137,23 +180,31 @@ def ranked(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def calibrated(tree: Tree, index: DataFrame, queries: DataFrame, k: int) -> int:
+def binary(batch: pa.RecordBatch, column: str, row: int, dtype) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[row].as_buffer(), dtype)
+
+
+def block_of(batch: pa.RecordBatch, row: int, dtype) -> Block:
+    ids = binary(batch, "ids", row, np.int64)
+    return Block(binary(batch, "vectors", row, dtype).reshape(len(ids), -1), ids, binary(batch, "leaf", row, np.int64))
+
+
+def calibrated(tree: Tree, blocks: DataFrame, queries: DataFrame, dtype, k: int) -> int:
     """Leaves to visit so that probe queries reach ``RECALL``."""
-    probes = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).collect()
-    if not probes:
+    probes = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).toArrow()
+    if not len(probes):
         return 1
-    probe_ids, probe_vectors = np.array([r["vec_id"] for r in probes]), np.array([r["embedding"] for r in probes])
+    probe_ids, probe_vectors = probes.column("vec_id").to_numpy(), stored(probes.column("embedding"))
 
     def scan(batches):
+        best, everyone = Best(probe_vectors, probe_ids, np.full(len(probe_ids), -np.inf), k), np.arange(len(probe_ids))
         for batch in batches:
-            ids, vectors, leaf = batch.column("vec_id").to_numpy(), matrix(batch.column("embedding")), batch.column("leaf").to_numpy()
-            query, found, score = best(probe_vectors, probe_ids, vectors, ids, k)
-            at = dict(zip(ids.tolist(), leaf.tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(probe_ids[query]), pa.array(found), pa.array(score), pa.array([at[x] for x in found.tolist()], pa.int64())],
-                                             names=["query_id", "vec_id", "score", "leaf"])
-
-    true = ranked(index.mapInArrow(scan, "query_id long, vec_id long, score double, leaf long"), k).select("query_id", "leaf").collect()
-    place = {int(q): {leaf: i for i, leaf in enumerate(tree.visits(v, tree.leaves))} for q, v in zip(probe_ids, probe_vectors, strict=True)}
+            for row in range(batch.num_rows):
+                best.meet(block_of(batch, row, dtype), lambda leaf: everyone)
+        yield best.batch()
+
+    true = ranked(blocks.select("ids", "leaf", "vectors").mapInArrow(scan, FOUND), k).select("query_id", "leaf").collect()
+    place = {int(q): {leaf: i for i, leaf in enumerate(tree.visits(v, tree.leaves))} for q, v in zip(probe_ids, matrix(probes.column("embedding")), strict=True)}
     needed = np.sort([place[r["query_id"]][r["leaf"]] + 1 for r in true])
     visits = 1
     while visits < tree.leaves and np.searchsorted(needed, visits, side="right") < RECALL * len(needed):
@@ -161,51 +212,113 @@ def calibrated(tree: Tree, index: DataFrame, queries: DataFrame, k: int) -> int:
     return min(visits, tree.leaves)
 
 
+def dealt(count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For leaves with so many rows each: the first of the groups of about ``size`` rows that a leaf's rows go to, and their number."""
+    end = np.cumsum(count)
+    first = (end - count) // size
+    return first, np.maximum(1, (end - 1) // size - first + 1)
+
+
 def search(df: DataFrame, is_query, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found for rows where ``is_query`` holds, among all others."""
-    rows = cut_lineage(usable(df), "vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
-    if not sample:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).filter("false")
-    tree = Tree(np.array([r["embedding"] for r in sample]))
+    vectors = cut_lineage(usable(df), "vectors")
+    sample = first_by_hash(vectors, SAMPLE).toArrow()
+    if not len(sample):
+        return vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).filter("false")
+    sample_ids, sample_vectors = sample.column("vec_id").to_numpy(), matrix(sample.column("embedding"))
+    tree = Tree(sample_vectors)
+    kind = dict(vectors.dtypes)["embedding"]
+    dtype, cores = number(kind), vectors.sparkSession.sparkContext.defaultParallelism
+    is_query = F.expr(is_query) if isinstance(is_query, str) else is_query
+    rows = vectors.withColumn("asks", F.coalesce(is_query.cast("boolean"), F.lit(False)))
+
+    def counted(batches):
+        n, asking = np.zeros(tree.leaves, np.int64), np.zeros(tree.leaves, np.int64)
+        for batch in batches:
+            leaf = tree.descend(matrix(batch.column("embedding")))
+            n += np.bincount(leaf, minlength=tree.leaves)
+            asking += np.bincount(leaf[batch.column("asks").to_numpy(zero_copy_only=False)], minlength=tree.leaves)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(tree.leaves)), pa.array(n), pa.array(asking)], names=["leaf", "n", "asking"])
+
+    counts = np.zeros((2, tree.leaves), np.int64)  # per leaf, of which there are at most SAMPLE
+    for r in rows.mapInArrow(counted, "leaf long, n long, asking long").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("asking").alias("asking")).collect():
+        counts[:, r["leaf"]] = r["n"], r["asking"]
+    size = min(CHUNK, max(min(LEAST_CHUNK, CHUNK), int(counts[0].sum()) // (4 * cores)))
+    (first, parts), (team, teams) = dealt(counts[0], size), dealt(counts[1], CHUNK)
 
     def located(batches):
         for batch in batches:
-            yield batch.append_column("leaf", pa.array(tree.descend(matrix(batch.column("embedding")))))
-
-    index = cut_lineage(rows.mapInArrow(located, "vec_id long, embedding array<double>, leaf long"), "index")
-    queries = index.filter(is_query).select("vec_id", "embedding")
-    most = calibrated(tree, index, queries, k)
+            leaf = tree.descend(matrix(batch.column("embedding")))
+            for name, column in (("leaf", leaf), ("first", first[leaf]), ("parts", parts[leaf])):
+                batch = batch.append_column(name, pa.array(column))
+            yield batch
+
+    def gathered(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("leaf", "ascending"), ("vec_id", "ascending")])
+        x, ids, leaf = np.ascontiguousarray(stored(group.column("embedding"))) + dtype(0), group.column("vec_id").to_numpy(), group.column("leaf").to_numpy()
+        same = np.unique(x.view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_inverse=True)[1]
+        order = np.argsort(same, kind="stable")  # equal vectors have one leaf, so their ids ascend
+        nth = np.empty(len(x), np.int64)
+        nth[order] = np.arange(len(x)) - np.searchsorted(same[order], same[order])
+        x, ids, leaf = x[nth <= k], ids[nth <= k], leaf[nth <= k]
+        return pa.table({"leaves": pa.array([np.unique(leaf).tolist()], pa.list_(pa.int64())),
+                         **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("ids", ids), ("leaf", leaf), ("vectors", x))}})
+
+    blocks = rows.select("vec_id", "embedding").mapInArrow(located, f"vec_id long, embedding {kind}, leaf long, first long, parts long")
+    block = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))
+    blocks = cut_lineage(blocks.select("vec_id", "embedding", "leaf", block.alias("block")).groupBy("block").applyInArrow(
+        gathered, "leaves array<long>, ids binary, leaf binary, vectors binary"), "blocks")
+    queries = rows.filter("asks").select("vec_id", "embedding")
+    most = calibrated(tree, blocks, queries, dtype, k)
+    home = tree.descend(sample_vectors)
 
     def routed(batches):
         for batch in batches:
-            for i, query in enumerate(matrix(batch.column("embedding"))):
-                leaves = np.sort(tree.visits(query, most))
-                bundles = leaves * BUNDLES // tree.leaves
-                cut = np.flatnonzero(np.diff(bundles)) + 1
-                row = batch.slice(i, 1).take(pa.array(np.zeros(len(cut) + 1, np.int64)))
-                row = row.append_column("leaves", pa.array([x.tolist() for x in np.split(leaves, cut)], pa.list_(pa.int64())))
-                yield row.append_column("bundle", pa.array(bundles[np.append(0, cut)]))
-
-    visits = cut_lineage(queries.mapInArrow(routed, "vec_id long, embedding array<double>, leaves array<long>, bundle long"), "visits")
-    index = index.withColumn("bundle", F.floor(F.col("leaf") * BUNDLES / tree.leaves))
-    counts = index.groupBy("bundle").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).join(
-        visits.groupBy("bundle").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("teams")), "bundle")
-
-    def dealt(df, own, other, more):
-        place = F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int")
-        return df.join(counts, "bundle").select("bundle", place.alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other), "vec_id", "embedding", more)
-
-    keys = ["bundle", "parts", "teams"]
-
-    def meet(vectors: pa.Table, asked: pa.Table) -> pa.Table:
-        ids, query_ids = vectors.column("vec_id").to_numpy(), asked.column("vec_id").to_numpy()
-        if not len(ids) or not len(query_ids):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        query, found, score = best_in_leaves(matrix(asked.column("embedding")), query_ids, asked.column("leaves").to_pylist(),
-                                             matrix(vectors.column("embedding")), ids, vectors.column("leaf").to_numpy(), k)
-        return pa.table({"query_id": query_ids[query], "vec_id": found, "score": score})
-
-    found = dealt(index, "parts", "teams", "leaf").groupBy(*keys).cogroup(dealt(visits, "teams", "parts", "leaves").groupBy(*keys)).applyInArrow(
-        meet, "query_id long, vec_id long, score double")
-    return ranked(found, k).select("query_id", "rank", "vec_id", "score")
+            for a in range(0, batch.num_rows, 128):
+                part = batch.slice(a, 128)
+                ids, x = part.column("vec_id").to_numpy(), matrix(part.column("embedding"))
+                visited = np.zeros((len(x), tree.leaves), bool)
+                for i, query in enumerate(x):
+                    visited[i, tree.visits(query, most)] = True
+                leaf, least = tree.descend(x), np.full(len(x), -np.inf)
+                if len(sample_ids) >= k:
+                    score = x @ sample_vectors.T
+                    slack = 1e-9 * np.maximum(1.0, np.abs(score).max(axis=1))
+                    score[~visited[:, home] | (sample_ids == ids[:, None])] = -np.inf
+                    least = np.partition(score, len(sample_ids) - k, axis=1)[:, len(sample_ids) - k] - slack
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("vec_id"), part.column("embedding"), pa.array([v.tobytes() for v in np.packbits(visited, axis=1)], pa.binary()), pa.array(least),
+                     pa.array(team[leaf]), pa.array(teams[leaf])], names=["vec_id", "embedding", "visited", "least", "first", "parts"])
+
+    def teamed(group: pa.Table) -> pa.Table:
+        bits = b"".join(group.column("visited").to_pylist())
+        seen = np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(len(group), -1), axis=0)
+        columns = {"vec_id": "asking", "least": "least"}
+        return pa.table({"team": pa.array(group.column("team").to_numpy()[:1]), "seen": pa.array([np.flatnonzero(np.unpackbits(seen)).tolist()], pa.list_(pa.int64())),
+                         **{new: pa.array([group.column(c).to_numpy().tobytes()], pa.binary()) for c, new in columns.items()},
+                         "visited": pa.array([bits], pa.binary()), "queries": pa.array([stored(group.column("embedding")).tobytes()], pa.binary())})
+
+    asked = queries.mapInArrow(routed, f"vec_id long, embedding {kind}, visited binary, least double, first long, parts long")
+    asked = cut_lineage(asked.withColumn("team", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).drop("first", "parts").groupBy("team").applyInArrow(
+        teamed, "team long, seen array<long>, asking binary, least binary, visited binary, queries binary"), "teams")
+    discard(vectors)
+
+    def meet(batches):
+        teams = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                name = batch.column("team")[row].as_py()
+                if name not in teams:
+                    ids = binary(batch, "asking", row, np.int64).copy()
+                    teams[name] = (Best(binary(batch, "queries", row, dtype).reshape(len(ids), -1).copy(), ids, binary(batch, "least", row, np.float64), k),
+                                   binary(batch, "visited", row, np.uint8).reshape(len(ids), -1).copy())
+                best, visited = teams[name]
+                best.meet(block_of(batch, row, dtype), lambda leaf, bits=visited: np.flatnonzero(bits[:, leaf >> 3] & (128 >> (leaf & 7))))
+        for best, _ in teams.values():
+            yield best.batch()
+
+    n_teams = max(1, asked.count())
+    asked = asked.repartition(n_teams).hint("shuffle_replicate_nl")
+    spread = blocks.repartition(max(1, min(blocks.count(), -(-4 * cores // n_teams))))
+    pairs = spread.join(asked, F.arrays_overlap("leaves", "seen")).drop("leaves", "seen")
+    return ranked(pairs.mapInArrow(meet, FOUND).drop("leaf"), k).select("query_id", "rank", "vec_id", "score")

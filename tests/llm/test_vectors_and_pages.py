@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark.llm import ann, cover_tree, queries, url_filters, warc
 from tests.oracle import compare, duck
@@ -133,6 +134,51 @@ def test_ann_of_equal_vectors_takes_small_ids(spark):
     assert ann.search(vectors(spark, rows[:3]), "vec_id = 0").count() == 2
 
 
+def test_ann_screens_tiles_of_queries_and_vectors(monkeypatch):
+    """One product per leaf and tile of queries, not one per leaf and query; ties, own ids, equal and nearly equal vectors."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x[200:500] = x[200]
+    x[600:900] = x[600] + np.float32(1e-7) * rng.normal(size=(300, 16)).astype(np.float32)
+    ids, leaf = rng.permutation(3000).astype(np.int64), np.sort(rng.integers(0, 30, 3000))
+    asked = np.concatenate([np.arange(180, 220), np.arange(590, 620), np.arange(2000, 2300)])
+    visits = rng.random((len(asked), 30)) < 0.5
+    calls, screen = [], ann.Best.screen
+    monkeypatch.setattr(ann.Best, "screen", lambda self, block, part, who: (calls.append(len(who)), screen(self, block, part, who))[1])
+    monkeypatch.setattr(ann, "WAITING", 500)
+    best = ann.Best(x[asked], ids[asked], np.full(len(asked), -np.inf), 20)
+    for a, b in ((0, 1000), (1000, 3000)):
+        best.meet(ann.Block(x[a:b], ids[a:b], leaf[a:b]), lambda part: np.flatnonzero(visits[:, part]))
+    assert len(calls) <= 32 and sum(calls) >= visits.sum()
+    found = best.batch().to_pydict()
+    want = []
+    for q, seen in zip(asked, visits, strict=True):
+        score = (x.astype(float) * x[q].astype(float)).sum(axis=1)
+        own = [i for i in np.lexsort((ids, -score)) if ids[i] != ids[q] and seen[leaf[i]]][:20]
+        want += [(int(ids[q]), int(ids[i]), float(score[i]), int(leaf[i])) for i in own]
+    assert sorted(zip(*(found[c] for c in ("query_id", "vec_id", "score", "leaf")), strict=True)) == sorted(want)
+
+
+@pytest.mark.parametrize("scale", [1e-100, 1e100])
+def test_ann_of_numbers_beyond_single_precision(spark, clustered, scale):
+    rows = [(i, [c * scale * (1 + i % 7) for c in v]) for i, v in clustered]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    found, want = {}, exact_search(rows)
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert found.keys() == want.keys() and all(len(v) == 20 for v in found.values())
+    assert sum(len(set(found[q]) & {i for i, _ in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_ann_exchanges_a_vector_once(spark, clustered, monkeypatch):
+    """Queries of all teams meet a block of vectors where it is stored; before, each vector was sent once per team."""
+    monkeypatch.setattr(ann, "CHUNK", 10)
+    found = ann.search(vectors(spark, clustered), "vec_id % 2 = 0")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan and "Generate" not in plan
+    assert found.count() == 250 * 20
+
+
 @pytest.mark.parametrize("name", ["op3_cover_tree", "op4_url_filters", "op7_warc"])
 def test_oracle(spark, sf, name):
     n, m, diff, sample = compare(queries.QUERIES[name](spark, sf), duck(sf), queries.ORACLES[name])
