@@ -7,14 +7,16 @@ apart than the threshold plus both covering radii hold no pair and are pruned; t
 than the threshold minus both radii hold nothing but pairs and are counted without looking inside;
 the rest are opened. Links are decided on double precision cosines.
 
-1. Equal vectors become one node with a weight.
+1. Equal vectors become one node with a weight. Equality rests on two 64-bit hashes together, so vectors are
+   exchanged once to find one of each class and once to form blocks; all else carries hashes.
 2. The upper levels come from at most ``SAMPLE`` vectors: the finest level that has no more centres
    than there are blocks. Vectors go to their nearest centre's cell; cells are cut into blocks of
    about ``BLOCK`` vectors, each with its own centre and covering radius.
 3. Pairs of cells, then of blocks, are pruned by these radii. Pairs of tight blocks are settled from
    centre, radius and count alone, so a cell of a third of all rows in near copies costs no
-   comparisons. The others meet two by two in a task, where both blocks' lower levels are traversed.
-   A block's top nodes are made once and travel with it; their centres are screened in tiles.
+   comparisons. The others meet two by two in a task, where both blocks' lower levels are traversed:
+   pairs of rows of the stored blocks, read where they lie, so no block is exchanged once per pair.
+   A block's top nodes are made once and stored with it; their centres are screened in tiles.
 4. A task returns how many links each vector got, and a forest that connects linked vectors, never
    the pairs. Components come from the forests.
 
@@ -29,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm.common import components
-from panelspark.llm.vectors import matrix, usable
-from panelspark.storage import cut_lineage
+from panelspark.llm.vectors import comparable, first_by_hash, matrix, number, stored
+from panelspark.storage import cut_lineage, discard
 
 COSINE, SAMPLE, CELLS, BLOCK = 0.9, 4096, 1024, 8192
 RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
 SLACK = 1e-6
 #: Node pairs with at most so many member pairs are compared member by member.
 FEW = 64
+#: Two hashes of a vector that together name its class.
+KEYS = ["_k0", "_k1"]
 TILE = 1024  # centres against centres whose cosines are held at once
 
 
@@ -224,10 +228,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def blocks_of(rows: DataFrame, total: int, cosine: float) -> DataFrame:
-    """One row per block: block (its first vec_id), cell, count, centre, radius; its ids, weights and vectors in the
+    """One row per block: place, block (its first vec_id), cell, count, centre, radius; its ids, weights and vectors in the
     order of its top nodes, whose sizes and radii are in ``sizes`` and ``radii``."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
-    points = unit(np.array([r["embedding"] for r in sample]))
+    points = unit(matrix(first_by_hash(rows, SAMPLE).select("embedding").toArrow().column("embedding")))
     most = max(1, min(CELLS, total // BLOCK))
     centres = points[:1]
     for radius in RADII:
@@ -236,69 +239,84 @@ def blocks_of(rows: DataFrame, total: int, cosine: float) -> DataFrame:
             break
         centres = points[level]
 
-    def located(batches):
+    def cells(batch):
+        return (unit(matrix(batch.column("embedding"))) @ centres.T).argmax(axis=1)
+
+    def counted(batches):
+        n = np.zeros(len(centres), np.int64)
         for batch in batches:
-            yield batch.append_column("cell", pa.array((unit(matrix(batch.column("embedding"))) @ centres.T).argmax(axis=1)))
+            n += np.bincount(cells(batch), minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["cell", "n"])
+
+    parts = np.ones(len(centres), np.int64)  # at most CELLS rows
+    for r in rows.select("embedding").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        parts[r["cell"]] = max(1, -(-r["n"] // BLOCK))
 
-    dim = points.shape[1]
-    cells = cut_lineage(rows.mapInArrow(located, "vec_id long, embedding array<double>, weight long, cell long"), "cells")
-    parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    def located(batches):
+        for batch in batches:
+            cell = cells(batch)
+            yield batch.append_column("cell", pa.array(cell)).append_column("parts", pa.array(parts[cell]))
 
     def gathered(group: pa.Table) -> pa.Table:
         group = group.sort_by("vec_id")
-        x = unit(matrix(group.column("embedding")))
+        rough = stored(group.column("embedding"))
+        x = unit(rough.astype(np.float64, copy=False))
         ids, weight = group.column("vec_id").to_numpy(), group.column("weight").to_numpy()
         centre = x.mean(axis=0)
         radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
         top = tops(x, cosine)
         order = np.concatenate([t.members for t in top])
-        raw = {"ids": ids[order], "weights": weight[order], "x": x[order], "sizes": np.array([len(t.members) for t in top]), "radii": np.array([t.radius for t in top])}
-        return pa.table({"block": [int(ids[0])], "cell": [group.column("cell")[0].as_py()], "n": [int(weight.sum())],
+        raw = {"ids": ids[order], "weights": weight[order], "x": rough[order], "sizes": np.array([len(t.members) for t in top]), "radii": np.array([t.radius for t in top])}
+        cell = group.column("cell")[0].as_py()
+        return pa.table({"place": [(cell << 32) + group.column("part")[0].as_py()], "block": [int(ids[0])], "cell": [cell], "n": [int(weight.sum())],
                          "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius],
                          **{c: pa.array([v.tobytes()], pa.binary()) for c, v in raw.items()}})
 
-    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-    made = cells.join(parts, "cell").withColumn("part", part).drop("parts").groupBy("cell", "part").applyInArrow(
-        gathered, "block long, cell long, n long, centre array<double>, radius double, ids binary, weights binary, x binary, sizes binary, radii binary")
-    return cut_lineage(made.withColumn("dim", F.lit(dim)), "blocks")
+    dealt = rows.mapInArrow(located, f"vec_id long, embedding {dict(rows.dtypes)['embedding']}, weight long, cell long, parts long")
+    made = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts").groupBy("cell", "part").applyInArrow(
+        gathered, "place long, block long, cell long, n long, centre array<double>, radius double, ids binary, weights binary, x binary, sizes binary, radii binary")
+    return cut_lineage(made, "blocks")
 
 
 def distance(a: str, b: str):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def block_pairs(blocks: DataFrame, cosine: float) -> DataFrame:
-    """Pairs (a, b), a <= b, that radii do not rule out; ``sure``: all their vectors are linked.
-
-    Cells first, whose number is bounded by ``CELLS``, then the blocks of the cells left.
-    """
-    t = reach(cosine)
-    meta = blocks.select("block", "cell", "n", "centre", "radius")
-    cell = meta.groupBy("cell").agg(F.min(F.struct("block", "centre", "radius")).alias("_b"), F.collect_list(F.struct("centre", "radius")).alias("_all"))
+def near_cells(blocks: DataFrame, cosine: float) -> DataFrame:
+    """cell and, in ``cells``, those whose blocks' radii do not rule out a pair with one of its blocks; at most CELLS rows."""
+    cell = blocks.groupBy("cell").agg(F.min(F.struct("block", "centre", "radius")).alias("_b"), F.collect_list(F.struct("centre", "radius")).alias("_all"))
     cell = cell.select("cell", F.col("_b.centre").alias("centre"), F.array_max(F.transform(
         "_all", lambda p: p["radius"] + distance(F.col("_b.centre"), p["centre"]))).alias("radius"))
-    cells = [(r["cell"], np.array(r["centre"]), r["radius"]) for r in cell.collect()]  # at most CELLS rows
-    near = [(p[0], q[0]) for i, p in enumerate(cells) for q in cells[i:] if np.linalg.norm(p[1] - q[1]) <= t + p[2] + q[2] + SLACK]
-    both = blocks.sparkSession.createDataFrame(near + [(q, p) for p, q in near if p != q], "ca long, cb long")
-    def side(s):
-        return meta.select(*[F.col(c).alias(n) for c, n in (("block", s), ("cell", f"c{s}"), ("n", f"n{s}"), ("centre", f"x{s}"), ("radius", f"r{s}"))])
-
-    pairs = both.join(side("a"), "ca").join(side("b"), "cb").filter("a <= b").withColumn("d", distance("xa", "xb"))
-    pairs = pairs.filter(F.col("d") <= t + F.col("ra") + F.col("rb") + SLACK)
-    tight = F.lit(t - SLACK)
-    sure = (F.col("d") + F.col("ra") + F.col("rb") <= tight) & (2 * F.col("ra") <= tight) & (2 * F.col("rb") <= tight)
-    return cut_lineage(pairs.select("a", "b", "na", "nb", sure.alias("sure")), "pairs")
-
-
-def compared(pair: pa.Table, cosine: float = COSINE) -> pa.Table:
-    """For a block, or two: vec_id, links found there, and a linked vec_id (itself, if root)."""
-    rows = pair.to_pylist()
-    x = np.concatenate([np.frombuffer(r["x"]).reshape(-1, r["dim"]) for r in rows])
-    ids, weight = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("ids", "weights"))
-    dual, tops, first = Dual(x, weight, cosine), [], 0
-    for r in rows:
-        ends = first + np.cumsum(np.frombuffer(r["sizes"], np.int64))
-        radii = np.frombuffer(r["radii"])
+    name, centre, radius = zip(*((r["cell"], r["centre"], r["radius"]) for r in cell.collect()), strict=True)  # at most CELLS rows
+    name, centre, radius = np.array(name), np.array(centre), np.array(radius)
+    near = [name[np.sqrt(((centre - c) ** 2).sum(axis=1)) <= reach(cosine) + r + radius + SLACK].tolist() for c, r in zip(centre, radius, strict=True)]
+    return blocks.sparkSession.createDataFrame(list(zip(name.tolist(), near, strict=True)), "cell long, cells array<long>")
+
+
+def side(blocks: DataFrame, s: str) -> DataFrame:
+    return blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in blocks.columns])
+
+
+def not_ruled_out(cosine: float):
+    """Whether blocks a and b, a at most b, can hold a link: first by their cells, then by their own radii."""
+    d = distance("centre_a", "centre_b")
+    return (F.col("place_a") <= F.col("place_b")) & F.array_contains("cells_a", F.col("cell_b")) & (d <= reach(cosine) + F.col("radius_a") + F.col("radius_b") + SLACK)
+
+
+def surely_linked(cosine: float):
+    """Whether all vectors of blocks a and b are linked, by their radii alone."""
+    d, tight = distance("centre_a", "centre_b"), F.lit(reach(cosine) - SLACK)
+    return (d + F.col("radius_a") + F.col("radius_b") <= tight) & (2 * F.col("radius_a") <= tight) & (2 * F.col("radius_b") <= tight)
+
+
+def compared(sides: list, cosine: float = COSINE) -> pa.RecordBatch:
+    """For a block, or two: vec_id, links found there, and a linked vec_id (itself, if root).
+
+    A side has ids, weights, vectors, and the sizes and radii of its top nodes."""
+    ids, weight, x = (np.concatenate([s[i] for s in sides]) for i in range(3))
+    dual, tops, first = Dual(unit(x.astype(np.float64, copy=False)), weight, cosine), [], 0
+    for *_, sizes, radii in sides:
+        ends = first + np.cumsum(sizes)
         tops.append([Node(np.arange(a, b), radius, 0) for a, b, radius in zip([first, *ends[:-1].tolist()], ends.tolist(), radii.tolist(), strict=True)])
         first = int(ends[-1])
     if len(tops) == 1:
@@ -307,25 +325,37 @@ def compared(pair: pa.Table, cosine: float = COSINE) -> pa.Table:
     dual.cross(tops[0], tops[-1])
     hit = np.flatnonzero(dual.links)
     root = np.array([dual.forest.find(i) for i in hit], np.int64)
-    return pa.table({"vec_id": ids[hit], "links": dual.links[hit], "near": ids[root]})
+    return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(dual.links[hit]), pa.array(ids[root])], names=["vec_id", "links", "near"])
+
+
+def side_of(batch: pa.RecordBatch, row: int, s: str, dtype) -> tuple:
+    ids, weight, x, sizes, radii = (np.frombuffer(batch.column(f"{c}_{s}")[row].as_buffer(), t) for c, t in (
+        ("ids", np.int64), ("weights", np.int64), ("x", dtype), ("sizes", np.int64), ("radii", np.float64)))
+    return ids, weight, x.reshape(len(ids), -1), sizes, radii
 
 
 def linked(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
-    rows = usable(df)
-    keyed = cut_lineage(rows, "vectors")
-    same = keyed.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    same = cut_lineage(same, "classes")
+    rows = comparable(df).withColumns({k: F.xxhash64(F.lit(i), "embedding") for i, k in enumerate(KEYS)})
+    keyed = cut_lineage(rows.select("vec_id", *KEYS).distinct(), "vectors")
+    same = cut_lineage(keyed.groupBy(*KEYS).agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
     total = same.count()
     everyone = df.select(F.col("vec_id").cast("long").alias("vec_id")).distinct() if total == 0 else None
     if total == 0:
         return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    blocks = blocks_of(same.select(F.col("rep").alias("vec_id"), "embedding", "weight"), total, cosine)
-    pairs = block_pairs(blocks, cosine)
-
-    sure = pairs.filter("sure")
-    gained = sure.select(F.col("a").alias("block"), F.col("nb").alias("more")).union(
-        sure.filter("a < b").select(F.col("b").alias("block"), F.col("na").alias("more"))).groupBy("block").agg(F.sum("more").alias("more"))
+    one = rows.groupBy(*KEYS).agg(F.min(F.struct("vec_id", "embedding")).alias("one")).join(same, KEYS)
+    points = cut_lineage(one.select(F.col("rep").alias("vec_id"), "one.embedding", "weight"), "points")
+    blocks = blocks_of(points, total, cosine)
+    dtype = number(dict(points.dtypes)["embedding"])
+    discard(points)
+
+    n_blocks = blocks.count()
+    narrow = cut_lineage(blocks.select("place", "block", "cell", "n", "centre", "radius").repartition(1 + n_blocks // 256), "radii")
+    near = near_cells(narrow, cosine)
+    sure = side(narrow.join(near, "cell"), "a").join(side(narrow, "b").hint("shuffle_replicate_nl"), not_ruled_out(cosine) & surely_linked(cosine))
+    sure = cut_lineage(sure.select("place_a", "place_b", "block_a", "block_b", "n_a", "n_b"), "sure")
+    gained = sure.select(F.col("place_a").alias("place"), F.col("n_b").alias("more")).union(
+        sure.filter("place_a < place_b").select(F.col("place_b").alias("place"), F.col("n_a").alias("more"))).groupBy("place").agg(F.sum("more").alias("more"))
 
     def spread(batches):
         for batch in batches:
@@ -335,22 +365,27 @@ def linked(df: DataFrame, cosine: float = COSINE) -> DataFrame:
                                                  names=["vec_id", "links", "near"])
 
     out = "vec_id long, links long, near long"
-    tight = blocks.join(gained, "block").select("block", "ids", "weights", "more").mapInArrow(spread, out)
+    tight = blocks.join(gained, "place").select("block", "ids", "weights", "more").mapInArrow(spread, out)
 
-    open_ = pairs.filter("NOT sure").select("a", "b")
-    tasks = open_.count()
-    sides = open_.withColumn("block", F.explode(F.array_distinct(F.array("a", "b"))))
-    met = blocks.select("block", "ids", "weights", "x", "sizes", "radii", "dim").join(sides, "block").repartition(max(1, tasks), "a", "b")
-    met = met.groupBy("a", "b").applyInArrow(lambda pair: compared(pair, cosine), out)
+    def meet(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                names = "a" if batch.column("place_a")[row] == batch.column("place_b")[row] else "ab"
+                yield compared([side_of(batch, row, s, dtype) for s in names], cosine)
+
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    left = side(blocks.drop("block", "n").join(F.broadcast(near), "cell").repartition(max(1, min(n_blocks, 2 * cores))), "a")
+    met = left.join(side(blocks.drop("block", "n"), "b").hint("shuffle_replicate_nl"), not_ruled_out(cosine) & ~surely_linked(cosine))
+    met = met.select(*[f"{c}_{s}" for s in "ab" for c in ("place", "ids", "weights", "x", "sizes", "radii")]).mapInArrow(meet, out)
     found = cut_lineage(tight.unionByName(met), "links")
 
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     edges = found.filter("near <> vec_id").select(F.col("vec_id").alias("a"), F.col("near").alias("b")).union(
-        sure.filter("a < b").select("a", "b")).distinct()
+        sure.filter("place_a < place_b").select(F.col("block_a").alias("a"), F.col("block_b").alias("b"))).distinct()
     roots = components(edges).withColumnRenamed("node", "rep")
     reps = same.join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left").join(roots, "rep", "left").select(
-        "rep", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    valid = keyed.join(reps, "embedding").select("vec_id", "n_links", "component_id")
+        *KEYS, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    valid = keyed.join(reps, KEYS).select("vec_id", "n_links", "component_id")
     return df.select(F.col("vec_id").cast("long").alias("vec_id")).distinct().join(valid, "vec_id", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
         F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))

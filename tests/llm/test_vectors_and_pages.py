@@ -84,6 +84,22 @@ def test_cover_tree_compares_few_vectors_without_clusters():
     assert seen["opened"] < 3000 and seen["wide"] > 100 * seen["opened"]
 
 
+def test_cover_tree_reads_blocks_where_they_are_stored(spark, clustered, monkeypatch):
+    """Pairs of blocks meet without an exchange; before, a block was sent once per block it met. Signed zeros are equal."""
+    monkeypatch.setattr(cover_tree, "BLOCK", 40)
+    plans, cut = {}, cover_tree.cut_lineage
+
+    def kept(df, name="cut"):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(df, name)
+
+    monkeypatch.setattr(cover_tree, "cut_lineage", kept)
+    zeros = [(600 + i, [z, 1.0, z, 2.0, z, -3.0, z, 0.5]) for i, z in enumerate((0.0, -0.0, -0.0, 1e-30))]
+    got = cover_tree.linked(vectors(spark, clustered + zeros)).collect()
+    assert "CartesianProduct" in plans["links"] and "FlatMapGroupsInArrow" not in plans["links"]
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == brute_links(clustered + zeros)
+
+
 def test_empty_vectors(spark):
     assert cover_tree.linked(vectors(spark, [])).count() == 0
     assert ann.search(vectors(spark, []), "vec_id % 20 = 0").count() == 0
