@@ -31,14 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelspark.llm.vectors import first_by_hash, matrix, number, stored, usable
+from panelspark.llm.vectors import first_by_hash, matrix, number, places, stored, usable
 from panelspark.storage import cut_lineage, discard
 
 SAMPLE, BRANCH, LEAF, PROBES, RECALL, CHUNK = 20_000, 12, 64, 256, 0.97, 16_384
 #: Blocks are not cut smaller than this for the sake of more tasks.
 LEAST_CHUNK = 1024
-#: Vectors of a leaf and products that are screened at once, and pairs that are scored or wait for a ranking at once.
-WIDE, TILE, SCORED, WAITING = 4096, 1 << 19, 1 << 14, 1 << 18
+#: Vectors of a leaf by queries that are screened at once, in a core's own cache; pairs that are scored, or wait for a ranking.
+TALL, WIDE, SCORED, WAITING = 256, 1024, 1 << 14, 1 << 18
 
 
 class Tree:
@@ -112,7 +112,7 @@ class Block:
         self.small = (vectors / self.scale).astype(np.float32)
         self.length = float(np.sqrt((self.small.astype(np.float64) ** 2).sum(axis=1).max()))
         starts = np.flatnonzero(np.diff(leaf, prepend=-1))
-        self.parts = [(a, min(a + WIDE, end)) for start, end in zip(starts, [*starts[1:], len(leaf)], strict=True) for a in range(start, end, WIDE)]
+        self.parts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(leaf)], strict=True))
 
 
 class Best:
@@ -126,32 +126,48 @@ class Best:
         self.room = (queries.shape[1] + 8) * 2.0**-23 * length  # rounding of a product of single precision, twice over
         self.kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
         self.new, self.waiting = [], 0
+        self.held, self.over = np.empty(TALL * WIDE, np.float32), np.empty(TALL * WIDE, bool)  # all products are made in the same memory
+        self.few, self.bound = np.empty((WIDE, queries.shape[1]), np.float32), None
 
     def meet(self, block: Block, visitors) -> None:
         """``visitors`` gives the indices of the queries that visit a leaf."""
+        self.aim(block)
         for a, b in block.parts:
             who = visitors(int(block.leaf[a]))
-            step = max(1, TILE // (b - a))
-            for i in range(0, len(who), step):
-                self.screen(block, slice(a, b), who[i : i + step])
+            for i in range(0, len(who), WIDE):
+                self.screen(block, a, b, who[i : i + WIDE])
 
-    def screen(self, block: Block, part: slice, who: np.ndarray) -> None:
+    def aim(self, block: Block) -> None:
+        """The least product of a query with a vector of this block, both as they are screened."""
         with np.errstate(all="ignore"):
-            bound = self.least[who] / (self.scale[who] * block.scale) - self.room[who] * block.length
-            bound = np.where(np.isnan(bound), -np.inf, bound).astype(np.float32)
-        hit = np.flatnonzero(self.small[who] @ block.small[part].T >= bound[:, None])
-        for a in range(0, len(hit), SCORED):
-            query, at = np.divmod(hit[a : a + SCORED], part.stop - part.start)
-            query, at = who[query], at + part.start
-            other = block.ids[at] != self.ids[query]
-            query, at = query[other], at[other]
-            score = (block.vectors[at].astype(np.float64, copy=False) * self.queries[query].astype(np.float64, copy=False)).sum(axis=1)
-            good = score >= self.least[query]
-            query, at = query[good], at[good]
-            self.new.append((query, block.ids[at], score[good], block.leaf[at]))
-            self.waiting += len(query)
-            if self.waiting >= max(WAITING, len(self.kept[0])):
-                self.rank()
+            bound = self.least / (self.scale * block.scale) - self.room * block.length
+        self.bound = np.where(np.isnan(bound), -np.inf, bound).astype(np.float32)
+
+    def screen(self, block: Block, start: int, end: int, who: np.ndarray) -> None:
+        """Queries against the vectors of one leaf."""
+        m = len(who)
+        few = self.small.take(who, axis=0, out=self.few[:m], mode="clip").T
+        for a in range(start, end, TALL):
+            part = block.small[a : min(a + TALL, end)]
+            product, over = (x[: len(part) * m].reshape(len(part), m) for x in (self.held, self.over))
+            np.matmul(part, few, out=product)
+            bound = self.bound[who]  # rises with what is found
+            hit = places(np.greater_equal(product, bound, out=over).ravel())
+            for i in range(0, len(hit), SCORED):
+                at, query = np.divmod(hit[i : i + SCORED], m)
+                self.score(block, at + a, who[query])
+
+    def score(self, block: Block, at: np.ndarray, query: np.ndarray) -> None:
+        other = block.ids[at] != self.ids[query]
+        query, at = query[other], at[other]
+        score = (block.vectors[at].astype(np.float64, copy=False) * self.queries[query].astype(np.float64, copy=False)).sum(axis=1)
+        good = score >= self.least[query]
+        query, at = query[good], at[good]
+        self.new.append((query, block.ids[at], score[good], block.leaf[at]))
+        self.waiting += len(query)
+        if self.waiting >= max(WAITING, len(self.kept[0])):
+            self.rank()
+            self.aim(block)
 
     def rank(self) -> None:
         query, found, score, leaf = (np.concatenate(x) for x in zip(self.kept, *self.new, strict=True))

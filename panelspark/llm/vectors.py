@@ -53,3 +53,14 @@ def lists(x: np.ndarray) -> pa.Array:
 def number(kind: str):
     """The numpy type of the components of a Spark array type."""
     return np.float32 if kind == "array<float>" else np.float64
+
+
+def places(mask: np.ndarray) -> np.ndarray:
+    """Where a long mask with few hits holds: ``mask.nonzero()[0]``, eight entries at a time first."""
+    whole = len(mask) // 8 * 8
+    words = (mask[:whole].view(np.uint64) != 0).nonzero()[0]
+    if 32 * len(words) > whole:
+        return mask.nonzero()[0]
+    at = (8 * words[:, None] + np.arange(8)).ravel()
+    at = at[mask[at]]
+    return np.concatenate([at, whole + mask[whole:].nonzero()[0]]) if whole < len(mask) else at
