@@ -16,7 +16,8 @@ the rest are opened. Links are decided on double precision cosines.
    centre, radius and count alone, so a cell of a third of all rows in near copies costs no
    comparisons. The others meet two by two in a task, where both blocks' lower levels are traversed:
    pairs of rows of the stored blocks, read where they lie, so no block is exchanged once per pair.
-   A block's top nodes are made once and stored with it; their centres are screened in tiles.
+   A block's top nodes are made once and stored with it; their centres are screened in tiles, by the components
+   in which a sample varies most and the length of the rest, which together are never below the cosine.
 4. A task returns how many links each vector got, and a forest that connects linked vectors, never
    the pairs. Components come from the forests.
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm.common import components
-from panelspark.llm.vectors import comparable, first_by_hash, matrix, number, stored
+from panelspark.llm.vectors import comparable, first_by_hash, matrix, number, places, stored
 from panelspark.storage import cut_lineage, discard
 
 COSINE, SAMPLE, CELLS, BLOCK = 0.9, 4096, 1024, 8192
@@ -41,7 +42,10 @@ SLACK = 1e-6
 FEW = 64
 #: Two hashes of a vector that together name its class.
 KEYS = ["_k0", "_k1"]
-TILE = 1024  # centres against centres whose cosines are held at once
+#: Centres against centres whose cosines are held at once, in a core's own cache.
+TALL, WIDE = 512, 512
+#: Above this share of a tile its cosines are made from all components at once.
+DENSE = 1 / 128
 
 
 def reach(cosine: float) -> float:
@@ -113,6 +117,53 @@ def tops(x: np.ndarray, cosine: float) -> list[Node]:
     return [t for node in nodes(x, np.arange(len(x)), 0) for t in node.opened(x, most)]
 
 
+class Level:
+    """Nodes as arrays: radii, centres, lengths, their members end to end and where each node's start. ``nodes``: if made already."""
+
+    def __init__(self, radii, lengths, flat, nodes=None):
+        self.radii, self.lengths, self.flat = np.asarray(radii, np.float32), lengths, flat
+        self.starts = np.append(0, np.cumsum(lengths))
+        self.centres, self.nodes, self.exact = flat[self.starts[:-1]], nodes or {}, radii
+
+    @classmethod
+    def of(cls, nodes: list[Node]) -> Level:
+        return cls([n.radius for n in nodes], np.array([len(n.members) for n in nodes]), np.concatenate([n.members for n in nodes]), dict(enumerate(nodes)))
+
+    def node(self, i: int) -> Node:
+        if i not in self.nodes:
+            self.nodes[i] = Node(self.flat[self.starts[i] : self.starts[i + 1]], float(self.exact[i]), 0)
+        return self.nodes[i]
+
+
+class Front:
+    """A rotation of vectors after which ``size`` components hold most; the rest enter as their length alone.
+
+    By Cauchy and Schwarz the front's product plus both rests' lengths is at least the cosine."""
+
+    def __init__(self, sample: np.ndarray, cosine: float):
+        self.turn = np.linalg.eigh(sample.T @ sample)[1][:, ::-1]
+        dim, some = sample.shape[1], sample[:: max(1, len(sample) // 1024)].astype(np.float32)
+        linked = float((some @ some.T >= cosine - 0.01).mean())
+        costs = {dim: 0.2 + 0.012 * dim}  # nanoseconds of a pair, and of one that passes in vain; measured on one core
+        for self.size in range(8, dim, 8):
+            front = self.of(self.turned(some))
+            costs[self.size] = 0.2 + 0.012 * (self.size + 1) + 60 * (float((front @ front.T >= cosine - 0.01).mean()) - linked)
+        self.size = min(costs, key=costs.get)
+
+    def turned(self, x: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(x @ self.turn, np.float32)
+
+    def of(self, small: np.ndarray) -> np.ndarray:
+        rest = np.sqrt((small[:, self.size :] ** 2).sum(axis=1, keepdims=True))
+        return np.concatenate([small[:, : self.size], rest], axis=1)
+
+
+def tiles_of(radii: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Starts and lengths of runs of sorted radii; single vectors, whose radius is zero, apart from the rest."""
+    single = int(np.searchsorted(radii, 0, side="right"))
+    return [(a, min(size, end - a)) for start, end in ((0, single), (single, len(radii))) for a in range(start, end, size)]
+
+
 class Forest:
     """Union-find over the vectors of a task."""
 
@@ -135,9 +186,11 @@ class Forest:
 class Dual:
     """Traversal over one or two blocks whose vectors are rows of ``x``."""
 
-    def __init__(self, x: np.ndarray, weight: np.ndarray, cosine: float):
-        self.x, self.small, self.weight, self.cosine, self.reach = x, x.astype(np.float32), weight, cosine, reach(cosine)
+    def __init__(self, x: np.ndarray, weight: np.ndarray, cosine: float, front: Front | None = None):
+        self.x, self.small, self.weight, self.cosine, self.reach = x, front.turned(x) if front else x.astype(np.float32), weight, cosine, reach(cosine)
         self.links, self.forest = np.zeros(len(x), np.int64), Forest(len(x))
+        self.front = front.of(self.small) if front and front.size < x.shape[1] else None
+        self.held, self.over = np.empty(TALL * WIDE, np.float32), np.empty(TALL * WIDE, bool)
 
     def all_linked(self, a, b):
         self.links[a] += self.weight[b].sum()
@@ -172,28 +225,44 @@ class Dual:
             self.inside(kid)
         self.cross(kids, kids)
 
-    def cross(self, left: list[Node], right: list[Node]):
-        """Pairs between two lists of nodes, or between different nodes of one list."""
+    def cross(self, left, right):
+        """Pairs between two levels or lists of nodes, or between different nodes of one."""
         same = left is right
-        rl, rr = (np.array([n.radius for n in s], np.float32) for s in (left, right))
-        cl, cr = (np.array([n.members[0] for n in s]) for s in (left, right))
-        ll, lr = (np.array([len(n.members) for n in s]) for s in (left, right))
-        (flat_l, off_l), (flat_r, off_r) = ((np.concatenate([n.members for n in s]), np.append(0, np.cumsum(k))) for s, k in ((left, ll), (right, lr)))
-        by_l, by_r = np.argsort(rl, kind="stable"), np.argsort(rr, kind="stable")  # a tile's radii are alike
-        for a in range(0, len(left), TILE):
-            for b in range(a if same else 0, len(right), TILE):
-                p, q = by_l[a : a + TILE], by_r[b : b + TILE]
-                cosine = self.small[cl[p]] @ self.small[cr[q]].T
-                hit = np.flatnonzero(cosine >= self.least(rl[p[-1]] + rr[q[-1]]))
-                i, j = p[hit // len(q)], q[hit % len(q)]
-                ok = cosine.ravel()[hit] >= self.least(rl[i] + rr[j])
-                if same and a == b:
-                    ok &= hit // len(q) < hit % len(q)
-                i, j = i[ok], j[ok]
-                few = ll[i] * lr[j] <= FEW
-                self.products(flat_l, off_l, flat_r, off_r, i[few], j[few])
+        left = left if isinstance(left, Level) else Level.of(left)
+        right = left if same else right if isinstance(right, Level) else Level.of(right)
+        by_l, by_r = np.argsort(left.radii, kind="stable"), np.argsort(right.radii, kind="stable")  # a tile's radii are alike
+        rl, rr, cl, cr = left.radii[by_l], right.radii[by_r], left.centres[by_l], right.centres[by_r]
+        full = self.small[cl], self.small[cr]
+        front = None if self.front is None else (self.front[cl], self.front[cr])
+        tiles = dense = 0
+        for a, m in tiles_of(rl, TALL):
+            for b, n in tiles_of(rr, WIDE):
+                if same and b + n <= a + 1:
+                    continue
+                bound = self.least(rl[a + m - 1] + rr[b + n - 1])
+                used = front if front and dense <= 8 + tiles // 2 else full
+                hit = self.screened(*used, a, b, m, n, bound)
+                if used is front and len(hit) > DENSE * m * n:
+                    dense, used = dense + 1, full
+                    hit = self.screened(*used, a, b, m, n, bound)
+                tiles += 1
+                if not len(hit):
+                    continue
+                i, j = a + hit // n, b + hit % n
+                near = self.held[hit] if used is full else np.einsum("ij,ij->i", full[0][i], full[1][j])
+                ok = near >= self.least(rl[i] + rr[j])
+                if same:
+                    ok &= i < j
+                i, j = by_l[i[ok]], by_r[j[ok]]
+                few = left.lengths[i] * right.lengths[j] <= FEW
+                self.products(left.flat, left.starts, right.flat, right.starts, i[few], j[few])
                 for u, v in zip(i[~few].tolist(), j[~few].tolist(), strict=True):
-                    self.pair(left[u], right[v])
+                    self.pair(left.node(u), right.node(v))
+
+    def screened(self, left, right, a, b, m, n, bound):
+        """Which products of ``m`` and ``n`` rows from ``a`` and ``b`` on reach the bound; all are made in the same memory each time."""
+        np.matmul(left[a : a + m], right[b : b + n].T, out=self.held[: m * n].reshape(m, n))
+        return places(np.greater_equal(self.held[: m * n], bound, out=self.over[: m * n]))
 
     def least(self, radii):
         """The cosine below which centres with these radii together hold no pair, with room for single precision."""
@@ -227,8 +296,8 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def blocks_of(rows: DataFrame, total: int, cosine: float) -> DataFrame:
-    """One row per block: place, block (its first vec_id), cell, count, centre, radius; its ids, weights and vectors in the
+def blocks_of(rows: DataFrame, total: int, cosine: float) -> tuple[DataFrame, Front]:
+    """A front for the screen of centres, and one row per block: place, block (its first vec_id), cell, count, centre, radius; its ids, weights and vectors in the
     order of its top nodes, whose sizes and radii are in ``sizes`` and ``radii``."""
     points = unit(matrix(first_by_hash(rows, SAMPLE).select("embedding").toArrow().column("embedding")))
     most = max(1, min(CELLS, total // BLOCK))
@@ -275,7 +344,7 @@ def blocks_of(rows: DataFrame, total: int, cosine: float) -> DataFrame:
     dealt = rows.mapInArrow(located, f"vec_id long, embedding {dict(rows.dtypes)['embedding']}, weight long, cell long, parts long")
     made = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts").groupBy("cell", "part").applyInArrow(
         gathered, "place long, block long, cell long, n long, centre array<double>, radius double, ids binary, weights binary, x binary, sizes binary, radii binary")
-    return cut_lineage(made, "blocks")
+    return cut_lineage(made, "blocks"), Front(points, cosine)
 
 
 def distance(a: str, b: str):
@@ -309,19 +378,18 @@ def surely_linked(cosine: float):
     return (d + F.col("radius_a") + F.col("radius_b") <= tight) & (2 * F.col("radius_a") <= tight) & (2 * F.col("radius_b") <= tight)
 
 
-def compared(sides: list, cosine: float = COSINE) -> pa.RecordBatch:
+def compared(sides: list, cosine: float = COSINE, front: Front | None = None) -> pa.RecordBatch:
     """For a block, or two: vec_id, links found there, and a linked vec_id (itself, if root).
 
     A side has ids, weights, vectors, and the sizes and radii of its top nodes."""
     ids, weight, x = (np.concatenate([s[i] for s in sides]) for i in range(3))
-    dual, tops, first = Dual(unit(x.astype(np.float64, copy=False)), weight, cosine), [], 0
+    dual, tops, first = Dual(unit(x.astype(np.float64, copy=False)), weight, cosine, front), [], 0
     for *_, sizes, radii in sides:
-        ends = first + np.cumsum(sizes)
-        tops.append([Node(np.arange(a, b), radius, 0) for a, b, radius in zip([first, *ends[:-1].tolist()], ends.tolist(), radii.tolist(), strict=True)])
-        first = int(ends[-1])
+        tops.append(Level(radii, sizes, np.arange(first, first + sizes.sum())))
+        first += int(sizes.sum())
     if len(tops) == 1:
-        for node in tops[0]:
-            dual.inside(node)
+        for i in np.flatnonzero(tops[0].lengths > 1).tolist():
+            dual.inside(tops[0].node(i))
     dual.cross(tops[0], tops[-1])
     hit = np.flatnonzero(dual.links)
     root = np.array([dual.forest.find(i) for i in hit], np.int64)
@@ -345,7 +413,7 @@ def linked(df: DataFrame, cosine: float = COSINE) -> DataFrame:
         return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     one = rows.groupBy(*KEYS).agg(F.min(F.struct("vec_id", "embedding")).alias("one")).join(same, KEYS)
     points = cut_lineage(one.select(F.col("rep").alias("vec_id"), "one.embedding", "weight"), "points")
-    blocks = blocks_of(points, total, cosine)
+    blocks, front = blocks_of(points, total, cosine)
     dtype = number(dict(points.dtypes)["embedding"])
     discard(points)
 
@@ -371,7 +439,7 @@ def linked(df: DataFrame, cosine: float = COSINE) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 names = "a" if batch.column("place_a")[row] == batch.column("place_b")[row] else "ab"
-                yield compared([side_of(batch, row, s, dtype) for s in names], cosine)
+                yield compared([side_of(batch, row, s, dtype) for s in names], cosine, front)
 
     cores = df.sparkSession.sparkContext.defaultParallelism
     left = side(blocks.drop("block", "n").join(F.broadcast(near), "cell").repartition(max(1, min(n_blocks, 2 * cores))), "a")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.llm import ann, cover_tree, queries, url_filters, warc
+from panelspark.llm.vectors import places
 from tests.oracle import compare, duck
 
 
@@ -100,6 +101,38 @@ def test_cover_tree_reads_blocks_where_they_are_stored(spark, clustered, monkeyp
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == brute_links(clustered + zeros)
 
 
+@pytest.mark.parametrize("decay", [0.0, 0.05])
+def test_cover_tree_front_loses_no_link(decay):
+    """Centres are screened by some components and the length of the rest; links and forests are those of all components."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1200, 64)) * np.exp(-decay * np.arange(64)) @ np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    x[600:900] = x[:300] + rng.normal(size=(300, 64)) * rng.choice([0.02, 0.1, 0.16], (300, 1)) * np.abs(x[:300]).mean()
+    x[900:1000] = x[900] + rng.normal(size=(100, 64)) * 1e-3
+    x = cover_tree.unit(x)
+    front, sides = cover_tree.Front(x, 0.9), []
+    assert front.size < 64
+    for part in (slice(0, 700), slice(700, 1200)):
+        top, ids = cover_tree.tops(x[part], 0.9), np.arange(part.start, part.stop)
+        order = np.concatenate([t.members for t in top])
+        sides.append((ids[order], np.ones(len(ids), np.int64), x[part][order], np.array([len(t.members) for t in top]), np.array([t.radius for t in top])))
+    near = x @ x.T >= 0.9
+    for some, own in ((sides, near[:700, 700:]), (sides[:1], near[:700, :700] & ~np.eye(700, dtype=bool))):
+        dual = cover_tree.Dual(x, np.ones(len(x), np.int64), 0.9, front)
+        assert dual.front.shape[1] == front.size + 1
+        got = cover_tree.compared(some, 0.9, front).to_pydict()
+        links = dict(zip(got["vec_id"], got["links"], strict=True))
+        want = np.concatenate([own.sum(axis=1), own.sum(axis=0)]) if len(some) == 2 else own.sum(axis=1)
+        assert links == {i: int(n) for i, n in enumerate(want) if n}
+
+
+def test_places():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 7, 8, 9, 64, 1000, 1003):
+        for share in (0, 0.002, 0.1, 0.9):
+            mask = rng.random(n) < share
+            assert places(mask).tolist() == np.flatnonzero(mask).tolist()
+
+
 def test_empty_vectors(spark):
     assert cover_tree.linked(vectors(spark, [])).count() == 0
     assert ann.search(vectors(spark, []), "vec_id % 20 = 0").count() == 0
@@ -160,7 +193,7 @@ def test_ann_screens_tiles_of_queries_and_vectors(monkeypatch):
     asked = np.concatenate([np.arange(180, 220), np.arange(590, 620), np.arange(2000, 2300)])
     visits = rng.random((len(asked), 30)) < 0.5
     calls, screen = [], ann.Best.screen
-    monkeypatch.setattr(ann.Best, "screen", lambda self, block, part, who: (calls.append(len(who)), screen(self, block, part, who))[1])
+    monkeypatch.setattr(ann.Best, "screen", lambda self, block, a, b, who: (calls.append(len(who)), screen(self, block, a, b, who))[1])
     monkeypatch.setattr(ann, "WAITING", 500)
     best = ann.Best(x[asked], ids[asked], np.full(len(asked), -np.inf), 20)
     for a, b in ((0, 1000), (1000, 3000)):
