@@ -38,7 +38,7 @@ SAMPLE, BRANCH, LEAF, PROBES, RECALL, CHUNK = 20_000, 12, 64, 256, 0.97, 16_384
 #: Blocks are not cut smaller than this for the sake of more tasks.
 LEAST_CHUNK = 1024
 #: Vectors of a leaf by queries that are screened at once, in a core's own cache; pairs that are scored, or wait for a ranking.
-TALL, WIDE, SCORED, WAITING = 256, 1024, 1 << 14, 1 << 18
+TALL, WIDE, SCORED, WAITING = 256, 1024, 1 << 12, 1 << 18
 
 
 class Tree:
@@ -107,7 +107,7 @@ class Block:
     """Vectors in the order of their leaves, and what screening them needs."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, leaf: np.ndarray):
-        self.vectors, self.ids, self.leaf = vectors, ids, leaf
+        self.vectors, self.ids, self.leaf = np.require(vectors, requirements="A"), ids, leaf
         self.scale = float(np.abs(vectors).max())
         self.small = (vectors / self.scale).astype(np.float32)
         self.length = float(np.sqrt((self.small.astype(np.float64) ** 2).sum(axis=1).max()))
@@ -125,9 +125,10 @@ class Best:
         length = np.sqrt((self.small.astype(np.float64) ** 2).sum(axis=1))
         self.room = (queries.shape[1] + 8) * 2.0**-23 * length  # rounding of a product of single precision, twice over
         self.kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-        self.new, self.waiting = [], 0
+        self.new, self.waiting, self.passed, self.passing = [], 0, [], 0
         self.held, self.over = np.empty(TALL * WIDE, np.float32), np.empty(TALL * WIDE, bool)  # all products are made in the same memory
         self.few, self.bound = np.empty((WIDE, queries.shape[1]), np.float32), None
+        self.both = [np.empty((SCORED, queries.shape[1]), t) for t in (queries.dtype, queries.dtype, np.float64)]
 
     def meet(self, block: Block, visitors) -> None:
         """``visitors`` gives the indices of the queries that visit a leaf."""
@@ -136,6 +137,7 @@ class Best:
             who = visitors(int(block.leaf[a]))
             for i in range(0, len(who), WIDE):
                 self.screen(block, a, b, who[i : i + WIDE])
+        self.settle(block)
 
     def aim(self, block: Block) -> None:
         """The least product of a query with a vector of this block, both as they are screened."""
@@ -153,14 +155,27 @@ class Best:
             np.matmul(part, few, out=product)
             bound = self.bound[who]  # rises with what is found
             hit = places(np.greater_equal(product, bound, out=over).ravel())
-            for i in range(0, len(hit), SCORED):
-                at, query = np.divmod(hit[i : i + SCORED], m)
-                self.score(block, at + a, who[query])
+            if len(hit):
+                at, query = np.divmod(hit, m)
+                self.passed.append((at + a, who[query]))
+                self.passing += len(hit)
+            if self.passing >= SCORED:
+                self.settle(block)
+
+    def settle(self, block: Block) -> None:
+        """Score what passed the screen."""
+        if self.passed:
+            at, query = (np.concatenate(x) for x in zip(*self.passed, strict=True))
+            self.passed, self.passing = [], 0
+            for i in range(0, len(at), SCORED):
+                self.score(block, at[i : i + SCORED], query[i : i + SCORED])
 
     def score(self, block: Block, at: np.ndarray, query: np.ndarray) -> None:
         other = block.ids[at] != self.ids[query]
         query, at = query[other], at[other]
-        score = (block.vectors[at].astype(np.float64, copy=False) * self.queries[query].astype(np.float64, copy=False)).sum(axis=1)
+        x, q, product = (b[: len(at)] for b in self.both)
+        np.multiply(block.vectors.take(at, axis=0, out=x, mode="clip"), self.queries.take(query, axis=0, out=q, mode="clip"), out=product, dtype=np.float64)
+        score = product.sum(axis=1)
         good = score >= self.least[query]
         query, at = query[good], at[good]
         self.new.append((query, block.ids[at], score[good], block.leaf[at]))
@@ -330,6 +345,7 @@ def search(df: DataFrame, is_query, k: int = 20) -> DataFrame:
                                    binary(batch, "visited", row, np.uint8).reshape(len(ids), -1).copy())
                 best, visited = teams[name]
                 best.meet(block_of(batch, row, dtype), lambda leaf, bits=visited: np.flatnonzero(bits[:, leaf >> 3] & (128 >> (leaf & 7))))
+            del batch  # before the next one is read
         for best, _ in teams.values():
             yield best.batch()
 

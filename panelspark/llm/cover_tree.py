@@ -440,6 +440,7 @@ def linked(df: DataFrame, cosine: float = COSINE) -> DataFrame:
             for row in range(batch.num_rows):
                 names = "a" if batch.column("place_a")[row] == batch.column("place_b")[row] else "ab"
                 yield compared([side_of(batch, row, s, dtype) for s in names], cosine, front)
+            del batch  # before the next one is read
 
     cores = df.sparkSession.sparkContext.defaultParallelism
     left = side(blocks.drop("block", "n").join(F.broadcast(near), "cell").repartition(max(1, min(n_blocks, 2 * cores))), "a")
