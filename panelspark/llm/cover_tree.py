@@ -21,7 +21,7 @@ the rest are opened. Links are decided on double precision cosines.
 4. A task returns how many links each vector got, and a forest that connects linked vectors, never
    the pairs. Components come from the forests.
 
-See ``vectors.usable`` for rows that link with nothing; they are kept with n_links 0 and themselves
+See ``vectors.comparable`` for rows that link with nothing; they are kept with n_links 0 and themselves
 as component. Rows with equal vec_id are one vector if equal; a null vec_id has a null component.
 """
 
